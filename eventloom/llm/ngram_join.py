@@ -45,8 +45,9 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE_WORDS) -> list[np.ndarray]
     """
     import xxhash
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
-    words, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    texts = pa.array(texts.to_numpy(zero_copy_only=False), pa.string()) if texts.offset else texts  # some kernels forget the offset of a slice
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, of = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
     real = pc.binary_length(words).to_numpy() > 0
     coded = words.dictionary_encode()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) for w in coded.dictionary), np.uint64, len(coded.dictionary))

@@ -14,20 +14,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import dropped, small_side, whole_text, written
+from eventloom.llm.common import dropped, small_batches, small_side, whole_text, written
 from eventloom.llm.components import components
 
 #: Query parameters: words in a shingle, least Jaccard similarity in percent.
 SHINGLE_WORDS = 4
 PERCENT = 85
 #: Bounds on memory, not on results: tokens that are counted at once, frequent tokens known to every task.
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 FREQUENT_TOKENS = 1_000_000
 #: Documents that a token's count must reach before it moves to the end of the orders.
 FREQUENT_FROM = 8
 #: Buckets up to this size are compared throughout at once; larger ones first with their smallest member only.
 SMALL_BUCKET = 8
-BATCH_ROWS = 4000
+BATCH_ROWS = 1000
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -80,7 +80,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, BATCH_ROWS):
             part = batch.slice(k, BATCH_ROWS)
-            if part.nbytes < 64_000_000:
+            if part.nbytes < 16_000_000:
                 yield part
             else:
                 yield from (part.slice(i, 1) for i in range(part.num_rows))
@@ -304,6 +304,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        way. Then every pair that shares a prefix token is linked, compared or connected.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     both = written(rows.mapInArrow(_signatures, "doc_id long, n long, sig binary, token long, count long"), "join-signatures")
     sets = both.filter("sig is not null").select("doc_id", "n", "sig")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, mixing, ngram_join, quality
+from eventloom.llm import exact_dedup, mixing, ngram_join, quality, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def public_tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file on this machine; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, counts = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
+    return token_files.checksums(blocks, counts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES: dict[str, str] = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, mixing, ngram_join, quality, token_files
+from eventloom.llm import exact_dedup, mixing, ngram_join, pieces, quality, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, counts = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
     return token_files.checksums(blocks, counts)
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_piece_encoding": op7_piece_encoding,
     "op9_token_files": op9_token_files,
 }
 

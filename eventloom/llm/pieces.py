@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import small_batches, whole_text
-from eventloom.llm.vocab import cut_at, id_lists, looked_up, text_parts, whole_array
+from eventloom.llm.vocab import id_lists, joined_runs, looked_up, runs, text_parts, whole_array
 
 #: The marker that stands for a space; the message's kinds of pieces and models.
 MARKER = "\u2581"
@@ -151,17 +151,6 @@ class PieceCoder:
         """The ids of each text, by the library alone."""
         return [x.ids for x in self.whole.encode_batch(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], joined: int = 200) -> list:
-        """The ids of words with one space before each: joined, each begins where a piece has the marker in front."""
-        out, groups = [], [words[k : k + joined] for k in range(0, len(words), joined)]
-        for k in range(0, len(groups), 50):
-            some = groups[k : k + 50]
-            for group, x in zip(some, self.inner.encode_batch(["".join(g) for g in some], add_special_tokens=False)):
-                ids = np.asarray(x.ids, np.uint32)
-                parts = cut_at(ids, self.opens[ids], len(group)) if len(ids) else None
-                out += [x.ids for x in self.inner.encode_batch(group, add_special_tokens=False)] if parts is None else parts
-        return out
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of whole texts, one after the other, and how many each text has. Equal to each()."""
         texts = whole_array(texts)
@@ -173,15 +162,13 @@ class PieceCoder:
         of = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy())
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary
-        single = pc.match_substring_regex(words, "^ [^ ]+$").to_pylist()
-        names = words.to_pylist()
-        own: list = [[]] * len(names)
-        for k, ids in zip((k for k, s in enumerate(single) if s), self._words([w for w, s in zip(names, single) if s])):
-            own[k] = ids
-        rest = [k for k, (w, s) in enumerate(zip(names, single)) if w and not s]
-        for k, x in zip(rest, self.inner.encode_batch([names[k] for k in rest], add_special_tokens=False)):
-            own[k] = x.ids
-        ids, sizes = looked_up(id_lists(own), coded.indices.to_numpy())
+        single = pc.match_substring_regex(words, "^ [^ ]+$").to_numpy(zero_copy_only=False)
+        names = words.filter(pa.array(single)).to_pylist(), words.filter(pa.array(~single)).to_pylist()
+        inner = lambda many: [x.ids for x in self.inner.encode_batch(many, add_special_tokens=False)]
+        found = joined_runs(names[0], "", inner, lambda ids: np.flatnonzero(self.opens[ids]), inner) + runs(inner(names[1]))
+        place = np.empty(len(single), np.int64)  # each word begins where a piece has the marker in front
+        place[single], place[~single] = np.arange(len(names[0])), len(names[0]) + np.arange(len(names[1]))
+        ids, sizes = looked_up(id_lists(found), place[coded.indices.to_numpy()])
         counts = np.bincount(of, weights=sizes, minlength=len(texts)).astype(np.int64)
         if not odd.any():
             return ids, counts

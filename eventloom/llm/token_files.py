@@ -132,98 +132,124 @@ def decode_blocks(payloads: list[bytes], table: Table) -> list[np.ndarray]:
     return out
 
 
-def counted_ids(docs: DataFrame, encoder, end_id: int, id_col: str, text_col: str) -> np.ndarray:
-    """How often each id occurs in all documents, their end ids included: one row per id reaches the driver."""
+def _ids(value: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(value, "<u4" if wide else "<u2").astype(np.int64)
+
+
+def _encoded(docs: DataFrame, encoder, end_id: int, wide: bool, id_col: str, text_col: str) -> DataFrame:
+    """The ids of each document with its shard (its range of document ids) and its start there, in ascending order."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = WordEncoder(encoder.value)
-        counts = np.zeros(max(model.vocab_size(), end_id + 1), np.int64)
+        from pyspark import TaskContext
+
+        shard, start, model = TaskContext.get().partitionId(), 0, WordEncoder(encoder.value)
+        kind = "<u4" if wide else "<u2"
         for part in text_parts(batches):
-            ids, _ = model.encode(part.column("text"))
-            counts += np.bincount(ids, minlength=len(counts))
-            counts[end_id] += part.num_rows
+            ids, counts = model.encode(part.column("text"))
+            sizes = counts + 1
+            values = [np.append(x, end_id).astype(kind).tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
+            starts = start + np.cumsum(sizes) - sizes
+            start += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(sizes), pa.int32()), pa.array(starts), part.column("doc_id"), pa.array(sizes), pa.array(values, pa.binary())], names=["shard", "start", "doc_id", "n", "ids"])
+
+    return rows.mapInArrow(run, "shard int, start long, doc_id long, n long, ids binary")
+
+
+def counted_ids(rows: DataFrame, size: int, wide: bool) -> np.ndarray:
+    """How often each id occurs in all documents: one row per id reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                counts += np.bincount(_ids(b"".join(batch.column("ids").slice(k, 1000).to_pylist()), wide), minlength=size)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["id", "n"])
 
-    rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max([WordEncoder(encoder.value).vocab_size(), end_id + 1]), np.int64)
-    for r in rows:
+    counts = np.zeros(size, np.int64)
+    for r in rows.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return counts
 
 
-BLOCKS = "shard int, block int, start long, doc_ids array<long>, doc_tokens array<long>, payload binary"
+BLOCKS = "shard int, start long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, object]:
     """Encode every text, append end_id, and write the ids in ascending order of document ids.
 
-    Documents are dealt by ranges of ids (rows with equal ids by their text's hash) and
-    sorted; a range becomes one shard file of blocks, in order. A block holds whole
-    documents. Returns the table of blocks, read back from the files, and the broadcast
-    counts of all documents' ids, whose frequency table decodes them.
+    Documents are dealt by ranges of ids (rows with equal ids by their text's hash),
+    sorted and encoded, and their ids kept in the shared folder. Counts over all of them
+    make the frequency table. Then each run of rows becomes blocks of whole documents,
+    without another shuffle; shard and start (in the shard) give a block's place in the
+    order, and each file holds its blocks in that order. Null texts count as empty (the
+    end id alone), null ids come first, an empty table gives no blocks.
+
+    Returns the table of blocks, read back from the files, and the broadcast counts that
+    give the table that decodes them.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         encoder = spark.sparkContext.broadcast({"text": f.read()})
-    table = spark.sparkContext.broadcast(counted_ids(docs, encoder, end_id, id_col, text_col))
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    size = max(WordEncoder(encoder.value).vocab_size(), end_id + 1)
+    wide = size > 1 << 16
+    rows = written(_encoded(docs, encoder, end_id, wide, id_col, text_col), "token-ids", compression="zstd")
+    counts = spark.sparkContext.broadcast(counted_ids(rows, size, wide))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        codes = Table(counts.value)
+        full: list[tuple[int, int, list, list, np.ndarray]] = []
+        own: list[tuple] = []  # rows of the block that is being filled
+        held = 0
 
-        shard, made, start = TaskContext.get().partitionId(), 0, 0
-        model, codes = WordEncoder(encoder.value), Table(table.value)
-        full: list[tuple[list, list, np.ndarray]] = []
-        ids_, names_, sizes_, held = [], [], [], 0
+        def close() -> None:
+            nonlocal own, held
+            full.append((own[0][0], own[0][1], [r[2] for r in own], [r[3] for r in own], np.concatenate([_ids(r[4], wide) for r in own])))
+            own, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal made, start
-            payloads = encode_blocks([ids for _, _, ids in full], codes)
-            sizes = [len(ids) for _, _, ids in full]
-            starts = start + np.cumsum([0, *sizes])[:-1]
-            out = pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(full), pa.int32()), "block": pa.array(range(made, made + len(full)), pa.int32()), "start": pa.array(starts, pa.int64()), "doc_ids": pa.array([x for x, _, _ in full], pa.list_(pa.int64())), "doc_tokens": pa.array([x for _, x, _ in full], pa.list_(pa.int64())), "payload": pa.array(payloads, pa.binary())})
-            made, start = made + len(full), start + sum(sizes)
+            payloads = encode_blocks([x[4] for x in full], codes)
+            of = lambda k, type_: pa.array([x[k] for x in full], type_)
+            out = pa.RecordBatch.from_arrays([of(0, pa.int32()), of(1, pa.int64()), of(2, pa.list_(pa.int64())), of(3, pa.list_(pa.int64())), pa.array(payloads, pa.binary())], names=["shard", "start", "doc_ids", "doc_tokens", "payload"])
             full.clear()
             return out
 
-        for part in text_parts(batches):
-            ids, counts = model.encode(part.column("text"))
-            for name, own in zip(part.column("doc_id").to_pylist(), np.split(ids, np.cumsum(counts)[:-1])):
-                ids_ += [own, np.array([end_id], np.uint32)]
-                names_.append(name)
-                sizes_.append(len(own) + 1)
-                held += len(own) + 1
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "start", "doc_id", "n", "ids"))):
+                if own and (row[0] != own[-1][0] or row[1] != own[-1][1] + own[-1][3]):
+                    close()
+                own.append(row)
+                held += row[3]
                 if held >= BLOCK_IDS:
-                    full.append((names_, sizes_, np.concatenate(ids_)))
-                    ids_, names_, sizes_, held = [], [], [], 0
-                    if len(full) >= TOGETHER:
-                        yield flush()
-        if names_:
-            full.append((names_, sizes_, np.concatenate(ids_)))
+                    close()
+                if len(full) >= TOGETHER:
+                    yield flush()
+        if own:
+            close()
         if full:
             yield flush()
 
-    return written(ordered.select("doc_id", "text").mapInArrow(run, BLOCKS), "token-files"), table
+    return written(rows.mapInArrow(run, BLOCKS).sortWithinPartitions("shard", "start"), "token-files"), counts
 
 
-def read_token_files(blocks: DataFrame, table) -> DataFrame:
+def read_token_files(blocks: DataFrame, counts) -> DataFrame:
     """Decode the blocks: one row per document with doc_id, start, ids (array of long)."""
-    return _decoded(blocks, table, "ids array<long>", lambda ids, ends: pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int64))))
+    return _decoded(blocks, counts, "ids array<long>", lambda ids, ends: pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int64))))
 
 
-def checksums(blocks: DataFrame, table) -> DataFrame:
+def checksums(blocks: DataFrame, counts) -> DataFrame:
     """Decode the blocks: one row per document with doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit little-endian integers)."""
 
     def crc(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         raw = memoryview(ids.astype("<u4").tobytes())
         return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(np.r_[0, ends[:-1]], ends)], pa.int64())
 
-    return _decoded(blocks, table, "ids_crc32 long", crc)
+    return _decoded(blocks, counts, "ids_crc32 long", crc)
 
 
-def _decoded(blocks: DataFrame, table, column: str, of_ids) -> DataFrame:
+def _decoded(blocks: DataFrame, counts, column: str, of_ids) -> DataFrame:
     """Shards' totals give each shard's first place; a window over them sees one row per shard file."""
     totals = blocks.groupBy("shard").agg(F.sum(F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -231,7 +257,7 @@ def _decoded(blocks: DataFrame, table, column: str, of_ids) -> DataFrame:
     rows = blocks.join(small_side(bases), "shard").select((F.col("base") + F.col("start")).alias("start"), "doc_ids", "doc_tokens", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Table(table.value)
+        codes = Table(counts.value)
         for batch in batches:
             for k in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(k, TOGETHER)

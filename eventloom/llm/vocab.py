@@ -31,11 +31,20 @@ def whole_array(texts: pa.Array) -> pa.Array:
     return pa.array(texts.to_numpy(zero_copy_only=False), pa.string()) if texts.offset else texts
 
 
-def id_lists(lists: list, type_: pa.DataType = pa.uint32()) -> pa.ListArray:
-    """Lists of token ids as one array."""
-    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in lists]]).astype(np.uint32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type_))
+Runs = list[tuple[np.ndarray, np.ndarray]]  # ids one after the other, and how many each word has
+
+
+def runs(lists: list) -> Runs:
+    """Lists of token ids as one run."""
+    return [(np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in lists]]).astype(np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))]
+
+
+def id_lists(found: Runs, order: np.ndarray | None = None) -> pa.ListArray:
+    """Runs of token ids as one array of lists; order: for each list, its place in the runs."""
+    flat = np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in found]])
+    ends = np.cumsum(np.concatenate([[0], *[n for _, n in found]])).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return lists if order is None else lists.take(pa.array(order))
 
 
 def looked_up(lists: pa.ListArray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,10 +53,24 @@ def looked_up(lists: pa.ListArray, codes: np.ndarray) -> tuple[np.ndarray, np.nd
     return lists.take(pa.array(codes)).flatten().to_numpy(), size[codes]
 
 
-def cut_at(ids: np.ndarray, first: np.ndarray, n: int) -> list[np.ndarray] | None:
-    """ids cut before each place where `first` holds, if that makes n parts; else None."""
-    starts = np.flatnonzero(first)
-    return np.split(ids, starts[1:]) if len(starts) == n and (n == 0 or starts[0] == 0) else None
+def joined_runs(words: list[str], glue: str, encode, starts_of, each) -> Runs:
+    """The ids of words that are joined into longer texts to save calls.
+
+    encode gives the ids of such texts, starts_of the places where a word's first id may
+    be; where these aren't as many as the words, each() encodes the words one by one.
+    """
+    out: Runs = []
+    groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+    for k in range(0, len(groups), 50):
+        some = groups[k : k + 50]
+        for group, ids in zip(some, encode([glue.join(g) for g in some])):
+            ids = np.asarray(ids, np.uint32)
+            starts = starts_of(ids)
+            if len(starts) == len(group) and starts[0] == 0:
+                out.append((ids, np.diff(np.append(starts, len(ids)))))
+            else:
+                out += runs(each(group))
+    return out
 
 
 class WordEncoder:
@@ -78,17 +101,9 @@ class WordEncoder:
             out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
         return out
 
-    def letters(self, words: list[str]) -> list:
-        """The ids of words of letters only: joined by spaces, each ends where a token ends a word."""
-        model, out = self.tokenizer, []
-        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
-        for k in range(0, len(groups), 50):
-            for group, x in zip(groups[k : k + 50], model.encode_batch_fast([" ".join(g) for g in groups[k : k + 50]], add_special_tokens=False)):
-                ids = np.asarray(x.ids, np.uint32)
-                ends = self.ends[ids] if len(ids) else np.zeros(0, bool)
-                parts = cut_at(ids, np.r_[True, ends[:-1]] if len(ids) else ends, len(group))
-                out += self.each(group) if parts is None else parts
-        return out
+    def _starts(self, ids: np.ndarray) -> np.ndarray:
+        """Where words begin: at the first id, and behind each token that ends a word."""
+        return np.flatnonzero(np.r_[True, self.ends[ids[:-1]]]) if len(ids) else np.zeros(0, int)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of whole texts, one after the other, and how many each text has.
@@ -108,18 +123,21 @@ class WordEncoder:
         stem = pc.ascii_rtrim(low, characters=TAIL_MARKS)
         parted = pc.match_substring_regex(stem, r"\p{L}$")
         stem = pc.if_else(parted, stem, word)
-        tail = [w[len(s) :] for w, s in zip(low.to_pylist(), stem.to_pylist())]
-        stems, tails = stem.dictionary_encode(), pa.array([t if p else "" for t, p in zip(tail, parted.to_pylist())], pa.string()).dictionary_encode()
-        names = stems.dictionary.to_pylist()
-        is_word = pc.match_substring_regex(stems.dictionary, r"^\p{L}+$").to_pylist()
-        own: list = [None] * len(names)
-        for at, ids in ((True, self.letters), (False, self.each)):
-            some = [k for k, x in enumerate(is_word) if x == at]
-            for k, x in zip(some, ids([names[k] for k in some])):
-                own[k] = x
-        table = id_lists(own + self.each(tails.dictionary.to_pylist()))
-        pair = np.stack([stems.indices.to_numpy(), tails.indices.to_numpy() + len(names)], axis=1) if len(names) else np.zeros((0, 2), np.int64)
-        ids, sizes = looked_up(table, pair[coded.indices.to_numpy()].ravel())
+        cut = (pc.binary_length(low).to_numpy() - pc.binary_length(stem).to_numpy()) * parted.to_numpy(zero_copy_only=False)
+        tails, tail = [""], np.zeros(len(word), np.int64)
+        for n in np.unique(cut[cut > 0]):
+            marks = pc.utf8_slice_codeunits(low.filter(pa.array(cut == n)), start=-int(n)).dictionary_encode()
+            tail[cut == n] = marks.indices.to_numpy() + len(tails)
+            tails += marks.dictionary.to_pylist()
+        stems = stem.dictionary_encode()
+        is_word = pc.match_substring_regex(stems.dictionary, r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        names = stems.dictionary.filter(pa.array(is_word)).to_pylist(), stems.dictionary.filter(pa.array(~is_word)).to_pylist()
+        joined = lambda many: [x.ids for x in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+        found = joined_runs(names[0], " ", joined, self._starts, self.each) + runs(self.each(names[1])) + runs(self.each(tails))
+        place = np.empty(len(is_word), np.int64)
+        place[is_word], place[~is_word] = np.arange(len(names[0])), len(names[0]) + np.arange(len(names[1]))
+        pair = np.stack([place[stems.indices.to_numpy()], tail + len(is_word)], axis=1) if len(word) else np.zeros((0, 2), np.int64)
+        ids, sizes = looked_up(id_lists(found), pair[coded.indices.to_numpy()].ravel())
         counts = np.bincount(np.repeat(of, 2), weights=sizes, minlength=len(lists)).astype(np.int64)
         return self._with_odd(texts, odd, ids, counts) if odd.any() else (ids, counts)
 

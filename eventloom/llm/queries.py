@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, mixing, ngram_join, pieces, pii, quality, token_files
+from eventloom.llm import exact_dedup, html_text, mixing, ngram_join, pieces, pii, quality, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, counts = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
     return token_files.checksums(blocks, counts)
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_piece_encoding": op7_piece_encoding,
+    "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
     "op10_pii": op10_pii,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, html_text, mixing, ngram_join, pieces, pii, quality, token_files
+from eventloom.llm import chat, exact_dedup, html_text, licenses, mixing, ngram_join, pieces, pii, quality, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_segments(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", *[f"_f.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
@@ -62,6 +70,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_preference_chat": op3_preference_chat,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_piece_encoding": op7_piece_encoding,
@@ -70,6 +80,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
+
+def _canonical(x: str) -> str:
+    """licenses.canonical() in SQL."""
+    x = f"trim(regexp_replace(regexp_replace(lower({x}), '{licenses.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for other, same in licenses.SPELLINGS:
+        x = f"replace({x}, '{other}', '{same}')"
+    return f"sha256({x})"
+
+
+def _known(texts: list[tuple[str, str]]) -> str:
+    quoted = [(name, text.replace("'", "''")) for name, text in texts]
+    return "(VALUES " + ", ".join(f"('{name}', '{text}')" for name, text in quoted) + ") v(license, text)"
+
+
 ORACLES: dict[str, str] = {
     "op1_source_mix": """
         WITH rows AS (
@@ -108,4 +132,37 @@ ORACLES: dict[str, str] = {
             SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept
             FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ranked""",
+    "op3_preference_chat": """
+        WITH own AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        last AS (SELECT pair_id, max(turn) AS last FROM own WHERE role = 'assistant' GROUP BY pair_id),
+        reply AS (
+            SELECT o.pair_id, max(o.text) AS reply FROM own o JOIN last l ON o.pair_id = l.pair_id AND o.turn = l.last
+            WHERE role = 'assistant' GROUP BY o.pair_id),
+        other AS (
+            SELECT o.pair_id, turn, role, CASE WHEN role = 'assistant' AND turn = last THEN reply ELSE text END AS text
+            FROM own o LEFT JOIN last l ON o.pair_id = l.pair_id LEFT JOIN reply r ON r.pair_id = CASE WHEN o.pair_id % 2 = 0 THEN o.pair_id + 1 ELSE o.pair_id - 1 END
+            WHERE NOT coalesce(role = 'assistant' AND turn = last, false) OR reply IS NOT NULL),
+        counted AS (
+            SELECT pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, sum(c) AS c, sum(r) AS r
+            FROM (SELECT *, 1 AS c, 0 AS r FROM own UNION ALL SELECT *, 0, 1 FROM other) GROUP BY ALL),
+        parted AS (SELECT *, min(turn) FILTER (c <> r) OVER (PARTITION BY pair_id) AS parting FROM counted),
+        parts AS (
+            SELECT *, 'prompt' AS part, c AS n FROM parted WHERE coalesce(turn < parting, true)
+            UNION ALL SELECT *, 'chosen', c FROM parted WHERE turn >= parting
+            UNION ALL SELECT *, 'rejected', r FROM parted WHERE turn >= parting),
+        copies AS (SELECT *, unnest(range(1, n::BIGINT + 1))::INT AS copy FROM parts WHERE n > 0)
+        SELECT pair_id, part, turn, copy, role,
+               '<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<' || chr(8203) || '|im_') || '<|im_end|>' || chr(10) AS content,
+               length(content) AS n_chars, part <> 'prompt' AND role = 'assistant' AS train
+        FROM copies""",
+    "op4_license_scan": f"""
+        WITH texts AS (SELECT license, {_canonical("text")} AS digest FROM {_known(list(licenses.TEXTS.items()))}),
+        notices AS (SELECT license, {_canonical("text")} AS digest FROM {_known([(n, t) for n, some in licenses.NOTICES.items() for t in some])}),
+        rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM rows),
+        found AS (
+            SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices
+            FROM (SELECT r, line FROM lines WHERE regexp_matches(lower(line), '{licenses.MARKERS}')) l JOIN notices ON {_canonical("l.line")} = digest GROUP BY r)
+        SELECT doc_id, t.license AS text_license, coalesce(f.notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
+        FROM rows LEFT JOIN found f USING (r) LEFT JOIN texts t ON {_canonical("rows.text")} = t.digest""",
 }

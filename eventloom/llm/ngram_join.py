@@ -23,10 +23,14 @@ PERCENT = 85
 #: Bounds on memory, not on results: tokens that are counted at once, frequent tokens known to every task.
 CHUNK_TOKENS = 2_000_000
 FREQUENT_TOKENS = 1_000_000
+#: Bytes of a token by which it is counted.
+PRINT_BYTES = 5
 #: Documents that a token's count must reach before it moves to the end of the orders.
 FREQUENT_FROM = 8
-#: Buckets up to this size are compared throughout at once; larger ones first with their smallest member only.
+#: Buckets up to this size are compared throughout at once; larger ones first with one member only.
 SMALL_BUCKET = 8
+#: Rounds in which large buckets are tried with one member only, as long as that finds links and they hold more open pairs a row than this.
+STAR_ROUNDS, OPEN_PAIRS = 4, 4
 BATCH_ROWS = 1000
 
 
@@ -90,39 +94,99 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its id, set size and signature; per chunk of documents the tokens that two sets or more share."""
-    held, seen, n_held = [], set(), 0
-
-    def counted() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
-        tokens, counts = tokens[counts > 1], counts[counts > 1]
-        none = pa.nulls(len(tokens))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), _signed(tokens), pa.array(counts)], names=["doc_id", "n", "sig", "token", "count"])
-
-    for part in _parts(batches):
-        sets = shingle_sets(part.column("text"))
-        sigs = [_signature(s) for s in sets]
-        none = pa.nulls(len(sets)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), none, none], names=["doc_id", "n", "sig", "token", "count"])
-        for s, g in zip(sets, sigs):
-            if g not in seen:  # copies count once
-                seen.add(g)
-                held.append(s)
-                n_held += len(s)
-        if n_held >= CHUNK_TOKENS:
+def _packed(sorted_prints: np.ndarray) -> bytes:
+    """Sorted fingerprints of one range as differences, byte by byte of all: most bytes are zero and pack well."""
+    steps = np.diff(sorted_prints, prepend=sorted_prints[:1]).astype("<u8")
+    return sorted_prints[:1].astype("<u8").tobytes() + steps.view(np.uint8).reshape(-1, 8).T[:PRINT_BYTES].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, -1, 8).reshape(PRINT_BYTES, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :PRINT_BYTES] = planes.T
+    return np.cumsum(steps.view("<u8").ravel()).astype(np.uint64) + np.frombuffer(data, "<u8", 1)
+
+
+def fingerprints(tokens: np.ndarray) -> np.ndarray:
+    """The leading bits of tokens, by which they are counted: two tokens with the same ones share a count, and so a place in the orders."""
+    return tokens >> np.uint64(64 - 8 * PRINT_BYTES)
+
+
+SEEN = "key int, doc_id long, n long, sig binary, single binary, many array<long>, times array<long>"
+
+
+def _signatures(ranges: int):
+    """Per document its id, set size and signature; per chunk of documents and range of fingerprints the ones found once, and those found more often with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SEEN.split(", ")]
+        numbers = pa.list_(pa.int64())
+        held, seen, n_held = [], set(), 0
+
+        def counted() -> pa.RecordBatch:
+            prints, times = np.unique(fingerprints(np.concatenate(held)), return_counts=True)
+            cuts = np.searchsorted(prints, np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 8 * PRINT_BYTES) // ranges))
+            parts = [(p, t) for p, t in zip(np.split(prints, cuts), np.split(times, cuts))]
+            keep = [k for k, (p, _) in enumerate(parts) if len(p)]
+            none = pa.nulls(len(keep))
+            single = [_packed(parts[k][0][parts[k][1] == 1]) if (parts[k][1] == 1).any() else None for k in keep]
+            many = [parts[k][0][parts[k][1] > 1].astype(np.int64) for k in keep]
+            often = [parts[k][1][parts[k][1] > 1] for k in keep]
+            return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(single, pa.binary()), pa.array(many, numbers), pa.array(often, numbers)], names=names)
+
+        for part in _parts(batches):
+            sets = shingle_sets(part.column("text"))
+            sigs = [_signature(s) for s in sets]
+            none = pa.nulls(len(sets))
+            keys = pa.array([int.from_bytes(g[:4], "big") * ranges >> 32 for g in sigs], pa.int32())
+            yield pa.RecordBatch.from_arrays([keys, part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), none.cast(pa.binary()), none.cast(numbers), none.cast(numbers)], names=names)
+            for s, g in zip(sets, sigs):
+                if g not in seen:  # copies count once
+                    seen.add(g)
+                    held.append(s)
+                    n_held += len(s)
+            if n_held >= CHUNK_TOKENS:
+                yield counted()
+                held, seen, n_held = [], set(), 0
+        if n_held:
             yield counted()
-            held, seen, n_held = [], set(), 0
-    yield counted()
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range: documents as they are, and the fingerprints of each range that are frequent, with their counts."""
+    key, prints, times = None, [], []
+
+    def frequent() -> pa.RecordBatch:
+        found, place = np.unique(np.concatenate(prints), return_inverse=True)
+        counts = np.bincount(place, np.concatenate(times)).astype(np.int64)
+        found, counts = found[counts >= FREQUENT_FROM], counts[counts >= FREQUENT_FROM]
+        none = pa.nulls(len(found))
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), _signed(found), pa.array(counts)], names=["doc_id", "n", "sig", "print", "count"])
+
+    for batch in batches:
+        docs = batch.filter(pc.is_valid(batch.column("sig")))
+        none = pa.nulls(docs.num_rows).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("n"), docs.column("sig"), none, none], names=["doc_id", "n", "sig", "print", "count"])
+        rest = batch.filter(pc.is_null(batch.column("sig")))
+        for k, single, many, often in zip(*(rest.column(c).to_pylist() for c in ("key", "single", "many", "times"))):
+            if k != key and prints:
+                yield frequent()
+                prints, times = [], []
+            key = k
+            once = _unpacked(single) if single else np.zeros(0, np.uint64)
+            prints += [once, np.array(many, np.int64).view(np.uint64)]
+            times += [np.ones(len(once), np.int64), np.array(often, np.int64)]
+    if prints:
+        yield frequent()
 
 
 def frequent_tokens(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many sets share, sorted, with their counts: at most FREQUENT_TOKENS, by a least count.
+    """Fingerprints that most sets share, sorted, with their counts: at most FREQUENT_TOKENS, by a least count.
 
-    A token that c documents have is sure to be seen if c is over the number of chunks.
-    Which tokens are in the list changes the orders, and so the speed, but no result.
+    Which ones are in the list changes the orders, and so the speed, but no result.
     """
-    counts = written(counts.groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= FREQUENT_FROM), "join-counts")
     level = F.floor(8 * F.log2("count"))
     known, least = 0, None
     for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred levels
@@ -131,10 +195,9 @@ def frequent_tokens(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         least = row["level"]
     found = counts.filter(level >= (least if least is not None else 10**6)).toArrow()
-    dropped(counts)
-    tokens = np.asarray(found["token"].to_numpy()).astype(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.asarray(found["count"].to_numpy()).astype(np.int64)[order]
+    prints = np.asarray(found["print"].to_numpy()).astype(np.int64).view(np.uint64)
+    order = np.argsort(prints)
+    return prints[order], np.asarray(found["count"].to_numpy()).astype(np.int64)[order]
 
 
 def _orders(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> list[np.ndarray]:
@@ -142,8 +205,9 @@ def _orders(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
     n = len(tokens)
     rank = np.zeros(n, np.uint64)
     if len(frequent[0]):
-        at = np.minimum(np.searchsorted(frequent[0], tokens), len(frequent[0]) - 1)
-        hit = frequent[0][at] == tokens
+        prints = fingerprints(tokens)
+        at = np.minimum(np.searchsorted(frequent[0], prints), len(frequent[0]) - 1)
+        hit = frequent[0][at] == prints
         rank[hit] = (8 * np.log2(frequent[1][at[hit]])).astype(np.uint64)
     size = n - (percent * n + 99) // 100 + 1
     out = []
@@ -202,7 +266,11 @@ def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 
 def _first_pairs(percent: int):
-    """Within each token's bucket: all pairs if it is small, else each member with the smallest; large buckets are passed on."""
+    """Within each token's bucket: all pairs if it is small, else each member with the one in the middle; large buckets are passed on.
+
+    The middle of near copies has few rare tokens of its own, so a token that they share
+    comes earlier in its order than in theirs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "a", "b", "n", "pos"]
@@ -218,7 +286,7 @@ def _first_pairs(percent: int):
             big = lengths > SMALL_BUCKET
             if big.any():
                 rows = np.concatenate([np.arange(s, s + k) for s, k in zip(starts[big], lengths[big])])
-                least = np.repeat([s + int(np.argmin(node[s : s + k])) for s, k in zip(starts[big], lengths[big])], lengths[big])
+                least = np.repeat([s + int(np.lexsort((node[s : s + k], pos[s : s + k]))[0]) for s, k in zip(starts[big], lengths[big])], lengths[big])
                 ok = _near_enough(n[rows], n[least], pos[rows], pos[least], percent) & (rows != least)
                 found.append((node[rows[ok]], node[least[ok]]))
                 none = pa.nulls(len(rows)).cast(pa.int64())
@@ -253,6 +321,32 @@ def _open_pairs(percent: int):
     return run
 
 
+def _star_pairs(percent: int, turn: int):
+    """Within each large bucket: one member of its largest component with all members of other components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, node, n, pos, comp), starts, lengths in _groups(batches, ["token", "node", "n", "pos", "component"]):
+            found = []
+            order = np.lexsort((node, pos))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            for s, k in zip(starts, lengths):
+                own = comp[s : s + k]
+                comps, sizes = np.unique(own, return_counts=True)
+                if len(comps) == 1:
+                    continue
+                main = np.flatnonzero(own == comps[np.argmax(sizes)]) + s
+                centre = main[np.argsort(place[main])[min(turn + 1, len(main) - 1)]]
+                rest = np.flatnonzero(own != comp[centre]) + s
+                ok = rest[_near_enough(n[rest], n[centre], pos[rest], pos[centre], percent)]
+                found.append((node[ok], np.full(len(ok), node[centre])))
+            if found:
+                a, b = _pair_batch(found)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
 def _shares_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose prefixes also meet under the second and the third order."""
     for batch in batches:
@@ -297,19 +391,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     2. Each class gives the prefix of its set under a first token order, rare tokens
        first. Similar sets share a prefix token, so they meet in a token's bucket; size
        and position filters follow. Small buckets give all their pairs, large ones each
-       member with the smallest.
+       member with the one in the middle.
     3. Pairs must also share prefix tokens under two more orders; what is left is
        compared as whole sets, and links become components.
-    4. In large buckets the pairs between different components are tried in the same
-       way. Then every pair that shares a prefix token is linked, compared or connected.
+    4. In large buckets a member of the largest component is tried with all members of
+       other components, again and again, until few pairs are open; those are all tried.
+       Then every pair that shares a prefix token is linked, compared or connected.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    both = written(rows.mapInArrow(_signatures, "doc_id long, n long, sig binary, token long, count long"), "join-signatures")
+    ranges = 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    both = rows.mapInArrow(_signatures(ranges), SEEN).repartition("key").sortWithinPartitions("key")
+    both = written(both.mapInArrow(_merged, "doc_id long, n long, sig binary, print long, count long"), "join-signatures")
     sets = both.filter("sig is not null").select("doc_id", "n", "sig")
     classes = written(sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "join-classes")
-    frequent = spark.sparkContext.broadcast(frequent_tokens(both.filter("token is not null")))
+    frequent = spark.sparkContext.broadcast(frequent_tokens(both.filter("print is not null").select("print", "count")))
 
     def prefixes(nodes: np.ndarray, tokens: list[np.ndarray]) -> pa.RecordBatch:
         orders = [_orders(t, frequent.value, percent) for t in tokens]
@@ -336,13 +433,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = linked(pairs, "join-first")
     connected = written(components(links), "join-connected")
     open_rows = met.filter("b is null").select("token", F.col("a").alias("node"), "n", "pos")
-    if not open_rows.isEmpty():
-        open_rows = open_rows.join(connected, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = open_rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_open_pairs(percent), "a long, b long").distinct()
+    found_any = True
+    for turn in range(STAR_ROUNDS + 1):
+        now = written(open_rows.join(connected, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-open")
+        kept = now.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"))
+        rows_left, pairs_left = kept.filter("all * all > within").agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.lit(0.0))).first()
+        if not rows_left:
+            break
+        last = pairs_left <= OPEN_PAIRS * rows_left or turn == STAR_ROUNDS or not found_any
+        buckets = now.repartition("token").sortWithinPartitions("token", "node")
+        more = buckets.mapInArrow(_open_pairs(percent) if last else _star_pairs(percent, turn), "a long, b long").distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "join-more")
-        if not more.isEmpty():
-            links = links.unionByName(linked(more, "join-second"))
+        again = linked(more, "join-again")
+        found_any = not again.isEmpty()
+        pairs = pairs.unionByName(more)
+        if found_any:
+            links = links.unionByName(again)
             connected = written(components(links), "join-connected")
+        dropped(now)
+        if last:
+            break
 
     of_node = classes.join(connected, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_node = written(of_node.select("sig", "first_id", "component"), "join-nodes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ BATCH_BYTES = 32_000_000
 #: Words that are joined into one text for the tokenizer.
 JOINED = 200
 
-#: Punctuation that ends a word and is always a token of its own behind a letter.
-TAIL_MARKS = ".,;:!?"
+#: ASCII punctuation; a run of it at the end of a word is always cut off behind a letter or digit.
+TAIL_MARKS = string.punctuation
 
 
 def text_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +83,18 @@ class WordEncoder:
 
     def __init__(self, shared: dict, word_end: str = "</w>"):
         if "built" not in shared:
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
             model = Tokenizer.from_str(shared["text"])
             ends = np.zeros(model.get_vocab_size(), bool)
             for word, i in model.get_vocab().items():
                 ends[i] = word.endswith(word_end)
-            shared["built"] = model, ends
-        self.tokenizer, self.ends = shared["built"]
+            bare = Tokenizer.from_str(shared["text"])
+            bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+            lower = model.normalizer is not None and model.normalizer.normalize_str("Az") == "az"
+            same = lower and [x.ids for x in (model.encode("az by", add_special_tokens=False), bare.encode("az by", add_special_tokens=False))]
+            shared["built"] = model, ends, bare if same and same[0] == same[1] else model
+        self.tokenizer, self.ends, self.bare = shared["built"]
 
     def vocab_size(self) -> int:
         return self.tokenizer.get_vocab_size()
@@ -109,7 +114,8 @@ class WordEncoder:
         """The ids of whole texts, one after the other, and how many each text has.
 
         Equal to encoding each text by itself. Words that differ in ASCII case or in the
-        marks behind their last letter share the encoding of what they have in common.
+        marks behind their last letter or digit share the encoding of what they have in common,
+        and words of a-z only, which the normaliser leaves as they are, skip it.
         Texts that may hold a special token's string are encoded as they are.
         """
         texts = whole_array(texts)
@@ -121,7 +127,7 @@ class WordEncoder:
         word = coded.dictionary
         low = pc.ascii_lower(word)
         stem = pc.ascii_rtrim(low, characters=TAIL_MARKS)
-        parted = pc.match_substring_regex(stem, r"\p{L}$")
+        parted = pc.match_substring_regex(stem, r"[\p{L}\p{N}]$")
         stem = pc.if_else(parted, stem, word)
         cut = (pc.binary_length(low).to_numpy() - pc.binary_length(stem).to_numpy()) * parted.to_numpy(zero_copy_only=False)
         tails, tail = [""], np.zeros(len(word), np.int64)
@@ -130,13 +136,16 @@ class WordEncoder:
             tail[cut == n] = marks.indices.to_numpy() + len(tails)
             tails += marks.dictionary.to_pylist()
         stems = stem.dictionary_encode()
-        is_word = pc.match_substring_regex(stems.dictionary, r"^\p{L}+$").to_numpy(zero_copy_only=False)
-        names = stems.dictionary.filter(pa.array(is_word)).to_pylist(), stems.dictionary.filter(pa.array(~is_word)).to_pylist()
-        joined = lambda many: [x.ids for x in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
-        found = joined_runs(names[0], " ", joined, self._starts, self.each) + runs(self.each(names[1])) + runs(self.each(tails))
-        place = np.empty(len(is_word), np.int64)
-        place[is_word], place[~is_word] = np.arange(len(names[0])), len(names[0]) + np.arange(len(names[1]))
-        pair = np.stack([place[stems.indices.to_numpy()], tail + len(is_word)], axis=1) if len(word) else np.zeros((0, 2), np.int64)
+        distinct, place, n, found = stems.dictionary, np.empty(len(stems.dictionary), np.int64), 0, []
+        simple, letters = (pc.match_substring_regex(distinct, p).to_numpy(zero_copy_only=False) for p in (r"^[a-z]+$", r"^\p{L}+$"))
+        for some, model in ((simple, self.bare), (letters & ~simple, self.tokenizer), (~letters, None)):
+            names = distinct.filter(pa.array(some)).to_pylist()
+            joined = lambda many, m=model: [x.ids for x in m.encode_batch_fast(many, add_special_tokens=False)]
+            found += runs(self.each(names)) if model is None else joined_runs(names, " ", joined, self._starts, self.each)
+            place[some] = n + np.arange(len(names))
+            n += len(names)
+        found += runs(self.each(tails))
+        pair = np.stack([place[stems.indices.to_numpy()], tail + n], axis=1) if len(word) else np.zeros((0, 2), np.int64)
         ids, sizes = looked_up(id_lists(found), pair[coded.indices.to_numpy()].ravel())
         counts = np.bincount(np.repeat(of, 2), weights=sizes, minlength=len(lists)).astype(np.int64)
         return self._with_odd(texts, odd, ids, counts) if odd.any() else (ids, counts)

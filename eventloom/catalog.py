@@ -1,10 +1,478 @@
-"""The registered queries of the signal operators, and the SQL that checks them."""
+"""The registered queries of the signal operators, bound to the given tables, and the SQL that checks them.
+
+Samples come from events (a read per user) and lineitem (a longer read per supplier),
+arrays from embeddings, alignments from lineitem and orders, k-mers from documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.functions import signal as sig
+from eventloom.operators import alignment, decode, frames, kmers, training
+from eventloom.operators.model import Model, reparameterised
+from eventloom.plans import correction, tuning
+from eventloom.sources import sinks, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Our own small model: five states, no self transitions, rows with different numbers of zeros.
+MODEL = Model(
+    (-1.2, -0.5, 0.1, 0.7, 1.5),
+    (0.2, 0.15, 0.1, 0.15, 0.3),
+    ((0.0, 0.7, 0.3, 0.0, 0.0), (0.2, 0.0, 0.5, 0.3, 0.0), (0.0, 0.4, 0.0, 0.6, 0.0), (0.0, 0.0, 0.5, 0.0, 0.5), (0.1, 0.0, 0.3, 0.6, 0.0)),
+)
+P_STAY, P_SKIP, WIDTH = 0.1, 0.06, 20
+K = 4
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(c: Column, digits: int = 6) -> Column:
+    """Rounded, without a negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def band_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").filter((F.col("value") > 30) & (F.col("value") < 200))
+
+
+def user_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' values inside the pA band, one sample a row."""
+    return frames.indexed(band_rows(spark, sf_dir), "user_id", ["ts", "event_id"], "value")
+
+
+def supplier_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").withColumn("pa", F.pmod(F.col("l_extendedprice"), F.lit(170.0)) + 30.0)
+    return frames.indexed(rows, "l_suppkey", order, "pa")
+
+
+def user_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' z-scored values as arrays: read_id, events."""
+    return correction.normalised(correction.gathered(band_rows(spark, sf_dir), "user_id", ["ts", "event_id"], "value"))
+
+
+def supplier_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").withColumn("pa", F.pmod(F.col("l_extendedprice"), F.lit(170.0)) + 30.0)
+    return correction.gathered(rows, "l_suppkey", order, "pa")
+
+
+def long_path(reads: DataFrame) -> DataFrame:
+    """Decoded reads, one event a row: read_id, idx, x, state."""
+    path = decode.decode_reads(reads, MODEL, P_STAY, P_SKIP).filter("states is not null")
+    path = path.select("read_id", F.posexplode(F.arrays_zip("events", "states", "skips")).alias("idx", "z"))
+    return path.select("read_id", "idx", F.col("z.events").alias("x"), F.col("z.states").alias("state"), F.col("z.skips").alias("is_skip"))
+
+
+# The SQL of what several queries share.
+USER_SIGNAL = "sig AS (SELECT user_id AS read_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS idx, value AS x FROM events WHERE value > 30 AND value < 200)"
+SUPPLIER_SIGNAL = (
+    "sig AS (SELECT l_suppkey AS read_id, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1)::INT AS idx, "
+    "l_extendedprice % 170.0::DOUBLE + 30.0::DOUBLE AS x FROM lineitem)"
+)
+Z = "z AS (SELECT read_id, idx, (x - avg(x) OVER r) / nullif(stddev_pop(x) OVER r, 0) AS x FROM sig WINDOW r AS (PARTITION BY read_id))"
+STATES = "states(s, mean, var) AS (VALUES " + ", ".join(f"({i}, {m}::DOUBLE, {v}::DOUBLE)" for i, (m, v) in enumerate(zip(MODEL.means, MODEL.variances))) + ")"
+RAW_EDGES = "raw_edges(p, s, prob) AS (VALUES " + ", ".join(f"({i}, {j}, {x}::DOUBLE)" for i, row in enumerate(MODEL.transitions) for j, x in enumerate(row)) + ")"
+EDGES = f"""edges AS (
+    SELECT p, s, CASE WHEN p = s THEN {P_STAY} WHEN prob = 0 THEN {P_SKIP}::DOUBLE / count(*) FILTER (p <> s AND prob = 0) OVER r
+                      ELSE (1 - {P_STAY}::DOUBLE - {P_SKIP}::DOUBLE) * prob / sum(prob) FILTER (p <> s AND prob > 0) OVER r END::DOUBLE AS prob,
+           p <> s AND prob > 0 AS is_adjacent
+    FROM raw_edges WINDOW r AS (PARTITION BY p))"""
+LOG_EDGES = "log_edges AS (SELECT *, CASE WHEN prob > 0 THEN ln(prob) ELSE '-inf'::DOUBLE END AS lp FROM edges)"
+EMIT = "emit AS (SELECT read_id, idx, x, s, -0.5 * (ln(2 * pi()) + ln(var)) - pow(x - mean, 2) / (2 * var) AS le FROM z, states WHERE x IS NOT NULL)"
+# A round keeps, for each read and state, the best way there: linked predecessors, then the state itself, then the last event's best state.
+DECODE = """dp AS (
+    SELECT read_id, idx, s, le AS score, [s] AS path, [false] AS skips FROM emit WHERE idx = 0
+    UNION ALL
+    SELECT read_id, idx, s, score, path, skips FROM (
+        SELECT e.read_id, e.idx, e.s, d.score + t.lp + e.le AS score, list_append(d.path, e.s) AS path,
+               list_append(d.skips, NOT t.is_adjacent AND t.p <> t.s) AS skips,
+               row_number() OVER (PARTITION BY e.read_id, e.s ORDER BY d.score + t.lp DESC, CASE WHEN t.is_adjacent THEN 0 WHEN t.p = t.s THEN 1 ELSE 2 END, t.p) AS k
+        FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, s) AS place FROM dp) d
+        JOIN log_edges t ON t.p = d.s AND (t.is_adjacent OR t.p = t.s OR d.place = 1)
+        JOIN emit e ON e.read_id = d.read_id AND e.idx = d.idx + 1 AND e.s = t.s)
+    WHERE k = 1),
+ends AS (
+    SELECT read_id, path, skips FROM (
+        SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY idx DESC, score DESC, s) AS k FROM dp) WHERE k = 1),
+path AS (
+    SELECT z.read_id, z.idx, z.x, ends.path[z.idx + 1]::INT AS state, ends.skips[z.idx + 1] AS is_skip
+    FROM z JOIN ends ON z.read_id = ends.read_id WHERE z.x IS NOT NULL)"""
+DECODED = f"WITH RECURSIVE {USER_SIGNAL}, {Z}, {STATES}, {RAW_EDGES}, {EDGES}, {LOG_EDGES}, {EMIT}, {DECODE}"
+RUNS = """numbered AS (
+    SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY idx)::INT AS run
+    FROM (SELECT *, coalesce((state <> lag(state) OVER (PARTITION BY read_id ORDER BY idx))::INT, 0) AS new FROM path)),
+collapsed AS (SELECT read_id, run AS idx, avg(x) AS x, arg_min(state, idx) AS state FROM numbered GROUP BY read_id, run)"""
+W = WIDTH + 1 - WIDTH % 2
+H = (W - 1) // 2
+DENOISED = f"""residual AS (
+    SELECT c.read_id, c.idx, c.x, c.state, c.x - mean AS e, count(*) OVER (PARTITION BY c.read_id) AS n FROM collapsed c JOIN states ON s = state),
+framed AS (
+    SELECT *, avg(e) OVER (PARTITION BY read_id ORDER BY idx ROWS BETWEEN {H} PRECEDING AND {H} FOLLOWING) AS own,
+           avg(e) OVER (PARTITION BY read_id ORDER BY idx ROWS BETWEEN {H + 1} PRECEDING AND {H - 1} FOLLOWING) AS earlier FROM residual),
+denoised AS (
+    SELECT read_id, idx, state, CASE WHEN n >= {W} AND idx BETWEEN {H} AND n - {W} - 2 + {H} THEN x - own
+                                     WHEN n >= {W} AND idx = n - {W} + {H} THEN x - CASE WHEN n = {W} THEN own ELSE earlier END ELSE x END AS x
+    FROM framed)"""
+
+
+def long_corrected(out: DataFrame) -> DataFrame:
+    z = F.arrays_zip("events", "states")
+    return out.filter("events is not null").select("read_id", F.posexplode(z).alias("idx", "z")).select("read_id", "idx", rounded(F.col("z.events")).alias("event"), F.col("z.states").alias("state"))
+
+
+@query(f"{DECODED}, {RUNS}, {DENOISED} SELECT read_id, idx, round(x, 6) + 0.0 AS event, state FROM denoised")
+def correct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: band filter, z-score, decoding, stay removal, noise removal, on arrays."""
+    return long_corrected(correction.correct_events(user_reads(spark, sf_dir), MODEL, P_STAY, P_SKIP, WIDTH))
+
+
+@query(f"{DECODED}, {RUNS}, {DENOISED} SELECT read_id, idx, round(x, 6) + 0.0 AS event, state FROM denoised")
+def correct_events_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with windows over one event a row."""
+    return long_corrected(correction.correct_events(user_reads(spark, sf_dir), MODEL, P_STAY, P_SKIP, WIDTH, engine="sql"))
+
+
+@query(f"{DECODED} SELECT read_id, idx, state, is_skip FROM path")
+def viterbi_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_path(user_reads(spark, sf_dir)).select("read_id", "idx", "state", "is_skip")
+
+
+@query(f"{DECODED}, {RUNS} SELECT read_id, idx, round(x, 6) + 0.0 AS event, state FROM collapsed")
+def remove_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.without_stays(long_path(user_reads(spark, sf_dir)), MODEL.collapses(P_STAY))
+    return out.select("read_id", "idx", rounded(F.col("x")).alias("event"), "state")
+
+
+@query(f"""{DECODED}, collapsed AS (SELECT * FROM path), {DENOISED} SELECT read_id, idx, round(x, 6) + 0.0 AS event FROM denoised""")
+def remove_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.without_noise(long_path(user_reads(spark, sf_dir)), list(MODEL.means), WIDTH)
+    return out.select("read_id", "idx", rounded(F.col("x")).alias("event"))
+
+
+@query(
+    f"""{DECODED}, {RUNS},
+    run_residual AS (SELECT c.read_id, c.idx AS run, c.x - mean AS e, count(*) OVER (PARTITION BY c.read_id) AS n FROM collapsed c JOIN states ON s = state),
+    run_noise AS (
+        SELECT read_id, run, CASE WHEN n >= {WIDTH} AND run BETWEEN {H} AND n - {W} - 1 + {H}
+                                  THEN avg(e) OVER (PARTITION BY read_id ORDER BY run ROWS BETWEEN {H} PRECEDING AND {H} FOLLOWING) ELSE 0 END AS noise
+        FROM run_residual)
+    SELECT p.read_id, p.idx, round(p.x - noise, 6) + 0.0 AS event FROM numbered p JOIN run_noise n ON p.read_id = n.read_id AND p.run = n.run"""
+)
+def remove_run_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.without_run_noise(long_path(user_reads(spark, sf_dir)), list(MODEL.means), WIDTH)
+    return out.select("read_id", "idx", rounded(F.col("x")).alias("event"))
+
+
+@query(f"WITH {USER_SIGNAL} SELECT read_id, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS spread FROM sig GROUP BY read_id")
+def band_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration (offset 0, scale 1) and the band filter on arrays, then statistics per read."""
+    raw = correction.gathered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    kept = raw.select("read_id", F.explode(sig.in_band(sig.calibrated(F.col("signal"), F.lit(0.0), F.lit(1.0)))).alias("x"))
+    return kept.groupBy("read_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("spread"))
+
+
+@query("SELECT event_id, round((value + 12.5) * (1.5::DOUBLE / 0.75::DOUBLE), 6) AS pa FROM events")
+def calibrate_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pa = sig.calibrated_by_range(F.array("value"), F.lit(0.75), F.lit(12.5), F.lit(1.5))[0]
+    return table(spark, sf_dir, "events").select("event_id", F.round(pa, 6).alias("pa"))
+
+
+@query(
+    f"""WITH {SUPPLIER_SIGNAL}, {Z}, kept AS (SELECT read_id, idx, x FROM z WHERE abs(x) < 1.5)
+    SELECT read_id, (row_number() OVER (PARTITION BY read_id ORDER BY idx) - 1)::INT AS idx, round(x, 6) + 0.0 AS z FROM kept"""
+)
+def sigma_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z-scores by read, the far ones dropped (here from 1.5 deviations on, so that some are) and indices closed up."""
+    return frames.within_sigmas(frames.z_scores(supplier_signal(spark, sf_dir)), 1.5).select("read_id", "idx", rounded(F.col("x")).alias("z"))
+
+
+@query(
+    f"""WITH {USER_SIGNAL} SELECT read_id, idx, round(sum(x) OVER r, 4) AS sum_x, round(sum(x * x) OVER r, 4) AS sum_xx FROM sig
+    WINDOW r AS (PARTITION BY read_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.prefix_sums(user_signal(spark, sf_dir)).select("read_id", "idx", F.round("sum_x", 4).alias("sum_x"), F.round("sum_xx", 4).alias("sum_xx"))
+
+
+def _t_sql(w: int) -> str:
+    return f"""CASE WHEN n >= {2 * w} AND idx BETWEEN {w} AND n - {w} THEN abs(m2_{w} - m1_{w}) / sqrt(greatest((q1_{w} - m1_{w} * m1_{w} + q2_{w} - m2_{w} * m2_{w}) / {w}, 1.17549435e-38)) ELSE 0 END"""
+
+
+def _t_frames(w: int) -> str:
+    sides = (("1", f"{w} PRECEDING AND 1 PRECEDING"), ("2", f"CURRENT ROW AND {w - 1} FOLLOWING"))
+    return ", ".join(f"avg({x}) OVER (PARTITION BY read_id ORDER BY idx ROWS BETWEEN {f}) AS {name}{k}_{w}" for k, f in sides for name, x in (("m", "x"), ("q", "x * x")))
+
+
+@query(
+    f"""WITH {SUPPLIER_SIGNAL}, f AS (SELECT read_id, idx, count(*) OVER (PARTITION BY read_id) AS n, {_t_frames(3)}, {_t_frames(6)} FROM sig)
+    SELECT read_id, idx, round({_t_sql(3)}, 4) AS t_short, round({_t_sql(6)}, 4) AS t_long FROM f"""
+)
+def t_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.t_statistic(frames.t_statistic(supplier_signal(spark, sf_dir), 3, "t_short"), 6, "t_long")
+    return out.select("read_id", "idx", F.round("t_short", 4).alias("t_short"), F.round("t_long", 4).alias("t_long"))
+
+
+def _segmented(spark: SparkSession, sf_dir: str, preset: str) -> DataFrame:
+    out = correction.segment_events(supplier_reads(spark, sf_dir), preset)
+    return out.select("read_id", F.posexplode("events").alias("idx", "event")).withColumn("event", rounded(F.col("event")))
+
+
+@query()
+def segment_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir, "v1")
+
+
+@query()
+def segment_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir, "v2")
+
+
+@query()
+def segment_v2_r10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir, "v2-r10")
+
+
+@query()
+def signal_to_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmentation, decoding and correction in one stage."""
+    return long_corrected(correction.signal_to_corrected(supplier_reads(spark, sf_dir), MODEL, 0.3, 0.02))
+
+
+@query(
+    """WITH parts AS (SELECT l_orderkey, list_sort(list(l_extendedprice)) AS s, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+    q AS (SELECT *, s[(n // 4) + 1] AS q1, s[(3 * n // 4) + 1] AS q3 FROM parts)
+    SELECT l_orderkey, n, round(coalesce(list_avg(list_filter(s, lambda x: x >= q1 - (q3 - q1) AND x <= q3 + (q3 - q1))), 0), 6) AS middle_mean FROM q"""
+)
+def middle_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the middle of each order's prices."""
+    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.collect_list("l_extendedprice").alias("s"))
+    return parts.select("l_orderkey", "n", F.round(sig.middle_mean(F.col("s")), 6).alias("middle_mean"))
+
+
+@query(
+    f"""WITH {SUPPLIER_SIGNAL}, borders AS (SELECT DISTINCT read_id, idx FROM sig WHERE idx % 7 = 3),
+    marked AS (SELECT s.*, sum((b.idx IS NOT NULL)::INT) OVER (PARTITION BY s.read_id ORDER BY s.idx) AS segment FROM sig s LEFT JOIN borders b ON s.read_id = b.read_id AND s.idx = b.idx),
+    means AS (SELECT read_id, (segment - 1)::INT AS idx, avg(x) AS x FROM marked WHERE segment > 0 GROUP BY read_id, segment)
+    SELECT read_id, idx, round((x - avg(x) OVER r) / nullif(stddev_pop(x) OVER r, 0), 6) + 0.0 AS event FROM means WINDOW r AS (PARTITION BY read_id) QUALIFY event IS NOT NULL"""
+)
+def border_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments between given borders (here every seventh sample), z-scored means."""
+    rows = supplier_signal(spark, sf_dir)
+    borders = rows.filter("idx % 7 = 3").select("read_id", F.col("idx").alias("event_start"))
+    return frames.border_segments(rows, borders).select("read_id", "idx", rounded(F.col("x")).alias("event"))
+
+
+@query(f"WITH {USER_SIGNAL}, {Z}, {STATES}, {EMIT} SELECT read_id, idx, s, round(le, 6) + 0.0 AS le FROM emit")
+def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with every state: the model's few rows are joined to all."""
+    z = frames.z_scores(user_signal(spark, sf_dir)).filter("x is not null")
+    both = z.crossJoin(F.broadcast(MODEL.states(spark)))
+    return both.select("read_id", "idx", "s", rounded(sig.log_emission(F.col("x"), F.col("mean"), F.col("var"))).alias("le"))
+
+
+@query(
+    f"""WITH pairs AS (SELECT n_regionkey AS p, c_nationkey % 5 AS s, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+    raw_edges AS (SELECT a.p, b.s, coalesce(n, 0)::DOUBLE AS prob FROM (SELECT DISTINCT p FROM pairs) a CROSS JOIN (SELECT DISTINCT s FROM pairs) b LEFT JOIN pairs USING (p, s)), {EDGES}, {LOG_EDGES}
+    SELECT p::BIGINT AS p, s::BIGINT AS s, is_adjacent, round(prob, 9) AS prob, round(greatest(lp, -1e9), 6) + 0.0 AS lp FROM log_edges"""
+)
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of pairs as a transition table, re-parameterised, with logarithms."""
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    pairs = joined.groupBy(F.col("n_regionkey").cast("long").alias("p"), (F.col("c_nationkey") % 5).cast("long").alias("s")).agg(F.count("*").alias("n"))
+    square = pairs.select("p").distinct().crossJoin(pairs.select("s").distinct()).join(pairs, ["p", "s"], "left")
+    edges = reparameterised(square.select("p", "s", F.coalesce("n", F.lit(0)).cast("double").alias("prob")), P_STAY, P_SKIP)
+    lp = F.greatest(sig.log_or_none(F.col("prob")), F.lit(-1e9))
+    return edges.select("p", "s", "is_adjacent", F.round("prob", 9).alias("prob"), rounded(lp).alias("lp"))
+
+
+KMER_TABLE = f"levels AS (SELECT kmer, arg_max(level, line_no) AS level FROM (SELECT p_partkey AS line_no, p_retailprice AS level, list_aggregate(list_transform(range({K} - 1, -1, -1), lambda i: substr('ACGT', ((p_partkey % 300) // (4 ** i)::BIGINT) % 4 + 1, 1)), 'string_agg', '') AS kmer FROM part) GROUP BY kmer)"
+
+
+def kmer_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a k-mer table: a part's key gives the k-mer, its price the level; the last part of a k-mer wins."""
+    code = F.pmod(F.pmod("p_partkey", F.lit(300)), F.lit(4**K))
+    return kmers.last_wins(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), sig.decoded_kmer(code, K).alias("kmer"), F.col("p_retailprice").alias("level")))
+
+
+@query(
+    f"""WITH {KMER_TABLE}, texts AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS dna FROM documents),
+    slid AS (SELECT doc_id, unnest(range(0, length(dna) - {K} + 1))::INT AS t, dna FROM texts WHERE length(dna) >= {K})
+    SELECT doc_id, count(*) AS n, count(level) AS n_known, round(sum(coalesce(level, 0.0)), 2) AS total FROM slid LEFT JOIN levels ON kmer = substr(dna, t + 1, {K}) GROUP BY doc_id"""
+)
+def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding k-mers of the documents' letters A, C, G, T with their levels, 0 for those without."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("dna"))
+    known = kmer_levels(spark, sf_dir).withColumn("known", F.lit(True))
+    out = kmers.levels(kmers.sliding(texts, "dna", K), known)
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("known").alias("n_known"), F.round(F.sum("level"), 2).alias("total"))
+
+
+@query()
+def debruijn_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels of the k-mer table along the de Bruijn text."""
+    return kmers.observations(spark, kmer_levels(spark, sf_dir), K)
+
+
+PAF = """rows AS (
+    SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS row_id, l_orderkey AS qr_name, 1000 AS qr_len,
+           l_returnflag <> 'R' AS is_mapped, (l_partkey % 90)::INT AS qr_st, (900 + l_suppkey % 100)::INT AS qr_en, l_linestatus = 'O' AS is_fwd,
+           'chr' || l_suppkey % 3 AS rf_name, 10000 AS rf_len, (1 + l_partkey * 37 % 9000)::INT AS rf_st, (1 + l_partkey * 37 % 9000 + 900)::INT AS rf_en FROM lineitem),
+q AS (SELECT row_id, qr_name, qr_len, is_mapped, CASE WHEN is_mapped THEN qr_st ELSE 1 END AS qr_st, CASE WHEN is_mapped THEN qr_en ELSE qr_len END AS qr_en, is_fwd, rf_name, rf_len, rf_st, rf_en FROM rows),
+t AS (
+    SELECT o_orderkey AS row_id, o_orderkey AS qr_name, 1000 AS qr_len, o_orderstatus <> 'P' AS is_mapped, 10 AS qr_st, 990 AS qr_en, o_custkey % 2 = 0 AS is_fwd,
+           'chr' || o_custkey % 3 AS rf_name, 10000 AS rf_len, (1 + o_custkey * 61 % 9000)::INT AS rf_st, (1 + o_custkey * 61 % 9000 + 2000)::INT AS rf_en FROM orders)"""
+STRETCHED = """SELECT *, greatest(1, rf_st - CASE WHEN is_fwd THEN head ELSE tail END) AS low, least(rf_len, rf_en + CASE WHEN is_fwd THEN tail ELSE head END) AS high
+    FROM (SELECT *, trunc(qr_st * 1.5)::INT AS head, trunc((qr_len - qr_en) * 1.5)::INT AS tail FROM {})"""
+LABELLED = f"""{PAF},
+qx AS ({STRETCHED.format("q")}), tx AS ({STRETCHED.format("t")}),
+first AS (SELECT qr_name, arg_min(is_mapped, row_id) AS truth_mapped FROM t GROUP BY qr_name),
+hits AS (SELECT DISTINCT qx.row_id FROM qx JOIN tx ON qx.qr_name = tx.qr_name AND qx.rf_name = tx.rf_name WHERE qx.is_mapped AND tx.is_mapped AND greatest(qx.low, tx.low) <= least(qx.high, tx.high)),
+labels AS (
+    SELECT q.*, CASE WHEN NOT is_mapped THEN CASE WHEN coalesce(truth_mapped, false) THEN 'fn' ELSE 'tn' END
+                     WHEN NOT coalesce(truth_mapped, false) THEN 'na' WHEN h.row_id IS NOT NULL THEN 'tp' ELSE 'fp' END AS label
+    FROM q LEFT JOIN first USING (qr_name) LEFT JOIN hits h ON q.row_id = h.row_id)"""
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Order lines as alignments and orders as their truth: reads are orders, coordinates come from keys."""
+    c = F.col
+    item = table(spark, sf_dir, "lineitem").withColumn("key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))
+    mapped = c("l_returnflag") != "R"
+    start = (1 + c("l_partkey") * 37 % 9000).cast("int")
+    query_ = item.select(
+        c("key").alias("row_id"), c("l_orderkey").alias("qr_name"), F.lit(1000).alias("qr_len"), mapped.alias("is_mapped"),
+        F.when(mapped, (c("l_partkey") % 90).cast("int")).otherwise(1).alias("qr_st"), F.when(mapped, (900 + c("l_suppkey") % 100).cast("int")).otherwise(1000).alias("qr_en"),
+        (c("l_linestatus") == "O").alias("is_fwd"), F.concat(F.lit("chr"), c("l_suppkey") % 3).alias("rf_name"), F.lit(10000).alias("rf_len"),
+        start.alias("rf_st"), (start + 900).alias("rf_en"), F.array(F.concat(F.lit("mt:f:"), F.round(1 + c("l_quantity") / 10, 1))).alias("tags"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus",
+    )
+    start = (1 + c("o_custkey") * 61 % 9000).cast("int")
+    truth = table(spark, sf_dir, "orders").select(
+        c("o_orderkey").alias("row_id"), c("o_orderkey").alias("qr_name"), F.lit(1000).alias("qr_len"), (c("o_orderstatus") != "P").alias("is_mapped"), F.lit(10).alias("qr_st"), F.lit(990).alias("qr_en"),
+        (c("o_custkey") % 2 == 0).alias("is_fwd"), F.concat(F.lit("chr"), c("o_custkey") % 3).alias("rf_name"), F.lit(10000).alias("rf_len"), start.alias("rf_st"), (start + 2000).alias("rf_en"),
+    )
+    return query_, truth
+
+
+@query(f"WITH {LABELLED} SELECT qr_name, rf_name, rf_st, rf_en, label, count(*) AS n FROM labels GROUP BY ALL")
+def alignment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.labelled(*alignments(spark, sf_dir))
+    return out.groupBy("qr_name", "rf_name", "rf_st", "rf_en", "label").agg(F.count("*").alias("n"))
+
+
+RATES = """SELECT *, coalesce(p + r, 0) AS s, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM (
+    SELECT *, CASE WHEN n_tp + n_fp + {na} > 0 THEN n_tp::DOUBLE / (n_tp + n_fp + {na}) ELSE 0 END AS p, CASE WHEN n_tp + n_fn > 0 THEN n_tp::DOUBLE / (n_tp + n_fn) ELSE 0 END AS r
+    FROM (SELECT rf_name, count(*) AS n, {counts} FROM labels GROUP BY rf_name))"""
+_COUNTS = ", ".join(f"count(*) FILTER (label = '{x}') AS n_{x}" for x in alignment.LABELS)
+_PCTS = ", ".join(f"round(100.0 * n_{x} / n, 2)::DOUBLE AS pct_{x}" for x in alignment.LABELS)
+
+
+@query(f"WITH {LABELLED}, rates AS ({RATES.format(na=0, counts=_COUNTS)}) SELECT rf_name, n, n_tp, n_fp, n_fn, n_tn, n_na, {_PCTS}, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1 FROM rates")
+def confusion_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.rates(alignment.confusion(alignment.labelled(*alignments(spark, sf_dir)), ["rf_name"]))
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(f"WITH {LABELLED}, rates AS ({RATES.format(na='n_na', counts=_COUNTS)}) SELECT rf_name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1 FROM rates")
+def rates_with_na(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.rates(alignment.confusion(alignment.labelled(*alignments(spark, sf_dir)), ["rf_name"]), na_is_fp=True)
+    return out.select("rf_name", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    """WITH m AS (
+        SELECT 'chr' || l_suppkey % 3 AS rf_name, (900 + l_suppkey % 100)::DOUBLE AS bp, round(1 + l_quantity / 10, 1) AS ms FROM lineitem WHERE l_returnflag <> 'R')
+    SELECT rf_name, count(*) AS n_timed, round(avg(1000 * bp / ms), 4) AS mean_bp_per_s, round(median(1000 * bp / ms), 4) AS median_bp_per_s, round(avg(bp), 4) AS mean_bp, median(bp) AS median_bp, round(avg(ms), 4) AS mean_ms, median(ms) AS median_ms
+    FROM m GROUP BY rf_name"""
+)
+def mapping_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.throughput(alignments(spark, sf_dir)[0], ["rf_name"])
+    return out.withColumns({c: F.round(c, 4) for c in ("mean_bp_per_s", "median_bp_per_s", "mean_bp", "mean_ms")})
+
+
+@query(
+    """SELECT round(avg(ms), 6) AS mean_ms, round(avg(bases), 6) AS mean_bases, round(avg(chunks), 6) AS mean_chunks, median(ms) AS median_ms
+    FROM (SELECT round(1 + l_quantity / 10, 1) AS ms, 900 + l_suppkey % 100 AS bases, l_linenumber AS chunks FROM lineitem)"""
+)
+def annotated_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as annotated alignment lines, parsed again and averaged."""
+    c = F.col
+    tail = F.concat(F.lit("mt:f:"), F.round(1 + c("l_quantity") / 10, 1), F.lit(" ci:i:"), c("l_linenumber"), F.lit(" sl:i:"), 900 + c("l_suppkey") % 100)
+    filler = lambda n: F.lit(" ".join(["x"] * n) + " ")
+    line = F.when(c("l_returnflag") != "R", F.concat(filler(16), tail, F.lit(" rf:Z:tp"))).otherwise(F.concat(filler(11), tail, F.lit(" rf:Z:fn")))
+    out = alignment.read_costs(text.parsed_annotated(table(spark, sf_dir, "lineitem").select(line.alias("value"))))
+    return out.select(*[F.round(f"mean_{x}", 6).alias(f"mean_{x}") for x in ("ms", "bases", "chunks")], "median_ms")
+
+
+@query("SELECT vec_id::VARCHAR AS read_id, len(embedding)::INT AS n, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 6))), 4) + 0.0 AS total FROM embeddings")
+def event_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays written as lines of an event table and parsed again."""
+    lines = sinks.event_lines(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.col("embedding").alias("events")))
+    back = text.parsed_events(lines)
+    return back.select("read_id", F.size("events").alias("n"), rounded(F.aggregate("events", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query(f"WITH {LABELLED} SELECT qr_name::VARCHAR AS qr_name, is_mapped, qr_st, qr_en, CASE WHEN is_mapped THEN rf_name END AS rf_name, label, count(*) AS n FROM labels GROUP BY ALL")
+def alignment_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled alignments written as lines, parsed again, with their label as a tag."""
+    rows = alignment.labelled(*alignments(spark, sf_dir))
+    strand = F.when(~F.col("is_mapped"), "*").when(F.col("is_fwd"), "+").otherwise("-")
+    raw = F.concat_ws("\t", "qr_name", "qr_len", "qr_st", "qr_en", strand, "rf_name", "rf_len", "rf_st", "rf_en", F.lit("0"), F.lit("0"), F.lit("60"), F.col("tags")[0])
+    back = text.parsed_alignments(sinks.annotated_lines(rows.withColumn("raw_line", raw)))
+    return back.select("qr_name", "is_mapped", "qr_st", "qr_en", "rf_name", sig.tag(F.col("tags"), "rf:Z:").alias("label")).groupBy("qr_name", "is_mapped", "qr_st", "qr_en", "rf_name", "label").agg(F.count("*").alias("n"))
+
+
+def _agreement(out: DataFrame) -> DataFrame:
+    """A score for corrected reads: the share of events within one deviation of their state's mean."""
+    z = out.select(F.explode(F.arrays_zip("events", "states")).alias("z"))
+    near = F.pow(F.col("z.events") - F.get(F.lit(list(MODEL.means)), F.col("z.states")), 2) <= F.get(F.lit(list(MODEL.variances)), F.col("z.states"))
+    return z.agg(F.count("*").alias("n_events"), F.round(F.avg(near.cast("double")), 6).alias("score"))
+
+
+@query()
+def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores over a grid of decoding parameters, in one job."""
+    return tuning.grid_scores(user_reads(spark, sf_dir), MODEL, _agreement, grid=(0.0, 0.05, 0.1))
+
+
+@query()
+def best_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuning.best(parameter_grid(spark, sf_dir), "score")
+
+
+@query()
+def mixture_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture of normals fitted to the parts' prices."""
+    means, variances, weights = training.mixture(table(spark, sf_dir, "part"), "p_retailprice", 4, seed=1, rounds=10)
+    return spark.createDataFrame([(i, round(float(m), 4), round(float(v), 4), round(float(w), 6)) for i, (m, v, w) in enumerate(zip(means, variances, weights))], "s int, mean double, var double, weight double")
+
+
+@query()
+def trained_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few rounds of training on chunks of the suppliers' z-scored signals."""
+    signal = kmers.chunked(frames.z_scores(supplier_signal(spark, sf_dir)).filter("x is not null"), 4)
+    at = F.sort_array(F.collect_list(F.struct("idx", "x")))
+    chunks = signal.groupBy("read_id", "chunk").agg(F.transform(at, lambda s: s["x"]).alias("xs"))
+    model, log = training.trained(chunks, *map(training.np.array, (MODEL.means, MODEL.variances)), least=1, most=3)
+    rows = [(i, j, round(float(model.means[i]), 6), round(float(model.variances[i]), 6), round(float(p), 6), round(log[-1], 2)) for i, row in enumerate(model.transitions) for j, p in enumerate(row)]
+    return spark.createDataFrame(rows, "p int, s int, mean double, var double, prob double, log_likelihood double")

@@ -37,8 +37,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     seen = _sketched(docs, id_col, text_col)
     keys = written(seen.select("norm_len", "prefix"), "dedup-keys")
-    lengths = keys.groupBy("norm_len").count().filter("count > 1").select("norm_len")
-    suspects = keys.join(lengths, "norm_len", "left_semi").groupBy("norm_len", "prefix").count().filter("count > 1").select("norm_len", "prefix", F.lit(True).alias("suspect"))
+    lengths = written(keys.groupBy("norm_len").count().filter("count > 1").select("norm_len"), "dedup-lengths")  # as many as lengths occur
+    suspects = keys.join(small_side(lengths), "norm_len", "left_semi").groupBy("norm_len", "prefix").count().filter("count > 1").select("norm_len", "prefix", F.lit(True).alias("suspect"))
     suspects = small_side(written(suspects, "dedup-suspects"))
     full = F.sha2(F.col("norm").cast("binary"), 256)
     if digest_all:  # the digest is made below the join, so that the join sees no text

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import dropped, small_batches, small_side, whole_text, written
@@ -27,6 +27,8 @@ FREQUENT_TOKENS = 1_000_000
 PRINT_BYTES = 5
 #: Documents that a token's count must reach before it moves to the end of the orders.
 FREQUENT_FROM = 8
+#: Documents from which on a token's bucket isn't gathered in one task.
+HOT_FROM = 64
 #: Buckets up to this size are compared throughout at once; larger ones first with one member only.
 SMALL_BUCKET = 8
 #: Rounds in which large buckets are tried with one member only, as long as that finds links and they hold more open pairs a row than this.
@@ -138,7 +140,7 @@ def _signatures(ranges: int):
             sets = shingle_sets(part.column("text"))
             sigs = [_signature(s) for s in sets]
             none = pa.nulls(len(sets))
-            keys = pa.array([int.from_bytes(g[:4], "big") * ranges >> 32 for g in sigs], pa.int32())
+            keys = pa.array(np.arange(len(sets)) % ranges, pa.int32())  # anywhere, copies too
             yield pa.RecordBatch.from_arrays([keys, part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), none.cast(pa.binary()), none.cast(numbers), none.cast(numbers)], names=names)
             for s, g in zip(sets, sigs):
                 if g not in seen:  # copies count once
@@ -200,8 +202,11 @@ def frequent_tokens(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return prints[order], np.asarray(found["count"].to_numpy()).astype(np.int64)[order]
 
 
-def _orders(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> list[np.ndarray]:
-    """The prefix of a set under three global token orders: rare before frequent, and then by another permutation each."""
+def _orders(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[list[np.ndarray], int]:
+    """The prefix of a set under three global token orders: rare before frequent, and then by another permutation each.
+
+    With the number of tokens of the first prefix that come before hot ones.
+    """
     n = len(tokens)
     rank = np.zeros(n, np.uint64)
     if len(frequent[0]):
@@ -210,11 +215,12 @@ def _orders(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
         hit = frequent[0][at] == prints
         rank[hit] = (8 * np.log2(frequent[1][at[hit]])).astype(np.uint64)
     size = n - (percent * n + 99) // 100 + 1
+    hot = np.uint64(8 * np.log2(HOT_FROM))
     out = []
     for salt in (11, 12, 13):
         key = (rank << np.uint64(55)) | (_mixed(tokens, salt) >> np.uint64(9))
         out.append(tokens[np.argsort(key)[:size]])
-    return out
+    return out, min(size, int((rank < hot).sum()))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:
@@ -238,6 +244,14 @@ def _near_enough(na, nb, pa_, pb_, percent: int):
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - pa_, nb - pb_) >= need)
 
 
+def _near_rows(x: str, y: str, percent: int) -> Column:
+    """The same for the columns n and pos of two tables by their aliases."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    sizes = 100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))
+    left = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
+    return sizes & (left * (100 + percent) >= percent * (c(x, "n") + c(y, "n")))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Rows sorted by their first column, as arrays with the starts and lengths of its groups, none of them cut."""
     rest: list[np.ndarray] | None = None
@@ -298,53 +312,38 @@ def _first_pairs(percent: int):
     return run
 
 
-def _open_pairs(percent: int):
-    """Within each large bucket: the pairs of members that no link connects so far."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, node, n, pos, comp), starts, lengths in _groups(batches, ["token", "node", "n", "pos", "component"]):
-            for s, k in zip(starts, lengths):
-                rows = slice(s, s + k)
-                node_, n_, pos_, comp_ = node[rows], n[rows], pos[rows], comp[rows]
-                comps, sizes = np.unique(comp_, return_counts=True)
-                if len(comps) == 1:
-                    continue
-                main = comps[np.argmax(sizes)]
-                order = np.argsort(comp_ == main, kind="stable")  # the largest component last: its members are met by all others
-                node_, n_, pos_, comp_ = node_[order], n_[order], pos_[order], comp_[order]
-                for i in range(k - int(sizes.max())):
-                    ok = (comp_[i + 1 :] != comp_[i]) & _near_enough(n_[i], n_[i + 1 :], pos_[i], pos_[i + 1 :], percent)
-                    if ok.any():
-                        a, b = _pair_batch([(np.full(int(ok.sum()), node_[i]), node_[i + 1 :][ok])])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _as_pairs(x: str, y: str) -> list[Column]:
+    a, b = F.col(f"{x}.node"), F.col(f"{y}.node")
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    return run
 
+def _with_centre(rows: DataFrame, order: Column, percent: int) -> DataFrame:
+    """The pairs of each token's rows with the one that comes first in the order: one minimum and one join a token."""
+    centre = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos")).alias("c")).select("token", "c.node", "c.n", "c.pos")
+    met = rows.alias("x").join(centre.alias("c"), (F.col("x.token") == F.col("c.token")) & (F.col("x.node") != F.col("c.node")) & _near_rows("x", "c", percent))
+    return met.select(*_as_pairs("x", "c")).distinct()
 
-def _star_pairs(percent: int, turn: int):
-    """Within each large bucket: one member of its largest component with all members of other components."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, node, n, pos, comp), starts, lengths in _groups(batches, ["token", "node", "n", "pos", "component"]):
-            found = []
-            order = np.lexsort((node, pos))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            for s, k in zip(starts, lengths):
-                own = comp[s : s + k]
-                comps, sizes = np.unique(own, return_counts=True)
-                if len(comps) == 1:
-                    continue
-                main = np.flatnonzero(own == comps[np.argmax(sizes)]) + s
-                centre = main[np.argsort(place[main])[min(turn + 1, len(main) - 1)]]
-                rest = np.flatnonzero(own != comp[centre]) + s
-                ok = rest[_near_enough(n[rest], n[centre], pos[rest], pos[centre], percent)]
-                found.append((node[ok], np.full(len(ok), node[centre])))
-            if found:
-                a, b = _pair_batch(found)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _next_pairs(now: DataFrame, turn: int, last: bool, percent: int) -> DataFrame:
+    """Pairs of rows of a token (token, node, n, pos, component) from different components.
 
-    return run
+    main is a token's component with the most rows, guests are the rows of its others.
+    Unless it is the last turn, guests meet one member of main only; then they meet every
+    row. Both are joins on the token, whose large partitions adaptive execution splits.
+    """
+    sizes = now.groupBy("token", "component").count()
+    main = sizes.groupBy("token").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("m.component").alias("main"))
+    marked = now.join(main, "token")
+    guests = marked.filter("component <> main").alias("x")
+    if last:
+        others = marked.alias("y")
+        differ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        met = guests.join(others, (F.col("x.token") == F.col("y.token")) & differ & _near_rows("x", "y", percent))
+        return met.select(*_as_pairs("x", "y")).distinct()
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "pos")).alias("c")
+    centre = marked.filter("component = main").groupBy("token").agg(first).select("token", "c.node", "c.n", "c.pos").alias("y")
+    met = guests.join(centre, (F.col("x.token") == F.col("y.token")) & _near_rows("x", "y", percent))
+    return met.select(*_as_pairs("x", "y")).distinct()
 
 
 def _shares_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +390,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     2. Each class gives the prefix of its set under a first token order, rare tokens
        first. Similar sets share a prefix token, so they meet in a token's bucket; size
        and position filters follow. Small buckets give all their pairs, large ones each
-       member with the one in the middle.
+       member with the one in the middle; the rows of hot tokens are joined with it
+       instead of being gathered.
     3. Pairs must also share prefix tokens under two more orders; what is left is
        compared as whole sets, and links become components.
     4. In large buckets a member of the largest component is tried with all members of
@@ -409,13 +409,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast(frequent_tokens(both.filter("print is not null").select("print", "count")))
 
     def prefixes(nodes: np.ndarray, tokens: list[np.ndarray]) -> pa.RecordBatch:
-        orders = [_orders(t, frequent.value, percent) for t in tokens]
+        found = [_orders(t, frequent.value, percent) for t in tokens]
+        orders = [o for o, _ in found]
         short = lambda k: pa.array([(o[k] >> np.uint64(32)).astype(np.uint32).tobytes() for o in orders], pa.binary())
         first = pa.ListArray.from_arrays(np.cumsum([0, *[len(o[0]) for o in orders]]).astype(np.int32), _signed(np.concatenate([o[0] for o in orders])))
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(t) for t in tokens], pa.int64()), first, short(1), short(2)], names=["node", "n", "first", "second", "third"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(t) for t in tokens], pa.int64()), first, pa.array([k for _, k in found], pa.int32()), short(1), short(2)], names=["node", "n", "first", "cold", "second", "third"])
 
-    prefixed = written(_sets_of(docs, classes.filter("n > 0"), id_col, text_col, prefixes, "node long, n long, first array<long>, second binary, third binary"), "join-prefixes")
-    buckets = prefixed.select("node", "n", F.posexplode("first").alias("pos", "token")).repartition("token").sortWithinPartitions("token", "node")
+    prefixed = written(_sets_of(docs, classes.filter("n > 0"), id_col, text_col, prefixes, "node long, n long, first array<long>, cold int, second binary, third binary"), "join-prefixes")
+    exploded = prefixed.select("node", "n", "cold", F.posexplode("first").alias("pos", "token"))
+    buckets = exploded.filter("pos < cold").select("node", "n", "pos", "token").repartition("token").sortWithinPartitions("token", "node")
     met = written(buckets.mapInArrow(_first_pairs(percent), "token long, a long, b long, n long, pos int"), "join-met")
 
     def linked(pairs: DataFrame, tag: str) -> DataFrame:
@@ -429,21 +431,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         dropped(left, wanted, whole)
         return links
 
-    pairs = written(met.filter("b is not null").select("a", "b").distinct(), "join-pairs")
+    hot = exploded.filter("pos >= cold").select("token", "node", "n", "pos")
+    open_rows = written(hot.unionByName(met.filter("b is null").select("token", F.col("a").alias("node"), "n", "pos")), "join-open")
+    by_hot = _with_centre(hot, F.col("pos"), percent)
+    pairs = written(met.filter("b is not null").select("a", "b").unionByName(by_hot).distinct(), "join-pairs")
     links = linked(pairs, "join-first")
     connected = written(components(links), "join-connected")
-    open_rows = met.filter("b is null").select("token", F.col("a").alias("node"), "n", "pos")
     found_any = True
     for turn in range(STAR_ROUNDS + 1):
-        now = written(open_rows.join(connected, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-open")
+        now = written(open_rows.join(connected, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-now")
         kept = now.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"))
         rows_left, pairs_left = kept.filter("all * all > within").agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.lit(0.0))).first()
         if not rows_left:
             break
         last = pairs_left <= OPEN_PAIRS * rows_left or turn == STAR_ROUNDS or not found_any
-        buckets = now.repartition("token").sortWithinPartitions("token", "node")
-        more = buckets.mapInArrow(_open_pairs(percent) if last else _star_pairs(percent, turn), "a long, b long").distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "join-more")
+        more = written(_next_pairs(now, turn, last, percent).join(pairs, ["a", "b"], "left_anti"), "join-more")
         again = linked(more, "join-again")
         found_any = not again.isEmpty()
         pairs = pairs.unionByName(more)

@@ -92,11 +92,17 @@ SUPPLIER_SIGNAL = (
 Z = "z AS (SELECT read_id, idx, (x - avg(x) OVER r) / nullif(stddev_pop(x) OVER r, 0) AS x FROM sig WINDOW r AS (PARTITION BY read_id))"
 STATES = "states(s, mean, var) AS (VALUES " + ", ".join(f"({i}, {m}::DOUBLE, {v}::DOUBLE)" for i, (m, v) in enumerate(zip(MODEL.means, MODEL.variances))) + ")"
 RAW_EDGES = "raw_edges(p, s, prob) AS (VALUES " + ", ".join(f"({i}, {j}, {x}::DOUBLE)" for i, row in enumerate(MODEL.transitions) for j, x in enumerate(row)) + ")"
-EDGES = f"""edges AS (
-    SELECT p, s, CASE WHEN p = s THEN {P_STAY} WHEN prob = 0 THEN {P_SKIP}::DOUBLE / count(*) FILTER (p <> s AND prob = 0) OVER r
-                      ELSE (1 - {P_STAY}::DOUBLE - {P_SKIP}::DOUBLE) * prob / sum(prob) FILTER (p <> s AND prob > 0) OVER r END::DOUBLE AS prob,
+
+
+def edges_sql(p_stay: float, p_skip: float) -> str:
+    return f"""edges AS (
+    SELECT p, s, CASE WHEN p = s THEN {p_stay} WHEN prob = 0 THEN {p_skip}::DOUBLE / count(*) FILTER (p <> s AND prob = 0) OVER r
+                      ELSE (1 - {p_stay}::DOUBLE - {p_skip}::DOUBLE) * prob / sum(prob) FILTER (p <> s AND prob > 0) OVER r END::DOUBLE AS prob,
            p <> s AND prob > 0 AS is_adjacent
     FROM raw_edges WINDOW r AS (PARTITION BY p))"""
+
+
+EDGES = edges_sql(P_STAY, P_SKIP)
 LOG_EDGES = "log_edges AS (SELECT *, CASE WHEN prob > 0 THEN ln(prob) ELSE '-inf'::DOUBLE END AS lp FROM edges)"
 EMIT = "emit AS (SELECT read_id, idx, x, s, -0.5 * (ln(2 * pi()) + ln(var)) - pow(x - mean, 2) / (2 * var) AS le FROM z, states WHERE x IS NOT NULL)"
 # A round keeps, for each read and state, the best way there: linked predecessors, then the state itself, then the last event's best state.
@@ -117,7 +123,13 @@ ends AS (
 path AS (
     SELECT z.read_id, z.idx, z.x, ends.path[z.idx + 1]::INT AS state, ends.skips[z.idx + 1] AS is_skip
     FROM z JOIN ends ON z.read_id = ends.read_id WHERE z.x IS NOT NULL)"""
-DECODED = f"WITH RECURSIVE {USER_SIGNAL}, {Z}, {STATES}, {RAW_EDGES}, {EDGES}, {LOG_EDGES}, {EMIT}, {DECODE}"
+
+
+def decoded_sql(signal: str, p_stay: float, p_skip: float) -> str:
+    return f"WITH RECURSIVE {signal}, {STATES}, {RAW_EDGES}, {edges_sql(p_stay, p_skip)}, {LOG_EDGES}, {EMIT}, {DECODE}"
+
+
+DECODED = decoded_sql(f"{USER_SIGNAL}, {Z}", P_STAY, P_SKIP)
 RUNS = """numbered AS (
     SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY idx)::INT AS run
     FROM (SELECT *, coalesce((state <> lag(state) OVER (PARTITION BY read_id ORDER BY idx))::INT, 0) AS new FROM path)),
@@ -237,22 +249,67 @@ def _segmented(spark: SparkSession, sf_dir: str, preset: str) -> DataFrame:
     return out.select("read_id", F.posexplode("events").alias("idx", "event")).withColumn("event", rounded(F.col("event")))
 
 
-@query()
+def _peaks_sql(short: int, long: int, limits: tuple[float, float], height: float) -> str:
+    """Peak places: a recursion over samples that carries both detectors (top, place, sure) and until when the long one is silent."""
+    inf = "'inf'::DOUBLE"
+
+    def step(k: str, on: str, high: str = "false") -> str:
+        """A detector's next state: what it was, what the sample makes of it, whether its peak is done."""
+        w, limit = (short, limits[0]) if k == "a" else (long, limits[1])
+        return f"""SELECT *, {k}_at2 >= 0 AND {k}_at1 >= 0 AND {k}_sure2 AND {on} AND idx - {k}_at2 > {w // 2} AS {k}_done FROM (
+            SELECT *, {k}_sure1 OR ({on} AND {k}_at1 >= 0 AND {k}_top2 > {limit} AND {k}_top2 - {k}_v > {height}) AS {k}_sure2 FROM (
+            SELECT *, CASE WHEN {on} AND ((({k}_at1 < 0) AND ({k}_v < {k}_top1 OR {k}_v - {k}_top1 > {height})) OR ({k}_at1 >= 0 AND {k}_v > {k}_top1)) THEN {k}_v ELSE {k}_top1 END AS {k}_top2,
+                   CASE WHEN {on} AND (({k}_at1 < 0 AND {k}_v >= {k}_top1 AND {k}_v - {k}_top1 > {height}) OR ({k}_at1 >= 0 AND {k}_v > {k}_top1)) THEN idx ELSE {k}_at1 END AS {k}_at2 FROM {{}}))"""
+
+    begin = f"SELECT t.read_id, t.idx, t.a_v, t.b_v, p.a_top AS a_top1, p.a_at AS a_at1, p.a_sure AS a_sure1, p.b_top AS b_top0, p.b_at AS b_at0, p.b_sure AS b_sure0, p.quiet AS quiet0, p.found FROM peaks p JOIN tstat t ON t.read_id = p.read_id AND t.idx = p.idx + 1"
+    first = step("a", "true").format(f"({begin})")
+    loud = f"a_at1 >= 0 AND a_top2 > {limits[0]}"
+    silenced = f"""SELECT *, CASE WHEN {loud} THEN a_at2 + {short} ELSE quiet0 END AS quiet1, CASE WHEN {loud} THEN {inf} ELSE b_top0 END AS b_top1,
+        CASE WHEN {loud} THEN -1 ELSE b_at0 END AS b_at1, CASE WHEN {loud} THEN false ELSE b_sure0 END AS b_sure1 FROM ({first})"""
+    second = step("b", "quiet1 < idx").format(f"({silenced})")
+    out = lambda k: f"CASE WHEN {k}_done THEN {k}_v ELSE {k}_top2 END AS {k}_top, CASE WHEN {k}_done THEN -1 ELSE {k}_at2 END AS {k}_at, {k}_sure2 AND NOT {k}_done AS {k}_sure"
+    return f"""peaks AS (
+    SELECT read_id, idx, {inf} AS a_top, -1 AS a_at, false AS a_sure, {inf} AS b_top, -1 AS b_at, false AS b_sure, 0 AS quiet, []::INT[] AS found FROM tstat WHERE idx = 0
+    UNION ALL
+    SELECT read_id, idx, {out("a")}, {out("b")}, quiet1 AS quiet, found || CASE WHEN a_done THEN [a_at2] ELSE [] END || CASE WHEN b_done THEN [b_at2] ELSE [] END AS found FROM ({second})),
+places AS (SELECT read_id, arg_max(found, idx) AS found FROM peaks GROUP BY read_id)"""
+
+
+def _segments_sql(variant: int, short: int, long: int, limits: tuple[float, float], height: float, most: int = 500, digits: int = 6) -> str:
+    signal = "kept AS (SELECT read_id, idx, x FROM sig)" if variant == 1 else f"{Z}, kept AS (SELECT read_id, (row_number() OVER (PARTITION BY read_id ORDER BY idx) - 1)::INT AS idx, x FROM z WHERE abs(x) < 3)"
+    tstat = f"framed AS (SELECT read_id, idx, count(*) OVER (PARTITION BY read_id) AS n, {_t_frames(short)}, {_t_frames(long)} FROM kept), tstat AS (SELECT read_id, idx, {_t_sql(short)} AS a_v, {_t_sql(long)} AS b_v FROM framed)"
+    sizes = "sizes AS (SELECT read_id, count(*)::INT AS n FROM kept GROUP BY read_id)"
+    head = f"WITH RECURSIVE {SUPPLIER_SIGNAL}, {signal}, {tstat}, {_peaks_sql(short, long, limits, height)}, {sizes}"
+    if variant == 1:
+        edges = "edges AS (SELECT p.read_id, [0] || found[:len(list_filter(found[2:], lambda x: x > 0 AND x < n))] || [n] AS e FROM places p JOIN sizes USING (read_id) WHERE len(found) > 0)"
+        mean = "avg(x)"
+    else:
+        edges = "edges AS (SELECT p.read_id, [0] || list_filter(found, lambda x: x > 0 AND x < n) AS e FROM places p JOIN sizes USING (read_id))"
+        mean = "coalesce(list_avg(list_filter(s, lambda v: v >= 2 * q1 - q3 AND v <= 2 * q3 - q1)), 0)"
+    cut = "cut AS (SELECT read_id, unnest(range(1, len(e)))::INT AS k, e FROM edges), bounds AS (SELECT read_id, k - 1 AS idx, e[k] AS low, e[k + 1] AS high FROM cut)"
+    joined = "FROM bounds b JOIN kept v ON v.read_id = b.read_id AND v.idx >= low AND v.idx < high GROUP BY b.read_id, b.idx, low, high"
+    if variant == 1:
+        return f"{head}, {edges}, {cut}, means AS (SELECT b.read_id, b.idx, avg(x) AS x {joined}) SELECT read_id, idx::INT AS idx, round((x - avg(x) OVER r) / nullif(stddev_pop(x) OVER r, 0), {digits}) + 0.0 AS event FROM means WINDOW r AS (PARTITION BY read_id) QUALIFY event IS NOT NULL"
+    parts = f"parts AS (SELECT b.read_id, b.idx, list_sort(list(x)) AS s, count(*) AS n {joined}), q AS (SELECT *, s[n // 4 + 1] AS q1, s[3 * n // 4 + 1] AS q3 FROM parts WHERE n < {most})"
+    return f"{head}, {edges}, {cut}, {parts} SELECT read_id, (row_number() OVER (PARTITION BY read_id ORDER BY idx) - 1)::INT AS idx, round({mean}, 6) + 0.0 AS event FROM q"
+
+
+@query(_segments_sql(1, 3, 6, (4.30265, 2.57058), 1.0))
 def segment_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir, "v1")
 
 
-@query()
+@query(_segments_sql(2, 3, 9, (4.0, 3.5), 0.4))
 def segment_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir, "v2")
 
 
-@query()
+@query(_segments_sql(2, 3, 6, (6.5, 4.0), 0.2))
 def segment_v2_r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir, "v2-r10")
 
 
-@query()
+@query(f"{decoded_sql(f'z AS (SELECT read_id, idx, event AS x FROM ({_segments_sql(1, 3, 6, (4.30265, 2.57058), 1.0, digits=15)}))', 0.3, 0.02)}, {RUNS}, {DENOISED} SELECT read_id, idx, round(x, 6) + 0.0 AS event, state FROM denoised")
 def signal_to_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segmentation, decoding and correction in one stage."""
     return long_corrected(correction.signal_to_corrected(supplier_reads(spark, sf_dir), MODEL, 0.3, 0.02))
@@ -327,7 +384,10 @@ def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("known").alias("n_known"), F.round(F.sum("level"), 2).alias("total"))
 
 
-@query()
+@query(
+    f"""WITH {KMER_TABLE}, slid AS (SELECT unnest(range(0, {4**K}))::INT AS t)
+    SELECT t, substr('{kmers.de_bruijn(K)}', t + 1, {K}) AS kmer, coalesce(level, 0.0) AS level FROM slid LEFT JOIN levels ON kmer = substr('{kmers.de_bruijn(K)}', t + 1, {K})"""
+)
 def debruijn_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The levels of the k-mer table along the de Bruijn text."""
     return kmers.observations(spark, kmer_levels(spark, sf_dir), K)
@@ -449,13 +509,29 @@ def _agreement(out: DataFrame) -> DataFrame:
     return z.agg(F.count("*").alias("n_events"), F.round(F.avg(near.cast("double")), 6).alias("score"))
 
 
-@query()
+SMALL_GRID = (0.0, 0.05, 0.1)
+
+
+def _grid_sql() -> str:
+    """The score of each pair of a small grid, each decoded by its own recursion."""
+    parts = []
+    for p_stay in SMALL_GRID:
+        for p_skip in SMALL_GRID:
+            runs = RUNS if MODEL.collapses(p_stay) else "collapsed AS (SELECT * FROM path)"
+            parts.append(
+                f"SELECT {p_stay}::DOUBLE AS p_stay, {p_skip}::DOUBLE AS p_skip, n_events, score FROM ({decoded_sql(f'{USER_SIGNAL}, {Z}', p_stay, p_skip)}, {runs}, {DENOISED} "
+                "SELECT count(*) AS n_events, round(avg((pow(d.x - mean, 2) <= var)::INT), 6) AS score FROM denoised d JOIN states ON s = state)"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query(_grid_sql())
 def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores over a grid of decoding parameters, in one job."""
-    return tuning.grid_scores(user_reads(spark, sf_dir), MODEL, _agreement, grid=(0.0, 0.05, 0.1))
+    return tuning.grid_scores(user_reads(spark, sf_dir), MODEL, _agreement, grid=SMALL_GRID)
 
 
-@query()
+@query(f"SELECT * FROM ({_grid_sql()}) ORDER BY score DESC, p_stay, p_skip LIMIT 1")
 def best_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.best(parameter_grid(spark, sf_dir), "score")
 

@@ -89,6 +89,24 @@ def _canonical(x: str) -> str:
     return f"sha256({x})"
 
 
+def _em_rounds(rounds: int) -> str:
+    """quality.learned() in SQL: what each round makes of the last one's masses and share, and the posterior in the end."""
+    parts = []
+    for k in range(rounds + 1):
+        parts.append(f"given_{k} AS MATERIALIZED (SELECT r, v, y, mass / sum(mass) OVER (PARTITION BY r, y) AS p FROM em_{k})")
+        parts.append(
+            f"post_{k} AS MATERIALIZED (SELECT votes, any_value(n) AS n, 1 / (1 + exp(-(ln(g / (1 - g)) + sum(ln(p)) FILTER (y = 1) - sum(ln(p)) FILTER (y = 0)))) AS p "
+            f"FROM pv JOIN given_{k} USING (r, v), good_{k} GROUP BY votes, g)"
+        )
+        if k < rounds:
+            parts.append(f"good_{k + 1} AS MATERIALIZED (SELECT sum(n * p) / sum(n) AS g FROM post_{k})")
+            parts.append(
+                f"em_{k + 1} AS MATERIALIZED (SELECT r, v, y, any_value(mass) + coalesce(sum(CASE WHEN y = 1 THEN n * p ELSE n * (1 - p) END), 0) AS mass "
+                f"FROM prior LEFT JOIN (SELECT r, v, post_{k}.n, p FROM pv JOIN post_{k} USING (votes)) USING (r, v) GROUP BY r, v, y)"
+            )
+    return ",\n        ".join(parts)
+
+
 def _known(texts: list[tuple[str, str]]) -> str:
     quoted = [(name, text.replace("'", "''")) for name, text in texts]
     return "(VALUES " + ", ".join(f"('{name}', '{text}')" for name, text in quoted) + ") v(license, text)"
@@ -165,4 +183,47 @@ ORACLES: dict[str, str] = {
             FROM (SELECT r, line FROM lines WHERE regexp_matches(lower(line), '{licenses.MARKERS}')) l JOIN notices ON {_canonical("l.line")} = digest GROUP BY r)
         SELECT doc_id, t.license AS text_license, coalesce(f.notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
         FROM rows LEFT JOIN found f USING (r) LEFT JOIN texts t ON {_canonical("rows.text")} = t.digest""",
+    "op2_ngram_jaccard_join": """
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        reached AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, b FROM reached r JOIN links ON r.other = a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, min(other)) AS component_id
+        FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN reached r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n""",
+    "op5_quality_rules": f"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+        covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+            FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1) GROUP BY doc_id),
+        counts AS (
+            SELECT doc_id, len(w) AS n_words, array_to_string(w, '') AS bare, length(array_to_string(w, '')) AS word_chars,
+                   len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS n_lines,
+                   len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_distinct,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words FROM docs LEFT JOIN covered USING (doc_id)),
+        f AS (
+            SELECT *, word_chars - length(regexp_replace(bare, '[{quality.SYMBOLS}]', '', 'g')) AS n_symbols, word_chars - length(regexp_replace(bare, '[!?]', '', 'g')) AS n_marks,
+                   word_chars - length(regexp_replace(bare, '\\p{{Lu}}', '', 'g')) AS n_upper, length(regexp_replace(bare, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS n_alnum FROM counts),
+        voted AS (
+            SELECT *, [CASE WHEN n_symbols < 0.03 * n_words THEN 1 WHEN n_symbols > 0.15 * n_words THEN -1 ELSE 0 END,
+                       CASE WHEN n_alnum > 0.93 * word_chars THEN 1 WHEN n_alnum < 0.9 * word_chars THEN -1 ELSE 0 END, CASE WHEN n_words < 50 THEN -1 ELSE 0 END,
+                       CASE WHEN n_upper > 0.3 * word_chars THEN -1 ELSE 0 END, CASE WHEN n_marks > 0.2 * n_words THEN -1 ELSE 0 END,
+                       CASE WHEN n_words > 0 AND NOT word_chars / n_words BETWEEN 2.5 AND 12 THEN -1 ELSE 0 END, CASE WHEN n_lines - n_distinct > 0.3 * n_lines THEN -1 ELSE 0 END,
+                       CASE WHEN n_repeat_words > 0.3 * n_words THEN -1 ELSE 0 END] AS votes FROM f),
+        patterns AS (SELECT votes, count(*) AS n FROM voted GROUP BY votes),
+        pv AS MATERIALIZED (SELECT votes, n, unnest(range(1, 9)) AS r, votes[r] AS v FROM patterns),
+        prior AS MATERIALIZED (
+            SELECT r, v, y, (SELECT sum(n) FROM patterns) * (CASE WHEN v = 0 THEN {quality.PRIOR_ABSTAIN} WHEN (v = 1) = (y = 1) THEN {quality.PRIOR_RIGHT} ELSE {quality.PRIOR_WRONG} END)::DOUBLE AS mass
+            FROM range(1, 9) a(r), range(-1, 2) b(v), range(0, 2) c(y)),
+        em_0 AS MATERIALIZED (SELECT * FROM prior), good_0 AS MATERIALIZED (SELECT {quality.PRIOR_GOOD}::DOUBLE AS g),
+        {_em_rounds(quality.ROUNDS)}
+        SELECT doc_id, n_words, word_chars, n_symbols, n_lines - n_distinct AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND p >= 0.5 AS kept
+        FROM voted JOIN post_{quality.ROUNDS} USING (votes)""",
 }

@@ -45,6 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/eventloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all tables that this application has written in between; call it when results have been saved."""
+    _delete(spark, _own_folder(spark))
+
+
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it back.
 
@@ -52,7 +66,7 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     work before, and plans with the table's real size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/eventloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path  # for dropped()
@@ -64,9 +78,7 @@ def dropped(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_written_at", None)
         if path:
-            spark = table.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(table.sparkSession, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space between words, as characters and as a pattern.
@@ -95,3 +95,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     where adaptive execution splits the skewed partitions.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame:
+    """Number all rows from 0 in the given order: ranges are numbered apart and start behind the ones before.
+
+    The window over the ranges' sizes sees one row per range.
+    """
+    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), tag)
+    sizes = parts.groupBy("_part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_part", before.alias("_start")))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_place", place).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_start", "_place")

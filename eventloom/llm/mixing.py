@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import small_side, whole_text, words, written
+from eventloom.llm.common import numbered, small_side, whole_text, words, written
 
 #: Query parameters: the weights that sources take in turn, words to take over words there are, and the most epochs.
 WEIGHTS = (3, 1, 2)
@@ -64,9 +64,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     cells = written(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "mix-cells")
 
     sizes = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row per source
-    turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
-    sizes = written(sizes.withColumn("weight", turn), "mix-sources")
+    sizes = numbered(sizes, [F.col("source").isNull(), F.col("source")], "place", "mix-sizes")
+    turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sizes = written(sizes.select("source", "source_size", turn.alias("weight")), "mix-sources")
     targets = source_targets(sizes, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))

@@ -117,7 +117,7 @@ def fingerprints(tokens: np.ndarray) -> np.ndarray:
 SEEN = "key int, doc_id long, n long, sig binary, single binary, many array<long>, times array<long>"
 
 
-def _signatures(ranges: int):
+def _signatures(ranges: int, size: int):
     """Per document its id, set size and signature; per chunk of documents and range of fingerprints the ones found once, and those found more often with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ def _signatures(ranges: int):
             return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(single, pa.binary()), pa.array(many, numbers), pa.array(often, numbers)], names=names)
 
         for part in _parts(batches):
-            sets = shingle_sets(part.column("text"))
+            sets = shingle_sets(part.column("text"), size)
             sigs = [_signature(s) for s in sets]
             none = pa.nulls(len(sets))
             keys = pa.array(np.arange(len(sets)) % ranges, pa.int32())  # anywhere, copies too
@@ -223,14 +223,14 @@ def _orders(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
     return out, min(size, int((rank < hot).sum()))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int, make, schema: str) -> DataFrame:
     """make(node, tokens) -> columns, for the documents that stand for the wanted classes (node, first_id, sig)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     rows = rows.join(small_side(wanted.select("node", "first_id", "sig")), F.col("doc_id") == F.col("first_id")).select("node", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            sets, sigs, nodes = shingle_sets(part.column("text")), part.column("sig").to_pylist(), part.column("node").to_numpy()
+            sets, sigs, nodes = shingle_sets(part.column("text"), size), part.column("sig").to_pylist(), part.column("node").to_numpy()
             own = [(n, s) for n, s, g in zip(nodes, sets, sigs) if _signature(s) == g]  # an id may have other texts too
             if own:
                 yield make(np.array([n for n, _ in own]), [s for _, s in own])
@@ -377,7 +377,7 @@ def _with_both(pairs: DataFrame, values: DataFrame, names: list[str]) -> DataFra
     return pairs
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (long).
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets;
@@ -402,7 +402,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     ranges = 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    both = rows.mapInArrow(_signatures(ranges), SEEN).repartition("key").sortWithinPartitions("key")
+    both = rows.mapInArrow(_signatures(ranges, size), SEEN).repartition("key").sortWithinPartitions("key")
     both = written(both.mapInArrow(_merged, "doc_id long, n long, sig binary, print long, count long"), "join-signatures")
     sets = both.filter("sig is not null").select("doc_id", "n", "sig")
     classes = written(sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "join-classes")
@@ -415,7 +415,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first = pa.ListArray.from_arrays(np.cumsum([0, *[len(o[0]) for o in orders]]).astype(np.int32), _signed(np.concatenate([o[0] for o in orders])))
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(t) for t in tokens], pa.int64()), first, pa.array([k for _, k in found], pa.int32()), short(1), short(2)], names=["node", "n", "first", "cold", "second", "third"])
 
-    prefixed = written(_sets_of(docs, classes.filter("n > 0"), id_col, text_col, prefixes, "node long, n long, first array<long>, cold int, second binary, third binary"), "join-prefixes")
+    prefixed = written(_sets_of(docs, classes.filter("n > 0"), id_col, text_col, size, prefixes, "node long, n long, first array<long>, cold int, second binary, third binary"), "join-prefixes")
     exploded = prefixed.select("node", "n", "cold", F.posexplode("first").alias("pos", "token"))
     buckets = exploded.filter("pos < cold").select("node", "n", "pos", "token").repartition("token").sortWithinPartitions("token", "node")
     met = written(buckets.mapInArrow(_first_pairs(percent), "token long, a long, b long, n long, pos int"), "join-met")
@@ -426,7 +426,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
         wanted = written(classes.join(ends, "node", "left_semi"), f"{tag}-wanted")
         to_sets = lambda nodes, tokens: pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["node", "set"])
-        whole = written(_sets_of(docs, wanted, id_col, text_col, to_sets, "node long, set binary").dropDuplicates(["node"]), f"{tag}-sets")
+        whole = written(_sets_of(docs, wanted, id_col, text_col, size, to_sets, "node long, set binary").dropDuplicates(["node"]), f"{tag}-sets")
         links = written(_with_both(left, whole, ["set"]).mapInArrow(_similar(percent), "a long, b long"), f"{tag}-links")
         dropped(left, wanted, whole)
         return links
@@ -464,8 +464,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return sets.join(of_sig, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of docs with the smallest id of their component, and those without an id, with all their columns."""
-    out = jaccard_components(docs, id_col, text_col, percent)
+    out = jaccard_components(docs, id_col, text_col, percent, size)
     lost = written(out.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "join-lost")
     return docs.join(small_side(lost), F.col(id_col).cast("long") == F.col("_lost"), "left_anti")

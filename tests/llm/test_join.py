@@ -11,10 +11,10 @@ from eventloom.llm.components import components
 from eventloom.llm.queries import op2_ngram_jaccard_join
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=85, size=4):
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        return {tuple(w[i : i + 4]) for i in range(max(len(w) - 3, 1))} if w else set()
+        return {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
 
     sets = [(i, shingles(t)) for i, t in rows]
     where, parent = {}, {i: i for i, _ in sets}
@@ -45,6 +45,11 @@ def test_equals_all_pairs(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op2_ngram_jaccard_join(spark, d).collect()}
     assert got == brute(rows)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    out = ngram_join.jaccard_components(docs, percent=80, size=5)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute(rows, 80, 5)
+    kept = {r["doc_id"] for r in ngram_join.one_of_each_group(docs, percent=80, size=5).collect()}
+    assert kept == {c for _, c in brute(rows, 80, 5).values()}
 
 
 def test_large_buckets(spark):

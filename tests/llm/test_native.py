@@ -43,6 +43,15 @@ def test_water_filling(spark):
     assert got == {"a": 200.0, "b": 2000.0, "c": 20.0, "d": 0.0}
 
 
+def test_weights_go_by_code_point(spark):
+    names = [f"s{i}" for i in range(300)] + ["Z", "é", "\U0001f600", "", None]
+    docs = spark.createDataFrame([(i, "a b", n) for i, n in enumerate(names)], "doc_id long, text string, source string")
+    got = {r["source"]: r["target"] for r in mixing.mixed(docs, share=0.1).select("source", "target").distinct().collect()}
+    order = sorted(names, key=lambda n: (n is None, [ord(c) for c in n or ""]))
+    unit = 0.1 * 2 * len(names) / sum((3, 1, 2)[i % 3] for i in range(len(names)))
+    assert all(got[n] == pytest.approx((3, 1, 2)[i % 3] * unit) for i, n in enumerate(order))
+
+
 def test_mix_of_odd_rows(spark, odd):
     assert mixing.mixed(odd).count() == odd.count()
     assert mixing.repeated(odd).columns == odd.columns

@@ -128,3 +128,23 @@ def test_streams(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("corrected").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r["read_id"]: r["states"] for r in spark.table("corrected").collect()} == {"r1": [0, 1], "r2": [1]}
+
+
+def test_carried_normalisation(spark, tmp_path):
+    from eventloom.operators.segment import carried_z_scores
+    from eventloom.streaming import reads as streams
+
+    rng = np.random.default_rng(2)
+    rows = [(c, i, f"r{c}{i}", [float(v) for v in rng.normal(c, 1 + i, 20)]) for c in (1, 2) for i in range(3)]
+    schema = "channel long, seq long, read_id string, signal array<double>"
+    for i in range(3):  # a file, and so a batch, for each place in the channels
+        spark.createDataFrame([r for r in rows if r[1] == i], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streams.normalise_stream(stream).writeStream.format("memory").queryName("normalised").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["channel"], r["seq"]): r["signal"] for r in spark.table("normalised").collect()}
+    for c in (1, 2):
+        sums = (0.0, 0.0, 0)
+        for i in range(3):
+            z, sums = carried_z_scores(np.array(rows[3 * (c - 1) + i][3]), sums)
+            assert np.allclose(got[c, i], z)

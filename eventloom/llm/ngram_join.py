@@ -214,7 +214,7 @@ def _orders(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
         at = np.minimum(np.searchsorted(frequent[0], prints), len(frequent[0]) - 1)
         hit = frequent[0][at] == prints
         rank[hit] = (8 * np.log2(frequent[1][at[hit]])).astype(np.uint64)
-    size = n - (percent * n + 99) // 100 + 1
+    size = n - (percent * n + 99) // 100 + 1 if n else 0
     hot = np.uint64(8 * np.log2(HOT_FROM))
     out = []
     for salt in (11, 12, 13):
@@ -408,14 +408,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "join-classes")
     frequent = spark.sparkContext.broadcast(frequent_tokens(both.filter("print is not null").select("print", "count")))
 
-    def prefixes(nodes: np.ndarray, tokens: list[np.ndarray]) -> pa.RecordBatch:
-        found = [_orders(t, frequent.value, percent) for t in tokens]
-        orders = [o for o, _ in found]
-        short = lambda k: pa.array([(o[k] >> np.uint64(32)).astype(np.uint32).tobytes() for o in orders], pa.binary())
-        first = pa.ListArray.from_arrays(np.cumsum([0, *[len(o[0]) for o in orders]]).astype(np.int32), _signed(np.concatenate([o[0] for o in orders])))
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(t) for t in tokens], pa.int64()), first, pa.array([k for _, k in found], pa.int32()), short(1), short(2)], names=["node", "n", "first", "cold", "second", "third"])
-
-    prefixed = written(_sets_of(docs, classes.filter("n > 0"), id_col, text_col, size, prefixes, "node long, n long, first array<long>, cold int, second binary, third binary"), "join-prefixes")
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            tokens = shingle_sets(part.column("text"), size)
+            found = [_orders(t, frequent.value, percent) for t in tokens]
+            orders = [o for o, _ in found]
+            short = lambda k: pa.array([(o[k] >> np.uint64(32)).astype(np.uint32).tobytes() for o in orders], pa.binary())
+            first = pa.ListArray.from_arrays(np.cumsum([0, *[len(o[0]) for o in orders]]).astype(np.int32), _signed(np.concatenate([o[0] for o in orders])))
+            sigs = pa.array([_signature(t) for t in tokens], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), sigs, pa.array([len(t) for t in tokens], pa.int64()), first, pa.array([k for _, k in found], pa.int32()), short(1), short(2)], names=["doc_id", "sig", "n", "first", "cold", "second", "third"])
+
+    # joined afterwards: prefixes are a fraction of the texts, in case the classes are too many to broadcast
+    prefixed = rows.mapInArrow(prefixes, "doc_id long, sig binary, n long, first array<long>, cold int, second binary, third binary").filter("n > 0")
+    own = classes.select("node", F.col("first_id").alias("doc_id"), "sig")
+    prefixed = written(prefixed.join(small_side(own), ["doc_id", "sig"]).drop("doc_id", "sig"), "join-prefixes")
     exploded = prefixed.select("node", "n", "cold", F.posexplode("first").alias("pos", "token"))
     buckets = exploded.filter("pos < cold").select("node", "n", "pos", "token").repartition("token").sortWithinPartitions("token", "node")
     met = written(buckets.mapInArrow(_first_pairs(percent), "token long, a long, b long, n long, pos int"), "join-met")

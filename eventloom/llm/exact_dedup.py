@@ -51,6 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
     groups = rows.filter("suspect").groupBy("text_sha256").agg(F.count("*").alias("group_size"), best)
     groups = groups.select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
+    groups = small_side(written(groups, "dedup-groups"))
     of_groups = rows.filter("suspect").join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
     alone = rows.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return alone.unionByName(of_groups)
@@ -61,7 +62,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Where an id occurs more than once, only its kept text stays, once.
     """
-    decided = exact_dedup(docs, id_col, text_col)
+    decided = written(exact_dedup(docs, id_col, text_col), "dedup-decided")
     kept = written(decided.filter("kept").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n"), F.count("text_sha256").alias("_hashed")), "dedup-kept")
     again = decided.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
     again = written(again, "dedup-again")

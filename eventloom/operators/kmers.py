@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BASES = "ACGT"
@@ -28,10 +28,19 @@ def de_bruijn(k: int) -> str:
 
 
 def sliding(texts: DataFrame, text: str, k: int) -> DataFrame:
-    """Each k-mer of each text with its place: the columns of texts, t, kmer."""
-    size = F.length(text)
-    places = F.when(size >= k, F.sequence(F.lit(0), size - k)).otherwise(F.array().cast("array<int>"))
-    return texts.withColumn("t", F.explode(places)).withColumn("kmer", F.substring(F.col(text), F.col("t") + 1, F.lit(k)))
+    """Each k-mer of each text with its place: the columns of texts, t, kmer.
+
+    A text is cut into letters once, and windows are slices of that array: places in a
+    long string would be counted from its start each time.
+    """
+
+    def windows(letters: Column) -> Column:
+        n = F.size(letters)
+        of = F.transform(F.sequence(F.lit(0), n - k), lambda t: F.array_join(F.slice(letters, t + 1, k), ""))
+        return F.when(n >= k, of).otherwise(F.array().cast("array<string>"))
+
+    letters = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), ""), "")
+    return texts.select("*", F.posexplode(F.transform(F.array(letters), windows)[0]).alias("t", "kmer"))
 
 
 def levels(kmers: DataFrame, table: DataFrame, missing: float = 0.0) -> DataFrame:

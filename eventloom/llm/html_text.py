@@ -1,4 +1,4 @@
-"""Main text of web pages: page structure first, then a suffix array over each host's leftovers.
+"""Main text of web pages: page structure first, then the runs that repeat in each host's leftovers.
 
 Blocks inside an article or main element belong to the text, blocks of menus, adverts,
 forms and the like do not. Blocks that structure doesn't decide are dropped where long
@@ -7,6 +7,7 @@ token runs that cover them repeat on other pages of the same host.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import small_batches, small_side, written
 
-#: Parameters: tokens of a repeated run, share of a block's tokens that must lie in such runs, tokens of one suffix array.
+#: Parameters: tokens of a repeated run, share of a block's tokens that must lie in such runs, tokens hashed at a time.
 MIN_RUN = 8
 COVERED = 0.8
 ARRAY_TOKENS = 20_000
@@ -33,6 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SIDE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo recommended related remark reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 WRAPPER_WORDS = frozenset("article body container content has layout main no page post story text with without wrap wrapper".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
+PLACES = np.frombuffer(b"".join(hashlib.blake2b(b"%d" % k, digest_size=16).digest() for k in range(MIN_RUN)), np.uint64).reshape(MIN_RUN, 2) | np.uint64(1)
 OUT, IN, OPEN = 0, 1, 2  # what structure says of a block: not text, text, undecided
 
 
@@ -115,7 +117,7 @@ def page_blocks(html: str) -> list[tuple[str, int]]:
 
 
 def repeated_places(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN) -> np.ndarray:
-    """Which tokens lie in a run of `run` tokens or more that a distinct page has too.
+    """Which tokens lie in a run of `run` tokens or more that a distinct page has too, by a suffix array: the pages of one host on one machine.
 
     tokens holds the pages' streams one after the other, page the page of each token. The
     suffixes are ranked by prefix doubling until `run` tokens count; suffixes of equal
@@ -149,29 +151,67 @@ def repeated_places(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN) ->
     return np.cumsum(edge[:-1]) > 0
 
 
-def _covered(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one part of a host's pages: how many tokens of each undecided block repeated runs cover."""
-    words, sizes, pages = [], [], []
-    group = group.sort_values(["row", "at"])
-    for text in group["text"]:
-        own = text.split()
-        words += own
-        sizes.append(len(own))
-    pages = np.repeat(group["row"].to_numpy(), sizes)
-    hit = repeated_places(pd.factorize(np.array(words, object))[0], pages)
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    ends = np.cumsum(sizes)
-    out = pd.DataFrame({"row": group["row"], "at": group["at"], "n": sizes, "n_covered": sums[ends] - sums[ends - np.array(sizes)], "open": group["open"]})
-    return out[out["open"]][["row", "at", "n", "n_covered"]]
+def _word_hashes(words: list[str], person: bytes) -> np.ndarray:
+    digests = b"".join(hashlib.blake2b(w.encode(errors="surrogatepass"), digest_size=16, person=person).digest() for w in words)
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)
+
+
+def window_keys(tokens: list[str], page: np.ndarray, hosts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of MIN_RUN tokens within a page start, and each one's key of 128 bits, which is equal for equal runs of a host.
+
+    tokens holds the pages' streams one after the other, page the number of each token's page, hosts the host by that number.
+    """
+    n = len(tokens) - MIN_RUN + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+    code, distinct = pd.factorize(np.array(tokens, object))
+    hashes, keys = _word_hashes(list(distinct), b"word"), _word_hashes(hosts, b"host")[page[:n]]
+    for k in range(MIN_RUN):
+        keys = keys + hashes[code[k : k + n]] * PLACES[k]
+    starts = np.flatnonzero(page[:n] == page[MIN_RUN - 1 :])
+    return starts, keys[starts]
+
+
+def _windows(pages: list[tuple[int, str, list[dict]]]) -> pa.RecordBatch:
+    """The runs of MIN_RUN tokens outside the pages' main text: row, place in the page's stream, key, whether an undecided block has a part in it."""
+    tokens, sizes, is_open = [], [], []
+    for _, _, blocks in pages:
+        before = len(tokens)
+        for b in blocks:
+            if b["says"] != IN:
+                own = b["text"].split()
+                tokens += own
+                is_open += [b["says"] == OPEN] * len(own)
+        sizes.append(len(tokens) - before)
+    starts, keys = window_keys(tokens, np.repeat(np.arange(len(pages)), sizes), [host for _, host, _ in pages])
+    seen = np.concatenate([[0], np.cumsum(np.array(is_open, bool))])
+    rows, firsts = np.repeat([row for row, _, _ in pages], sizes).astype(np.int64), np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int64)
+    columns = [pa.array(rows[starts]), pa.array((starts - firsts[starts]).astype(np.int32)), *(pa.array(keys[:, k].astype(np.int64)) for k in (0, 1)), pa.array(seen[starts + MIN_RUN] > seen[starts])]
+    return pa.RecordBatch.from_arrays(columns, names=["row", "place", "key", "key2", "open"])
+
+
+def gone_blocks(sizes: list[int], says: list[int], places: list[int]) -> list[int]:
+    """The undecided blocks of a page that go, given its blocks' tokens and where repeated runs start in its stream."""
+    ends = np.cumsum([n if s != IN else 0 for n, s in zip(sizes, says)])
+    edge = np.zeros(ends[-1] + 1, np.int64)
+    np.add.at(edge, places, 1)
+    np.add.at(edge, np.array(places) + MIN_RUN, -1)
+    sums = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+    undecided = [(k, n, sums[end] - sums[end - n]) for k, (n, s, end) in enumerate(zip(sizes, says, ends)) if s == OPEN]
+    if sum(hit for _, _, hit in undecided) == sum(n for _, n, _ in undecided):
+        return []
+    return [k for k, n, hit in undecided if hit >= COVERED * n]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", array_tokens: int = ARRAY_TOKENS) -> DataFrame:
     """One row per page: page_id, url, text (blocks joined by a line feed), n_chars (long).
 
-    A host's pages are dealt into parts by their size, so that a host of any size gives
-    suffix arrays of about array_tokens tokens each, on as many tasks. Only blocks outside
-    the main text are shuffled for that. An undecided block goes if repeated runs cover
-    COVERED of it, unless they cover all undecided text of the page, which then is a copy.
+    Runs of MIN_RUN tokens outside the main text are dealt by (host, run), so equal runs
+    meet on a host of any size, and a key gathers the first and last page of each task
+    only. Hosts without an undecided block are left out, as nothing depends on their runs.
+    array_tokens bounds the tokens hashed at a time and has no bearing on results. An
+    undecided block goes if repeated runs cover COVERED of it, unless they cover all
+    undecided text of the page, which then is a copy.
 
     Null html counts as empty and gives an empty text; null or odd urls share a host of
     their own; repeated rows give equal rows (they are copies of each other); an empty
@@ -180,26 +220,42 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     small_batches(pages.sparkSession, 500)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("says", pa.int32())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("says", pa.int32()), ("n", pa.int32())]))
         for batch in batches:
-            found = [[{"text": t, "says": v} for t, v in page_blocks(html)] for html in batch.column("html").to_pylist()]
+            found = [[{"text": t, "says": v, "n": 0 if v == IN else len(t.split())} for t, v in page_blocks(html)] for html in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, kind)], names=["page_id", "url", "blocks"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     types = dict(rows.dtypes)
-    parsed = rows.mapInArrow(parse, f"page_id {types['page_id']}, url {types['url']}, blocks array<struct<text:string,says:int>>")
+    parsed = rows.mapInArrow(parse, f"page_id {types['page_id']}, url {types['url']}, blocks array<struct<text:string,says:int,n:int>>")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    parsed = written(parsed.withColumns({"row": F.monotonically_increasing_id(), "host": host}), "pages-parsed")
-
-    aside = parsed.select("row", "host", F.posexplode("blocks").alias("at", "b")).filter(F.col("b.says") != IN)
-    aside = aside.select("row", "host", "at", "b.text", (F.col("b.says") == OPEN).alias("open"))
-    parts = aside.groupBy("host").agg((F.sum(F.length("text")) / 6 / array_tokens + 1).cast("int").alias("parts"))
-    aside = aside.join(small_side(written(parts, "pages-hosts")), "host").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
-    covered = aside.groupBy("host", "part").applyInPandas(_covered, "row long, at int, n long, n_covered long")
-    covered = written(covered, "pages-covered")
-    page = covered.groupBy("row").agg(F.sum("n").alias("all"), F.sum("n_covered").alias("all_covered"))
-    gone = covered.join(page, "row").filter((F.col("n_covered") >= COVERED * F.col("n")) & (F.col("all_covered") < F.col("all")))
-    gone = small_side(written(gone.groupBy("row").agg(F.collect_set("at").alias("gone")), "pages-gone"))
+    parsed = written(parsed.withColumns({"row": F.monotonically_increasing_id(), "host": host, "undecided": F.exists("blocks", lambda b: b["says"] == OPEN)}), "pages-parsed")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, size = [], 0
+            for page in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "blocks"))):
+                some.append(page)
+                size += sum(b["n"] for b in page[2])
+                if size >= array_tokens:
+                    yield _windows(some)
+                    some, size = [], 0
+            if some:
+                yield _windows(some)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [gone_blocks(*page) for page in zip(*(batch.column(c).to_pylist() for c in ("n", "says", "places")))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.int32()))], names=["row", "gone"])
+
+    hosts = small_side(written(parsed.filter("undecided").select("host").distinct(), "pages-hosts"))
+    runs = parsed.join(hosts, "host", "left_semi").select("row", "host", "blocks").mapInArrow(windows, "row long, place int, key long, key2 long, open boolean")
+    shared = runs.groupBy("key", "key2").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.max("open").alias("open"))
+    shared = small_side(written(shared.filter("open AND first < last").select("key", "key2"), "pages-runs"))
+    places = runs.filter("open").join(shared, ["key", "key2"]).groupBy("row").agg(F.collect_list("place").alias("places"))
+    sizes = parsed.filter("undecided").select("row", F.col("blocks.n").alias("n"), F.col("blocks.says").alias("says"))
+    gone = sizes.join(places, "row").select("row", "n", "says", "places").mapInArrow(judge, "row long, gone array<int>")
+    gone = small_side(written(gone.filter(F.size("gone") > 0), "pages-gone"))
 
     kept = F.filter("blocks", lambda b, i: (b["says"] == IN) | ((b["says"] == OPEN) & ~F.coalesce(F.array_contains("gone", i), F.lit(False))))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")

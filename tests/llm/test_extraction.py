@@ -52,6 +52,35 @@ def test_host_boilerplate(spark):
     assert html_text.extract_text(pages.limit(0)).isEmpty()
 
 
+def test_large_host(spark):
+    rng = np.random.default_rng(3)
+    streams = [[f"word{k:03}x{i:04}" for i in range(1200)] for k in range(48)]
+    shared = [" ".join(f"pair{k // 2}_{i}" for i in range(12)) for k in range(48)]  # each block lies on two pages only
+    rows = [(k, "http://big.example.com/", f"<div><p>{' '.join(streams[k])}</p><p>{shared[k]}</p></div>") for k in rng.permutation(48).tolist()]
+    rows.append((48, "http://other.example.com/", f"<div><p>{shared[0]}</p><p>more of the host</p></div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    assert all(got[k] == " ".join(streams[k]) for k in range(48))
+    assert got[48] == shared[0] + "\nmore of the host"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 1), max_size=24), max_size=5))
+def test_window_keys(pages):
+    tokens, page = [f"t{t}" for p in pages for t in p], np.repeat(np.arange(len(pages)), [len(p) for p in pages]).astype(int)
+    starts, keys = html_text.window_keys(tokens, page, ["h"] * len(pages))
+    where = {}
+    for s, key in zip(starts, map(tuple, keys.tolist())):
+        where.setdefault(key, []).append(s)
+    covered = np.zeros(len(tokens), bool)
+    for own in where.values():
+        assert len({tuple(tokens[s : s + 8]) for s in own}) == 1
+        if len(set(page[own])) > 1:
+            for s in own:
+                covered[s : s + 8] = True
+    assert covered.tolist() == html_text.repeated_places(np.array([int(t[1:]) for t in tokens], int), page).tolist()
+
+
 def test_page_query(spark, sf):
     rows = queries.op8_html_text(spark, sf).collect()
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

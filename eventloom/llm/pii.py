@@ -16,15 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import boost
-from eventloom.llm.common import small_batches, whole_text
+from eventloom.llm.common import small_batches, whole_text, written
 
 #: The kinds in the order in which spans with equal starts are listed; the first four have checked patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Parameters: candidates that the trees are fitted on, share of them held out, precision that a threshold must reach there.
+#: Parameters: candidates of a kind that the trees are fitted on, one in how many is held out, precision that a threshold must reach there, right ones needed to tell it.
 SAMPLE = 20_000
 HELD_OUT = 4
 PRECISION = 0.98
 LEAST_HELD_OUT = 10
+#: Fixed value: bins of a score's log odds per unit.
+BINS = 50
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -118,13 +120,10 @@ def weak_label(text: str, span: tuple[int, int, int], base: set[tuple[int, int,
     return float(any(k == kind and a <= start and end <= b for a, k, b in base))
 
 
-def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The trees and the thresholds by kind, from a bounded sample of candidates with weak labels.
+def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All documents' distinct candidates with weak labels: h (a hash of the span with its surroundings, features and label), kind, x, y.
 
-    All documents give candidates; the sample is those with the smallest hashes of their
-    text and place, so it is the same in each run. On its held-out part a kind's
-    threshold is the least score from which on candidates are right in PRECISION of the
-    cases; a kind that is too rare there gets none and adds no spans.
+    Copies count once, wherever they stand, and a quarter of the hashes is held out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,29 +133,63 @@ def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tup
                 if WORTH_A_LOOK.search(text):
                     base = set(checked(text))
                     for span in proposed(text):
-                        rows.append(features(text, span[1], span[0], span[2]))
-                        labels.append(weak_label(text, span, base))
-                        at.append(int.from_bytes(hashlib.blake2b(f"{span}{text[max(0, span[0] - 40) : span[2] + 40]}".encode(errors="replace"), digest_size=7).digest(), "big"))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], names=["h", "x", "y"])
+                        x, y, (start, _, end) = features(text, span[1], span[0], span[2]), weak_label(text, span, base), span
+                        rows.append(x)
+                        labels.append(y)
+                        what = f"{x}{y}{text[max(0, start - 40) : start]}\0{text[start:end]}\0{text[end : end + 40]}"
+                        at.append(int.from_bytes(hashlib.blake2b(what.encode(errors="replace"), digest_size=8).digest(), "big") >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([int(x[0]) for x in rows], pa.int32()), pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], names=["h", "kind", "x", "y"])
+
+    return docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "h long, kind int, x array<double>, y double").dropDuplicates(["h"])
+
+
+def limit_of(bins: np.ndarray, right: np.ndarray, n: np.ndarray) -> float:
+    """A kind's threshold, from its held-out candidates by bin of their score: those that are right, and all.
+
+    It is the least score, 0.5 at least, from which on candidates are right in PRECISION
+    of the cases, and 2 (no span) if there is none. With fewer than LEAST_HELD_OUT right
+    ones that share can't be told; the least score from which on none is wrong counts then.
+    """
+    order = np.argsort(-bins)
+    bins, right, n = bins[order], np.cumsum(right[order]), np.cumsum(n[order])
+    rare = not len(n) or right[-1] < LEAST_HELD_OUT
+    if rare:
+        wrong = bins[right < n]
+        return 1 / (1 + np.exp(-max((wrong[0] + 1) / BINS if len(wrong) else 0, 0)))
+    good = np.flatnonzero((right >= PRECISION * n) & (right >= LEAST_HELD_OUT))
+    return 1 / (1 + np.exp(-max(bins[good[-1]] / BINS, 0))) if len(good) else 2.0
+
 
-    rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "h long, x array<double>, y double").orderBy("h", "y").limit(sample).toArrow()
+def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The trees and the thresholds by kind, from candidates with weak labels.
+
+    All documents give candidates. The trees see of each kind about `sample` of those that
+    aren't held out, half of each label if there are as many, by the smallest hashes, so
+    that the sample is the same in each run. Thresholds come from all that are held out,
+    as counts by kind and score.
+    """
+    found = written(candidates(docs, text_col), "pii-candidates")
+    fit = found.filter(F.col("h") % HELD_OUT != 0)
+    few = F.lit(False)
+    for kind, label, n in fit.groupBy("kind", "y").count().collect():
+        few |= (F.col("kind") == kind) & (F.col("y") == label) & (F.col("h") <= min((1 << 63) - 1, (1 << 63) * (sample // 2) // n))
+    rows = fit.filter(few).select("h", "x", "y").toArrow()
     h = rows["h"].to_numpy().astype(np.int64)
     width = len(features("0", 0, 0, 1))
     x, y = np.array(rows["x"].to_pylist(), float).reshape(len(h), width), rows["y"].to_numpy().astype(float)
-    order = np.lexsort((*x.T, h)) if len(h) else np.zeros(0, int)
-    h, x, y = h[order], x[order], y[order]
-    held = h % HELD_OUT == 0
-    model = boost.fit(x[~held], y[~held])
-    p = boost.predict(model, x[held])
-    limits = np.full(len(KINDS), 2.0)
-    for kind in range(len(KINDS)):
-        own = np.flatnonzero(x[held][:, 0] == kind) if len(h) else np.zeros(0, int)
-        own = own[np.argsort(-p[own], kind="stable")]
-        right = np.cumsum(y[held][own]) / np.arange(1, len(own) + 1)
-        good = np.flatnonzero((right >= PRECISION) & (np.cumsum(y[held][own]) >= LEAST_HELD_OUT))
-        if len(good):
-            limits[kind] = max(float(p[own[good[-1]]]), 0.5)
-    return model, limits
+    order = np.argsort(h)
+    model = boost.fit(x[order], y[order])
+    learned = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = boost.predict(learned.value, np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, width))
+            bins = np.floor(np.clip(np.log(p / np.maximum(1 - p, 1e-300)), -30, 30) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(bins), batch.column("y")], names=["kind", "bin", "y"])
+
+    held = found.filter(F.col("h") % HELD_OUT == 0).select("kind", "x", "y").mapInArrow(score, "kind int, bin int, y double")
+    counts = np.array([tuple(r) for r in held.groupBy("kind", "bin").agg(F.sum("y"), F.count("*")).collect()], float).reshape(-1, 4)
+    return model, np.array([limit_of(*counts[counts[:, 0] == kind, 1:].T) for kind in range(len(KINDS))])
 
 
 def selected(text: str, base: list[tuple[int, int, int]], spans: list[tuple[int, int, int]], scores: np.ndarray, limits: np.ndarray) -> list[tuple[int, int, int]]:
@@ -175,8 +208,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base_spans are the checked patterns' matches in the whole text, leftmost and not
     overlapping within a kind; spans adds what the trees select. Null and empty texts
     have none; repeated rows have equal results; an empty table gives an empty result
-    and other columns are not read. Nothing is shuffled: documents are read once for the
-    sample and once for the spans.
+    and other columns are not read. Documents are read once for the candidates, of which
+    the distinct ones are shuffled as narrow rows, and once for the spans.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -147,6 +147,37 @@ def test_pii_query(spark):
     assert found > 100 and found == secrets
 
 
+def test_pii_small_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = {}
+    for r in docs.select("doc_id", "text").collect():
+        text = r["text"] or ""
+        for a, kind, b in pii.proposed(text):
+            if kind == 4 and re.search(r"(?i)token = \"$", text[:a]):
+                expected.setdefault(r["doc_id"], set()).add((a, "secret", b))
+    found = {r["doc_id"]: {(s["start"], s["kind"], s["end"]) for s in r["spans"]} - {(s["start"], s["kind"], s["end"]) for s in r["base_spans"]} for r in pii.find_pii(docs).collect()}
+    assert len(expected) > 5
+    assert {k: v for k, v in found.items() if v} == expected
+
+
+def test_pii_copies_count_once(spark):
+    secret = lambda k: f"{'x' * (k % 7)} token = \"ab{k:04}cd{k * 7919 % 10007:05}ef\" and /path/to/file{k:04}/number"
+    texts = [secret(k) for k in range(200)]
+    once = pii.fitted(spark.createDataFrame([(t,) for t in texts], "text string"))
+    often = pii.fitted(spark.createDataFrame([(t,) for t in texts + [texts[3]] * 500], "text string"))
+    assert once[1].tolist() == often[1].tolist() and all((once[0][k] == often[0][k]).all() for k in once[0])
+    assert pii.fitted(spark.createDataFrame([(t,) for t in texts], "text string"), sample=20)[1][4] < 1
+
+
+def test_limits():
+    bins = np.array([100, 50, 0, -50])
+    assert pii.limit_of(bins, np.array([400, 90, 0, 1]), np.array([400, 100, 50, 900])) == pytest.approx(1 / (1 + np.exp(-1)))
+    assert pii.limit_of(bins, np.array([3, 0, 0, 0]), np.array([3, 0, 0, 900])) == 0.5  # rare: from where none is wrong
+    assert pii.limit_of(bins, np.array([3, 2, 0, 0]), np.array([3, 3, 0, 900])) == pytest.approx(1 / (1 + np.exp(-51 / 50)))
+    assert pii.limit_of(bins, np.array([30, 30, 30, 0]), np.array([60, 60, 60, 0])) == 2.0  # never right enough
+    assert pii.limit_of(bins[:0], bins[:0], bins[:0]) == 0.5
+
+
 def test_pii_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0), (None, "a@b.cc", 0), (2, "", 0), (2, "1" * 50_000, 0)], "doc_id long, text string, spans int")
     rows = pii.find_pii(docs).collect()

@@ -34,7 +34,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-WORTH_A_LOOK = re.compile(r"[0-9@]")
+# Each match of a checked pattern or generator has one of these.
+WORTH_A_LOOK = re.compile(r"[0-9@]|[(\[]at[)\]]|eyJ")
 
 
 def luhn(digits: str) -> bool:
@@ -79,12 +80,37 @@ GENERATORS = (
     (1, re.compile(r"(?<![0-9.])[0-9]{1,5}(?:\.[0-9]{1,5}){3}(?![0-9])")),
     (2, re.compile(r"(?<![0-9])[0-9]{2,6}(?:[ .-]?[0-9]{2,6}){2,6}(?![0-9])")),
     (3, re.compile(r"(?<![0-9])[+(]?[0-9]{1,4}[ ().-]{0,2}[0-9]{2,4}(?:[ ).-]{1,2}[0-9]{2,4}){1,3}(?![0-9])")),
-    (4, re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,60}[0-9])[A-Za-z0-9_/+-]{16,128}(?![A-Za-z0-9_/+-])")),
+    (4, re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+")),
+    (4, re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]{10,}+){1,4}+(?![A-Za-z0-9_-])")),
 )
+#: Well-known forms of secrets: signed web tokens and keys with a service's prefix.
+KNOWN_SECRET = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)?|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[A-Za-z0-9_-]{20,}")
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+CARD_GROUPS = re.compile(r"[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ .-])[0-9]{6}\2[0-9]{5}")
+DATE = re.compile(r"(?:[0-9]{4}[ .-][0-9]{1,2}[ .-][0-9]{1,2}|[0-9]{1,2}[ .-][0-9]{1,2}[ .-][0-9]{4})(?:[ .-].*)?")
 ASSIGNED = re.compile(r"(?i)(?:token|api.?key|secret|passw(?:or)?d|access.?key)\W{0,3}[=:]\W{0,3}$")
 CONTEXT = tuple(re.compile(p) for p in (r"(?i)(?:mail|contact)\W*\w{0,10}\W*$", r"(?i)(?:\bip|host|server|addr)\w*\W*$", r"(?i)(?:card|visa|credit|account)\w*\W*\w{0,8}\W*$", r"(?i)(?:phone|tel|call|mobile|fax)\w*\W*\w{0,8}\W*$", r"(?i)(?:token|key|secret|passw)\w*\W*$"))
 
 
+def plain_address(span: str) -> str:
+    """An address with (at), [dot] and the like undone."""
+    return re.sub(r" ?(?:\(dot\)|\[dot\]|\.) ?", ".", re.sub(r" ?(?:\(at\)|\[at\]|@) ?", "@", span))
+
+
+def well_formed(span: str, kind: int) -> bool:
+    """Whether a proposed span passes its kind's check, once obfuscation and separators are undone; whatever stands around it."""
+    digits = re.sub("[^0-9]", "", span)
+    if kind == 0:
+        return bool(ADDRESS.fullmatch(plain_address(span)))
+    if kind == 1:
+        return all(int(p) <= 255 for p in span.split("."))
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == 3:
+        return 7 <= len(digits) <= 15 and not DATE.fullmatch(span) and not re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", span)
+    return bool(KNOWN_SECRET.fullmatch(span))
+
+
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
     """Format and context of a proposed span, as numbers."""
     span, before = text[start:end], text[max(0, start - 24) : start]
@@ -105,19 +131,34 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(before[-1:].isalnum()),
         float(bool(re.search(r"[=:]\W{0,3}$", before))),
         float(bool(CONTEXT[kind].search(before))),
+        float(well_formed(span, kind)),
+        float("(at)" in span or "[at]" in span),
+        float(bool(CARD_GROUPS.fullmatch(span))),
     ]
 
 
 def proposed(text: str) -> list[tuple[int, int, int]]:
-    return [(m.start(), kind, m.end()) for kind, shape in GENERATORS for m in shape.finditer(text)]
+    """(start, kind, end) of what the generators find; secrets have a digit or a well-known form."""
+    found = [(m.start(), kind, m.end()) for kind, shape in GENERATORS for m in shape.finditer(text)]
+    return [s for s in found if s[1] != 4 or re.search("[0-9]", text[s[0] : s[2]]) or KNOWN_SECRET.fullmatch(text, s[0], s[2])]
 
 
 def weak_label(text: str, span: tuple[int, int, int], base: set[tuple[int, int, int]]) -> float:
-    """1 for spans that a check confirms (a checked pattern, or a value assigned to a secret's name), else 0."""
+    """1 for spans that a check confirms, else 0.
+
+    That is a checked pattern; or a well-formed span with a sign of its kind: an address
+    with (at) or behind a word for mail, a card in the groups of cards or behind a word
+    for cards, a phone number behind a word for phones; or a secret of a well-known form
+    or assigned to a secret's name.
+    """
     start, kind, end = span
+    before, own = text[max(0, start - 24) : start], text[start:end]
     if kind == KINDS.index("secret"):
-        return float(bool(ASSIGNED.search(text[max(0, start - 24) : start])))
-    return float(any(k == kind and a <= start and end <= b for a, k, b in base))
+        return float(well_formed(own, kind) or bool(ASSIGNED.search(before)))
+    if any(k == kind and a <= start and end <= b for a, k, b in base):
+        return 1.0
+    sign = CONTEXT[kind].search(before) or (kind == 0 and re.search(r"[(\[]at[)\]]", own)) or (kind == 2 and CARD_GROUPS.fullmatch(own))
+    return float(bool(sign) and well_formed(own, kind))
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -160,6 +160,34 @@ def test_pii_small_corpus(spark):
     assert {k: v for k, v in found.items() if v} == expected
 
 
+def test_pii_beyond_checked_patterns(spark):
+    def card(k):
+        body = f"4{k * 104729 % 10**7:07}{k * 7919 % 10**7:07}"
+        full = body + next(d for d in "0123456789" if pii.luhn(body + d))
+        return ".".join(full[i : i + 4] for i in range(0, 16, 4))
+
+    spread = lambda k, n: "".join(f"{(k + 1) * 7919 * (i + 3) % 99991:x}g" for i in range(n))
+    made = {
+        "email": lambda k: ("write to ", f"user{k} (at) host{k} (dot) org" if k % 2 else f"{'abcdefghij'[k % 10]}x [at] example.net"),
+        "phone": lambda k: ("phone ", f"{200 + k}-{300 + k}-{1000 + 7 * k}"),
+        "card": lambda k: ("paid by ", card(k)),
+        "secret": lambda k: ("token = '", spread(k, 60)) if k % 3 == 0 else ("token = '", "Q" * 70 + spread(k, 6)) if k % 3 == 1 else ("see ", f"eyJ{spread(k, 5)}.eyJ{spread(k, 9)}.{spread(k, 8)}"),
+    }
+    rows, expected = [], []
+    for k in range(120):
+        for kind, make in made.items():
+            before, value = make(k)
+            rows.append((len(rows), f"{before}{value}"))
+            expected.append({(len(before), kind, len(before) + len(value))})
+        rows += [(len(rows) + i, x) for i, x in enumerate((f"page {k} of 2024-01-{k % 28 + 1:02}", f"path/of/some/file/number{k}/", f"sum {1234567890123450 + k}"))]
+        expected += [set()] * 3
+    found = {r["doc_id"]: {(s["start"], s["kind"], s["end"]) for s in r["spans"]} for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [(text, found[k], expected[k]) for k, text in rows if found[k] != expected[k] and expected[k]]
+    assert not wrong, (len(wrong), wrong[:5])
+    assert sum(bool(found[k]) for k, _ in rows if not expected[k]) <= 120 // 8  # one number in ten has a card's checksum, which is the base pattern's rule
+    assert pii.proposed("1" + "a" * 300_000) == [(0, 4, 300_001)] and not pii.proposed("a." * 100_000)
+
+
 def test_pii_copies_count_once(spark):
     secret = lambda k: f"{'x' * (k % 7)} token = \"ab{k:04}cd{k * 7919 % 10007:05}ef\" and /path/to/file{k:04}/number"
     texts = [secret(k) for k in range(200)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import whole_text, written
+from eventloom.llm.common import small_side, whole_text, written
 
 #: Spellings that count as the same.
 SPELLINGS = (
@@ -68,6 +70,37 @@ NOTICES = {
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License."),
 }
 
+#: Titles that MIT and ISC texts carry or leave out.
+TITLES = {"MIT": ("", "The MIT License ", "The MIT License (MIT) ", "MIT License (MIT) "), "ISC": ("", "The ISC License ", "ISC License (ISC) ", "The ISC License (ISC) ")}
+
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "{2}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+
+
+def more_texts() -> list[tuple[str, str]]:
+    """Known whole texts beyond TEXTS: other titles, BSD, and those in known_licenses, each also without its appendix."""
+    out = [(name, title + TEXTS[name].removeprefix(f"{name} License ")) for name, titles in TITLES.items() for title in titles]
+    for title in ("", "{} License "):
+        for numbers in (("1. ", "2. ", "3. "), ("", "", "")):
+            out.append(("BSD-2-Clause", title.format("BSD 2-Clause") + _BSD.format(*numbers[:2], "")))
+            out.append(("BSD-3-Clause", title.format("BSD 3-Clause") + _BSD.format(*numbers[:2], numbers[2] + _NAMES)))
+    for path in sorted((Path(__file__).parent / "known_licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        if rest.strip():
+            out += [(path.stem, terms + end), (path.stem, terms)]
+    return out
+
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one space for any run of other than letters and digits, one spelling."""
@@ -82,15 +115,27 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def _digested(known: DataFrame) -> DataFrame:
+    return known.select("license", "kind", digest(F.col("text")).alias("digest"))
+
+
+def known_texts(spark: SparkSession) -> DataFrame:
+    """The known texts and notices: license, kind (text or notice), text."""
+    rows = [(name, "text", text) for name, text in [*TEXTS.items(), *more_texts()]] + [(name, "notice", text) for name, texts in NOTICES.items() for text in texts]
+    return spark.createDataFrame(rows, "license string, kind string, text string")
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
-    """The known texts and notices by digest: as many rows as the lists above have."""
-    rows = [(name, "text", text) for name, text in TEXTS.items()] + [(name, "notice", text) for name, texts in NOTICES.items() for text in texts]
-    return spark.createDataFrame(rows, "license string, kind string, text string").select("license", "kind", digest(F.col("text")).alias("digest"))
+    """The known texts and notices by digest."""
+    return _digested(known_texts(spark)).distinct()
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """Look each whole text and each of its lines up among the known digests.
 
+    known is a table of license, kind (text or notice) and text, known_texts() unless given;
+    licenses whose texts have one digest are listed together, comma-joined.
+
     Returns one row per input row: doc_id, text_license (the known text that the whole
     text equals, else null), notices (the licenses of its lines that equal a known notice,
     sorted, comma-joined, else empty), n_notices (long, such lines). Only texts and lines
@@ -101,15 +146,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     other columns are not read.
     """
     text = whole_text(text_col)
-    marked = lambda c: F.lower(c).rlike(MARKERS)
+    known = known_texts(docs.sparkSession) if known is None else known
+    every = known.filter(~F.coalesce(F.lower("text").rlike(MARKERS), F.lit(False))).isEmpty()
+    marked = lambda c: F.lower(c).rlike(MARKERS) if every else F.lit(True)
     lines = F.transform(F.filter(F.split(text, "\n", -1), marked), digest)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(marked(text), digest(text)).alias("whole"), F.when(marked(text), lines).otherwise(F.array().cast("array<string>")).alias("lines"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "license-digests")
-    known = F.broadcast(known_digests(docs.sparkSession))
-    texts = known.filter("kind = 'text'").select(F.col("digest").alias("whole"), F.col("license").alias("text_license"))
-    notices = known.filter("kind = 'notice'").select(F.col("digest").alias("line"), "license")
-    some = rows.filter("whole is not null").join(F.broadcast(texts), "whole", "left")
-    some = some.select("row", "doc_id", "text_license", F.explode_outer("lines").alias("line")).join(F.broadcast(notices), "line", "left")
-    some = some.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_license").alias("text_license"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count("license").alias("n_notices"))
+    known = written(_digested(known).groupBy("kind", "digest").agg(F.array_sort(F.collect_set("license")).alias("licenses")), "license-known")
+    texts = small_side(known.filter("kind = 'text'").select(F.col("digest").alias("whole"), F.array_join("licenses", ",").alias("text_license")))
+    notices = small_side(known.filter("kind = 'notice'").select(F.col("digest").alias("line"), "licenses"))
+    some = rows.filter("whole is not null").join(texts, "whole", "left")
+    some = some.select("row", "doc_id", "text_license", F.explode_outer("lines").alias("line")).join(notices, "line", "left")
+    names = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("licenses")))), ",")
+    some = some.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_license").alias("text_license"), names.alias("notices"), F.count("licenses").alias("n_notices"))
     none = rows.filter("whole is null").select("doc_id", F.lit(None).cast("string").alias("text_license"), F.lit("").alias("notices"), F.lit(0).cast("long").alias("n_notices"))
     return none.unionByName(some.drop("row"))

@@ -151,6 +151,26 @@ def test_licenses(spark, odd):
     assert all(re.search(licenses.MARKERS, t.lower()) for t in every)
 
 
+def test_more_licenses(spark):
+    from pathlib import Path
+
+    files = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "known_licenses").glob("*.txt")}
+    body = licenses.TEXTS["MIT"].removeprefix("MIT License ")
+    texts = [("MIT", "Copyright (c) 2020 A. Person\n\n" + body), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A\n" + body), ("ISC", licenses.TEXTS["ISC"].removeprefix("ISC License "))]
+    texts += [*files.items(), ("Apache-2.0", files["Apache-2.0"].split("APPENDIX")[0]), ("BSD-3-Clause", next(t for n, t in licenses.more_texts() if n == "BSD-3-Clause").replace("3. ", "* "))]
+    texts[-1] = (texts[-1][0], texts[-1][1].replace("1. ", "* ").replace("2. ", "* "))
+    rows = licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(files) == 13 and {r["doc_id"]: r["text_license"] for r in rows} == {k: n for k, (n, _) in enumerate(texts)}
+
+
+def test_own_licenses(spark):
+    own = spark.createDataFrame([("A", "text", "Do as you like."), ("B", "text", "do as YOU like"), ("C", "notice", "Use it well")], "license string, kind string, text string")
+    docs = spark.createDataFrame([(1, "Do as you like!"), (2, "x\nuse it, well\nuse it well"), (3, licenses.TEXTS["MIT"]), (4, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(docs, known=own).collect()}
+    assert rows == {1: ("A,B", "", 0), 2: (None, "C", 2), 3: (None, "", 0), 4: (None, "", 0)}
+    assert {r["text_license"] for r in licenses.scan(docs, known=own.limit(0)).collect()} == {None}
+
+
 TURNS = "pair_id long, turn long, role string, text string, part string, c int"
 
 

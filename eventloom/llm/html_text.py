@@ -32,6 +32,8 @@ MAIN = frozenset("article main".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIDE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo recommended related remark reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+ALWAYS_SIDE = frozenset("ad ads advert advertisement adverts comment comments disqus related remark reply replies respond share sharing".split())
+FLAG_WORDS = frozenset("has no with without".split())
 WRAPPER_WORDS = frozenset("article body container content has layout main no page post story text with without wrap wrapper".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 PLACES = np.frombuffer(b"".join(hashlib.blake2b(b"%d" % k, digest_size=16).digest() for k in range(MIN_RUN)), np.uint64).reshape(MIN_RUN, 2) | np.uint64(1)
@@ -68,8 +70,11 @@ class _Blocks(HTMLParser):
             return OUT
         named = dict(attrs)
         role = (named.get("role") or "").lower()
-        words = set(re.split(r"[^a-z0-9]+", f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
-        side = bool(words & SIDE_WORDS) and not words & WRAPPER_WORDS
+        names = [re.split(r"[^a-z0-9]+", name) for name in f"{named.get('class') or ''} {named.get('id') or ''}".lower().split()]
+        words = {w for name in names for w in name}
+        # what follows a flag, as in has-comments, is said of the element's surroundings or parts
+        own = {w for name in names for k, w in enumerate(name) if not FLAG_WORDS & set(name[:k])}
+        side = bool(own & ALWAYS_SIDE) or bool(words & SIDE_WORDS) and not words & WRAPPER_WORDS
         if tag not in ("html", "body") and (side or role in ROLES or "hidden" in named):
             return OUT
         if tag in MAIN or role in ("main", "article"):

@@ -23,6 +23,12 @@ def test_structure():
     assert html_text.page_blocks("<p>a</p><p>b") == [("a", html_text.OPEN), ("b", html_text.OPEN)]
 
 
+def test_side_words():
+    kept = lambda name: [t for t, says in html_text.page_blocks(f'<article><p>Text</p><div class="{name}"><p>Other</p></div></article>') if says == html_text.IN]
+    assert all(kept(x) == ["Text"] for x in ("post-comments", "article-comments", "story-related", "page-share", "text-ad", "main comments", "cookie-notice"))
+    assert all(kept(x) == ["Text", "Other"] for x in ("has-sidebar", "with-nav", "navbar container", "content has-comments", "post-with-ads", "page no-share", "lead"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=30), max_size=5))
 def test_repeats(pages):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[ \t-\r]+"
 
-#: Rows that may be sent to every executor: a long key and a few numbers each, so under about 64 MB.
+#: Bounds on what may be sent to every executor: rows, and bytes of their values.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64_000_000
 
 
 def whole_text(text: str = "text") -> Column:
@@ -33,13 +35,16 @@ def without_spaces(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a folder of our own is made and set for the session.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and all tasks
+    run in this process, as in tests on one machine, a folder of our own is made and set
+    for the session; on a cluster such a folder would be another one on each machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("eventloom.shared.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("eventloom.shared.dir", named)
     return named.rstrip("/")
@@ -88,13 +93,40 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow side of a join for broadcast if it has at most so many rows.
-
-    The rows are counted first; a larger side stays as it is and the join shuffles,
-    where adaptive execution splits the skewed partitions.
+def value_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values take: texts, binaries and arrays by their length, other values 8."""
+    sizes = []
+    for f in df.schema.fields:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)) + 8)
+        elif kind == "array<string>":
+            sizes.append(F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) + 8 * F.greatest(F.size(c), F.lit(1)))
+        elif kind.startswith("array"):
+            sizes.append(8 + 8 * F.greatest(F.size(c), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    total = sizes[0]
+    for size in sizes[1:]:
+        total = total + size
+    return total.cast("long")
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a side of a join for broadcast if it has at most so many rows and bytes of values.
+
+    Both are measured first, as one partial aggregate over the narrow side; a larger one
+    stays as it is and the join shuffles, where adaptive execution splits the skewed
+    partitions.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, taken = df.agg(F.count("*"), F.coalesce(F.sum(value_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and taken <= size else df
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of what a DataFrame reads, as the optimizer estimates it from the files; 0 if it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame:

@@ -7,6 +7,7 @@ filters are intersected before any two sets are compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +15,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import dropped, small_batches, small_side, whole_text, written
+from eventloom.llm.common import dropped, input_bytes, small_batches, small_side, whole_text, written
 from eventloom.llm.components import components
 
 #: Query parameters: words in a shingle, least Jaccard similarity in percent.
 SHINGLE_WORDS = 4
 PERCENT = 85
-#: Bounds on memory, not on results: tokens that are counted at once, frequent tokens known to every task.
+#: Bounds on memory, not on results: tokens that are counted at once, fingerprints that a task merges at once, frequent tokens known to every task.
 CHUNK_TOKENS = 2_000_000
+MERGED_PRINTS = 4_000_000
 FREQUENT_TOKENS = 1_000_000
+#: Bytes of input for each range of fingerprints, and the most ranges, so that a chunk's part of a range is worth a row.
+RANGE_BYTES = 4_000_000
+MOST_RANGES = 1 << 16
 #: Bytes of a token by which it is counted.
 PRINT_BYTES = 5
 #: Documents that a token's count must reach before it moves to the end of the orders.
@@ -156,13 +161,22 @@ def _signatures(ranges: int, size: int):
     return run
 
 
+def _summed(prints: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints, sorted, with the sums of their counts."""
+    found, place = np.unique(np.concatenate(prints), return_inverse=True)
+    return found, np.bincount(place, np.concatenate(times), len(found)).astype(np.int64)
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range: documents as they are, and the fingerprints of each range that are frequent, with their counts."""
-    key, prints, times = None, [], []
+    """Rows sorted by range: documents as they are, and the fingerprints of each range that are frequent, with their counts.
+
+    Chunks are summed as they come, so a task holds a range's distinct fingerprints and
+    MERGED_PRINTS more at most.
+    """
+    key, prints, times, waiting = None, [], [], 0
 
     def frequent() -> pa.RecordBatch:
-        found, place = np.unique(np.concatenate(prints), return_inverse=True)
-        counts = np.bincount(place, np.concatenate(times)).astype(np.int64)
+        found, counts = _summed(prints, times)
         found, counts = found[counts >= FREQUENT_FROM], counts[counts >= FREQUENT_FROM]
         none = pa.nulls(len(found))
         return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), _signed(found), pa.array(counts)], names=["doc_id", "n", "sig", "print", "count"])
@@ -175,11 +189,15 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, single, many, often in zip(*(rest.column(c).to_pylist() for c in ("key", "single", "many", "times"))):
             if k != key and prints:
                 yield frequent()
-                prints, times = [], []
+                prints, times, waiting = [], [], 0
             key = k
             once = _unpacked(single) if single else np.zeros(0, np.uint64)
             prints += [once, np.array(many, np.int64).view(np.uint64)]
             times += [np.ones(len(once), np.int64), np.array(often, np.int64)]
+            waiting += len(once) + len(many)
+            if waiting > MERGED_PRINTS:
+                found, counts = _summed(prints, times)
+                prints, times, waiting = [found], [counts], 0
     if prints:
         yield frequent()
 
@@ -324,22 +342,32 @@ def _with_centre(rows: DataFrame, order: Column, percent: int) -> DataFrame:
     return met.select(*_as_pairs("x", "c")).distinct()
 
 
-def _next_pairs(now: DataFrame, turn: int, last: bool, percent: int) -> DataFrame:
+def _next_pairs(now: DataFrame, turn: int, last: bool, percent: int, second: DataFrame | None = None) -> DataFrame:
     """Pairs of rows of a token (token, node, n, pos, component) from different components.
 
     main is a token's component with the most rows, guests are the rows of its others.
-    Unless it is the last turn, guests meet one member of main only; then they meet every
-    row. Both are joins on the token, whose large partitions adaptive execution splits.
+    Unless it is the last turn, guests meet one member of main only. Then they meet every
+    row of the token or, where these would be many, those with which they also share a
+    token of the second order's prefix (second: node, token2) and whose set is of like
+    size: both are part of the key then, so no pair is made of a token alone. All are
+    joins on keys, whose large partitions adaptive execution splits.
     """
     sizes = now.groupBy("token", "component").count()
     main = sizes.groupBy("token").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("m.component").alias("main"))
     marked = now.join(main, "token")
     guests = marked.filter("component <> main").alias("x")
     if last:
-        others = marked.alias("y")
-        differ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        met = guests.join(others, (F.col("x.token") == F.col("y.token")) & differ & _near_rows("x", "y", percent))
-        return met.select(*_as_pairs("x", "y")).distinct()
+        x, y, keys = marked, marked, ["token"]
+        if second is not None:
+            # sizes whose ratio is percent or more are in the same step or in neighbours
+            width = max(-1.000001 * log(percent / 100), 1e-6)
+            x = marked.join(second, "node").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)))
+            y, keys = x.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))), ["token", "token2", "step"]
+        x, y = x.filter("component <> main").alias("x"), y.alias("y")
+        met = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _near_rows("x", "y", percent)
+        for key in keys:
+            met &= F.col(f"x.{key}") == F.col(f"y.{key}")
+        return x.join(y, met).select(*_as_pairs("x", "y")).distinct()
     first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "pos")).alias("c")
     centre = marked.filter("component = main").groupBy("token").agg(first).select("token", "c.node", "c.n", "c.pos").alias("y")
     met = guests.join(centre, (F.col("x.token") == F.col("y.token")) & _near_rows("x", "y", percent))
@@ -349,9 +377,15 @@ def _next_pairs(now: DataFrame, turn: int, last: bool, percent: int) -> DataFram
 def _shares_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose prefixes also meet under the second and the third order."""
     for batch in batches:
-        keep = []
-        for x2, y2, x3, y3 in zip(*(batch.column(c).to_pylist() for c in ("a_second", "b_second", "a_third", "b_third"))):
-            keep.append(all(np.isin(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)).any() for x, y in ((x2, y2), (x3, y3))))
+        keep = np.ones(batch.num_rows, bool)
+        for order in ("second", "third"):
+            sides = []
+            for end in ("a", "b"):
+                column = batch.column(f"{end}_{order}")
+                row = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), pc.binary_length(column).to_numpy() // 4)
+                sides.append(np.frombuffer(b"".join(column.to_pylist()), np.uint32).astype(np.uint64) | row << np.uint64(32))
+            met = np.intersect1d(*sides) >> np.uint64(32)
+            keep &= np.bincount(met.astype(np.int64), minlength=batch.num_rows) > 0
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -383,8 +417,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when 100 * intersection >= percent * union of their shingle sets;
     component_id is the smallest id reachable by links. Texts without words have no
     shingles and link with nothing; null texts count as empty. Rows without an id get no
-    component; a repeated id stands for all its texts' links. An empty table gives an
-    empty result; other columns are not read.
+    component. Each row is judged by its own text: rows that share an id but no text are
+    not linked by it, repeated rows are copies of each other, as many as there may be. An
+    empty table gives an empty result; other columns are not read.
 
     1. Equal sets become one class by signature; only one document of a class goes on.
     2. Each class gives the prefix of its set under a first token order, rare tokens
@@ -396,16 +431,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        compared as whole sets, and links become components.
     4. In large buckets a member of the largest component is tried with all members of
        other components, again and again, until few pairs are open; those are all tried.
-       Then every pair that shares a prefix token is linked, compared or connected.
+       Where it doesn't come to that, the ones that share prefix tokens under the first
+       and the second order at once are. Then every pair that shares prefix tokens is
+       linked, compared or connected.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    ranges = 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, input_bytes(rows) // RANGE_BYTES))
+    ranges = 1 << max(8, ranges.bit_length())
     both = rows.mapInArrow(_signatures(ranges, size), SEEN).repartition("key").sortWithinPartitions("key")
     both = written(both.mapInArrow(_merged, "doc_id long, n long, sig binary, print long, count long"), "join-signatures")
     sets = both.filter("sig is not null").select("doc_id", "n", "sig")
-    classes = written(sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "join-classes")
+    by_id = sets.filter("n > 0").groupBy("sig", "doc_id").agg(F.count("*").alias("times"), F.first("n").alias("n"))  # spreads the rows of a large class
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "times"))).alias("f")
+    classes = by_id.groupBy("sig").agg(first, F.first("n").alias("n")).select("sig", F.col("f.doc_id").alias("first_id"), F.col("f.times").alias("times"), "n")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
     frequent = spark.sparkContext.broadcast(frequent_tokens(both.filter("print is not null").select("print", "count")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,8 +461,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # joined afterwards: prefixes are a fraction of the texts, in case the classes are too many to broadcast
     prefixed = rows.mapInArrow(prefixes, "doc_id long, sig binary, n long, first array<long>, cold int, second binary, third binary").filter("n > 0")
-    own = classes.select("node", F.col("first_id").alias("doc_id"), "sig")
+    own = classes.select("node", F.col("first_id").alias("doc_id"), "sig", (F.col("times") > 1).alias("again"))
     prefixed = written(prefixed.join(small_side(own), ["doc_id", "sig"]).drop("doc_id", "sig"), "join-prefixes")
+    twice = prefixed.filter("again").dropDuplicates(["node"])  # a repeated row stands in the classes once
+    if not twice.isEmpty():
+        prefixed = written(prefixed.filter("not again").unionByName(twice), "join-prefixes")
     exploded = prefixed.select("node", "n", "cold", F.posexplode("first").alias("pos", "token"))
     buckets = exploded.filter("pos < cold").select("node", "n", "pos", "token").repartition("token").sortWithinPartitions("token", "node")
     met = written(buckets.mapInArrow(_first_pairs(percent), "token long, a long, b long, n long, pos int"), "join-met")
@@ -444,14 +488,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = linked(pairs, "join-first")
     connected = written(components(links), "join-connected")
     found_any = True
+    second = prefixed.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.octet_length("second"), F.lit(4)), lambda i: F.substring("second", i, F.lit(4)))).alias("token2"))
     for turn in range(STAR_ROUNDS + 1):
         now = written(open_rows.join(connected, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-now")
         kept = now.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"))
         rows_left, pairs_left = kept.filter("all * all > within").agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.lit(0.0))).first()
         if not rows_left:
             break
-        last = pairs_left <= OPEN_PAIRS * rows_left or turn == STAR_ROUNDS or not found_any
-        more = written(_next_pairs(now, turn, last, percent).join(pairs, ["a", "b"], "left_anti"), "join-more")
+        few = pairs_left <= OPEN_PAIRS * rows_left
+        last = few or turn == STAR_ROUNDS or not found_any
+        more = written(_next_pairs(now, turn, last, percent, None if few else second).join(pairs, ["a", "b"], "left_anti"), "join-more")
         again = linked(more, "join-again")
         found_any = not again.isEmpty()
         pairs = pairs.unionByName(more)

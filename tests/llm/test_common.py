@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from eventloom.llm import common
 
 
@@ -17,3 +19,27 @@ def test_written_tables(spark):
 def test_small_sides_are_counted(spark):
     plan = lambda rows: spark.range(9).join(common.small_side(spark.range(5), rows), "id")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(5) and "broadcast" not in plan(4)
+
+
+def test_small_sides_are_weighed(spark):
+    rows = spark.createDataFrame([(1, "x" * 100, ["a", "bc"], [1, 2, 3]), (2, None, None, None)], "id long, s string, t array<string>, n array<long>")
+    assert [r[0] for r in rows.select(common.value_bytes(rows)).collect()] == [8 + 108 + 19 + 32, 8 + 8 + 8 + 8]
+    plan = lambda size: rows.join(common.small_side(rows, size=size), "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(199) and "broadcast" not in plan(198)
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.shared_dir(Session) == common.shared_dir(Session)
+
+
+def test_input_size(spark, sf):
+    assert common.input_bytes(spark.read.parquet(f"{sf}/documents.parquet")) >= os.path.getsize(f"{sf}/documents.parquet") // 2

@@ -1,13 +1,15 @@
 """Personal data: generators propose spans, boosted trees weigh them, calibrated thresholds select.
 
 Checked patterns (address shapes, checksums, ranges) are always reported; the trees add
-spans that no checked pattern covers.
+spans that no checked pattern covers. What labels the training spans (checks, words that
+announce a kind) is no feature of the trees.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,28 +114,51 @@ def well_formed(span: str, kind: int) -> bool:
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
-    """Format and context of a proposed span, as numbers."""
-    span, before = text[start:end], text[max(0, start - 24) : start]
-    digits = re.sub("[^0-9]", "", span)
-    parts = span.split(".")
+    """Format and context of a proposed span, as numbers.
+
+    What labels are made of stays out: no checksum, no range, no word before the span.
+    """
+    span, before, after = text[start:end], text[max(0, start - 4) : start], text[end : end + 1]
+    groups = re.findall("[0-9]+", span)
+    sizes = [len(g) for g in groups] or [0]
+    digits, letters = sum(sizes), sum(c.isalpha() for c in span)
+    parts = [len(p) for p in span.split(".")]
+    lead = re.match("[a-z]*[A-Z]*", span)[0]
+    opening = re.search(r"[=:]\W*$", before)
     return [
         kind,
         len(span),
-        len(digits),
-        len(digits) / len(span),
-        float(12 <= len(digits) <= 19 and luhn(digits)),
+        digits,
+        digits / len(span),
+        letters / len(span),
+        (len(span) - digits - letters) / len(span),
+        len(groups),
+        max(sizes),
+        min(sizes),
+        sizes[0],
+        sizes[-1],
+        len(parts) - 1,
+        max(parts),
+        min(parts),
+        len(lead),
+        sum(c.isupper() for c in lead),
+        span.count("_"),
+        span.count("-"),
+        span.count(" "),
+        span.count("/"),
+        span.count("@"),
+        sum(span.count(c) for c in "([") + before[-1:].count("("),
         float(span.startswith("+") or before.endswith("+")),
-        sum(not c.isalnum() for c in span) / len(span),
-        float(len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)),
-        float("@" in span),
         len(set(span)) / len(span),
         sum(c in "0123456789abcdef" for c in span) / len(span),
+        sum(c.isupper() for c in span) / len(span),
+        sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:])) / len(span),
         float(before[-1:].isalnum()),
-        float(bool(re.search(r"[=:]\W{0,3}$", before))),
-        float(bool(CONTEXT[kind].search(before))),
-        float(well_formed(span, kind)),
-        float("(at)" in span or "[at]" in span),
-        float(bool(CARD_GROUPS.fullmatch(span))),
+        float(before[-1:] in ("", "\n")),
+        float(before[-1:] in ("'", '"', "`")),
+        float(bool(opening)),
+        float(after.isalnum()),
+        float(after in ("'", '"', "`")),
     ]
 
 
@@ -143,26 +168,52 @@ def proposed(text: str) -> list[tuple[int, int, int]]:
     return [s for s in found if s[1] != 4 or re.search("[0-9]", text[s[0] : s[2]]) or KNOWN_SECRET.fullmatch(text, s[0], s[2])]
 
 
-def weak_label(text: str, span: tuple[int, int, int], base: set[tuple[int, int, int]]) -> float:
-    """1 for spans that a check confirms, else 0.
+def eligible(text: str) -> list[tuple[int, int, int]]:
+    """The proposed spans but those that a check refutes; these only serve the trees as counterexamples."""
+    return [s for s in proposed(text) if s[1] == KINDS.index("secret") or well_formed(text[s[0] : s[2]], s[1])]
+
+
+class Covered:
+    """The checked spans of a text by kind, for lookups."""
+
+    def __init__(self, base: list[tuple[int, int, int]]):
+        self.starts: dict[int, list[int]] = {}
+        self.ends: dict[int, list[int]] = {}
+        for a, kind, b in sorted(base):  # spans of one kind don't overlap
+            self.starts.setdefault(kind, []).append(a)
+            self.ends.setdefault(kind, []).append(b)
 
-    That is a checked pattern; or a well-formed span with a sign of its kind: an address
-    with (at) or behind a word for mail, a card in the groups of cards or behind a word
-    for cards, a phone number behind a word for phones; or a secret of a well-known form
-    or assigned to a secret's name.
+    def __contains__(self, span: tuple[int, int, int]) -> bool:
+        start, kind, end = span
+        k = bisect_right(self.starts.get(kind, []), start) - 1
+        return k >= 0 and end <= self.ends[kind][k]
+
+
+def weak_label(text: str, span: tuple[int, int, int], base: Covered) -> float | None:
+    """1 for spans that a check confirms, 0 for those that it refutes, None where it can't tell.
+
+    Confirmed are spans inside a checked pattern; well-formed ones, once obfuscation and
+    separators are undone, with a sign of their kind (an address with (at) or behind a word
+    for mail, a card in the groups of cards or behind a word for cards, a phone number
+    behind a word for phones); and secrets of a well-known form or assigned to a secret's
+    name. Refuted are spans that aren't well-formed, and other secrets. The words and
+    checks that say so are no features, so the trees learn what confirmed spans look like
+    and find those that no word announces.
     """
     start, kind, end = span
     before, own = text[max(0, start - 24) : start], text[start:end]
     if kind == KINDS.index("secret"):
         return float(well_formed(own, kind) or bool(ASSIGNED.search(before)))
-    if any(k == kind and a <= start and end <= b for a, k, b in base):
+    if span in base:
         return 1.0
+    if not well_formed(own, kind):
+        return 0.0
     sign = CONTEXT[kind].search(before) or (kind == 0 and re.search(r"[(\[]at[)\]]", own)) or (kind == 2 and CARD_GROUPS.fullmatch(own))
-    return float(bool(sign) and well_formed(own, kind))
+    return 1.0 if sign else None
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All documents' distinct candidates with weak labels: h (a hash of the span with its surroundings, features and label), kind, x, y.
+    """All documents' distinct labelled candidates: h (a hash of the span with its surroundings, features and label), kind, x, y.
 
     Copies count once, wherever they stand, and a quarter of the hashes is held out.
     """
@@ -172,9 +223,12 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
             rows, labels, at = [], [], []
             for text in batch.column("text").to_pylist():
                 if WORTH_A_LOOK.search(text):
-                    base = set(checked(text))
+                    base = Covered(checked(text))
                     for span in proposed(text):
-                        x, y, (start, _, end) = features(text, span[1], span[0], span[2]), weak_label(text, span, base), span
+                        y, (start, kind, end) = weak_label(text, span, base), span
+                        if y is None:
+                            continue
+                        x = features(text, kind, start, end)
                         rows.append(x)
                         labels.append(y)
                         what = f"{x}{y}{text[max(0, start - 40) : start]}\0{text[start:end]}\0{text[end : end + 40]}"
@@ -198,11 +252,14 @@ def limit_of(bins: np.ndarray, right: np.ndarray, n: np.ndarray) -> float:
         wrong = bins[right < n]
         return 1 / (1 + np.exp(-max((wrong[0] + 1) / BINS if len(wrong) else 0, 0)))
     good = np.flatnonzero((right >= PRECISION * n) & (right >= LEAST_HELD_OUT))
-    return 1 / (1 + np.exp(-max(bins[good[-1]] / BINS, 0))) if len(good) else 2.0
+    if not len(good):
+        return 2.0
+    lower = (bins[good[-1] + 1 :] >= 0).any()  # else all from 0.5 on are right enough
+    return 1 / (1 + np.exp(-max(bins[good[-1]] / BINS, 0))) if lower else 0.5
 
 
-def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The trees and the thresholds by kind, from candidates with weak labels.
+def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[str, np.ndarray], np.ndarray, dict[str, tuple[int, float, float]]]:
+    """The trees and the thresholds by kind, from candidates with weak labels; and by kind the held-out confirmed spans, precision and recall.
 
     All documents give candidates. The trees see of each kind about `sample` of those that
     aren't held out, half of each label if there are as many, by the smallest hashes, so
@@ -230,15 +287,29 @@ def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tup
 
     held = found.filter(F.col("h") % HELD_OUT == 0).select("kind", "x", "y").mapInArrow(score, "kind int, bin int, y double")
     counts = np.array([tuple(r) for r in held.groupBy("kind", "bin").agg(F.sum("y"), F.count("*")).collect()], float).reshape(-1, 4)
-    return model, np.array([limit_of(*counts[counts[:, 0] == kind, 1:].T) for kind in range(len(KINDS))])
+    limits = np.array([limit_of(*counts[counts[:, 0] == kind, 1:].T) for kind in range(len(KINDS))])
+    figures = {}
+    for kind, name in enumerate(KINDS):
+        bins, right, n = counts[counts[:, 0] == kind, 1:].T
+        over = bins >= np.log(limits[kind] / (1 - limits[kind])) * BINS - 1e-6 if limits[kind] < 1 else np.zeros(len(bins), bool)
+        figures[name] = int(right.sum()), right[over].sum() / max(n[over].sum(), 1), right[over].sum() / max(right.sum(), 1)
+    return model, limits, figures
 
 
-def selected(text: str, base: list[tuple[int, int, int]], spans: list[tuple[int, int, int]], scores: np.ndarray, limits: np.ndarray) -> list[tuple[int, int, int]]:
-    """base and, the best-scored first, the proposed spans over their threshold that overlap nothing taken before."""
-    taken = list(base)
-    for k in np.argsort(-scores, kind="stable"):
+def selected(size: int, base: list[tuple[int, int, int]], spans: list[tuple[int, int, int]], scores: np.ndarray, limits: np.ndarray) -> list[tuple[int, int, int]]:
+    """base and, the best-scored first, the proposed spans over their threshold that overlap nothing taken before.
+
+    Equal scores go by start, then kind, then the longer one. size is the text's length:
+    taken places are marked, so the time is linear in the text and its spans.
+    """
+    taken, marks = list(base), bytearray(size)
+    for a, _, b in base:
+        marks[a:b] = b"\1" * (b - a)
+    own = np.array(spans, np.int64).reshape(-1, 3)
+    for k in np.lexsort((-own[:, 2], own[:, 1], own[:, 0], -scores)):
         a, kind, b = spans[k]
-        if scores[k] >= limits[kind] and all(b <= x or y <= a for x, _, y in taken):
+        if scores[k] >= limits[kind] and marks.find(1, a, b) < 0:
+            marks[a:b] = b"\1" * (b - a)
             taken.append(spans[k])
     return sorted(taken)
 
@@ -254,7 +325,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     spark = docs.sparkSession
     small_batches(spark)
-    learned = spark.sparkContext.broadcast(fitted(docs, text_col))
+    learned = spark.sparkContext.broadcast(fitted(docs, text_col)[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, limits = learned.value
@@ -263,11 +334,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             texts = batch.column("text").to_pylist()
             base = [checked(t) if WORTH_A_LOOK.search(t) else [] for t in texts]
-            spans = [proposed(t) if WORTH_A_LOOK.search(t) else [] for t in texts]
+            spans = [eligible(t) if WORTH_A_LOOK.search(t) else [] for t in texts]
             rows = [features(t, s[1], s[0], s[2]) for t, own in zip(texts, spans) for s in own]
             scores = boost.predict(model, np.array(rows, float)) if rows else np.zeros(0)
             parts = np.split(scores, np.cumsum([len(s) for s in spans])[:-1]) if texts else []
-            final = [selected(t, b, s, p, limits) if s else b for t, b, s, p in zip(texts, base, spans, parts)]
+            final = [selected(len(t), b, s, p, limits) if s else b for t, b, s, p in zip(texts, base, spans, parts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([as_rows(b) for b in base], type_), pa.array([as_rows(s) for s in final], type_)], names=["doc_id", "base_spans", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))

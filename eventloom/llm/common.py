@@ -64,6 +64,11 @@ def clear_shared(spark: SparkSession) -> None:
     _delete(spark, _own_folder(spark))
 
 
+def unused_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder for a new table."""
+    return f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it back.
 
@@ -71,7 +76,7 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     work before, and plans with the table's real size.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = unused_path(spark, tag)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path  # for dropped()

@@ -112,7 +112,7 @@ def build(model: PieceModel, prefix: bool | None = None):
     out = Tokenizer(own)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.add_prefix if prefix is None else prefix:
         steps.append(normalizers.Prepend(MARKER if model.escape else " "))
     if model.escape:

@@ -55,8 +55,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, counts = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
-    return token_files.checksums(blocks, counts)
+    path = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
+    return token_files.TokenFiles(spark, path).checksums()
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import small_side, whole_text, written
+from eventloom.llm.common import small_side, unused_path, whole_text, written
 from eventloom.llm.vocab import WordEncoder, text_parts
 
 #: Fixed values of the format: mark, version, lanes of a block, steps between checkpoints, least state, bits of a word.
-MARK, VERSION, LANES, STEPS, LOW, WORD = b"ETOK", 1, 128, 128, 1 << 31, 32
-HEAD = "<4sHHIII"  # mark, version, scale bits, lanes, ids, checkpoints
+MARK, VERSION, LANES, STEPS, LOW, WORD = b"ETOK", 2, 128, 128, 1 << 31, 32
+HEAD = "<4sHHIIII"  # mark, version, scale bits, lanes, ids, checkpoints, checksum of the frequency table
 #: Parameters: ids of a block (a longer document makes a longer block), blocks that are coded together, bits of the scale.
 BLOCK_IDS = 1 << 16
 TOGETHER = 16
@@ -24,7 +26,7 @@ SCALE_BITS = 20
 
 
 class Table:
-    """The shared frequency table: how often each id is taken to occur, out of 2 ** bits."""
+    """The shared frequency table: how often each id is taken to occur, out of 2 ** bits; crc tells tables apart."""
 
     def __init__(self, counts: np.ndarray, bits: int = SCALE_BITS):
         total, scale = max(int(counts.sum()), 1), 1 << bits
@@ -39,7 +41,7 @@ class Table:
             spare -= step
             if not spare:
                 break
-        self.bits, self.freq = bits, freq.astype(np.uint64)
+        self.bits, self.freq, self.crc = bits, freq.astype(np.uint64), zlib.crc32(freq.astype("<i8").tobytes())
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
         self.slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)  # the id of each place of the scale
 
@@ -79,7 +81,7 @@ def encode_blocks(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     made = []
     for b in range(len(blocks)):
         marks = range(-(-int(steps[b]) // STEPS))
-        body = struct.pack(HEAD, MARK, VERSION, table.bits, LANES, int(n[b]), len(marks))
+        body = struct.pack(HEAD, MARK, VERSION, table.bits, LANES, int(n[b]), len(marks), table.crc)
         body += b"".join(points[k][b].astype("<u8").tobytes() for k in marks)
         body += before[[k * STEPS for k in marks], b].astype("<u4").tobytes() if marks else b""
         body += words[:, b][out[:, b]].astype("<u4").tobytes()
@@ -94,8 +96,8 @@ def decode_blocks(payloads: list[bytes], table: Table) -> list[np.ndarray]:
         body = p[:-4]
         if struct.unpack("<I", p[-4:])[0] != zlib.crc32(body):
             raise ValueError("a block's checksum doesn't fit its bytes")
-        mark, version, bits, lanes, n, marks = struct.unpack_from(HEAD, body)
-        if (mark, version, bits, lanes) != (MARK, VERSION, table.bits, LANES):
+        mark, version, bits, lanes, n, marks, crc = struct.unpack_from(HEAD, body)
+        if (mark, version, bits, lanes, crc) != (MARK, VERSION, table.bits, LANES, table.crc):
             raise ValueError("not a block of this format and table")
         at = struct.calcsize(HEAD)
         states.append(np.frombuffer(body, "<u8", marks * LANES, at).reshape(marks, LANES))
@@ -175,10 +177,11 @@ def counted_ids(rows: DataFrame, size: int, wide: bool) -> np.ndarray:
 
 
 BLOCKS = "shard int, start long, doc_ids array<long>, doc_tokens array<long>, payload binary"
+HEADER = "version int, tokenizer string, tokenizer_sha256 string, end_id int, n_docs long, n_tokens long, counts array<long>"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, object]:
-    """Encode every text, append end_id, and write the ids in ascending order of document ids.
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Encode every text, append end_id, and write the ids in ascending order of document ids, to path (a new folder).
 
     Documents are dealt by ranges of ids (rows with equal ids by their text's hash),
     sorted and encoded, and their ids kept in the shared folder. Counts over all of them
@@ -187,12 +190,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     order, and each file holds its blocks in that order. Null texts count as empty (the
     end id alone), null ids come first, an empty table gives no blocks.
 
-    Returns the table of blocks, read back from the files, and the broadcast counts that
-    give the table that decodes them.
+    path gets two folders of Parquet files: blocks, and header with one row: the format's
+    version, the tokenizer file's name and SHA-256, the end id, the numbers of documents and
+    ids, and how often each id occurs, from which the frequency table follows. Every block
+    names the table's checksum. So the folder is all that a reader needs. Without a path
+    it lies in the shared folder. Returns the path.
     """
     spark = docs.sparkSession
+    path = path or unused_path(spark, "token-files")
     with open(tokenizer_path, encoding="utf-8") as f:
-        encoder = spark.sparkContext.broadcast({"text": f.read()})
+        vocabulary = f.read()
+    encoder = spark.sparkContext.broadcast({"text": vocabulary})
     size = max(WordEncoder(encoder.value).vocab_size(), end_id + 1)
     wide = size > 1 << 16
     rows = written(_encoded(docs, encoder, end_id, wide, id_col, text_col), "token-ids", compression="zstd")
@@ -231,22 +239,35 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         if full:
             yield flush()
 
-    return written(rows.mapInArrow(run, BLOCKS).sortWithinPartitions("shard", "start"), "token-files"), counts
+    rows.mapInArrow(run, BLOCKS).sortWithinPartitions("shard", "start").write.parquet(f"{path}/blocks")
+    n_docs = rows.count()
+    head = (VERSION, os.path.basename(tokenizer_path), hashlib.sha256(vocabulary.encode()).hexdigest(), end_id, n_docs, int(counts.value.sum()), counts.value.tolist())
+    spark.createDataFrame([head], HEADER).coalesce(1).write.parquet(f"{path}/header")
+    return path
 
 
-def read_token_files(blocks: DataFrame, counts) -> DataFrame:
-    """Decode the blocks: one row per document with doc_id, start, ids (array of long)."""
-    return _decoded(blocks, counts, "ids array<long>", lambda ids, ends: pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int64))))
+class TokenFiles:
+    """Token files at a path, in whatever session: header is the row that describes them, blocks the table of their blocks."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.header = spark.read.schema(HEADER).parquet(f"{path}/header").first()
+        if self.header is None or self.header["version"] != VERSION:
+            raise ValueError(f"no token files of version {VERSION} at {path}")
+        self.blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+        self.counts = spark.sparkContext.broadcast(np.array(self.header["counts"], np.int64))
 
-def checksums(blocks: DataFrame, counts) -> DataFrame:
-    """Decode the blocks: one row per document with doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit little-endian integers)."""
+    def ids(self) -> DataFrame:
+        """Decode the blocks: one row per document with doc_id, start, n_tokens, ids (array of long)."""
+        return _decoded(self.blocks, self.counts, "ids array<long>", lambda ids, ends: pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int64))))
 
-    def crc(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-        raw = memoryview(ids.astype("<u4").tobytes())
-        return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(np.r_[0, ends[:-1]], ends)], pa.int64())
+    def checksums(self) -> DataFrame:
+        """Decode the blocks: one row per document with doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit little-endian integers)."""
 
-    return _decoded(blocks, counts, "ids_crc32 long", crc)
+        def crc(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+            raw = memoryview(ids.astype("<u4").tobytes())
+            return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(np.r_[0, ends[:-1]], ends)], pa.int64())
+
+        return _decoded(self.blocks, self.counts, "ids_crc32 long", crc)
 
 
 def _decoded(blocks: DataFrame, counts, column: str, of_ids) -> DataFrame:

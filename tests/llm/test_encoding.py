@@ -70,6 +70,27 @@ def test_unigram_models():
         pieces.parse(message((2, message((3, 4)))))
 
 
+def test_piece_spaces(spark):
+    """White space at the ends: a unigram model that squeezes runs drops spaces only, and long texts keep their whole length."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    vocab = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{i:02X}>", 0.0, 6) for i in range(256)], ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("▁ab", -4.0, 1), ("▁a", -3.5, 1)]
+    data = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in vocab)
+    data += message((2, message((3, 1), (35, 1), (40, 0))), (3, message((1, b"identity"), (3, 1), (4, 1), (5, 1))))
+    own = sentencepiece.SentencePieceProcessor(model_proto=data)
+    coder = pieces.PieceCoder({"model": data})
+    some = ["  ab   a  ", "\tab\n", " \n a \t ", "\n", "   ", "ab\t\tb", "a " * 50_000]
+    ids, counts = coder.encode(pa.array(some))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == own.encode(some)
+
+
+def test_piece_long_texts(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["word " * 200_000, "x" * 5_000, "\t".join(["tabbed"] * 10_000)]
+    rows = pieces.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL).collect()
+    assert all(r["round_trip"] and r["ids"] == own.encode(texts[r["doc_id"]]) for r in rows) and len(rows) == 3
+
+
 def test_piece_query(spark, sf):
     out = queries.op7_piece_encoding(spark, sf)
     assert out.filter("not round_trip or size(ids) <> n_ids").isEmpty()
@@ -131,9 +152,42 @@ def test_token_files(spark, sf):
 
 def test_token_files_of_odd_rows(spark):
     docs = spark.createDataFrame([(5, None, 0), (None, "a b", 0), (2, "", 0), (2, "", 0), (-1, "long " * 90_000, 0)], "doc_id long, text string, start int")
-    blocks, counts = token_files.write_token_files(docs, WORDS, 2)
-    rows = sorted(token_files.read_token_files(blocks, counts).collect(), key=lambda r: r["start"])
+    rows = sorted(token_files.TokenFiles(spark, token_files.write_token_files(docs, WORDS, 2)).ids().collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == [None, -1, 2, 2, 5] and all(r["ids"][-1] == 2 for r in rows)
     assert [r["n_tokens"] for r in rows] == [3, 90_001, 1, 1, 1]
-    blocks, counts = token_files.write_token_files(docs.limit(0), WORDS, 2)
-    assert token_files.checksums(blocks, counts).isEmpty()
+    empty = token_files.TokenFiles(spark, token_files.write_token_files(docs.limit(0), WORDS, 2))
+    assert empty.checksums().isEmpty() and empty.header["n_docs"] == empty.header["n_tokens"] == 0
+
+
+def test_token_files_in_another_session(spark, sf, tmp_path):
+    """A process that knows the path only reads the ids back."""
+    import hashlib
+    import os
+    import subprocess
+    import sys
+
+    path = f"{tmp_path}/tokens"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert token_files.write_token_files(docs, WORDS, 2, path) == path
+    head = token_files.TokenFiles(spark, path).header
+    with open(WORDS, "rb") as f:
+        assert head["tokenizer_sha256"] == hashlib.sha256(f.read()).hexdigest() and head["end_id"] == 2
+    code = f"""
+from pyspark.sql import SparkSession
+from eventloom.llm.token_files import TokenFiles
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+TokenFiles(spark, {path!r}).checksums().toPandas().to_csv({f"{tmp_path}/out.csv"!r}, index=False)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=300)
+    with open(f"{tmp_path}/out.csv") as f:
+        rows = sorted(tuple(map(int, line.split(","))) for line in f.read().splitlines()[1:])
+    assert rows == sorted(tuple(r) for r in queries.op9_token_files(spark, sf).collect())
+    assert len(rows) == head["n_docs"] and sum(r[2] for r in rows) == head["n_tokens"]
+
+
+def test_blocks_of_another_table():
+    one, other = token_files.Table(np.array([1, 2, 9])), token_files.Table(np.array([1, 3, 9]))
+    made = token_files.encode_blocks([np.array([0, 1, 2])], one)
+    with pytest.raises(ValueError):
+        token_files.decode_blocks(made, other)

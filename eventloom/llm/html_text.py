@@ -1,14 +1,16 @@
-"""Main text of web pages: page structure first, then the runs that repeat in each host's leftovers.
+"""Main text of web pages: page structure, and the token runs that repeat on other pages of a host.
 
 Blocks inside an article or main element belong to the text, blocks of menus, adverts,
 forms and the like do not. Blocks that structure doesn't decide are dropped where long
-token runs that cover them repeat on other pages of the same host.
+token runs that cover them repeat on other pages of the same host; near-equal pages of
+a host count as one page for that.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,11 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import small_batches, small_side, written
+from eventloom.llm.components import components
 
-#: Parameters: tokens of a repeated run, share of a block's tokens that must lie in such runs, tokens hashed at a time.
+#: Parameters: tokens of a repeated run, share of a block's tokens that must lie in such runs.
 MIN_RUN = 8
 COVERED = 0.8
+#: Tokens hashed at a time; a bound on memory without bearing on results.
 ARRAY_TOKENS = 20_000
+#: Near-equal pages share one of so many bands of so many least hashes of runs: at 0.95 of all runs in common nearly always, at half hardly ever.
+BANDS, BAND_ROWS = 8, 8
 
 #: What tags and class or id words say about an element.
 HIDDEN = frozenset("script style noscript template head iframe object svg canvas".split())
@@ -41,21 +47,35 @@ OUT, IN, OPEN = 0, 1, 2  # what structure says of a block: not text, text, undec
 
 
 class _Blocks(HTMLParser):
-    """Collects a page's blocks as (text, verdict); white space within a block is one space."""
+    """Collects a page's blocks as (text, verdict); white space within a block is one space.
+
+    A tag costs a fixed number of steps, however many elements are open.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int]] = []
-        self.open: list[tuple[str, int | None]] = []  # tag and what it says of what is inside
+        self.open: list[tuple[str, int | None]] = []  # tag, and the verdict on text inside
+        self.depth: Counter[str] = Counter()  # open elements by tag
         self.text: list[str] = []
         self.seen_main = False
 
     def verdict(self) -> int | None:
         """Hidden (None), OUT, IN or OPEN for text at this place."""
-        says = [v for _, v in self.open if v != OPEN]
-        if None in says:
-            return None
-        return OUT if OUT in says else IN if IN in says else OPEN
+        return self.open[-1][1] if self.open else OPEN
+
+    def push(self, tag: str, says: int | None) -> None:
+        """Open an element; what is hidden or out stays so inside, and what is in unless it says otherwise."""
+        around = self.verdict()
+        inside = None if None in (around, says) else OUT if OUT in (around, says) else IN if IN in (around, says) else OPEN
+        self.open.append((tag, inside))
+        self.depth[tag] += 1
+        self.seen_main |= inside == IN
+
+    def pop(self) -> str:
+        tag, _ = self.open.pop()
+        self.depth[tag] -= 1
+        return tag
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -87,14 +107,11 @@ class _Blocks(HTMLParser):
         if tag in BLOCKS:
             self.flush()
             if self.open and self.open[-1][0] == tag and tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
-                self.open.pop()
-            elif any(t == "p" for t, _ in self.open) and tag not in ("html", "body"):
+                self.pop()
+            elif tag not in ("html", "body"):
                 self.close_to("p")
-        if tag in VOID:
-            return
-        verdict = self.says(tag, attrs)
-        self.open.append((tag, verdict))
-        self.seen_main |= self.verdict() == IN
+        if tag not in VOID:
+            self.push(tag, self.says(tag, attrs))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -102,10 +119,9 @@ class _Blocks(HTMLParser):
         self.close_to(tag)
 
     def close_to(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if self.depth[tag]:
+            while self.pop() != tag:
+                pass
 
     def handle_data(self, data):
         if self.verdict() is not None:
@@ -177,6 +193,17 @@ def window_keys(tokens: list[str], page: np.ndarray, hosts: list[str]) -> tuple[
     return starts, keys[starts]
 
 
+def band_keys(keys: np.ndarray) -> np.ndarray:
+    """A page's bands, given the keys of its runs: near-equal pages have one in common."""
+    one = np.unique(keys[:, 0] ^ keys[:, 1])
+    least = np.empty(BANDS * BAND_ROWS, np.uint64)
+    for k in range(len(least)):
+        x = (one ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        least[k] = (x ^ (x >> np.uint64(31))).min()
+    odd = np.arange(1, BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
+    return (least.reshape(BANDS, BAND_ROWS) * odd).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+
+
 def _windows(pages: list[tuple[int, str, list[dict]]]) -> pa.RecordBatch:
     """The runs of MIN_RUN tokens outside the pages' main text: row, place in the page's stream, key, whether an undecided block has a part in it."""
     tokens, sizes, is_open = [], [], []
@@ -196,16 +223,56 @@ def _windows(pages: list[tuple[int, str, list[dict]]]) -> pa.RecordBatch:
 
 
 def gone_blocks(sizes: list[int], says: list[int], places: list[int]) -> list[int]:
-    """The undecided blocks of a page that go, given its blocks' tokens and where repeated runs start in its stream."""
+    """The undecided blocks of a page that go, given its blocks' tokens and where repeated runs start in its stream.
+
+    Where all undecided text lies in such runs, none of it goes: something has to be the page's text.
+    """
     ends = np.cumsum([n if s != IN else 0 for n, s in zip(sizes, says)])
     edge = np.zeros(ends[-1] + 1, np.int64)
     np.add.at(edge, places, 1)
     np.add.at(edge, np.array(places) + MIN_RUN, -1)
     sums = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
     undecided = [(k, n, sums[end] - sums[end - n]) for k, (n, s, end) in enumerate(zip(sizes, says, ends)) if s == OPEN]
-    if sum(hit for _, _, hit in undecided) == sum(n for _, n, _ in undecided):
-        return []
-    return [k for k, n, hit in undecided if hit >= COVERED * n]
+    all_of_it = sum(hit for _, _, hit in undecided) == sum(n for _, n, _ in undecided)
+    return [] if all_of_it else [k for k, n, hit in undecided if hit >= COVERED * n]
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch], array_tokens: int) -> Iterator[list[tuple]]:
+    """Pages (row, host, blocks) in groups of about array_tokens tokens."""
+    for batch in batches:
+        some, size = [], 0
+        for page in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "blocks"))):
+            some.append(page)
+            size += sum(b["n"] for b in page[2])
+            if size >= array_tokens:
+                yield some
+                some, size = [], 0
+        if some:
+            yield some
+
+
+def families(pages: DataFrame, array_tokens: int = ARRAY_TOKENS) -> DataFrame:
+    """Near-equal pages of a host: row, family (the least row of those that are connected by shared bands); only pages that have company.
+
+    Each page meets the first of its band, by one partial minimum and one join a band, so
+    a page with any number of copies costs no more than another.
+    """
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _in_parts(batches, array_tokens):
+            rows, found = [], []
+            for row, host, blocks in some:
+                tokens = [t for b in blocks if b["says"] != IN for t in b["text"].split()]
+                _, keys = window_keys(tokens, np.zeros(len(tokens), np.int64), [host])
+                if len(keys):
+                    rows += [row] * BANDS
+                    found.append(band_keys(keys).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["row", "band"])
+
+    of_band = written(pages.select("row", "host", "blocks").mapInArrow(bands, "row long, band long"), "pages-bands")
+    first = of_band.groupBy("band").agg(F.min("row").alias("b"), F.count("*").alias("n")).filter("n > 1").select("band", "b")
+    edges = of_band.join(first, "band").filter("row <> b").select(F.col("row").alias("a"), "b").distinct()
+    return components(edges, "pages-families").select(F.col("node").alias("row"), F.col("component").alias("family"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", array_tokens: int = ARRAY_TOKENS) -> DataFrame:
@@ -213,10 +280,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Runs of MIN_RUN tokens outside the main text are dealt by (host, run), so equal runs
     meet on a host of any size, and a key gathers the first and last page of each task
-    only. Hosts without an undecided block are left out, as nothing depends on their runs.
-    array_tokens bounds the tokens hashed at a time and has no bearing on results. An
-    undecided block goes if repeated runs cover COVERED of it, unless they cover all
-    undecided text of the page, which then is a copy.
+    only. A run repeats if it lies on two pages of the host that aren't near-equal (see
+    families(); pages whose structure decides all are not compared). Hosts without an
+    undecided block are left out, as nothing depends on their runs. array_tokens bounds
+    the tokens hashed at a time and has no bearing on results. An undecided block goes if
+    repeated runs cover COVERED of it, unless they cover all undecided text of the page.
 
     Null html counts as empty and gives an empty text; null or odd urls share a host of
     their own; repeated rows give equal rows (they are copies of each other); an empty
@@ -237,31 +305,27 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     parsed = written(parsed.withColumns({"row": F.monotonically_increasing_id(), "host": host, "undecided": F.exists("blocks", lambda b: b["says"] == OPEN)}), "pages-parsed")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some, size = [], 0
-            for page in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "blocks"))):
-                some.append(page)
-                size += sum(b["n"] for b in page[2])
-                if size >= array_tokens:
-                    yield _windows(some)
-                    some, size = [], 0
-            if some:
-                yield _windows(some)
+        yield from map(_windows, _in_parts(batches, array_tokens))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [gone_blocks(*page) for page in zip(*(batch.column(c).to_pylist() for c in ("n", "says", "places")))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.int32()))], names=["row", "gone"])
 
-    hosts = small_side(written(parsed.filter("undecided").select("host").distinct(), "pages-hosts"))
-    runs = parsed.join(hosts, "host", "left_semi").select("row", "host", "blocks").mapInArrow(windows, "row long, place int, key long, key2 long, open boolean")
-    shared = runs.groupBy("key", "key2").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.max("open").alias("open"))
-    shared = small_side(written(shared.filter("open AND first < last").select("key", "key2"), "pages-runs"))
-    places = runs.filter("open").join(shared, ["key", "key2"]).groupBy("row").agg(F.collect_list("place").alias("places"))
-    sizes = parsed.filter("undecided").select("row", F.col("blocks.n").alias("n"), F.col("blocks.says").alias("says"))
-    gone = sizes.join(places, "row").select("row", "n", "says", "places").mapInArrow(judge, "row long, gone array<int>")
-    gone = small_side(written(gone.filter(F.size("gone") > 0), "pages-gone"))
-
-    kept = F.filter("blocks", lambda b, i: (b["says"] == IN) | ((b["says"] == OPEN) & ~F.coalesce(F.array_contains("gone", i), F.lit(False))))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return parsed.join(gone, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    kept = lambda gone: F.filter("blocks", lambda b, i: (b["says"] == IN) | ((b["says"] == OPEN) & ~gone(i)))
+    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
+    undecided = parsed.filter("undecided")
+    if undecided.isEmpty():
+        out = parsed.withColumn("text", joined(kept(lambda i: F.lit(False))))
+    else:
+        hosts = small_side(written(undecided.select("host").distinct(), "pages-hosts"))
+        runs = parsed.join(hosts, "host", "left_semi").select("row", "host", "blocks").mapInArrow(windows, "row long, place int, key long, key2 long, open boolean")
+        of_family = runs.join(small_side(written(families(undecided, array_tokens), "pages-family")), "row", "left").withColumn("page", F.coalesce("family", "row"))
+        shared = of_family.groupBy("key", "key2").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.max("open").alias("open"))
+        shared = small_side(written(shared.filter("open AND first < last").select("key", "key2"), "pages-runs"))
+        places = runs.filter("open").join(shared, ["key", "key2"]).groupBy("row").agg(F.collect_list("place").alias("places"))
+        sizes = undecided.select("row", F.col("blocks.n").alias("n"), F.col("blocks.says").alias("says"))
+        gone = sizes.join(places, "row").select("row", "n", "says", "places").mapInArrow(judge, "row long, gone array<int>")
+        gone = small_side(written(gone.filter(F.size("gone") > 0), "pages-gone"))
+        out = parsed.join(gone, "row", "left").withColumn("text", joined(kept(lambda i: F.coalesce(F.array_contains("gone", i), F.lit(False)))))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

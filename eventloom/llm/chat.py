@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import small_side, written
+
 #: The marks of a rendered turn, and what replaces their opening in a text.
-OPEN, CLOSE, ESCAPED = "<|im_start|>", "<|im_end|>\n", "<​|im_"
+OPEN, CLOSE, ESCAPED = "<|im_start|>", "<|im_end|>\n", "<\u200b|im_"
+#: Bounds on what is put together in one row: turns, and rows of them.
+PIECE_TURNS = 256
+PIECE_ROWS = 4096
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """A turn as text. Marks inside a text are broken up, so that a text can't open a turn of its own."""
-    safe = F.regexp_replace(text, r"<\|im_", ESCAPED)
-    return F.concat(F.lit(OPEN), role, F.lit("\n"), safe, F.lit(CLOSE))
+    """A turn as text. Marks inside a role or text are broken up and a role stays on its line, so that neither can open a turn of its own."""
+    safe = lambda c: F.regexp_replace(c, r"<\|im_", ESCAPED)
+    return F.concat(F.lit(OPEN), F.translate(safe(role), "\r\n", "  "), F.lit("\n"), safe(text), F.lit(CLOSE))
 
 
 def _turns(side: DataFrame) -> DataFrame:
@@ -35,8 +40,8 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     without pair or turn number belong to no conversation
     and are left out; null roles and texts count as empty. Rows of one turn form it
     together, in order of role and text, repeated rows as often as they occur. A pair with
-    one side only has an empty prompt. Empty tables give an empty result; further columns
-    are not read.
+    one side only has an empty prompt, one with equal sides has a prompt only. Empty tables
+    give an empty result; further columns are not read.
     """
     key = ["pair_id", "turn", "role", "text"]
     both = _turns(chosen).withColumns({"c": F.lit(1), "r": F.lit(0)}).unionByName(_turns(rejected).withColumns({"c": F.lit(0), "r": F.lit(1)}))
@@ -53,25 +58,45 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return rows.select("pair_id", "part", "turn", "copy", "role", content.alias("content")).withColumns({"n_chars": F.length("content").cast("long"), "train": train})
 
 
-def paired(segments: DataFrame) -> DataFrame:
-    """Segments put together, for pairs that fit a context window: pair_id, prompt, and for either side its completion and mask.
+def preference_pairs(chosen: DataFrame, rejected: DataFrame, piece_turns: int = PIECE_TURNS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Pairs of conversations put together: pair_id, piece, line, prompt, chosen, chosen_train, rejected, rejected_train.
 
-    A mask is an array of (start, end, train) in characters of its completion.
-    """
-    at = F.struct("turn", "role", "content", "copy", "train")
-    lists = segments.groupBy("pair_id").pivot("part", ["prompt", "chosen", "rejected"]).agg(F.array_sort(F.collect_list(at)))
-    joined = lambda side: F.array_join(F.transform(side, lambda s: s["content"]), "")
+    See preference_segments() for both sides and the parts. A part is its rendered turns,
+    one after the other; chosen_train and rejected_train are arrays of (start, end), the
+    characters of that completion to train on; all others are masked. With equal sides all
+    is prompt and both completions are empty.
 
-    def mask(side: str) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,train:boolean>>").alias("spans"))
+    A conversation of up to piece_turns turns (by number: 0 to piece_turns - 1) is one row
+    with piece 0 and an empty line. A longer one goes on in rows with piece piece_turns, 2
+    piece_turns and so on, whose parts follow those of the row before, so no conversation
+    is gathered in one place. Where so many turns have more than piece_rows rows, each
+    of these has a row of its own: piece is its turn and line a digest of it.
+    """
+    block = lambda c: F.floor(c.cast("long") / piece_turns) * piece_turns
+    places = [side.filter("pair_id is not null and turn is not null").select("pair_id", block(F.col("turn")).alias("block")) for side in (chosen, rejected)]
+    crowded = places[0].unionByName(places[1]).groupBy("pair_id", "block").count().filter(F.col("count") > piece_rows).select("pair_id", "block", F.lit(True).alias("crowded"))
+    crowded = small_side(written(crowded, "chat-crowded"))
+    rows = preference_segments(chosen, rejected).withColumn("block", block(F.col("turn"))).join(crowded, ["pair_id", "block"], "left")
+    own = F.md5(F.concat_ws("\n", "turn", "part", "copy", "content").cast("binary"))
+    rows = rows.withColumns({"piece": F.when(F.col("crowded"), F.col("turn")).otherwise(F.col("block")), "line": F.when(F.col("crowded"), own).otherwise("")})
+
+    turn = F.struct("turn", "role", "content", "copy", "train")
+    parts = ("prompt", "chosen", "rejected")
+    lists = rows.groupBy("pair_id", "piece", "line").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == part, turn))).alias(part) for part in parts])
+    joined = lambda part: F.array_join(F.transform(part, lambda s: s["content"]), "")
+
+    def trained(part: str) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
         def add(acc, s):
             end = acc["at"] + F.length(s["content"])
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), s["train"].alias("train")))).alias("spans"))
+            more = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
+            return F.struct(end.alias("at"), F.when(s["train"], F.concat(acc["spans"], more)).otherwise(acc["spans"]).alias("spans"))
 
-        return F.aggregate(side, start, add, lambda acc: acc["spans"])
+        return F.aggregate(part, start, add, lambda acc: acc["spans"])
 
-    return lists.select("pair_id", joined("prompt").alias("prompt"), joined("chosen").alias("chosen"), mask("chosen").alias("chosen_mask"), joined("rejected").alias("rejected"), mask("rejected").alias("rejected_mask"))
+    completions = [c for part in parts[1:] for c in (joined(part).alias(part), trained(part).alias(f"{part}_train"))]
+    return lists.select("pair_id", "piece", "line", joined("prompt").alias("prompt"), *completions)
 
 
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

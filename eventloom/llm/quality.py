@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_POSTERIOR = 0.5
 ROUNDS = 20
-#: Votes that each rule is taken to have got right, and got wrong, before any document is seen, as a share of all documents.
-PRIOR_RIGHT, PRIOR_WRONG, PRIOR_ABSTAIN = 0.008, 0.001, 0.004
+#: Votes that each rule is taken to have got right, got wrong and left out of each kind of document before any is seen, and the share of good ones.
+PRIOR_RIGHT, PRIOR_WRONG, PRIOR_ABSTAIN = 8, 1, 4
 PRIOR_GOOD = 0.8
 
 
@@ -43,15 +43,15 @@ def features(docs: DataFrame, text_col: str = "text", carry: list[str] | None =
     keep = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
     one = docs.select(*keep, words(text).alias("_w"), F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("_lines"))
     two = one.select(*keep, "_w", "_lines", F.array_join("_w", "").alias("_bare"))
-    less = lambda pattern: (F.length("_bare") - F.length(F.regexp_replace("_bare", pattern, ""))).cast("long")
+    left = lambda c: (F.length("_bare") - F.length(c)).cast("long")
     no_keys = F.array().cast("array<bigint>")
     two = two.select(
         *keep,
         F.size("_w").cast("long").alias("_n_words"),
         F.length("_bare").cast("long").alias("_chars"),
-        less(f"[{SYMBOLS}]+").alias("_symbols"),
-        less("[!?]+").alias("_marks"),
-        less(r"\p{Lu}+").alias("_upper"),
+        left(F.translate("_bare", SYMBOLS, "")).alias("_symbols"),
+        left(F.translate("_bare", "!?", "")).alias("_marks"),
+        left(F.regexp_replace("_bare", r"\p{Lu}+", "")).alias("_upper"),
         F.length(F.regexp_replace("_bare", r"[^\p{L}\p{N}]+", "")).cast("long").alias("_alnum"),
         F.size("_lines").cast("long").alias("_n_lines"),
         F.size(F.array_distinct("_lines")).cast("long").alias("_n_distinct"),
@@ -107,34 +107,35 @@ def learned(voted: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[float
     """Expectation-maximisation for what each vote of a rule says about good and bad documents.
 
     voted has one row per combination of votes (votes, an array with a vote per rule, and
-    n), so at most 3 ** n_rules rows whatever the corpus. A round is one aggregate over
-    them; the driver sees a sum per rule and vote. Returns the share of good documents and
-    the probability of each vote given good or bad.
+    n), so at most 3 ** n_rules rows whatever the corpus; these are read once and the rounds
+    are sums over them. The prior votes are few and fixed, so what a rule is worth comes from
+    the documents. Returns the share of good documents and the probability of each vote
+    given good or bad.
     """
-    total = voted.agg(F.sum("n")).first()[0] or 0
+    patterns = sorted((tuple(r["votes"]), r["n"]) for r in voted.select("votes", "n").collect())
+    total = sum(n for _, n in patterns)
     cells = [(r, v) for r in range(n_rules) for v in (-1, 0, 1)]
     prior = {1: PRIOR_RIGHT, -1: PRIOR_WRONG, 0: PRIOR_ABSTAIN}
-    smooth = {(r, v, y): max(total, 1) * prior[v if y else -v] for r, v in cells for y in (0, 1)}
-    seen, good = smooth, PRIOR_GOOD
+    seen, good = {(r, v, y): float(prior[v if y else -v]) for r, v in cells for y in (0, 1)}, PRIOR_GOOD
     for k in range(rounds + 1):
         of = {(r, y): sum(seen[r, v, y] for v in (-1, 0, 1)) for r in range(n_rules) for y in (0, 1)}
         given = {(r, v, y): x / of[r, y] for (r, v, y), x in seen.items()}
         if k == rounds or not total:
             return good, given
-        p = voted.withColumn("p", posterior(F.col("votes"), good, given)).select("n", "p", F.posexplode("votes").alias("rule", "vote"))
-        sums = p.groupBy("rule", "vote").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum(F.col("n") * (1 - F.col("p"))).alias("bad")).collect()
-        seen = dict(smooth)
-        for x in sums:
-            seen[x["rule"], x["vote"], 1] += x["good"]
-            seen[x["rule"], x["vote"], 0] += x["bad"]
-        good = min(max(sum(x["good"] for x in sums if x["rule"] == 0) / total, 1e-6), 1 - 1e-6)
+        seen, mass = {(r, v, y): float(prior[v if y else -v]) for r, v in cells for y in (0, 1)}, 0.0
+        for votes, n in patterns:
+            p = 1 / (1 + exp(-sum((log(given[r, v, 1] / given[r, v, 0]) for r, v in enumerate(votes)), log(good / (1 - good)))))
+            mass += n * p
+            for r, v in enumerate(votes):
+                seen[r, v, 1] += n * p
+                seen[r, v, 0] += n * (1 - p)
+        good = min(max(mass / total, 1e-6), 1 - 1e-6)
 
 
 def posterior(votes: Column, good: float, given: Params) -> Column:
     """The probability that a document with such votes is good.
 
-    The weights go in as one array literal, so that each round's code is the same and is
-    compiled once.
+    The weights go in as one array literal, so that the code doesn't depend on them.
     """
     n_rules = 1 + max(r for r, _, _ in given)
     weights = F.lit([log(given[r, v, 1] / given[r, v, 0]) for r in range(n_rules) for v in (-1, 0, 1)])
@@ -155,7 +156,7 @@ def judged(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
     """
     rows = features(docs, text_col, carry).withColumn("_votes", F.array(*rules().values()))
     rows = written(rows, tag)
-    voted = written(rows.groupBy(F.col("_votes").alias("votes")).agg(F.count("*").alias("n")).coalesce(1), f"{tag}-votes")
+    voted = rows.groupBy(F.col("_votes").alias("votes")).agg(F.count("*").alias("n"))
     good, given = learned(voted, len(rules()))
     failed = (F.col("_f.n_words") < MIN_WORDS) | (100 * F.col("_f.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_f.n_words"))
     out = rows.select("*", failed.alias("base_failed"), posterior(F.col("_votes"), good, given).alias("posterior"))

@@ -23,7 +23,9 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preference_segments(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
+    out = chat.preference_pairs(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumns({c: spans(c) for c in ("chosen_train", "rejected_train")})
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +170,19 @@ ORACLES: dict[str, str] = {
             SELECT *, 'prompt' AS part, c AS n FROM parted WHERE coalesce(turn < parting, true)
             UNION ALL SELECT *, 'chosen', c FROM parted WHERE turn >= parting
             UNION ALL SELECT *, 'rejected', r FROM parted WHERE turn >= parting),
-        copies AS (SELECT *, unnest(range(1, n::BIGINT + 1))::INT AS copy FROM parts WHERE n > 0)
-        SELECT pair_id, part, turn, copy, role,
-               '<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<' || chr(8203) || '|im_') || '<|im_end|>' || chr(10) AS content,
-               length(content) AS n_chars, part <> 'prompt' AND role = 'assistant' AS train
-        FROM copies""",
+        copies AS (SELECT *, unnest(range(1, n::BIGINT + 1))::INT AS copy FROM parts WHERE n > 0),
+        segments AS (
+            SELECT pair_id, part, turn, copy, role, turn // 256 * 256 AS piece, part <> 'prompt' AND role = 'assistant' AS train,
+                   '<|im_start|>' || translate(replace(role, '<|im_', '<' || chr(8203) || '|im_'), chr(13) || chr(10), '  ') || chr(10) || replace(text, '<|im_', '<' || chr(8203) || '|im_') || '<|im_end|>' || chr(10) AS content
+            FROM copies),
+        placed AS (
+            SELECT *, sum(length(content)) OVER (PARTITION BY pair_id, piece, part ORDER BY turn, role, content, copy) AS upto FROM segments)
+        SELECT pair_id, piece, '' AS line, coalesce(string_agg(content, '' ORDER BY turn, role, content, copy) FILTER (part = 'prompt'), '') AS prompt,
+               coalesce(string_agg(content, '' ORDER BY turn, role, content, copy) FILTER (part = 'chosen'), '') AS chosen,
+               coalesce(string_agg((upto - length(content)) || ':' || upto, ',' ORDER BY upto) FILTER (part = 'chosen' AND train), '') AS chosen_train,
+               coalesce(string_agg(content, '' ORDER BY turn, role, content, copy) FILTER (part = 'rejected'), '') AS rejected,
+               coalesce(string_agg((upto - length(content)) || ':' || upto, ',' ORDER BY upto) FILTER (part = 'rejected' AND train), '') AS rejected_train
+        FROM placed GROUP BY pair_id, piece""",
     "op4_license_scan": f"""
         WITH texts AS (SELECT license, {_canonical("text")} AS digest FROM {_known(list(licenses.TEXTS.items()))}),
         notices AS (SELECT license, {_canonical("text")} AS digest FROM {_known([(n, t) for n, some in licenses.NOTICES.items() for t in some])}),
@@ -219,7 +229,7 @@ ORACLES: dict[str, str] = {
         patterns AS (SELECT votes, count(*) AS n FROM voted GROUP BY votes),
         pv AS MATERIALIZED (SELECT votes, n, unnest(range(1, 9)) AS r, votes[r] AS v FROM patterns),
         prior AS MATERIALIZED (
-            SELECT r, v, y, (SELECT sum(n) FROM patterns) * (CASE WHEN v = 0 THEN {quality.PRIOR_ABSTAIN} WHEN (v = 1) = (y = 1) THEN {quality.PRIOR_RIGHT} ELSE {quality.PRIOR_WRONG} END)::DOUBLE AS mass
+            SELECT r, v, y, (CASE WHEN v = 0 THEN {quality.PRIOR_ABSTAIN} WHEN (v = 1) = (y = 1) THEN {quality.PRIOR_RIGHT} ELSE {quality.PRIOR_WRONG} END)::DOUBLE AS mass
             FROM range(1, 9) a(r), range(-1, 2) b(v), range(0, 2) c(y)),
         em_0 AS MATERIALIZED (SELECT * FROM prior), good_0 AS MATERIALIZED (SELECT {quality.PRIOR_GOOD}::DOUBLE AS g),
         {_em_rounds(quality.ROUNDS)}

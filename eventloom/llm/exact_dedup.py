@@ -80,5 +80,7 @@ def _one_of_repeated(rows: DataFrame, decided: DataFrame, id_col: str, text_col:
     held = decided.filter("kept").select(F.col("doc_id").alias("_held"), F.col("text_sha256").alias("_held_sha"))
     gone = lost.join(held, F.col("_lost").eqNullSafe(F.col("_held")) & (F.col("_lost_sha") == F.col("_held_sha")), "left_anti")
     rows = rows.join(gone, F.col(id_col).eqNullSafe(F.col("_lost")) & (F.col("_sha") == F.col("_lost_sha")), "left_anti")
-    first = rows.groupBy(id_col, "_sha").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (id_col, "_sha")]), "_len").alias("_row"))
+    others = F.struct(*[c for c in rows.columns if c not in (id_col, "_sha")])
+    order = F.struct("_len", F.sha2(F.to_json(others), 256))  # among equally long ones the same in each run
+    first = rows.groupBy(id_col, "_sha").agg(F.max_by(others, order).alias("_row"))
     return first.select(*[F.col(c) if c == id_col else F.col(f"_row.{c}").alias(c) for c in rows.columns if c not in ("_sha", "_len")])

@@ -89,7 +89,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: each row of docs as often as mixed() takes it, with all its columns."""
+    """The mix itself: each row of docs as often as mixed() takes it, with all its columns.
+
+    Rows that share an id are each repeated as often as the one of them that is taken most;
+    rows without an id share one.
+    """
     n = mixed(docs, id_col, text_col, source_col, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
     rows = docs.join(small_side(written(n.filter("_copies > 0"), "mix-copies")), F.col(id_col).eqNullSafe(F.col("_id")))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

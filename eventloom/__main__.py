@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.operators import alignment, kmers, training
+from eventloom.operators.decode import correct_grid
 from eventloom.operators.segment import PRESETS
 from eventloom.plans import correction, tuning
 from eventloom.sources import signals, sinks, text
@@ -22,7 +23,7 @@ def correct(spark: SparkSession, a: argparse.Namespace) -> None:
 def segment(spark: SparkSession, a: argparse.Namespace) -> None:
     names = ("short", "long", "short_threshold", "long_threshold", "height", "least", "most", "precision")
     how = PRESETS[a.preset].but(**{k: getattr(a, k) for k in names if getattr(a, k) is not None})
-    reads = signals.read_signals(spark, a.input, a.format, strict=not a.skip_bad_files)
+    reads = signals.read_signals(spark, a.input, a.format, strict=not a.skip_bad_files, required=True)
     out, seen = sinks.counted(correction.segment_reads(reads.withColumnRenamed("signal_pA", "signal"), how))
     sinks.write_lines(sinks.event_lines(out), a.output)
     print("reads {n_reads}, written {n_written}, skipped {n_skipped}".format(**seen.get))
@@ -31,9 +32,8 @@ def segment(spark: SparkSession, a: argparse.Namespace) -> None:
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
     table = kmers.last_wins(text.read_kmers(spark, a.kmers))
     means, variances, _ = training.mixture(table, "level", a.states, seed=a.seed)
-    signal = kmers.observations(spark, table, a.k).select(F.lit(0).alias("read_id"), F.col("t").alias("idx"), F.col("level").alias("x"))
-    at = F.sort_array(F.collect_list(F.struct("idx", "x")))
-    chunks = kmers.chunked(signal, a.chunks).groupBy("chunk").agg(F.transform(at, lambda s: s["x"]).alias("xs"))
+    at = F.sort_array(F.collect_list(F.struct("t", "level")))
+    chunks = kmers.observations(spark, table, a.k, a.chunks).groupBy("chunk").agg(F.transform(at, lambda s: s["level"]).alias("xs"))
     model, log = training.trained(chunks, means, variances, least=a.least, most=a.most, tol=1e-4 * 4 ** max(a.k - 9, 0))
     sinks.write_model(spark, model, a.output)
     print(f"{len(log)} rounds, log likelihood {log[-1]:.4f}")
@@ -52,13 +52,14 @@ def tune(spark: SparkSession, a: argparse.Namespace) -> None:
     """Search for the parameters under which events lie nearest their states' means; a mapper's F1 needs its own objective."""
     model, reads = text.read_model(spark, a.model), text.read_events(spark, a.events).persist()
 
-    def score(p_stay: float, p_skip: float) -> float:
-        z = correction.correct_events(reads, model, p_stay, p_skip).select(F.explode(F.arrays_zip("events", "states")).alias("z"))
+    def nearness(out: DataFrame) -> DataFrame:
+        z = out.select("p_stay", "p_skip", F.explode(F.arrays_zip("events", "states")).alias("z"))
         near = -F.pow(F.col("z.events") - F.get(F.lit(list(map(float, model.means))), F.col("z.states")), 2)
-        return z.agg(F.avg(near)).first()[0] or 0.0
+        return z.groupBy("p_stay", "p_skip").agg(F.avg(near).alias("score"))
 
-    start = max(((x, y) for x in tuning.GRID for y in tuning.GRID), key=lambda pair: score(*pair))
-    best, top, tried = tuning.climbed(score, start)
+    found = tuning.best(tuning.grid_scores(reads, model, nearness), "score").first()
+    score = lambda p_stay, p_skip: (nearness(correct_grid(reads, model, [(p_stay, p_skip)])).first() or {"score": float("-inf")})["score"]
+    best, top, tried = tuning.climbed(score, (found["p_stay"], found["p_skip"]) if found else (0.0, 0.0))
     print(f"p_stay {best[0]} p_skip {best[1]} score {top:.6f} after {tried} pairs")
 
 

@@ -147,6 +147,13 @@ denoised AS (
     FROM framed)"""
 
 
+RUN_NOISE = f"""run_residual AS (SELECT c.read_id, c.idx AS run, c.x - mean AS e, count(*) OVER (PARTITION BY c.read_id) AS n FROM collapsed c JOIN states ON s = state),
+run_noise AS (
+    SELECT read_id, run, CASE WHEN n >= {WIDTH} AND run BETWEEN {H} AND n - {W} - 1 + {H}
+                              THEN avg(e) OVER (PARTITION BY read_id ORDER BY run ROWS BETWEEN {H} PRECEDING AND {H} FOLLOWING) ELSE 0 END AS noise
+    FROM run_residual)"""
+
+
 def long_corrected(out: DataFrame) -> DataFrame:
     z = F.arrays_zip("events", "states")
     return out.filter("events is not null").select("read_id", F.posexplode(z).alias("idx", "z")).select("read_id", "idx", rounded(F.col("z.events")).alias("event"), F.col("z.states").alias("state"))
@@ -164,6 +171,24 @@ def correct_events_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_corrected(correction.correct_events(user_reads(spark, sf_dir), MODEL, P_STAY, P_SKIP, WIDTH, engine="sql"))
 
 
+@query(f"{DECODED}, {RUNS} SELECT read_id, idx, round(x, 6) + 0.0 AS event, state FROM collapsed")
+def correct_stays_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrector without noise removal."""
+    return long_corrected(correction.correct_events(user_reads(spark, sf_dir), MODEL, P_STAY, P_SKIP, WIDTH, remove_noise=False))
+
+
+@query(f"{DECODED}, {RUNS}, {RUN_NOISE} SELECT p.read_id, p.idx, round(p.x - noise, 6) + 0.0 AS event, p.state FROM numbered p JOIN run_noise n ON p.read_id = n.read_id AND p.run = n.run")
+def correct_noise_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrector without stay removal: noise comes off run by run."""
+    return long_corrected(correction.correct_events(user_reads(spark, sf_dir), MODEL, P_STAY, P_SKIP, WIDTH, remove_stays=False))
+
+
+@query(f"{DECODED} SELECT read_id, idx, round(x, 6) + 0.0 AS event, state FROM path")
+def correct_neither(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrector with both removals off: events with their states."""
+    return long_corrected(correction.correct_events(user_reads(spark, sf_dir), MODEL, P_STAY, P_SKIP, WIDTH, remove_stays=False, remove_noise=False))
+
+
 @query(f"{DECODED} SELECT read_id, idx, state, is_skip FROM path")
 def viterbi_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_path(user_reads(spark, sf_dir)).select("read_id", "idx", "state", "is_skip")
@@ -181,15 +206,7 @@ def remove_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("read_id", "idx", rounded(F.col("x")).alias("event"))
 
 
-@query(
-    f"""{DECODED}, {RUNS},
-    run_residual AS (SELECT c.read_id, c.idx AS run, c.x - mean AS e, count(*) OVER (PARTITION BY c.read_id) AS n FROM collapsed c JOIN states ON s = state),
-    run_noise AS (
-        SELECT read_id, run, CASE WHEN n >= {WIDTH} AND run BETWEEN {H} AND n - {W} - 1 + {H}
-                                  THEN avg(e) OVER (PARTITION BY read_id ORDER BY run ROWS BETWEEN {H} PRECEDING AND {H} FOLLOWING) ELSE 0 END AS noise
-        FROM run_residual)
-    SELECT p.read_id, p.idx, round(p.x - noise, 6) + 0.0 AS event FROM numbered p JOIN run_noise n ON p.read_id = n.read_id AND p.run = n.run"""
-)
+@query(f"{DECODED}, {RUNS}, {RUN_NOISE} SELECT p.read_id, p.idx, round(p.x - noise, 6) + 0.0 AS event FROM numbered p JOIN run_noise n ON p.read_id = n.read_id AND p.run = n.run")
 def remove_run_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = frames.without_run_noise(long_path(user_reads(spark, sf_dir)), list(MODEL.means), WIDTH)
     return out.select("read_id", "idx", rounded(F.col("x")).alias("event"))
@@ -377,11 +394,12 @@ def kmer_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) AS n, count(level) AS n_known, round(sum(coalesce(level, 0.0)), 2) AS total FROM slid LEFT JOIN levels ON kmer = substr(dna, t + 1, {K}) GROUP BY doc_id"""
 )
 def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding k-mers of the documents' letters A, C, G, T with their levels, 0 for those without."""
+    """K-mers of the documents' letters A, C, G, T, counted by document and joined with their levels, 0 for those without."""
     texts = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("dna"))
-    known = kmer_levels(spark, sf_dir).withColumn("known", F.lit(True))
-    out = kmers.levels(kmers.sliding(texts, "dna", K), known)
-    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("known").alias("n_known"), F.round(F.sum("level"), 2).alias("total"))
+    known = kmer_levels(spark, sf_dir).select(kmers.coded(F.col("kmer"), K).alias("code"), "level")
+    out = kmers.counted(texts, "dna", K).join(known, "code", "left")
+    total = F.sum(F.col("n") * F.coalesce("level", F.lit(0.0)))
+    return out.groupBy("doc_id").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("level").isNotNull(), F.col("n"))), F.lit(0)).alias("n_known"), F.round(total, 2).alias("total"))
 
 
 @query(
@@ -390,7 +408,8 @@ def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def debruijn_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The levels of the k-mer table along the de Bruijn text."""
-    return kmers.observations(spark, kmer_levels(spark, sf_dir), K)
+    return kmers.observations(spark, kmer_levels(spark, sf_dir), K).drop("chunk")
+
 
 
 PAF = """rows AS (
@@ -503,52 +522,254 @@ def alignment_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _agreement(out: DataFrame) -> DataFrame:
-    """A score for corrected reads: the share of events within one deviation of their state's mean."""
-    z = out.select(F.explode(F.arrays_zip("events", "states")).alias("z"))
+    """A score for corrected reads, by pair of parameters: the share of events within one deviation of their state's mean."""
+    z = out.select("p_stay", "p_skip", F.explode(F.arrays_zip("events", "states")).alias("z"))
     near = F.pow(F.col("z.events") - F.get(F.lit(list(MODEL.means)), F.col("z.states")), 2) <= F.get(F.lit(list(MODEL.variances)), F.col("z.states"))
-    return z.agg(F.count("*").alias("n_events"), F.round(F.avg(near.cast("double")), 6).alias("score"))
-
+    return z.groupBy("p_stay", "p_skip").agg(F.count("*").alias("n_events"), F.round(F.avg(near.cast("double")), 6).alias("score"))
 
-SMALL_GRID = (0.0, 0.05, 0.1)
 
-
-def _grid_sql() -> str:
-    """The score of each pair of a small grid, each decoded by its own recursion."""
+def _each_pair_sql(select: str, grid: tuple[float, ...] = tuning.GRID) -> str:
+    """A query over denoised events (read_id, idx, x, state) for each pair of the grid, each decoded by its own recursion."""
     parts = []
-    for p_stay in SMALL_GRID:
-        for p_skip in SMALL_GRID:
+    for p_stay in grid:
+        for p_skip in grid:
             runs = RUNS if MODEL.collapses(p_stay) else "collapsed AS (SELECT * FROM path)"
-            parts.append(
-                f"SELECT {p_stay}::DOUBLE AS p_stay, {p_skip}::DOUBLE AS p_skip, n_events, score FROM ({decoded_sql(f'{USER_SIGNAL}, {Z}', p_stay, p_skip)}, {runs}, {DENOISED} "
-                "SELECT count(*) AS n_events, round(avg((pow(d.x - mean, 2) <= var)::INT), 6) AS score FROM denoised d JOIN states ON s = state)"
-            )
+            parts.append(f"SELECT {p_stay}::DOUBLE AS p_stay, {p_skip}::DOUBLE AS p_skip, * FROM ({decoded_sql(f'{USER_SIGNAL}, {Z}', p_stay, p_skip)}, {runs}, {DENOISED} {select})")
     return " UNION ALL ".join(parts)
 
 
-@query(_grid_sql())
+_GRID = _each_pair_sql("SELECT count(*) AS n_events, round(avg((pow(d.x - mean, 2) <= var)::INT), 6) AS score FROM denoised d JOIN states ON s = state")
+
+
+@query(_GRID)
 def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores over a grid of decoding parameters, in one job."""
-    return tuning.grid_scores(user_reads(spark, sf_dir), MODEL, _agreement, grid=SMALL_GRID)
+    """Scores over the whole grid of decoding parameters, in one pass over the reads."""
+    return tuning.grid_scores(user_reads(spark, sf_dir), MODEL, _agreement)
 
 
-@query(f"SELECT * FROM ({_grid_sql()}) ORDER BY score DESC, p_stay, p_skip LIMIT 1")
+@query(f"SELECT * FROM ({_GRID}) ORDER BY score DESC, p_stay, p_skip LIMIT 1")
 def best_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.best(parameter_grid(spark, sf_dir), "score")
 
 
 @query()
+def climbed_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hill climbing from the grid's best pair; each pair that it tries is one job over all reads."""
+    reads = user_reads(spark, sf_dir).persist()
+
+    def score(p_stay: float, p_skip: float) -> float:
+        row = _agreement(decode.correct_grid(reads, MODEL, [(p_stay, p_skip)])).first()
+        return row["score"] if row else float("-inf")
+
+    start = tuning.best(tuning.grid_scores(reads, MODEL, _agreement), "score").first()
+    (p_stay, p_skip), top, tried = tuning.climbed(score, (start["p_stay"], start["p_skip"]) if start else (0.0, 0.0))
+    reads.unpersist()
+    return spark.createDataFrame([(p_stay, p_skip, top, tried)], "p_stay double, p_skip double, score double, n_tried int")
+
+
+def mapped_reads(out: DataFrame) -> DataFrame:
+    """A toy mapper in a mapper's place: a corrected read lies on the reference of its most frequent state, where its length says; short ones stay unmapped."""
+    key = ["p_stay", "p_skip", "read_id"]
+    counts = out.select(*key, F.explode("states").alias("s")).groupBy(*key, "s").count()
+    reads = counts.groupBy(*key).agg(F.sum("count").cast("int").alias("n"), F.max_by("s", F.struct("count", -F.col("s"))).alias("s"))
+    start = (1 + 20 * F.col("n")).cast("int")
+    return reads.select(
+        "p_stay", "p_skip", F.col("read_id").alias("row_id"), F.col("read_id").alias("qr_name"), F.lit(1000).alias("qr_len"), (F.col("n") >= 25).alias("is_mapped"), F.lit(0).alias("qr_st"), F.lit(1000).alias("qr_en"),
+        F.lit(True).alias("is_fwd"), F.concat(F.lit("chr"), F.col("s") % 3).alias("rf_name"), F.lit(100_000).alias("rf_len"), start.alias("rf_st"), (start + 200).alias("rf_en"),
+    )
+
+
+@query(
+    f"""WITH each AS ({_each_pair_sql("SELECT read_id, state, count(*) AS k FROM denoised GROUP BY read_id, state")}),
+    mapped AS (SELECT p_stay, p_skip, read_id, sum(k)::INT AS n, first(state ORDER BY k DESC, state) AS s FROM each GROUP BY p_stay, p_skip, read_id),
+    truth AS (
+        SELECT user_id AS read_id, user_id % 7 <> 0 AS known, 'chr' || user_id % 3 AS rf_name, 1 + 15 * count(*) AS low, 1 + 15 * count(*) + 200 AS high
+        FROM events WHERE value > 30 AND value < 200 GROUP BY user_id),
+    labels AS (
+        SELECT p_stay, p_skip, CASE WHEN n < 25 THEN CASE WHEN known THEN 'fn' ELSE 'tn' END WHEN NOT known THEN 'na'
+                                    WHEN 'chr' || s % 3 = rf_name AND greatest(low, 1 + 20 * n) <= least(high, 20 * n + 201) THEN 'tp' ELSE 'fp' END AS label
+        FROM mapped JOIN truth USING (read_id)),
+    counts AS (SELECT p_stay, p_skip, count(*) AS n, {", ".join(f"count(*) FILTER (label = '{x}') AS n_{x}" for x in alignment.LABELS)} FROM labels GROUP BY p_stay, p_skip),
+    rates AS (SELECT *, CASE WHEN n_tp + n_fp > 0 THEN n_tp::DOUBLE / (n_tp + n_fp) ELSE 0 END AS p, CASE WHEN n_tp + n_fn > 0 THEN n_tp::DOUBLE / (n_tp + n_fn) ELSE 0 END AS r FROM counts)
+    SELECT p_stay, p_skip, n, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM rates"""
+)
+def grid_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search's objective: F1 of the mappings of the corrected reads against a truth, for each pair of the grid."""
+    size = F.count("*").cast("int")
+    truth = band_rows(spark, sf_dir).groupBy("user_id").agg((1 + 15 * size).cast("int").alias("rf_st"))
+    truth = truth.select(
+        F.col("user_id").alias("row_id"), F.col("user_id").alias("qr_name"), F.lit(1000).alias("qr_len"), (F.col("user_id") % 7 != 0).alias("is_mapped"), F.lit(0).alias("qr_st"), F.lit(1000).alias("qr_en"),
+        F.lit(True).alias("is_fwd"), F.concat(F.lit("chr"), F.col("user_id") % 3).alias("rf_name"), F.lit(100_000).alias("rf_len"), "rf_st", (F.col("rf_st") + 200).alias("rf_en"),
+    )
+    out = tuning.grid_scores(user_reads(spark, sf_dir), MODEL, lambda corrected: tuning.f1_scores(mapped_reads(corrected), truth))
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+def _mixture_sql(table_: str, column: str, n: int, seed: int, rounds: int = 500, tol: float = 1e-6) -> str:
+    """training.mixture() as a recursion over rounds: the first means one by one, then arrays of parameters."""
+    seeds, known = [], []
+    for k in range(n):
+        u = f"((abs(x) * {training.GOLDEN * (seed + k + 1)!r}::DOUBLE) % 1.0::DOUBLE + 1e-9::DOUBLE)"
+        near = f"least({', '.join(f'pow(x - m{j}, 2)' for j in known)})" if known else ""
+        order = f"ln({u}) / {near} DESC" if known else f"{u} DESC"
+        seeds.append(f"seed{k} AS MATERIALIZED (SELECT x AS m{k} FROM vals{''.join(f', seed{j}' for j in known)} {f'WHERE {near} > 0' if known else ''} ORDER BY {order}, x LIMIT 1)")
+        known.append(k)
+    logs = [f"ln(w[{k + 1}]) - 0.5 * ln(2 * pi() * v[{k + 1}]) - pow(x - m[{k + 1}], 2) / (2 * v[{k + 1}])" for k in range(n)]
+    terms = ", ".join(f"l{k} - top AS d{k}" for k in range(n))
+    both = " + ".join(f"exp(d{k})" for k in range(n))
+    mass = ", ".join(f"greatest(sum(c * exp(d{k}) / s), 1e-12) AS mass{k}, sum(c * exp(d{k}) / s * x) AS first{k}, sum(c * exp(d{k}) / s * pow(x - m[{k + 1}], 2)) AS second{k}" for k in range(n))
+    means = ", ".join(f"first{k} / mass{k}" for k in range(n))
+    variances = ", ".join(f"greatest(second{k} / mass{k} - pow(first{k} / mass{k} - m[{k + 1}], 2), {training.LEAST_VARIANCE})" for k in range(n))
+    return f"""WITH RECURSIVE vals AS MATERIALIZED (SELECT {column}::DOUBLE AS x, count(*) AS c FROM {table_} WHERE {column} IS NOT NULL GROUP BY 1),
+    {", ".join(seeds)},
+    em AS (
+        SELECT 0 AS k, list_sort([{", ".join(f"m{k}" for k in range(n))}]) AS m, [greatest(var_pop / {n}, 1e-4) FOR i IN range({n})] AS v, [1.0::DOUBLE / {n} FOR i IN range({n})] AS w, NULL::DOUBLE AS ll, false AS done
+        FROM {", ".join(f"seed{k}" for k in range(n))}, (SELECT var_pop({column}::DOUBLE) AS var_pop FROM {table_})
+        UNION ALL
+        SELECT k + 1, [{means}], [{variances}], [{", ".join(f"mass{k} / total" for k in range(n))}], new, coalesce(abs(new - ll) <= {tol} * abs(ll), false)
+        FROM (SELECT k, m, ll, sum(c) AS total, sum(c * (top + ln(s))) AS new, {mass}
+              FROM (SELECT *, {both} AS s FROM (SELECT k, m, ll, x, c, top, {terms}
+                    FROM (SELECT *, greatest({", ".join(f"l{k}" for k in range(n))}) AS top FROM (SELECT k, m, ll, x, c, {", ".join(f"{x} AS l{k}" for k, x in enumerate(logs))} FROM em, vals WHERE NOT done AND k < {rounds}))))
+              GROUP BY k, m, ll)),
+    last AS (SELECT * FROM em ORDER BY k DESC LIMIT 1), states AS (SELECT unnest(m) AS mean, unnest(v) AS var, unnest(w) AS weight FROM last)"""
+
+
+@query(f"{_mixture_sql('part', 'p_retailprice', 4, 1)} SELECT (row_number() OVER (ORDER BY mean) - 1)::INT AS s, round(mean, 3) AS mean, round(var, 2) AS var, round(weight, 5) AS weight FROM states")
 def mixture_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixture of normals fitted to the parts' prices."""
-    means, variances, weights = training.mixture(table(spark, sf_dir, "part"), "p_retailprice", 4, seed=1, rounds=10)
-    return spark.createDataFrame([(i, round(float(m), 4), round(float(v), 4), round(float(w), 6)) for i, (m, v, w) in enumerate(zip(means, variances, weights))], "s int, mean double, var double, weight double")
+    """A mixture of normals fitted to the parts' prices until it converges."""
+    means, variances, weights = training.mixture(table(spark, sf_dir, "part"), "p_retailprice", 4, seed=1)
+    return spark.createDataFrame([(i, round(float(m), 3), round(float(v), 2), round(float(w), 5)) for i, (m, v, w) in enumerate(zip(means, variances, weights))], "s int, mean double, var double, weight double")
+
+
+def _expected_sql(tag: str, means: str) -> str:
+    """Forward-backward over chunks (obs: c, t, x, n) with the means of a one-row table: gam<tag> has c, t, x, g (state probabilities), f, ahead, scale."""
+    n = len(MODEL.means)
+    var = "[" + ", ".join(f"{v}::DOUBLE" for v in MODEL.variances) + "]"
+    to = lambda a, s: f"(list_sum({a}) - {a}[{s}]) / {n - 1}"  # noqa: E731  the start's transitions are even but for the diagonal
+    emit = f"[exp(-0.5 * pow(x - m[s], 2) / ({var})[s]) / sqrt(2 * pi() * ({var})[s]) FOR s IN range(1, {n + 1})]"
+    normed = "SELECT c, t, [z / sc FOR z IN a] AS f, sc AS scale FROM (SELECT *, greatest(list_sum(a), 1e-300) AS sc FROM ({}))"
+    return f"""em{tag} AS MATERIALIZED (SELECT c, t, x, n, {emit} AS e FROM obs, {means}),
+    fw{tag} AS (
+        {normed.format(f"SELECT c, t, [z / {n} FOR z IN e] AS a FROM em{tag} WHERE t = 0")}
+        UNION ALL
+        {normed.format(f"SELECT o.c, o.t, [({to('w.f', 's')}) * o.e[s] FOR s IN range(1, {n + 1})] AS a FROM fw{tag} w JOIN em{tag} o ON o.c = w.c AND o.t = w.t + 1")}),
+    fs{tag} AS MATERIALIZED (SELECT w.c, w.t, o.x, o.n, o.e, w.f, w.scale FROM fw{tag} w JOIN em{tag} o ON o.c = w.c AND o.t = w.t),
+    bw{tag} AS (
+        SELECT c, t, [1.0::DOUBLE FOR s IN range({n})] AS b, NULL::DOUBLE[] AS ahead FROM fs{tag} WHERE t = n - 1
+        UNION ALL
+        SELECT c, t, [{to("ahead", "s")} FOR s IN range(1, {n + 1})] AS b, ahead
+        FROM (SELECT o.c, o.t - 1 AS t, [o.e[s] * w.b[s] / o.scale FOR s IN range(1, {n + 1})] AS ahead FROM bw{tag} w JOIN fs{tag} o ON o.c = w.c AND o.t = w.t WHERE o.t > 0)),
+    gam{tag} AS MATERIALIZED (SELECT s.c, s.t, s.x, s.f, s.scale, w.ahead, [s.f[i] * w.b[i] FOR i IN range(1, {n + 1})] AS g FROM fs{tag} s JOIN bw{tag} w ON s.c = w.c AND s.t = w.t)"""
+
+
+_N = len(MODEL.means)
+_ROUND = f"""WITH RECURSIVE {SUPPLIER_SIGNAL}, {Z}, kept AS (SELECT read_id, idx, x, count(*) OVER (PARTITION BY read_id) AS n FROM z WHERE x IS NOT NULL),
+    parts AS (SELECT read_id, idx, x, CASE WHEN idx < n % 4 * (n // 4 + 1) THEN idx // (n // 4 + 1) ELSE n % 4 + (idx - n % 4 * (n // 4 + 1)) // (n // 4) END AS part FROM kept),
+    obs AS MATERIALIZED (SELECT read_id * 4 + part AS c, row_number() OVER (PARTITION BY read_id, part ORDER BY idx) - 1 AS t, x, count(*) OVER (PARTITION BY read_id, part) AS n FROM parts),
+    given AS (SELECT [{", ".join(f"{m}::DOUBLE" for m in MODEL.means)}] AS m), {_expected_sql("1", "given")},
+    sums AS MATERIALIZED (SELECT s, sum(g[s]) AS mass, sum(g[s] * x) AS first FROM gam1, range(1, {_N + 1}) a(s) GROUP BY s),
+    moved AS MATERIALIZED (SELECT list(first / mass ORDER BY s) AS m FROM sums), {_expected_sql("2", "moved")},
+    var AS (SELECT s, greatest(sum(g[s] * pow(x - m[s], 2)) / any_value(mass), {training.LEAST_VARIANCE}) AS var FROM gam2, moved, sums GROUP BY s),
+    pairs AS (SELECT p, q, sum(f[p] * ahead[q]) / {_N - 1} AS k FROM gam1, range(1, {_N + 1}) a(p), range(1, {_N + 1}) b(q) WHERE ahead IS NOT NULL AND p <> q GROUP BY p, q),
+    probs AS (SELECT p, q, k / sum(k) OVER (PARTITION BY p) AS prob FROM pairs UNION ALL SELECT s, s, 0 FROM sums)
+    SELECT (p - 1)::INT AS p, (q - 1)::INT AS s, round(first / mass, 6) AS mean, round(var, 6) AS var, round(prob, 6) AS prob, round((SELECT sum(ln(scale)) FROM gam1), 2) AS log_likelihood
+    FROM probs JOIN sums ON sums.s = p JOIN var ON var.s = p"""
+
+
+def _model_rows(spark: SparkSession, model: Model, log: list[float]) -> DataFrame:
+    rows = [(i, j, round(float(model.means[i]), 6), round(float(model.variances[i]), 6), round(float(p), 6), round(log[-1], 2)) for i, row in enumerate(model.transitions) for j, p in enumerate(row)]
+    return spark.createDataFrame(rows, "p int, s int, mean double, var double, prob double, log_likelihood double")
 
 
-@query()
-def trained_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A few rounds of training on chunks of the suppliers' z-scored signals."""
+@query(_ROUND)
+def training_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of training on chunks of the suppliers' z-scored signals."""
     signal = kmers.chunked(frames.z_scores(supplier_signal(spark, sf_dir)).filter("x is not null"), 4)
     at = F.sort_array(F.collect_list(F.struct("idx", "x")))
     chunks = signal.groupBy("read_id", "chunk").agg(F.transform(at, lambda s: s["x"]).alias("xs"))
-    model, log = training.trained(chunks, *map(training.np.array, (MODEL.means, MODEL.variances)), least=1, most=3)
-    rows = [(i, j, round(float(model.means[i]), 6), round(float(model.variances[i]), 6), round(float(p), 6), round(log[-1], 2)) for i, row in enumerate(model.transitions) for j, p in enumerate(row)]
-    return spark.createDataFrame(rows, "p int, s int, mean double, var double, prob double, log_likelihood double")
+    return _model_rows(spark, *training.trained(chunks, *map(training.np.array, (MODEL.means, MODEL.variances)), most=1))
+
+
+@query()
+def trained_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of five states trained on the k-mer table's levels, along the de Bruijn text in eight chunks, until it stops by itself: over 1,000 rounds."""
+    levels = kmer_levels(spark, sf_dir).withColumn("level", (F.col("level") - 1000) / 100)
+    means, variances, _ = training.mixture(levels, "level", 5, seed=1)
+    at = F.sort_array(F.collect_list(F.struct("t", "level")))
+    chunks = kmers.observations(spark, levels, K, 8).groupBy("chunk").agg(F.transform(at, lambda s: s["level"]).alias("xs"))
+    return _model_rows(spark, *training.trained(chunks, means, variances))
+
+
+@query(
+    """WITH stats AS (SELECT c_nationkey % 5 AS s, round(avg(c_acctbal), 6) AS mean, round(var_pop(c_acctbal), 6) AS var FROM customer GROUP BY ALL),
+    pairs AS (SELECT n_regionkey AS p, c_nationkey % 5 AS s, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+    square AS (SELECT a.s AS p, b.s AS s, coalesce(n, 0) AS n FROM stats a CROSS JOIN stats b LEFT JOIN pairs ON pairs.p = a.s AND pairs.s = b.s)
+    SELECT p::INT AS p, s::INT AS s, mean, var, round(n::DOUBLE / sum(n) OVER (PARTITION BY p), 6) AS prob FROM square JOIN (SELECT s AS p, mean, var FROM stats) USING (p)"""
+)
+def model_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' balances and regions as a model, written as a model file's lines and parsed again."""
+    customers = table(spark, sf_dir, "customer").withColumn("s", (F.col("c_nationkey") % 5).cast("int"))
+    stats = customers.groupBy("s").agg(F.avg("c_acctbal").alias("mean"), F.var_pop("c_acctbal").alias("var"))
+    joined = customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    pairs = joined.groupBy(F.col("n_regionkey").cast("int").alias("p"), "s").agg(F.count("*").alias("n"))
+    states = {r["s"]: r for r in stats.collect()}
+    counts = {(r["p"], r["s"]): r["n"] for r in pairs.collect()}  # at most 5 x 5
+    total = {p: sum(counts.get((p, s), 0) for s in states) or 1 for p in states}
+    order = sorted(states)
+    lines = sinks.model_lines([states[s]["mean"] for s in order], [states[s]["var"] for s in order], [[counts.get((p, s), 0) / total[p] for s in order] for p in order])
+    model = text.parsed_model(lines)
+    return spark.createDataFrame([(p, s, model.means[p], model.variances[p], model.transitions[p][s]) for p in order for s in order], "p int, s int, mean double, var double, prob double")
+
+
+@query(f"WITH {KMER_TABLE} SELECT kmer, level FROM levels")
+def kmer_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of a k-mer table, among comments and odd lines, parsed again; the last line of a k-mer wins."""
+    parts = table(spark, sf_dir, "part")
+    code = F.pmod(F.pmod("p_partkey", F.lit(300)), F.lit(4**K))
+    line = F.concat_ws("\t", sig.decoded_kmer(code, K), F.col("p_retailprice").cast("string"))
+    lines = parts.select("p_partkey", F.explode(F.array(F.concat(F.lit("# "), line), line, F.lit(""), F.lit("NNNN x"))).alias("value"))
+    parsed = text.parsed_kmers(lines.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select("value"))
+    return kmers.last_wins(parsed)
+
+
+@query(
+    """WITH raw AS (SELECT user_id, event_id, floor(value)::INT AS v FROM events), pa AS (SELECT user_id, (v + 10.0::DOUBLE) * (2.0::DOUBLE / 4.0::DOUBLE) AS x FROM raw)
+    SELECT user_id::VARCHAR AS read_id, count(*) FILTER (x > 30 AND x < 200) AS n, round(coalesce(sum(x) FILTER (x > 30 AND x < 200), 0), 4) AS total FROM pa GROUP BY user_id"""
+)
+def slow5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' values as SLOW5 lines, read again: calibrated by range and inside the band."""
+    reads = correction.gathered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    raw = F.array_join(F.transform("signal", lambda x: F.floor(x).cast("int").cast("string")), ",")
+    lines = reads.select(F.concat_ws("\t", F.col("read_id").cast("string"), F.lit("0"), F.lit("4"), F.lit("10"), F.lit("2"), F.lit("4000"), F.size("signal").cast("string"), raw).alias("value"))
+    back = text.parsed_slow5(lines.select(F.explode(F.array(F.lit("#slow5_version\t0.2.0"), F.lit("@x\ty"), "value")).alias("value")))
+    total = F.aggregate("signal_pA", F.lit(0.0), lambda a, x: a + x)
+    return back.select("read_id", F.size("signal_pA").cast("long").alias("n"), F.round(total, 4).alias("total"))
+
+
+@query(
+    f"""WITH {LABELLED}, rates AS ({RATES.format(na=0, counts=_COUNTS)}),
+    m AS (SELECT 'chr' || l_suppkey % 3 AS rf_name, (900 + l_suppkey % 100)::DOUBLE AS bp, round(1 + l_quantity / 10, 1) AS ms FROM lineitem WHERE l_returnflag <> 'R'),
+    speed AS (SELECT rf_name, avg(1000 * bp / ms) AS a1, median(1000 * bp / ms) AS b1, avg(bp) AS a2, median(bp) AS b2, avg(ms) AS a3, median(ms) AS b3 FROM m GROUP BY rf_name),
+    lines AS (SELECT rf_name AS key, [
+        'Summary: ' || n || ' reads, ' || n_tp + n_fp + n_na || ' mapped', chr(9) || 'P' || chr(9) || 'N',
+        'T' || chr(9) || printf('%.2f', round(100.0 * n_tp / n, 2)) || chr(9) || printf('%.2f', round(100.0 * n_tn / n, 2)), 'F' || chr(9) || printf('%.2f', round(100.0 * n_fp / n, 2)) || chr(9) || printf('%.2f', round(100.0 * n_fn / n, 2)),
+        'NA: ' || printf('%.2f', round(100.0 * n_na / n, 2)), 'precision: ' || printf('%.6f', p), 'recall: ' || printf('%.6f', r), 'f1: ' || printf('%.6f', f),
+        'BP per sec: ' || printf('%.2f', a1) || ' ' || printf('%.2f', b1), 'BP mapped: ' || printf('%.2f', a2) || ' ' || printf('%.2f', b2), 'MS to map: ' || printf('%.2f', a3) || ' ' || printf('%.2f', b3)] AS v FROM rates JOIN speed USING (rf_name))
+    SELECT key, unnest(range(0, 11))::INT AS line_no, unnest(v) AS value FROM lines"""
+)
+def annotation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed report of each reference's mappings: summary, matrix of positives and negatives, unknown ones, speed."""
+    mapped, truth = alignments(spark, sf_dir)
+    scores = alignment.rates(alignment.confusion(alignment.labelled(mapped, truth), ["rf_name"]))
+    return sinks.report_lines(scores.join(alignment.throughput(mapped, ["rf_name"]), "rf_name"), "rf_name")
+
+
+@query(
+    f"""WITH {LABELLED}, rates AS ({RATES.format(na=0, counts=_COUNTS)})
+    SELECT name, round(sum(number), 4) AS number FROM (
+        SELECT unnest(['Summary', 'NA', 'precision', 'recall', 'f1']) AS name, unnest([n::DOUBLE, round(100.0 * n_na / n, 2)::DOUBLE, round(p, 6), round(r, 6), round(f, 6)]) AS number FROM rates) GROUP BY name"""
+)
+def summary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's lines parsed again, and their numbers added up over the references."""
+    lines = sinks.report_lines(alignment.rates(alignment.confusion(alignment.labelled(*alignments(spark, sf_dir)), ["rf_name"])), "rf_name")
+    return text.parsed_summary(lines.select("value")).groupBy("name").agg(F.round(F.sum("number"), 4).alias("number"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.signal import extended, tag
@@ -59,13 +59,49 @@ def rates(counts: DataFrame, na_is_fp: bool = False, rounded: bool = False) -> D
     return out.withColumn("f1", _share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+#: What throughput() averages: bases per second, bases, milliseconds.
+TIMED = ("bp_per_s", "bp", "ms")
+
+
 def throughput(query: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean and exact median of bases per second, bases, and milliseconds of mapped rows that have a mt:f: tag."""
     ms = F.try_divide(F.col("mt"), F.lit(1.0))
     rows = query.filter("is_mapped").withColumn("mt", tag(F.col("tags"), "mt:f:").cast("double")).filter("mt is not null")
     rows = rows.select(*(by or []), F.col("qr_en").cast("double").alias("bp"), ms.alias("ms"), F.try_divide(1000.0 * F.col("qr_en"), F.col("mt")).alias("bp_per_s"))
-    stats = [f(c).alias(f"{name}_{c}") for c in ("bp_per_s", "bp", "ms") for name, f in (("mean", F.avg), ("median", F.median))]
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n_timed"), *stats)
+    means = [F.avg(c).alias(f"mean_{c}") for c in TIMED]
+    return with_medians(rows, rows.groupBy(*(by or [])).agg(F.count("*").alias("n_timed"), *means), list(TIMED), by)
+
+
+def medians(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Exact medians of columns of doubles, null if there are no values: by, median_<column>.
+
+    Values are counted first, in parallel, so that only distinct ones are put in order, by a
+    sort that can spill; no buffer holds a group.
+    """
+    by = by or []
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")
+    counts = rows.select(*by, named).filter("s.v is not null").groupBy(*by, F.col("s.name").alias("name"), F.col("s.v").alias("v")).count()
+    group = Window.partitionBy(*by, "name")
+    placed = counts.withColumns({"upto": F.sum("count").over(group.orderBy("v")), "n": F.sum("count").over(group)})
+    # the places of the two middle values, from 1; they are one if the count is odd
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("count") < k)
+    middle = placed.filter(holds(low) | holds(high))
+    value = lambda c: ((F.min(F.when(F.col("name") == c, F.col("v"))) + F.max(F.when(F.col("name") == c, F.col("v")))) / 2).alias(f"median_{c}")
+    return middle.groupBy(*by).agg(*[value(c) for c in columns])
+
+
+def with_medians(rows: DataFrame, stats: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """stats (a row for each value of by) with the medians of columns of rows."""
+    own = medians(rows, columns, by)
+    if not by:
+        return stats.join(own, how="cross")  # a row each
+    for c in by:
+        own = own.withColumnRenamed(c, f"_{c}")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return stats.join(own, same, "left").drop(*[f"_{c}" for c in by])
 
 
 def field(column: Column) -> Column:
@@ -75,4 +111,4 @@ def field(column: Column) -> Column:
 
 def read_costs(annotated: DataFrame) -> DataFrame:
     """Means over annotated rows (is_mapped, bases, chunks, ms), mapped and unmapped together; null if there are none."""
-    return annotated.agg(*[F.avg(c).alias(f"mean_{c}") for c in ("ms", "bases", "chunks")], F.median("ms").alias("median_ms"))
+    return with_medians(annotated, annotated.agg(*[F.avg(c).alias(f"mean_{c}") for c in ("ms", "bases", "chunks")]), ["ms"])

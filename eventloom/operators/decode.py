@@ -9,23 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.arrays import alike, arrays, lists
 from eventloom.operators.model import Model
 
 #: Scores (reads x events x states) that are held at once.
 CELLS = 4_000_000
 
 
-def _grouped(reads: list[np.ndarray], n_states: int) -> Iterator[np.ndarray]:
-    """Indices of reads of like length that fit together, the longest first."""
-    order = np.argsort([-len(r) for r in reads], kind="stable")
-    k = 0
-    while k < len(order):
-        longest = max(len(reads[order[k]]), 1)
-        step = max(1, CELLS // (longest * n_states))
-        yield order[k : k + step]
-        k += step
-
-
 def best_paths(model: Model, p_stay: float, p_skip: float, reads: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray] | None]:
     """The best state path of each read, and which of its states were reached by a skip.
 
@@ -43,7 +33,7 @@ def best_paths(model: Model, p_stay: float, p_skip: float, reads: list[np.ndarra
     linked = np.where(model.adjacent(), log_t, -np.inf)
     stay, own = np.diag(log_t), np.arange(len(means))
     out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(reads)
-    for group in _grouped(reads, len(means)):
+    for group in alike([len(r) for r in reads], CELLS // len(means)):
         lengths = np.array([len(reads[g]) for g in group])
         most, rows = int(lengths.max()), np.arange(len(group))
         if most == 0:
@@ -133,11 +123,6 @@ def run_denoised(x: np.ndarray, path: np.ndarray, means: np.ndarray, width: int,
     return x - noise[run]
 
 
-def _values(column: pa.Array) -> list[np.ndarray | None]:
-    """Arrays of numbers; a null array is None, a null element not a number."""
-    return [None if v is None else np.array([np.nan if y is None else y for y in v], float) for v in column.to_pylist()]
-
-
 def decode_reads(reads: DataFrame, model: Model, p_stay: float, p_skip: float) -> DataFrame:
     """The state paths of reads (read_id, events): read_id, events, states, skips; null states and skips where there is no path.
 
@@ -147,19 +132,19 @@ def decode_reads(reads: DataFrame, model: Model, p_stay: float, p_skip: float) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _values(batch.column("events"))
+            rows = arrays(batch.column("events"))
             paths = best_paths(model, p_stay, p_skip, [np.zeros(0) if r is None else r for r in rows])
             found = [None if r is None else p for r, p in zip(rows, paths)]
-            states = pa.array([None if p is None else p[0] for p in found], pa.list_(pa.int32()))
-            skips = pa.array([None if p is None else p[1] for p in found], pa.list_(pa.bool_()))
+            states = lists([None if p is None else p[0] for p in found], pa.int32())
+            skips = lists([None if p is None else p[1] for p in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("read_id"), batch.column("events"), states, skips], names=["read_id", "events", "states", "skips"])
 
     rows = reads.select("read_id", F.col("events").cast("array<double>").alias("events"))
     return rows.mapInArrow(run, f"read_id {rows.dtypes[0][1]}, events array<double>, states array<int>, skips array<boolean>")
 
 
-def correct_reads(reads: DataFrame, model: Model, p_stay: float, p_skip: float, width: int = 20, remove_stays: bool = True, remove_noise: bool = True) -> DataFrame:
-    """Decode and correct reads (read_id, events) in one function: read_id, events, states; null where a read can't be decoded."""
+def corrector(model: Model, p_stay: float, width: int = 20, remove_stays: bool = True, remove_noise: bool = True):
+    """The correction of one read by its path: (events, path) to (events, path)."""
     means, collapse = np.array(model.means), model.collapses(p_stay)
 
     def one(x: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,13 +154,39 @@ def correct_reads(reads: DataFrame, model: Model, p_stay: float, p_skip: float,
             x = denoised(x, path, means, width) if remove_stays else run_denoised(x, path, means, width, collapse)
         return x, path
 
+    return one
+
+
+def correct_grid(reads: DataFrame, model: Model, pairs: list[tuple[float, float]], width: int = 20, remove_stays: bool = True, remove_noise: bool = True) -> DataFrame:
+    """correct_reads() for each pair of (p_stay, p_skip), in one pass over the reads: p_stay, p_skip, read_id, events, states."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = arrays(batch.column("events"))
+            plain = [np.zeros(0) if r is None else r for r in rows]
+            for p_stay, p_skip in pairs:
+                one = corrector(model, p_stay, width, remove_stays, remove_noise)
+                paths = best_paths(model, p_stay, p_skip, plain)
+                done = [None if r is None or p is None else one(r, p[0]) for r, p in zip(rows, paths)]
+                events, states = (lists([None if d is None else d[k] for d in done], kind) for k, kind in ((0, pa.float64()), (1, pa.int32())))
+                shares = [pa.array(np.full(len(rows), p)) for p in (p_stay, p_skip)]
+                yield pa.RecordBatch.from_arrays([*shares, batch.column("read_id"), events, states], names=["p_stay", "p_skip", "read_id", "events", "states"])
+
+    rows = reads.select("read_id", F.col("events").cast("array<double>").alias("events"))
+    return rows.mapInArrow(run, f"p_stay double, p_skip double, read_id {rows.dtypes[0][1]}, events array<double>, states array<int>")
+
+
+def correct_reads(reads: DataFrame, model: Model, p_stay: float, p_skip: float, width: int = 20, remove_stays: bool = True, remove_noise: bool = True) -> DataFrame:
+    """Decode and correct reads (read_id, events) in one function: read_id, events, states; null where a read can't be decoded."""
+    one = corrector(model, p_stay, width, remove_stays, remove_noise)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _values(batch.column("events"))
+            rows = arrays(batch.column("events"))
             paths = best_paths(model, p_stay, p_skip, [np.zeros(0) if r is None else r for r in rows])
             done = [None if r is None or p is None else one(r, p[0]) for r, p in zip(rows, paths)]
-            events = pa.array([None if d is None else d[0] for d in done], pa.list_(pa.float64()))
-            states = pa.array([None if d is None else d[1] for d in done], pa.list_(pa.int32()))
+            events = lists([None if d is None else d[0] for d in done], pa.float64())
+            states = lists([None if d is None else d[1] for d in done], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("read_id"), events, states], names=["read_id", "events", "states"])
 
     rows = reads.select("read_id", F.col("events").cast("array<double>").alias("events"))

@@ -9,8 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from eventloom.functions.arrays import alike, arrays, known, lists
 from eventloom.operators.frames import LEAST_VARIANCE
 
+#: Samples of padded reads that are searched for peaks at once.
+CELLS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Segmenter:
@@ -61,9 +65,18 @@ def peaks(shorts: list[np.ndarray], longs: list[np.ndarray], how: Segmenter) ->
     Each detector first follows its statistic down, starts a peak where it has risen by
     `height`, follows it up, and reports the top once it has fallen by `height` from over
     the threshold and half a window has gone by. A short peak over its threshold silences
-    the long detector for a window. Reads go through their samples together: a step is a
-    few array operations over all reads that still have samples.
+    the long detector for a window. Reads of like length go through their samples
+    together: a step is a few array operations over all of them that still have samples.
     """
+    out: list[np.ndarray] = [np.zeros(0, int)] * len(shorts)
+    for group in alike([len(s) for s in shorts], CELLS):
+        for k, found in zip(group, _peaks([shorts[k] for k in group], [longs[k] for k in group], how)):
+            out[k] = found
+    return out
+
+
+def _peaks(shorts: list[np.ndarray], longs: list[np.ndarray], how: Segmenter) -> list[np.ndarray]:
+    """peaks() for reads that come by length, the longest first."""
     lengths = np.array([len(s) for s in shorts])
     n, most = len(shorts), int(lengths.max(initial=0))
     curves = np.zeros((2, n, most))
@@ -74,10 +87,13 @@ def peaks(shorts: list[np.ndarray], longs: list[np.ndarray], how: Segmenter) ->
     top, at = np.full((2, n), np.inf), np.full((2, n), -1)
     sure, quiet = np.zeros((2, n), bool), np.zeros((2, n), int)
     found_read, found_at = [], []
+    all_top, all_at, all_sure, all_quiet = top, at, sure, quiet
     for i in range(most):
+        m = int(np.searchsorted(-lengths, -i, side="left"))  # reads that go on
+        top, at, sure, quiet = all_top[:, :m], all_at[:, :m], all_sure[:, :m], all_quiet[:, :m]
         for k in (0, 1):
-            v = curves[k, :, i]
-            on = (lengths > i) & (quiet[k] < i)
+            v = curves[k, :m, i]
+            on = quiet[k] < i
             searching, climbing = on & (at[k] < 0), on & (at[k] >= 0)
             falls = searching & (v < top[k])
             begins = searching & ~falls & (v - top[k] > how.height)
@@ -151,13 +167,12 @@ def segmented(signals: list[np.ndarray], how: Segmenter) -> list[np.ndarray | No
 
 
 def segment_reads(reads: DataFrame, how: Segmenter | str = "v1") -> DataFrame:
-    """The events of reads (read_id, signal): read_id, events; null where there are none. No shuffle."""
+    """The events of reads (read_id, signal): read_id, events; null where there are none. Samples that are null or not a number are left out. No shuffle."""
     how = PRESETS[how] if isinstance(how, str) else how
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.array([x for x in v or [] if x is not None], float) for v in batch.column("signal").to_pylist()]
-            events = pa.array(segmented(rows, how), pa.list_(pa.float64()))
+            events = lists(segmented([known(v) for v in arrays(batch.column("signal"))], how), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("read_id"), events], names=["read_id", "events"])
 
     rows = reads.select("read_id", "signal")

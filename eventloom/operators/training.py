@@ -5,109 +5,164 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.arrays import alike, arrays, known
 from eventloom.operators.model import Model
 
 LEAST_VARIANCE = 1e-6
+#: Fixed value: the step of the seeding draws.
+GOLDEN = 0.6180339887498949
+#: Values (places x chunks x states) that forward-backward holds at once.
+CELLS = 2_000_000
 
 
 def mixture(values: DataFrame, column: str, n: int, seed: int = 0, rounds: int = 500, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A mixture of n normals by EM: means, variances and weights, in ascending order of means.
 
-    The first means are drawn one by one, far values likelier; the draws and each round
-    are aggregates over the values, of which the driver sees n sums. Stops when the log
-    likelihood grows by less than tol relatively.
+    The first means are drawn one by one, far values likelier: a value x has the draw
+    u = frac(|x| * GOLDEN * (seed + k)) of the k-th mean, and the one with the largest
+    ln(u) / distance ** 2 is taken. The draws and each round are aggregates over the
+    values, of which the driver sees n sums; these sums don't depend on the order of
+    values but for rounding. Stops when the log likelihood grows by less than tol
+    relatively. Nulls are left out; equal values may be repeated.
     """
     x = F.col(column).cast("double")
-    rows = values.filter(x.isNotNull()).select(x.alias("x"))
-    total, centre, spread = rows.agg(F.count("*"), F.avg("x"), F.var_pop("x")).first()
-    if not total:
-        raise ValueError("there are no values to fit")
-    means = [rows.orderBy(F.xxhash64("x", F.lit(seed))).first()["x"]]
-    for k in range(1, n):
-        near = F.least(*[F.pow(F.col("x") - m, 2) for m in means]) if len(means) > 1 else F.pow(F.col("x") - means[0], 2)
-        # the largest of u ** (1 / weight) draws with those weights
-        u = (F.pmod(F.xxhash64("x", F.lit(seed + k)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-        drawn = rows.filter(near > 0).orderBy((F.ln(u) / near).desc(), "x").first()
-        means.append(drawn["x"] if drawn else centre + k * 1e-3)
-    means = np.array(sorted(means))
-    variances, weights = np.full(n, max(spread / n, 1e-4)), np.full(n, 1 / n)
-    before = None
-    for _ in range(rounds):
-        terms = [F.lit(float(np.log(w) - 0.5 * np.log(2 * np.pi * v))) - F.pow(F.col("x") - float(m), 2) / float(2 * v) for m, v, w in zip(means, variances, weights)]
-        scored = rows.withColumn("l", F.array(*terms)).withColumn("top", F.array_max("l")).withColumn("e", F.transform("l", lambda a: F.exp(a - F.col("top"))))
-        scored = scored.withColumn("s", F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
-        share = lambda k: F.col("e")[k] / F.col("s")
-        sums = [F.sum(share(k)) for k in range(n)] + [F.sum(share(k) * F.col("x")) for k in range(n)] + [F.sum(share(k) * F.pow(F.col("x") - float(means[k]), 2)) for k in range(n)]
-        got = scored.agg(F.sum(F.col("top") + F.ln("s")), *sums).first()
-        mass, first, second = (np.array(got[1 + k * n : 1 + (k + 1) * n]) for k in range(3))
-        mass = np.maximum(mass, 1e-12)
-        moved = first / mass
-        variances = np.maximum(second / mass - (moved - means) ** 2, LEAST_VARIANCE)
-        means, weights = moved, mass / total
-        if before is not None and abs(got[0] - before) <= tol * abs(before):
-            break
-        before = got[0]
+    rows = values.filter(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("m")).persist()  # equal values weigh together
+    try:
+        total, centre, spread = rows.agg(F.sum("m"), F.sum(F.col("x") * F.col("m")) / F.sum("m"), F.sum(F.col("x") * F.col("x") * F.col("m")) / F.sum("m")).first()
+        if not total:
+            raise ValueError("there are no values to fit")
+        spread = rows.agg(F.sum(F.pow(F.col("x") - centre, 2) * F.col("m"))).first()[0] / total
+        draw = lambda k: F.pmod(F.abs("x") * F.lit(GOLDEN * (seed + k)), F.lit(1.0)) + F.lit(1e-9)
+        means = [rows.orderBy(draw(1).desc(), "x").first()["x"]]
+        for k in range(1, n):
+            near = F.least(*[F.pow(F.col("x") - m, 2) for m in means]) if len(means) > 1 else F.pow(F.col("x") - means[0], 2)
+            drawn = rows.filter(near > 0).orderBy((F.ln(draw(k + 1)) / near).desc(), "x").first()
+            means.append(drawn["x"] if drawn else centre + k * 1e-3)
+        means = np.array(sorted(means))
+        variances, weights = np.full(n, max(spread / n, 1e-4)), np.full(n, 1 / n)
+        before = None
+        for _ in range(rounds):
+            got = _mixture_sums(rows, means, variances, weights)
+            mass, first, second = (np.array(got[1 + k * n : 1 + (k + 1) * n]) for k in range(3))
+            mass = np.maximum(mass, 1e-12)
+            moved = first / mass
+            variances = np.maximum(second / mass - (moved - means) ** 2, LEAST_VARIANCE)
+            means, weights = moved, mass / total
+            if before is not None and abs(got[0] - before) <= tol * abs(before):
+                break
+            before = got[0]
+    finally:
+        rows.unpersist()
     order = np.argsort(means, kind="stable")
     return means[order], variances[order], weights[order]
 
 
-def expected(x: np.ndarray, means: np.ndarray, variances: np.ndarray, trans: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Scaled forward-backward over one chunk with a uniform start.
+def _mixture_sums(rows: DataFrame, means: np.ndarray, variances: np.ndarray, weights: np.ndarray):
+    """The log likelihood and each component's mass, sum of x and sum of squared distances from its mean, as one aggregate.
 
-    Returns expected transition counts, state masses, sums of x, sums of squared
-    distances from centres, and the log likelihood.
+    The parameters go in as one array, so that the code doesn't depend on them.
     """
-    n_t, n = len(x), len(means)
-    emit = np.exp(-0.5 * (x[:, None] - means) ** 2 / variances) / np.sqrt(2 * np.pi * variances)
-    forward, scale = np.zeros((n_t, n)), np.ones(n_t)
-    now = np.full(n, 1 / n)
-    for t in range(n_t):
-        now = (now if t == 0 else now @ trans) * emit[t]
-        scale[t] = max(now.sum(), 1e-300)
-        now = now / scale[t]
-        forward[t] = now
-    pairs, gamma = np.zeros((n, n)), np.zeros((n_t, n))
-    behind = np.ones(n)
-    gamma[-1:] = forward[-1:]
-    for t in range(n_t - 2, -1, -1):
-        ahead = emit[t + 1] * behind / scale[t + 1]
-        pairs += forward[t][:, None] * trans * ahead
-        behind = trans @ ahead
-        gamma[t] = forward[t] * behind
-    return pairs, gamma.sum(axis=0), gamma.T @ x, (gamma * (x[:, None] - centres) ** 2).sum(axis=0), float(np.log(scale).sum())
-
-
-def _statistics(chunks: DataFrame, means: np.ndarray, variances: np.ndarray, trans: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    n = len(means)
+    flat = F.lit([*map(float, np.log(weights) - 0.5 * np.log(2 * np.pi * variances)), *map(float, means), *map(float, 2 * variances)])
+    at = lambda k: F.get(flat, F.lit(k))
+    terms = [at(k) - F.pow(F.col("x") - at(n + k), 2) / at(2 * n + k) for k in range(n)]
+    scored = rows.select("x", "m", *[t.alias(f"l{k}") for k, t in enumerate(terms)])
+    top = F.greatest(*[F.col(f"l{k}") for k in range(n)]) if n > 1 else F.col("l0")
+    scored = scored.withColumn("top", top).select("x", "m", "top", *[F.exp(F.col(f"l{k}") - F.col("top")).alias(f"e{k}") for k in range(n)])
+    s = F.col("e0")
+    for k in range(1, n):
+        s = s + F.col(f"e{k}")
+    scored = scored.withColumn("s", s)
+    share = lambda k: F.col("m") * F.col(f"e{k}") / F.col("s")
+    sums = [F.sum(share(k)) for k in range(n)] + [F.sum(share(k) * F.col("x")) for k in range(n)] + [F.sum(share(k) * F.pow(F.col("x") - at(n + k), 2)) for k in range(n)]
+    return scored.agg(F.sum(F.col("m") * (F.col("top") + F.ln("s"))), *sums).first()
+
+
+Statistics = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]
+
+
+def expected(xs: list[np.ndarray], means: np.ndarray, variances: np.ndarray, trans: np.ndarray) -> Statistics:
+    """Scaled forward-backward over chunks, each with a uniform start; chunks of like length go step by step together.
+
+    Returns the sums over chunks of expected transition counts, state masses, state sums of
+    x, state sums of squared distances from the means, and the log likelihood.
+    """
+    n = len(means)
+    pairs, mass, first, second, log = np.zeros((n, n)), np.zeros(n), np.zeros(n), np.zeros(n), 0.0
+    for group in alike([len(x) for x in xs], CELLS // n):
+        lengths = np.array([len(xs[k]) for k in group])
+        most, rows = int(lengths.max(initial=0)), len(group)
+        if not most:
+            continue
+        x = np.zeros((most, rows))
+        for k, g in enumerate(group):
+            x[: lengths[k], k] = xs[g]
+        live = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(most)]  # chunks that have a place t: the longest come first
+        emit = np.exp(-0.5 * (x[:, :, None] - means) ** 2 / variances) / np.sqrt(2 * np.pi * variances)
+        forward, scale = np.zeros((most, rows, n)), np.ones((most, rows))
+        now = np.full((rows, n), 1 / n)
+        for t in range(most):
+            m = live[t]
+            now = (now[:m] if t == 0 else now[:m] @ trans) * emit[t, :m]
+            scale[t, :m] = np.maximum(now.sum(axis=1), 1e-300)
+            now = now / scale[t, :m, None]
+            forward[t, :m] = now
+        gamma = forward.copy()  # right for each chunk's last place
+        behind = np.ones((rows, n))
+        for t in range(most - 2, -1, -1):
+            m = live[t + 1]
+            ahead = emit[t + 1, :m] * behind[:m] / scale[t + 1, :m, None]
+            pairs += (forward[t, :m].T @ ahead) * trans
+            behind[:m] = ahead @ trans.T
+            gamma[t, :m] = forward[t, :m] * behind[:m]
+        mass += gamma.sum(axis=(0, 1))
+        first += np.einsum("tks,tk->s", gamma, x)
+        second += (gamma * (x[:, :, None] - means) ** 2).sum(axis=(0, 1))
+        log += float(np.log(scale).sum())
+    return pairs, mass, first, second, log
+
+
+def _statistics(chunks: DataFrame, means: np.ndarray, variances: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The sum of all chunks' statistics: each task adds up its own chunks, Spark adds the tasks' rows element by element."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for x in batch["xs"]:
-                parts = expected(np.asarray(x, float), means, variances, trans, centres)
-                flat = np.concatenate([np.ravel(p) for p in parts])
-                total = flat if total is None else total + flat
+            parts = expected([known(x) for x in arrays(batch.column("xs"))], means, variances, trans)
+            flat = np.concatenate([np.ravel(p) for p in parts])
+            total = flat if total is None else total + flat
         if total is not None:
-            yield pd.DataFrame({"at": np.arange(len(total)), "value": total})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "value"])
 
     size = len(means) ** 2 + 3 * len(means) + 1
     out = np.zeros(size)
-    for r in chunks.select("xs").mapInPandas(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+    for r in chunks.select("xs").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
         out[r["at"]] = r["value"]
     return out
 
 
+def renewed(pairs: np.ndarray, before: np.ndarray, below: float = 0.0) -> np.ndarray:
+    """Transition counts as probabilities by row, those under `below` cut and the rest raised to 1 again; rows without counts stay as before."""
+    rows = pairs.sum(axis=1, keepdims=True)
+    p = pairs / np.where(rows > 0, rows, 1)
+    p = np.where(p < below, 0, p)
+    left = p.sum(axis=1, keepdims=True)
+    return np.where(rows > 0, p / np.where(left > 0, left, 1), before)
+
+
 def trained(chunks: DataFrame, means: np.ndarray, variances: np.ndarray, trans: np.ndarray | None = None, least: int = 1001, most: int = 10_000, tol: float = 1e-4, prune_after: int = 100, prune_below: float = 0.001) -> tuple[Model, list[float]]:
     """Baum-Welch over chunks of observations (xs, an array a row): the model and the log likelihood of each round.
 
-    A round is two jobs: one for transitions and means, one for variances around the new
-    means. Transitions start uniform without self transitions, which therefore stay 0;
-    from round prune_after on small ones are cut. Rounds stop when the log likelihood
-    moves by less than tol, after at least `least` of them.
+    A round is two jobs: one for transitions and means; one, with the new means but the old
+    variances and transitions, for the squared distances that the variances are made of,
+    over the masses of the first. Transitions start uniform without self transitions, which
+    therefore stay 0; from round prune_after on (counted from 0) small ones are cut. Rounds
+    stop when the log likelihood moves by less than tol, after more than `least` of them.
+    States without mass, or without a way out, stay as they are.
     """
     n = len(means)
     if trans is None:
@@ -118,18 +173,12 @@ def trained(chunks: DataFrame, means: np.ndarray, variances: np.ndarray, trans:
     log, k = [], n * n
     try:
         for turn in range(most):
-            s = _statistics(chunks, means, variances, trans, means)
-            mass = np.maximum(s[k : k + n], 1e-300)
-            moved = s[k + n : k + 2 * n] / mass
-            second = _statistics(chunks, means, variances, trans, moved)
-            variances = np.maximum(second[k + 2 * n : k + 3 * n] / np.maximum(second[k : k + n], 1e-300), LEAST_VARIANCE)
-            pairs = s[:k].reshape(n, n)
-            rows = pairs.sum(axis=1, keepdims=True)
-            trans = np.where(rows > 0, pairs / np.where(rows > 0, rows, 1), trans)
-            if turn >= prune_after:
-                trans = np.where(trans < prune_below, 0, trans)
-                trans = trans / np.maximum(trans.sum(axis=1, keepdims=True), 1e-300)
-            means = moved
+            s = _statistics(chunks, means, variances, trans)
+            mass, some = s[k : k + n], s[k : k + n] > 0
+            means = np.where(some, s[k + n : k + 2 * n] / np.where(some, mass, 1), means)
+            second = _statistics(chunks, means, variances, trans)[k + 2 * n : k + 3 * n]
+            variances = np.where(some, np.maximum(second / np.where(some, mass, 1), LEAST_VARIANCE), variances)
+            trans = renewed(s[:k].reshape(n, n), trans, prune_below if turn >= prune_after else 0.0)
             log.append(float(s[-1]))
             if turn >= least and abs(log[-1] - log[-2]) < tol:
                 break

@@ -58,19 +58,20 @@ def register(spark, model: Model, p_stay: float, p_skip: float) -> None:
     import numpy as np
     import pyarrow as pa
 
+    from eventloom.functions.arrays import arrays, known, lists
     from eventloom.operators.decode import best_paths
     from eventloom.operators.segment import PRESETS, segmented
 
     def segmenter(how):
         def run(column: pa.Array) -> pa.Array:
-            return pa.array(segmented([np.array(v or [], float) for v in column.to_pylist()], how), pa.list_(pa.float64()))
+            return lists(segmented([known(v) for v in arrays(column)], how), pa.float64())
 
         run.__annotations__ = {"column": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, "array<double>")
 
     def path(column: pa.Array) -> pa.Array:
-        found = best_paths(model, p_stay, p_skip, [np.array(v or [], float) for v in column.to_pylist()])
-        return pa.array([None if p is None else p[0] for p in found], pa.list_(pa.int32()))
+        found = best_paths(model, p_stay, p_skip, [np.zeros(0) if v is None else v for v in arrays(column)])
+        return lists([None if p is None else p[0] for p in found], pa.int32())
 
     path.__annotations__ = {"column": pa.Array, "return": pa.Array}
     spark.udf.register("segment_v1", segmenter(PRESETS["v1"]))

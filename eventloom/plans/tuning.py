@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators import alignment
+from eventloom.operators.decode import correct_grid
 from eventloom.operators.model import Model
-from eventloom.plans.correction import correct_events
 
 #: Parameters of the search.
 GRID = (0.0, 0.025, 0.05, 0.1, 0.2, 0.3)
@@ -18,19 +19,22 @@ Objective = Callable[[float, float], float]
 
 
 def grid_scores(reads: DataFrame, model: Model, score, grid: tuple[float, ...] = GRID, **options) -> DataFrame:
-    """score(corrected reads) for each pair of grid values: p_stay, p_skip and the columns that score gives.
+    """Scores for each pair of grid values: p_stay, p_skip and the columns that score gives.
 
-    Each pair is a branch of one plan, so all are corrected in one job.
+    All pairs are decoded in one pass over the reads (read_id, events). score takes the
+    corrected reads (p_stay, p_skip, read_id, events, states) and returns a row a pair.
     """
-    parts = []
-    for p_stay in grid:
-        for p_skip in grid:
-            out = score(correct_events(reads, model, p_stay, p_skip, **options))
-            parts.append(out.select(F.lit(p_stay).alias("p_stay"), F.lit(p_skip).alias("p_skip"), *out.columns))
-    all_ = parts[0]
-    for part in parts[1:]:
-        all_ = all_.unionByName(part)
-    return all_
+    return score(correct_grid(reads, model, [(x, y) for x in grid for y in grid], **options))
+
+
+def f1_scores(mapped: DataFrame, truth: DataFrame, factor: float = 1.5, na_is_fp: bool = False, by: tuple[str, ...] = ("p_stay", "p_skip")) -> DataFrame:
+    """Precision, recall and F1 of alignments against a truth, one row for each value of `by`.
+
+    mapped holds the alignments (as in alignment.labelled(), row_id rising within a pair) that
+    a mapper makes of the corrected reads of each pair; the mapper is the caller's.
+    """
+    rows = mapped.withColumn("_row", F.col("row_id")).withColumn("row_id", F.struct(*by, "_row"))
+    return alignment.rates(alignment.confusion(alignment.labelled(rows, truth, factor), list(by)), na_is_fp).select(*by, "n", "precision", "recall", "f1")
 
 
 def best(scores: DataFrame, by: str) -> DataFrame:

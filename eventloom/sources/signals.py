@@ -72,31 +72,48 @@ def blow5_reads(data: bytes) -> Reads:
 BINARY: dict[str, Callable[[bytes], Reads]] = {"pod5": pod5_reads, "fast5": fast5_reads, "blow5": blow5_reads}
 
 
-def read_signals(spark: SparkSession, path: str, kind: str, strict: bool = True) -> DataFrame:
+def _parts(reads: Reads, rows: int = 1000, samples: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Reads as tables of bounded size."""
+    held, size = [], 0
+    for read in reads:
+        held.append(read)
+        size += len(read[1])
+        if len(held) >= rows or size >= samples:
+            yield pd.DataFrame(held, columns=["read_id", "signal_pA"])
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=["read_id", "signal_pA"])
+
+
+def read_signals(spark: SparkSession, path: str, kind: str, strict: bool = True, required: bool = False) -> DataFrame:
     """The reads of a file, or of all files of a kind in a folder (not in folders below): read_id, signal_pA.
 
-    strict=False leaves out files that can't be read, as a folder scan may want.
+    strict=False leaves out what can't be read, from the first bad read of a file on, as a
+    folder scan may want. required raises an error if there is no file of the kind.
     """
     kind = kind.lower().lstrip(".")
     if kind == "slow5":
-        return parsed_slow5(spark.read.option("pathGlobFilter", "*.[sS][lL][oO][wW]5").text(path) if not path.lower().endswith(".slow5") else spark.read.text(path))
+        files = spark.read.option("pathGlobFilter", "*.[sS][lL][oO][wW]5").text(path) if not path.lower().endswith(".slow5") else spark.read.text(path)
+        if required and not files.inputFiles():
+            raise FileNotFoundError(f"no {kind} file in {path}")
+        return parsed_slow5(files)
     if kind not in BINARY:
         raise ValueError(f"unknown signal format: {kind}")
     reads = BINARY[kind]
     files = spark.read.format("binaryFile").load(path)
     files = files.filter(F.lower("path").endswith(f".{kind}")).select("path", "content")
+    if required and files.select("path").isEmpty():
+        raise FileNotFoundError(f"no {kind} file in {path}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
                 try:
-                    rows = list(reads(bytes(data)))
+                    yield from _parts(reads(bytes(data)))
                 except ImportError:
                     raise
                 except Exception:
                     if strict:
                         raise
-                    continue
-                yield pd.DataFrame(rows, columns=["read_id", "signal_pA"])
 
     return files.mapInPandas(run, SCHEMA)

@@ -42,11 +42,15 @@ def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
     lines.write.option("compression", compression).text(path)
 
 
+def model_lines(means: list[float], variances: list[float], transitions: list[list[float]]) -> str:
+    """The three lines of a model file, six decimals each."""
+    flat = [x for row in transitions for x in row]
+    return "\n".join("\t".join(f"{x:.6f}" for x in values) for values in (means, variances, flat))
+
+
 def write_model(spark: SparkSession, model: Model, path: str) -> None:
-    """The three lines of a model file, as one part."""
-    flat = [x for row in model.transitions for x in row]
-    lines = ["\t".join(f"{x:.6f}" for x in values) for values in (model.means, model.variances, flat)]
-    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    """A model file, as one part."""
+    spark.createDataFrame([(model_lines(model.means, model.variances, model.transitions),)], "value string").coalesce(1).write.text(path)
 
 
 def counted(reads: DataFrame, name: str = "reads") -> tuple[DataFrame, object]:
@@ -63,3 +67,25 @@ def report(rates: DataFrame) -> Iterator[str]:
     for row in rates.toLocalIterator():
         for name, value in row.asDict().items():
             yield f"{name}: {value:.2f}" if isinstance(value, float) else f"{name}: {value}"
+
+
+def report_lines(rates: DataFrame, key: str) -> DataFrame:
+    """The printed report of each row of rates (see alignment.rates() and throughput()): key, line_no, value.
+
+    A summary, the matrix of positives and negatives with their percentages, the mappings
+    that the truth doesn't know, and speed where rates has it.
+    """
+    share = lambda x: F.format_string("%.2f", F.col(f"pct_{x}").cast("double"))
+    mapped = F.col("n_tp") + F.col("n_fp") + F.col("n_na")
+    lines = [
+        F.concat(F.lit("Summary: "), F.col("n").cast("string"), F.lit(" reads, "), mapped.cast("string"), F.lit(" mapped")),
+        F.lit("\tP\tN"),
+        F.concat_ws("\t", F.lit("T"), share("tp"), share("tn")),
+        F.concat_ws("\t", F.lit("F"), share("fp"), share("fn")),
+        F.concat(F.lit("NA: "), share("na")),
+    ]
+    lines += [F.concat(F.lit(f"{c}: "), F.format_string("%.6f", F.col(c).cast("double"))) for c in ("precision", "recall", "f1")]
+    for c, name in (("bp_per_s", "BP per sec"), ("bp", "BP mapped"), ("ms", "MS to map")):
+        if f"mean_{c}" in rates.columns:
+            lines.append(F.concat(F.lit(f"{name}: "), F.format_string("%.2f", F.col(f"mean_{c}").cast("double")), F.lit(" "), F.format_string("%.2f", F.col(f"median_{c}").cast("double"))))
+    return rates.select(F.col(key).alias("key"), F.posexplode(F.array(*lines)).alias("line_no", "value"))

@@ -28,10 +28,9 @@ def read_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parsed_events(spark.read.text(path))
 
 
-def read_model(spark: SparkSession, path: str) -> Model:
-    """A model file: lines of means, variances, and transitions row by row. One small row reaches the driver."""
-    row = spark.read.text(path, wholetext=True).first()
-    lines = [[float(x) for x in line.split()] for line in (row["value"] if row else "").splitlines() if line.strip()]
+def parsed_model(value: str) -> Model:
+    """The text of a model file: lines of means, variances, and transitions row by row."""
+    lines = [[float(x) for x in line.split()] for line in value.splitlines() if line.strip()]
     if len(lines) < 3:
         raise ValueError("a model file has three lines")
     means, variances, flat = lines[:3]
@@ -41,6 +40,12 @@ def read_model(spark: SparkSession, path: str) -> Model:
     return Model(tuple(means), tuple(variances), tuple(tuple(flat[i * n : (i + 1) * n]) for i in range(n)))
 
 
+def read_model(spark: SparkSession, path: str) -> Model:
+    """A model file (see parsed_model()). One small row reaches the driver."""
+    row = spark.read.text(path, wholetext=True).first()
+    return parsed_model(row["value"] if row else "")
+
+
 def parsed_kmers(lines: DataFrame) -> DataFrame:
     """Lines (value) of a k-mer table as line_no, kmer, level. Comments, blank and odd lines are left out.
 

@@ -244,7 +244,7 @@ def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t_sql(w: int) -> str:
-    return f"""CASE WHEN n >= {2 * w} AND idx BETWEEN {w} AND n - {w} THEN abs(m2_{w} - m1_{w}) / sqrt(greatest((q1_{w} - m1_{w} * m1_{w} + q2_{w} - m2_{w} * m2_{w}) / {w}, 1.17549435e-38)) ELSE 0 END"""
+    return f"""CASE WHEN n >= {2 * w} AND idx BETWEEN {w} AND n - {w} THEN abs(m2_{w} - m1_{w}) / sqrt(greatest(q1_{w} - m1_{w} * m1_{w} + q2_{w} - m2_{w} * m2_{w}, 1.17549435e-38::DOUBLE) / {w}) ELSE 0 END"""
 
 
 def _t_frames(w: int) -> str:

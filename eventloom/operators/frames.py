@@ -64,7 +64,7 @@ def t_statistic(signal: DataFrame, width: int, name: str = "t") -> DataFrame:
     v = F.avg(F.col("x") * F.col("x")).over(before) - m1 * m1 + F.avg(F.col("x") * F.col("x")).over(after) - m2 * m2
     n = F.count("*").over(read())
     fits = (n >= 2 * width) & (F.col("idx") >= width) & (F.col("idx") <= n - width)
-    t = F.abs(m2 - m1) / F.sqrt(F.greatest(v / width, F.lit(LEAST_VARIANCE)))
+    t = F.abs(m2 - m1) / F.sqrt(F.greatest(v, F.lit(LEAST_VARIANCE)) / width)
     return signal.withColumn(name, F.when(fits, t).otherwise(0.0) if width >= 2 else F.lit(0.0))
 
 

@@ -50,12 +50,12 @@ def t_statistic(x: np.ndarray, width: int, precision: str = "float64") -> np.nda
         return out
     kind = np.dtype(precision).type
     x = x.astype(kind)
-    s, ss = (np.concatenate([[0], np.cumsum(v, dtype=kind)]) for v in (x, x * x))
+    s, ss = (np.concatenate([np.zeros(1, kind), np.cumsum(v, dtype=kind)]) for v in (x, x * x))
     at = np.arange(width, n - width + 1)
     at = at[at < n]
     m1, m2 = (s[at] - s[at - width]) / width, (s[at + width] - s[at]) / width
     q = (ss[at + width] - ss[at - width]) / width - m1 * m1 - m2 * m2
-    out[at] = np.abs(m2 - m1) / np.sqrt(np.maximum(q / width, LEAST_VARIANCE))
+    out[at] = np.abs(m2 - m1) / np.sqrt(np.maximum(q, kind(LEAST_VARIANCE)) / width)
     return out
 
 

@@ -47,3 +47,23 @@ def test_alignment_lines(spark):
     assert [(r["qr_name"], r["is_mapped"], r["qr_st"], r["qr_en"], r["is_fwd"], r["rf_name"], r["tags"]) for r in rows] == [("r1", True, 10, 900, False, "c1", ["mt:f:1.5"]), ("r2", False, 1, 700, None, None, [])]
     out = sinks.annotated_lines(spark.createDataFrame([("a\tb", "tp")], "raw_line string, label string")).first()["value"]
     assert out == "a\tb\trf:Z:tp"
+
+
+@pytest.mark.parametrize("values", [[1.0], [3.0, 1.0], [2.0, 2.0, 2.0, 9.0], [5.0, 1.0, 4.0, 4.0, -2.0], []])
+def test_medians(spark, values):
+    import statistics
+
+    rows = spark.createDataFrame([(g, v, 1.0) for g in ("a", None) for v in [*values, None]], "g string, x double, y double")
+    got = {r["g"]: (r["median_x"], r["median_y"]) for r in alignment.medians(rows, ["x", "y"], ["g"]).collect()}
+    assert got == {g: (statistics.median(values) if values else None, 1.0) for g in ("a", None)}
+    alone = alignment.with_medians(rows, rows.agg(F.count("*").alias("n")), ["x"]).first()
+    assert alone["median_x"] == (statistics.median(values) if values else None) and alone["n"] == rows.count()
+
+
+def test_f1_of_pairs(spark):
+    from eventloom.plans import tuning
+
+    truth = spark.createDataFrame([row(1, "a"), row(2, "b"), row(3, "c")], COLS)
+    mapped = spark.createDataFrame([(0.1, 0.0, *row(1, "a")), (0.1, 0.0, *row(2, "b", st=4000, en=4100)), (0.1, 0.0, *row(3, "c", False)), (0.2, 0.0, *row(1, "a")), (0.2, 0.0, *row(2, "b"))], f"p_stay double, p_skip double, {COLS}")
+    got = {r["p_stay"]: (r["n"], r["precision"], r["recall"], r["f1"]) for r in tuning.f1_scores(mapped, truth).collect()}
+    assert got == {0.1: (3, 0.5, 0.5, 0.5), 0.2: (2, 1.0, 1.0, 1.0)}

@@ -14,7 +14,7 @@ def brute_t(x, w):
     for i in range(n):
         if n >= 2 * w and w <= i <= n - w:
             a, b = x[i - w : i], x[i : i + w]
-            out[i] = abs(b.mean() - a.mean()) / np.sqrt(max((a.var() + b.var()) / w, frames.LEAST_VARIANCE))
+            out[i] = abs(b.mean() - a.mean()) / np.sqrt(max(a.var() + b.var(), frames.LEAST_VARIANCE) / w)
     return out
 
 
@@ -113,3 +113,48 @@ def test_carried_state():
     z, _ = segment.carried_z_scores(np.array([5.0]), sums)
     both = np.append(x, 5.0)
     assert np.allclose(z, (5 - both.mean()) / both.std())
+
+
+def test_t_statistic_in_single_precision():
+    """Running sums in 32 bits, as some segmenters keep them: each sum is rounded, so results are near the exact ones only."""
+    x = np.random.default_rng(4).normal(80, 5, 300)
+    got = segment.t_statistic(x, 4, "float32")
+    s, ss = np.zeros(301, np.float32), np.zeros(301, np.float32)
+    for i, v in enumerate(x.astype(np.float32)):
+        s[i + 1], ss[i + 1] = s[i] + v, ss[i] + v * v
+    for i in range(4, 297):
+        m1, m2 = (s[i] - s[i - 4]) / np.float32(4), (s[i + 4] - s[i]) / np.float32(4)
+        q = (ss[i + 4] - ss[i - 4]) / np.float32(4) - m1 * m1 - m2 * m2
+        assert np.isclose(got[i], abs(m2 - m1) / np.sqrt(max(q, np.finfo(np.float32).tiny) / np.float32(4)), rtol=1e-5)
+    exact = segment.t_statistic(x, 4)
+    assert not np.array_equal(got, exact) and np.corrcoef(got, exact)[0, 1] > 0.9
+
+
+def test_mixed_lengths_stay_small():
+    """A long read among many short ones isn't the measure of all: memory follows the samples there are."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    reads = [rng.normal(size=100) for _ in range(200)] + [rng.normal(size=20_000)]
+    tracemalloc.start()
+    found = segment.segmented(reads, segment.PRESETS["v1"])
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+    assert len(found) == 201 and found[-1] is not None
+    few = segment.segmented([reads[0], reads[-1][:1000], reads[1]], segment.PRESETS["v1"])
+    assert np.allclose(few[0], found[0]) if found[0] is not None else few[0] is None
+
+
+def test_lists(spark):
+    import pyarrow as pa
+
+    from eventloom.functions.arrays import alike, arrays, known, lists
+
+    column = pa.array([[1, 2], None, [], [None, 3]], pa.list_(pa.int32()))
+    for part in (column, column.slice(1)):
+        got = arrays(part)
+        assert [None if g is None else np.nan_to_num(g, nan=-1).tolist() for g in got] == [None if v is None else [-1 if x is None else x for x in v] for v in part.to_pylist()]
+    assert known(arrays(column)[3]).tolist() == [3.0] and known(None).tolist() == []
+    back = lists([None if g is None else known(g) for g in arrays(column)], pa.float64())
+    assert back.to_pylist() == [[1.0, 2.0], None, [], [3.0]] and lists([], pa.int32()).to_pylist() == [] and lists([None], pa.int32()).to_pylist() == [None]
+    assert [g.tolist() for g in alike([1, 9, 3, 0], 6)] == [[1], [2, 0], [3]]

@@ -55,6 +55,77 @@ def test_signal_dispatch(spark, tmp_path):
     assert [tuple(r) for r in signals.read_signals(spark, str(tmp_path), ".TOY").collect()] == [("x", [50.0, 60.0])]
 
 
+def test_missing_files(spark, tmp_path):
+    signals.BINARY["toy"] = lambda data: iter([("x", np.frombuffer(data, "u1").astype(float))])
+    (tmp_path / "b.txt").write_bytes(b"no")
+    for kind in ("toy", "slow5"):
+        with pytest.raises(FileNotFoundError):
+            signals.read_signals(spark, str(tmp_path), kind, required=True)
+    assert signals.read_signals(spark, str(tmp_path), "toy").isEmpty()
+
+
+def test_bad_files(spark, tmp_path):
+    def reads(data):
+        for k in range(2500):
+            if data == b"x" and k == 1200:
+                raise OSError("cut off")
+            yield f"r{k}", np.full(3, 50.0)
+
+    signals.BINARY["odd"] = reads
+    (tmp_path / "a.odd").write_bytes(b"a")
+    (tmp_path / "b.odd").write_bytes(b"x")
+    got = signals.read_signals(spark, str(tmp_path), "odd", strict=False)
+    assert got.count() == 2500 + 1000  # whole tables of reads before the bad one
+    with pytest.raises(Exception, match="cut off"):
+        signals.read_signals(spark, str(tmp_path), "odd").count()
+
+
+def test_borders(spark, tmp_path):
+    spark.createDataFrame([("a", 3, 0.5), ("a", 7, 0.9)], "read_id string, event_start long, score double").write.parquet(str(tmp_path / "p"))
+    got = text.read_borders(spark, str(tmp_path / "p"))
+    assert got.dtypes == [("read_id", "string"), ("event_start", "int")] and sorted(map(tuple, got.collect())) == [("a", 3), ("a", 7)]
+
+
+def test_summaries(spark):
+    rows = text.parsed_summary(lines(spark, "Summary: 12 reads, 3 mapped", "\tP\tN", "f1: 0.25", "BP per sec: -1.5 2", "no number: here", "")).collect()
+    assert [tuple(r) for r in rows] == [("Summary", 12.0), ("f1", 0.25), ("BP per sec", -1.5)]
+
+
+def test_reports(spark):
+    from eventloom.operators import alignment
+
+    labels = spark.createDataFrame([("k", x) for x in ["tp"] * 2 + ["fp", "fn"]], "run string, label string")
+    got = sinks.report_lines(alignment.rates(alignment.confusion(labels, ["run"])), "run").orderBy("line_no").collect()
+    assert [r["value"] for r in got] == ["Summary: 4 reads, 3 mapped", "\tP\tN", "T\t50.00\t0.00", "F\t25.00\t25.00", "NA: 0.00", "precision: 0.666667", "recall: 0.666667", "f1: 0.666667"]
+
+
+@pytest.mark.parametrize("k", [1, 3, 31])
+def test_counted_kmers(spark, k):
+    import collections
+
+    rng = np.random.default_rng(k)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in (0, 2, 40, 200)] + [None, "ACGNACGTTTé" * 5, "acgt", "A" * 100]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, dna string, n2 string").repartition(2)
+    got = {(r["id"], r["code"]): r["n"] for r in kmers.counted(rows, "dna", k).collect()}
+    expected = collections.Counter()
+    for i, t in enumerate(texts):
+        for a in range(len(t or "") - k + 1):
+            own = t[a : a + k]
+            if set(own) <= set("ACGT"):
+                expected[i, sum("ACGT".index(c) << 2 * (k - 1 - j) for j, c in enumerate(own))] += 1
+    assert got == dict(expected)
+    codes = spark.createDataFrame([("ACG",), ("acg",), ("AC",), (None,)], "kmer string").select(kmers.coded(text.F.col("kmer"), 3)).collect()
+    assert [r[0] for r in codes] == [6, None, None, None]
+
+
+def test_observation_chunks(spark):
+    table = spark.createDataFrame([("ACG", 2.0)], "kmer string, level double")
+    rows = kmers.observations(spark, table, 3, 5).orderBy("t").collect()
+    signal = spark.createDataFrame([(1, r["t"], r["level"]) for r in rows], "read_id int, idx int, x double")
+    assert [r["chunk"] for r in rows] == [r["chunk"] for r in kmers.chunked(signal, 5).orderBy("idx").collect()]
+    assert "".join(r["kmer"][0] for r in rows) == kmers.de_bruijn(3)[:64] and sum(r["level"] for r in rows) == 2.0
+
+
 @pytest.mark.parametrize("k, expected", [(1, "ACGT"), (2, "AACAGATCCGCTGGTTA"), (3, "AAACAAGAATACCACGACTAGCAGGAGTATCATG"), (4, "AAAACAAAGAAATAACCAACGAACTAAGCAAGGA")])
 def test_de_bruijn(k, expected):
     got = kmers.de_bruijn(k)
@@ -88,12 +159,73 @@ def brute_statistics(x, means, variances, trans):
 
 
 def test_forward_backward():
-    x, means, variances = np.array([0.1, 1.2, -0.4, 0.8]), np.array([-0.5, 0.2, 1.0]), np.array([0.4, 0.3, 0.5])
+    """Chunks of other lengths together, an empty one among them, against all state paths of each."""
+    means, variances = np.array([-0.5, 0.2, 1.0]), np.array([0.4, 0.3, 0.5])
     trans = np.array([[0, 0.7, 0.3], [0.5, 0, 0.5], [0.2, 0.8, 0]])
-    pairs, mass, sums, squares, log = training.expected(x, means, variances, trans, means)
-    expected_pairs, expected_mass, expected_log = brute_statistics(x, means, variances, trans)
-    assert np.allclose(pairs, expected_pairs) and np.allclose(mass, expected_mass) and np.isclose(log, expected_log)
-    assert np.isclose(mass.sum(), len(x))
+    xs = [np.array(x) for x in ([0.1, 1.2, -0.4, 0.8], [0.3], [1.0, -1.0], [], [0.0, 0.5, 0.9, -0.2, 0.4], [0.2, 0.2])]
+    found = [brute_statistics(x, means, variances, trans) for x in xs if len(x)]
+    for cells in (training.CELLS, 9):
+        pairs, mass, sums, squares, log = training.expected(xs, means, variances, trans) if cells == training.CELLS else _with_cells(cells, xs, means, variances, trans)
+        assert np.allclose(pairs, sum(f[0] for f in found)) and np.allclose(mass, sum(f[1] for f in found)) and np.isclose(log, sum(f[2] for f in found))
+        assert np.isclose(mass.sum(), sum(map(len, xs))) and np.isclose(sums.sum(), sum(x.sum() for x in xs))
+
+
+def _with_cells(cells, *args):
+    before, training.CELLS = training.CELLS, cells
+    try:
+        return training.expected(*args)
+    finally:
+        training.CELLS = before
+
+
+def brute_round(xs, means, variances, trans, below):
+    """One round by all state paths: means first, then variances with the new means and the old rest."""
+    found = [brute_sums(x, means, variances, trans) for x in xs]
+    mass, first, pairs = (sum(f[k] for f in found) for k in (0, 1, 3))
+    moved = first / mass
+    squares = sum(brute_sums(x, moved, variances, trans)[2] for x in xs)
+    p = pairs / pairs.sum(axis=1, keepdims=True)
+    p[p < below] = 0
+    return moved, np.maximum(squares / mass, 1e-6), p / p.sum(axis=1, keepdims=True)
+
+
+def brute_sums(x, means, variances, trans):
+    import itertools
+
+    n, total = len(means), 0.0
+    mass, first, squares, pairs = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, n))
+    for path in itertools.product(range(n), repeat=len(x)):
+        p = 1 / n
+        for t, s in enumerate(path):
+            p *= np.exp(-0.5 * (x[t] - means[s]) ** 2 / variances[s]) / np.sqrt(2 * np.pi * variances[s]) * (trans[path[t - 1], s] if t else 1)
+        total += p
+        for t, s in enumerate(path):
+            mass[s] += p
+            first[s] += p * x[t]
+            squares[s] += p * (x[t] - means[s]) ** 2
+            if t:
+                pairs[path[t - 1], s] += p
+    return mass / total, first / total, squares / total, pairs / total
+
+
+def test_training_rounds(spark):
+    """Rounds against brute force, with transitions cut from the third on."""
+    rng = np.random.default_rng(1)
+    xs = [rng.normal(size=n) for n in (5, 6, 4)]
+    means, variances, trans = np.array([-1.0, 0.1, 0.9]), np.array([0.5, 0.4, 0.6]), (1 - np.eye(3)) / 2
+    chunks = spark.createDataFrame([(list(map(float, x)),) for x in xs], "xs array<double>")
+    model, log = training.trained(chunks, means, variances, most=4, prune_after=2, prune_below=0.45)
+    for turn in range(4):
+        means, variances, trans = brute_round(xs, means, variances, trans, 0.45 if turn >= 2 else 0)
+    assert np.allclose(model.means, means) and np.allclose(model.variances, variances) and np.allclose(model.transitions, trans)
+    assert len(log) == 4 and (np.array(model.transitions) == 0).sum() > 3
+
+
+def test_training_stops_late(spark):
+    """Rounds go on for more than `least` of them, and then until they change little."""
+    chunks = spark.createDataFrame([([-1.0, 1.0, -0.9, 1.1, -1.1],)], "xs array<double>")
+    _, log = training.trained(chunks, np.array([-0.5, 0.5]), np.array([1.0, 1.0]), least=12, most=100, tol=1e9)
+    assert len(log) == 13
 
 
 def test_training_improves(spark):

@@ -38,6 +38,8 @@ HOT_FROM = 64
 SMALL_BUCKET = 8
 #: Rounds in which large buckets are tried with one member only, as long as that finds links and they hold more open pairs a row than this.
 STAR_ROUNDS, OPEN_PAIRS = 4, 4
+#: Open rows of a token up to which all its pairs may be tried in the end; beyond, pairs must share a token of the second order at once.
+WIDE_BUCKET = 1000
 BATCH_ROWS = 1000
 
 
@@ -347,27 +349,32 @@ def _next_pairs(now: DataFrame, turn: int, last: bool, percent: int, second: Dat
 
     main is a token's component with the most rows, guests are the rows of its others.
     Unless it is the last turn, guests meet one member of main only. Then they meet every
-    row of the token or, where these would be many, those with which they also share a
-    token of the second order's prefix (second: node, token2) and whose set is of like
-    size: both are part of the key then, so no pair is made of a token alone. All are
-    joins on keys, whose large partitions adaptive execution splits.
+    row of the token or, if it has more than WIDE_BUCKET of them, those with which they
+    also share a token of the second order's prefix (second: node, token2) and whose set
+    is of like size: both are part of the key then, so no pair is made of a frequent token
+    alone. All are joins on keys, whose large partitions adaptive execution splits.
     """
     sizes = now.groupBy("token", "component").count()
-    main = sizes.groupBy("token").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("m.component").alias("main"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("k"), F.sum("count").alias("rows")).filter("k > 1").select("token", F.col("m.component").alias("main"), "rows")
     marked = now.join(main, "token")
     guests = marked.filter("component <> main").alias("x")
     if last:
-        x, y, keys = marked, marked, ["token"]
+        def tried(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+            x, y = x.filter("component <> main").alias("x"), y.alias("y")
+            met = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _near_rows("x", "y", percent)
+            for key in keys:
+                met &= F.col(f"x.{key}") == F.col(f"y.{key}")
+            return x.join(y, met).select(*_as_pairs("x", "y"))
+
+        narrow = marked if second is None else marked.filter(F.col("rows") <= WIDE_BUCKET)
+        found = tried(narrow, narrow, ["token"])
         if second is not None:
             # sizes whose ratio is percent or more are in the same step or in neighbours
             width = max(-1.000001 * log(percent / 100), 1e-6)
-            x = marked.join(second, "node").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)))
-            y, keys = x.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))), ["token", "token2", "step"]
-        x, y = x.filter("component <> main").alias("x"), y.alias("y")
-        met = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _near_rows("x", "y", percent)
-        for key in keys:
-            met &= F.col(f"x.{key}") == F.col(f"y.{key}")
-        return x.join(y, met).select(*_as_pairs("x", "y")).distinct()
+            wide = marked.filter(F.col("rows") > WIDE_BUCKET).join(second, "node").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)))
+            around = wide.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+            found = found.unionByName(tried(wide, around, ["token", "token2", "step"]))
+        return found.distinct()
     first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "pos")).alias("c")
     centre = marked.filter("component = main").groupBy("token").agg(first).select("token", "c.node", "c.n", "c.pos").alias("y")
     met = guests.join(centre, (F.col("x.token") == F.col("y.token")) & _near_rows("x", "y", percent))
@@ -430,10 +437,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. Pairs must also share prefix tokens under two more orders; what is left is
        compared as whole sets, and links become components.
     4. In large buckets a member of the largest component is tried with all members of
-       other components, again and again, until few pairs are open; those are all tried.
-       Where it doesn't come to that, the ones that share prefix tokens under the first
-       and the second order at once are. Then every pair that shares prefix tokens is
-       linked, compared or connected.
+       other components, again and again, until few pairs are open; those are all tried,
+       in wide buckets those that share prefix tokens under the first and the second
+       order at once. Then every pair that shares prefix tokens is linked, compared or
+       connected.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -492,12 +499,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for turn in range(STAR_ROUNDS + 1):
         now = written(open_rows.join(connected, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-now")
         kept = now.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"))
-        rows_left, pairs_left = kept.filter("all * all > within").agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.lit(0.0))).first()
+        rows_left, pairs_left, widest = kept.filter("all * all > within").agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.lit(0.0)), F.max("all")).first()
         if not rows_left:
             break
-        few = pairs_left <= OPEN_PAIRS * rows_left
-        last = few or turn == STAR_ROUNDS or not found_any
-        more = written(_next_pairs(now, turn, last, percent, None if few else second).join(pairs, ["a", "b"], "left_anti"), "join-more")
+        last = pairs_left <= OPEN_PAIRS * rows_left or turn == STAR_ROUNDS or not found_any
+        more = written(_next_pairs(now, turn, last, percent, second if widest > WIDE_BUCKET else None).join(pairs, ["a", "b"], "left_anti"), "join-more")
         again = linked(more, "join-again")
         found_any = not again.isEmpty()
         pairs = pairs.unionByName(more)

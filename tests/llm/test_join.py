@@ -101,6 +101,7 @@ def test_common_passages(spark, monkeypatch):
     rows += [(1000 + k, rows[k][1] + " end") for k in range(0, 500, 50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     keys = []
+    monkeypatch.setattr(ngram_join, "WIDE_BUCKET", 10)
     pairs_of = ngram_join._next_pairs
     monkeypatch.setattr(ngram_join, "_next_pairs", lambda *a: keys.append(a[-1] is not None) or pairs_of(*a))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}

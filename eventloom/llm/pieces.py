@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import small_batches, whole_text
-from eventloom.llm.vocab import id_lists, joined_runs, looked_up, runs, text_parts, whole_array
+from eventloom.llm.vocab import few_threads, id_lists, joined_runs, looked_up, runs, text_parts, whole_array
 
 #: The marker that stands for a space; the message's kinds of pieces and models.
 MARKER = "\u2581"
@@ -141,6 +141,7 @@ class PieceCoder:
 
     def __init__(self, shared: dict):
         if "built" not in shared:
+            few_threads()
             model = parse(shared["model"])
             cuttable = model.escape and not model.charsmap and not model.squeeze and model.add_prefix and not any(MARKER in p.lstrip(MARKER) or kind == USER for p, _, kind in model.pieces)
             opens = np.array([p.startswith(MARKER) for p, _, _ in model.pieces])

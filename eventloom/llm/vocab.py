@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import string
 from collections.abc import Iterator
 
@@ -11,14 +12,20 @@ import pyarrow.compute as pc
 
 #: Rows and bytes of text that are encoded together.
 BATCH_ROWS = 8000
-BATCH_BYTES = 32_000_000
-#: Words that are joined into one text for the tokenizer.
+BATCH_BYTES = 16_000_000
+#: Words that are joined into one text for the tokenizer, words that are looked up at once.
 JOINED = 200
+LOOKED_UP = 300_000
 
 #: ASCII punctuation; a run of it at the end of a word is always cut off behind a letter or digit.
 TAIL_MARKS = string.punctuation
 
 
+def few_threads() -> None:
+    """Two threads for the library in each task's process, unless the environment says otherwise: tasks share the machine's cores."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")
+
+
 def text_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded size; a longer text has one of its own."""
     for batch in batches:
@@ -83,6 +90,7 @@ class WordEncoder:
 
     def __init__(self, shared: dict, word_end: str = "</w>"):
         if "built" not in shared:
+            few_threads()
             from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
             model = Tokenizer.from_str(shared["text"])
@@ -123,20 +131,20 @@ class WordEncoder:
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         lists = pc.ascii_split_whitespace(plain)
         coded = lists.flatten().dictionary_encode()
-        of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         word = coded.dictionary
         low = pc.ascii_lower(word)
         stem = pc.ascii_rtrim(low, characters=TAIL_MARKS)
         parted = pc.match_substring_regex(stem, r"[\p{L}\p{N}]$")
         stem = pc.if_else(parted, stem, word)
         cut = (pc.binary_length(low).to_numpy() - pc.binary_length(stem).to_numpy()) * parted.to_numpy(zero_copy_only=False)
-        tails, tail = [""], np.zeros(len(word), np.int64)
+        tails, tail = [""], np.zeros(len(word), np.int32)
         for n in np.unique(cut[cut > 0]):
             marks = pc.utf8_slice_codeunits(low.filter(pa.array(cut == n)), start=-int(n)).dictionary_encode()
             tail[cut == n] = marks.indices.to_numpy() + len(tails)
             tails += marks.dictionary.to_pylist()
         stems = stem.dictionary_encode()
-        distinct, place, n, found = stems.dictionary, np.empty(len(stems.dictionary), np.int64), 0, []
+        distinct, place, n, found = stems.dictionary, np.empty(len(stems.dictionary), np.int32), 0, []
         simple, letters = (pc.match_substring_regex(distinct, p).to_numpy(zero_copy_only=False) for p in (r"^[a-z]+$", r"^\p{L}+$"))
         for some, model in ((simple, self.bare), (letters & ~simple, self.tokenizer), (~letters, None)):
             names = distinct.filter(pa.array(some)).to_pylist()
@@ -145,9 +153,18 @@ class WordEncoder:
             place[some] = n + np.arange(len(names))
             n += len(names)
         found += runs(self.each(tails))
-        pair = np.stack([place[stems.indices.to_numpy()], tail + n], axis=1) if len(word) else np.zeros((0, 2), np.int64)
-        ids, sizes = looked_up(id_lists(found), pair[coded.indices.to_numpy()].ravel())
-        counts = np.bincount(np.repeat(of, 2), weights=sizes, minlength=len(lists)).astype(np.int64)
+        pair = np.stack([place[stems.indices.to_numpy()], tail + np.int32(n)], axis=1) if len(word) else np.zeros((0, 2), np.int32)
+        table, codes = id_lists(found), coded.indices.to_numpy()
+        del lists, coded, stems, word, low, stem  # as large as the texts
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        cuts = np.flatnonzero(np.diff(ends[1:] // LOOKED_UP)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(ends) - 1]):  # a few texts at a time
+            some, sizes = looked_up(table, pair[codes[ends[a] : ends[b]]].ravel())
+            upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)])
+            ids.append(some)
+            counts.append(np.diff(upto[2 * (ends[a : b + 1] - ends[a])]).astype(np.int64))  # two parts a word
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        pa.default_memory_pool().release_unused()
         return self._with_odd(texts, odd, ids, counts) if odd.any() else (ids, counts)
 
     def _with_odd(self, texts: pa.Array, odd: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

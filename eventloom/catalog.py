@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import signal as sig
 from eventloom.operators import alignment, decode, frames, kmers, training
 from eventloom.operators.model import Model, reparameterised
-from eventloom.plans import correction, tuning
+from eventloom.plans import correction, evaluation, tuning
 from eventloom.sources import sinks, text
 
 #: Our own small model: five states, no self transitions, rows with different numbers of zeros.
@@ -605,6 +605,43 @@ def grid_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+WAYS = {"v1": (1, 3, 6, (4.30265, 2.57058), 1.0), "v2": (2, 3, 9, (4.0, 3.5), 0.4), "v2-r10": (2, 3, 6, (6.5, 4.0), 0.2)}
+
+
+def _way_sql(name: str) -> str:
+    """Events a read by one segmenter, raw and corrected."""
+    events = _segments_sql(*WAYS[name], digits=15)
+    corrected = f"{decoded_sql(f'z AS (SELECT read_id, idx, event AS x FROM ({events}))', 0.3, 0.02)}, {RUNS} SELECT read_id, count(*) AS n FROM collapsed GROUP BY read_id"
+    return f"SELECT '{name}' AS segmenter, false AS corrected, read_id, count(*) AS n FROM ({events}) GROUP BY read_id UNION ALL SELECT '{name}', true, read_id, n FROM ({corrected})"
+
+
+@query(
+    f"""WITH mapped AS ({" UNION ALL ".join(_way_sql(name) for name in WAYS)}),
+    truth AS (SELECT l_suppkey AS read_id, l_suppkey % 5 <> 0 AS known, 'chr' || l_suppkey % 2 AS rf_name, 1 + 10 * (count(*) // 20) AS low FROM lineitem GROUP BY l_suppkey),
+    labels AS (
+        SELECT segmenter, corrected, CASE WHEN n < 20 THEN CASE WHEN known THEN 'fn' ELSE 'tn' END WHEN NOT known THEN 'na'
+                                          WHEN 'chr' || n % 2 = rf_name AND greatest(low, 1 + 10 * n) <= least(low + 400, 101 + 10 * n) THEN 'tp' ELSE 'fp' END AS label
+        FROM mapped JOIN truth USING (read_id)),
+    counts AS (SELECT segmenter, corrected, count(*) AS n, {", ".join(f"count(*) FILTER (label = '{x}') AS n_{x}" for x in alignment.LABELS)} FROM labels GROUP BY segmenter, corrected),
+    rates AS (SELECT *, CASE WHEN n_tp + n_fp > 0 THEN n_tp::DOUBLE / (n_tp + n_fp) ELSE 0 END AS p, CASE WHEN n_tp + n_fn > 0 THEN n_tp::DOUBLE / (n_tp + n_fn) ELSE 0 END AS r FROM counts)
+    SELECT segmenter, corrected, n, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM rates"""
+)
+def evaluation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 after each way to segment the suppliers' signals, raw and corrected; a toy mapper places reads by their number of events."""
+    n, start = F.size("events"), (1 + 10 * F.size("events")).cast("int")
+    place = [F.lit(1000).alias("qr_len"), F.lit(0).alias("qr_st"), F.lit(1000).alias("qr_en"), F.lit(True).alias("is_fwd"), F.lit(100_000).alias("rf_len")]
+
+    def mapper(events: DataFrame) -> DataFrame:
+        name = F.concat(F.lit("chr"), n % 2)
+        return events.select("segmenter", "corrected", F.col("read_id").alias("row_id"), F.col("read_id").alias("qr_name"), (n >= 20).alias("is_mapped"), name.alias("rf_name"), start.alias("rf_st"), (start + 100).alias("rf_en"), *place)
+
+    low = (1 + 10 * F.floor(F.count("*") / 20)).cast("int")
+    truth = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("qr_name")).agg(low.alias("rf_st"))
+    truth = truth.select(F.col("qr_name").alias("row_id"), "qr_name", (F.col("qr_name") % 5 != 0).alias("is_mapped"), F.concat(F.lit("chr"), F.col("qr_name") % 2).alias("rf_name"), "rf_st", (F.col("rf_st") + 400).alias("rf_en"), *place)
+    ways = evaluation.segmented_ways(supplier_reads(spark, sf_dir), {name: name for name in WAYS}, MODEL, 0.3, 0.02)
+    return evaluation.evaluated(ways, mapper, truth).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
 def _mixture_sql(table_: str, column: str, n: int, seed: int, rounds: int = 500, tol: float = 1e-6) -> str:
     """training.mixture() as a recursion over rounds: the first means one by one, then arrays of parameters."""
     seeds, known = [], []
@@ -692,12 +729,9 @@ def training_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trained_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model of five states trained on the k-mer table's levels, along the de Bruijn text in eight chunks, until it stops by itself: over 1,000 rounds."""
-    levels = kmer_levels(spark, sf_dir).withColumn("level", (F.col("level") - 1000) / 100)
-    means, variances, _ = training.mixture(levels, "level", 5, seed=1)
-    at = F.sort_array(F.collect_list(F.struct("t", "level")))
-    chunks = kmers.observations(spark, levels, K, 8).groupBy("chunk").agg(F.transform(at, lambda s: s["level"]).alias("xs"))
-    return _model_rows(spark, *training.trained(chunks, means, variances))
+    """A model trained on the users' z-scored signals until it stops by itself: over 1,000 rounds, with small transitions cut from the hundredth on."""
+    chunks = user_reads(spark, sf_dir).select(F.col("events").alias("xs"))
+    return _model_rows(spark, *training.trained(chunks, *map(training.np.array, (MODEL.means, MODEL.variances))))
 
 
 @query(

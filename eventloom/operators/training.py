@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.arrays import alike, arrays, known
+from eventloom.functions.arrays import alike, arrays, known, lists
 from eventloom.operators.model import Model
 
 LEAST_VARIANCE = 1e-6
@@ -17,6 +17,8 @@ LEAST_VARIANCE = 1e-6
 GOLDEN = 0.6180339887498949
 #: Values (places x chunks x states) that forward-backward holds at once.
 CELLS = 2_000_000
+#: Numbers of all tasks together that the driver adds up itself.
+GATHERED = 1_000_000
 
 
 def mixture(values: DataFrame, column: str, n: int, seed: int = 0, rounds: int = 500, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +104,9 @@ def expected(xs: list[np.ndarray], means: np.ndarray, variances: np.ndarray, tra
         for k, g in enumerate(group):
             x[: lengths[k], k] = xs[g]
         live = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(most)]  # chunks that have a place t: the longest come first
-        emit = np.exp(-0.5 * (x[:, :, None] - means) ** 2 / variances) / np.sqrt(2 * np.pi * variances)
+        emit = -0.5 * ((x[:, :, None] - means) ** 2 / variances + np.log(2 * np.pi * variances))
+        top = emit.max(axis=2)  # taken out, so that values far from all means don't vanish
+        emit = np.exp(emit - top[:, :, None])
         forward, scale = np.zeros((most, rows, n)), np.ones((most, rows))
         now = np.full((rows, n), 1 / n)
         for t in range(most):
@@ -122,12 +126,12 @@ def expected(xs: list[np.ndarray], means: np.ndarray, variances: np.ndarray, tra
         mass += gamma.sum(axis=(0, 1))
         first += np.einsum("tks,tk->s", gamma, x)
         second += (gamma * (x[:, :, None] - means) ** 2).sum(axis=(0, 1))
-        log += float(np.log(scale).sum())
+        log += float(np.log(scale).sum() + sum(top[t, :m].sum() for t, m in enumerate(live)))
     return pairs, mass, first, second, log
 
 
-def _statistics(chunks: DataFrame, means: np.ndarray, variances: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The sum of all chunks' statistics: each task adds up its own chunks, Spark adds the tasks' rows element by element."""
+def _statistics(chunks: DataFrame, n_tasks: int, means: np.ndarray, variances: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The sum of all chunks' statistics. Each task adds up its own chunks; where their rows are few numbers together the driver adds them, else Spark does, element by element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -136,11 +140,15 @@ def _statistics(chunks: DataFrame, means: np.ndarray, variances: np.ndarray, tra
             flat = np.concatenate([np.ravel(p) for p in parts])
             total = flat if total is None else total + flat
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "value"])
-
-    size = len(means) ** 2 + 3 * len(means) + 1
-    out = np.zeros(size)
-    for r in chunks.select("xs").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+            yield pa.RecordBatch.from_arrays([lists([total], pa.float64())], names=["values"])
+
+    out = np.zeros(len(means) ** 2 + 3 * len(means) + 1)
+    rows = chunks.select("xs").mapInArrow(run, "values array<double>")
+    if n_tasks * len(out) <= GATHERED:
+        for r in rows.collect():
+            out += np.array(r["values"])
+        return out
+    for r in rows.select(F.posexplode("values").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value")).collect():
         out[r["at"]] = r["value"]
     return out
 
@@ -169,14 +177,15 @@ def trained(chunks: DataFrame, means: np.ndarray, variances: np.ndarray, trans:
         if n < 2:
             raise ValueError("two states are needed where none may follow itself")
         trans = (1 - np.eye(n)) / (n - 1)
-    chunks = chunks.persist()
+    chunks = chunks.select("xs").persist()
     log, k = [], n * n
     try:
+        n_tasks = chunks.rdd.getNumPartitions()
         for turn in range(most):
-            s = _statistics(chunks, means, variances, trans)
+            s = _statistics(chunks, n_tasks, means, variances, trans)
             mass, some = s[k : k + n], s[k : k + n] > 0
             means = np.where(some, s[k + n : k + 2 * n] / np.where(some, mass, 1), means)
-            second = _statistics(chunks, means, variances, trans)[k + 2 * n : k + 3 * n]
+            second = _statistics(chunks, n_tasks, means, variances, trans)[k + 2 * n : k + 3 * n]
             variances = np.where(some, np.maximum(second / np.where(some, mass, 1), LEAST_VARIANCE), variances)
             trans = renewed(s[:k].reshape(n, n), trans, prune_below if turn >= prune_after else 0.0)
             log.append(float(s[-1]))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.arrays import arrays
 from eventloom.operators.model import Model
 
 
@@ -22,7 +23,7 @@ def short_number(column: Column) -> Column:
     """Arrays of numbers with six significant digits, tab-joined."""
 
     def run(values: pa.Array) -> pa.Array:
-        return pa.array(["\t".join(f"{x:.6g}" for x in v or []) for v in values.to_pylist()], pa.string())
+        return pa.array(["\t".join(["%.6g"] * len(v)) % tuple(v) if v is not None else "" for v in arrays(values)], pa.string())
 
     run.__annotations__ = {"values": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "string")(column)

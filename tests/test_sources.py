@@ -221,6 +221,18 @@ def test_training_rounds(spark):
     assert len(log) == 4 and (np.array(model.transitions) == 0).sum() > 3
 
 
+def test_far_values(spark):
+    """Values far from all means, and tasks whose sums Spark adds up."""
+    pairs, mass, _, _, log = training.expected([np.array([1e4, -1e4, 0.0])], np.array([-1.0, 1.0]), np.array([0.1, 0.1]), np.array([[0, 1.0], [1.0, 0]]))
+    assert np.isfinite(log) and np.isclose(mass.sum(), 3) and np.isclose(pairs.sum(), 2)
+    chunks = spark.createDataFrame([([float(k % 3), 1.0, -1.0],) for k in range(9)], "xs array<double>").repartition(3)
+    args = np.array([-1.0, 1.0]), np.array([0.5, 0.5]), np.array([[0, 1.0], [1.0, 0]])
+    before, training.GATHERED = training.GATHERED, 0
+    spread = training._statistics(chunks, 3, *args)
+    training.GATHERED = before
+    assert np.allclose(spread, training._statistics(chunks, 3, *args))
+
+
 def test_training_stops_late(spark):
     """Rounds go on for more than `least` of them, and then until they change little."""
     chunks = spark.createDataFrame([([-1.0, 1.0, -0.9, 1.1, -1.1],)], "xs array<double>")

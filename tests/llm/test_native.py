@@ -182,6 +182,15 @@ def test_own_licenses(spark):
     assert {r["text_license"] for r in licenses.scan(docs, known=own.limit(0)).collect()} == {None}
 
 
+def test_licenses_in_long_texts(spark):
+    """A text of very many lines, of which many are notices; repeated rows have equal results."""
+    lines = [f"line {k} about licenses" for k in range(60_000)]
+    lines[::6] = ["Released under the MIT License."] * 10_000
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (1, "\n".join(lines)), (2, "x" * 3_000_000 + " license")], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["notices"], r["n_notices"], r["text_license"]) for r in licenses.scan(docs).collect())
+    assert rows == [(1, "MIT", 10_000, None)] * 2 + [(2, "", 0, None)]
+
+
 TURNS = "pair_id long, turn long, role string, text string, part string, c int"
 
 

@@ -115,6 +115,32 @@ def test_stages_take_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 4
 
 
+def prose(k, n=120):
+    """Running text of n words that shares no five words with another k."""
+    return " ".join(f"word{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" + ("." if i % 12 == 11 else "") for i in range(n))
+
+
+def test_stages_on_odd_rows(spark):
+    """What each stage leaves of nulls, empty and very long texts, copies, near copies, repeated ids and rows."""
+    syllables = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    long = " ".join(a + b + c for a in syllables for b in syllables for c in syllables[:20])  # 60,500 words
+    near = prose(0).replace("wordaaa ", "other ", 1)
+    rows = [(1, prose(0), "a"), (2, prose(0).replace(" ", "  "), "a"), (3, near, None), (4, None, "a"), (5, "", "b"), (6, " \n", "b"), (7, "too short", "b"), (8, "# | $ " * 60, "b"), (None, prose(1), "b"), (9, prose(2), "a"), (9, prose(2), "a"), (9, prose(3), "b"), (10, long, "b")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "clash") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).persist()
+        left.append(sorted(((r["doc_id"] or 0, r["source"], r["n_chars"]) for r in docs.collect()), key=str))
+    key = lambda k: (rows[k][0] or 0, rows[k][2], len(rows[k][1]))
+    own = lambda *ks: sorted((key(k) for k in ks), key=str)
+    assert left[0] == own(0, 1, 2, 8, 9, 10, 11, 12)
+    assert left[1] == own(1, 2, 8, 9, 11, 12)  # of equal texts the one with the most characters, once
+    assert left[2] == own(1, 8, 9, 11, 12)
+    assert set(left[3]) <= set(left[2]) and max(collections.Counter(left[3]).values()) <= 2
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(encoded) == len(left[3]) and all(r["round_trip"] for r in encoded)
+
+
 def test_the_rest_stands_alone():
     """Nothing outside imports the corpus operators but the entry module, which does so behind its guard."""
     import pathlib

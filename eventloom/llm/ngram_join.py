@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import dropped, input_bytes, small_batches, small_side, whole_text, written
+from eventloom.llm.common import dropped, input_bytes, lean, small_batches, small_side, whole_text, written
 from eventloom.llm.components import components
 
 #: Query parameters: words in a shingle, least Jaccard similarity in percent.
@@ -255,7 +255,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, siz
             if own:
                 yield make(np.array([n for n, _ in own]), [s for _, s in own])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _near_enough(na, nb, pa_, pb_, percent: int):
@@ -447,8 +447,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, input_bytes(rows) // RANGE_BYTES))
     ranges = 1 << max(8, ranges.bit_length())
-    both = rows.mapInArrow(_signatures(ranges, size), SEEN).repartition("key").sortWithinPartitions("key")
-    both = written(both.mapInArrow(_merged, "doc_id long, n long, sig binary, print long, count long"), "join-signatures")
+    both = rows.mapInArrow(lean(_signatures(ranges, size)), SEEN).repartition("key").sortWithinPartitions("key")
+    both = written(both.mapInArrow(lean(_merged), "doc_id long, n long, sig binary, print long, count long"), "join-signatures")
     sets = both.filter("sig is not null").select("doc_id", "n", "sig")
     by_id = sets.filter("n > 0").groupBy("sig", "doc_id").agg(F.count("*").alias("times"), F.first("n").alias("n"))  # spreads the rows of a large class
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "times"))).alias("f")
@@ -467,7 +467,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), sigs, pa.array([len(t) for t in tokens], pa.int64()), first, pa.array([k for _, k in found], pa.int32()), short(1), short(2)], names=["doc_id", "sig", "n", "first", "cold", "second", "third"])
 
     # joined afterwards: prefixes are a fraction of the texts, in case the classes are too many to broadcast
-    prefixed = rows.mapInArrow(prefixes, "doc_id long, sig binary, n long, first array<long>, cold int, second binary, third binary").filter("n > 0")
+    prefixed = rows.mapInArrow(lean(prefixes), "doc_id long, sig binary, n long, first array<long>, cold int, second binary, third binary").filter("n > 0")
     own = classes.select("node", F.col("first_id").alias("doc_id"), "sig", (F.col("times") > 1).alias("again"))
     prefixed = written(prefixed.join(small_side(own), ["doc_id", "sig"]).drop("doc_id", "sig"), "join-prefixes")
     twice = prefixed.filter("again").dropDuplicates(["node"])  # a repeated row stands in the classes once
@@ -475,16 +475,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         prefixed = written(prefixed.filter("not again").unionByName(twice), "join-prefixes")
     exploded = prefixed.select("node", "n", "cold", F.posexplode("first").alias("pos", "token"))
     buckets = exploded.filter("pos < cold").select("node", "n", "pos", "token").repartition("token").sortWithinPartitions("token", "node")
-    met = written(buckets.mapInArrow(_first_pairs(percent), "token long, a long, b long, n long, pos int"), "join-met")
+    met = written(buckets.mapInArrow(lean(_first_pairs(percent)), "token long, a long, b long, n long, pos int"), "join-met")
 
     def linked(pairs: DataFrame, tag: str) -> DataFrame:
         """Of candidate pairs, those that pass the other orders' filters and then the comparison."""
-        left = written(_with_both(pairs, prefixed, ["second", "third"]).mapInArrow(_shares_prefixes, "a long, b long"), f"{tag}-filtered")
+        left = written(_with_both(pairs, prefixed, ["second", "third"]).mapInArrow(lean(_shares_prefixes), "a long, b long"), f"{tag}-filtered")
         ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
         wanted = written(classes.join(ends, "node", "left_semi"), f"{tag}-wanted")
         to_sets = lambda nodes, tokens: pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["node", "set"])
         whole = written(_sets_of(docs, wanted, id_col, text_col, size, to_sets, "node long, set binary").dropDuplicates(["node"]), f"{tag}-sets")
-        links = written(_with_both(left, whole, ["set"]).mapInArrow(_similar(percent), "a long, b long"), f"{tag}-links")
+        links = written(_with_both(left, whole, ["set"]).mapInArrow(lean(_similar(percent)), "a long, b long"), f"{tag}-links")
         dropped(left, wanted, whole)
         return links
 

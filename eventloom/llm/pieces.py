@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import small_batches, whole_text
+from eventloom.llm.common import lean, small_batches, whole_text
 from eventloom.llm.vocab import few_threads, id_lists, joined_runs, looked_up, runs, text_parts, whole_array
 
 #: The marker that stands for a space; the message's kinds of pieces and models.
@@ -213,7 +213,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(counts), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 
 def decoded(rows: DataFrame, model_path: str) -> DataFrame:
@@ -231,4 +231,4 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
             texts = coder.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import small_side, unused_path, whole_text, written
+from eventloom.llm.common import lean, small_side, unused_path, whole_text, written
 from eventloom.llm.vocab import WordEncoder, text_parts
 
 #: Fixed values of the format: mark, version, lanes of a block, steps between checkpoints, least state, bits of a word.
@@ -156,7 +156,7 @@ def _encoded(docs: DataFrame, encoder, end_id: int, wide: bool, id_col: str, tex
             start += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([pa.array([shard] * len(sizes), pa.int32()), pa.array(starts), part.column("doc_id"), pa.array(sizes), pa.array(values, pa.binary())], names=["shard", "start", "doc_id", "n", "ids"])
 
-    return rows.mapInArrow(run, "shard int, start long, doc_id long, n long, ids binary")
+    return rows.mapInArrow(lean(run), "shard int, start long, doc_id long, n long, ids binary")
 
 
 def counted_ids(rows: DataFrame, size: int, wide: bool) -> np.ndarray:
@@ -239,7 +239,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
         if full:
             yield flush()
 
-    rows.mapInArrow(run, BLOCKS).sortWithinPartitions("shard", "start").write.parquet(f"{path}/blocks")
+    rows.mapInArrow(lean(run), BLOCKS).sortWithinPartitions("shard", "start").write.parquet(f"{path}/blocks")
     n_docs = rows.count()
     head = (VERSION, os.path.basename(tokenizer_path), hashlib.sha256(vocabulary.encode()).hexdigest(), end_id, n_docs, int(counts.value.sum()), counts.value.tolist())
     spark.createDataFrame([head], HEADER).coalesce(1).write.parquet(f"{path}/header")
@@ -287,4 +287,4 @@ def _decoded(blocks: DataFrame, counts, column: str, of_ids) -> DataFrame:
                     ends = np.cumsum(sizes)
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), of_ids(ids, ends)], names=["doc_id", "start", "n_tokens", column.split()[0]])
 
-    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return rows.mapInArrow(lean(run), f"doc_id long, start long, n_tokens long, {column}")

@@ -164,7 +164,6 @@ class WordEncoder:
             ids.append(some)
             counts.append(np.diff(upto[2 * (ends[a : b + 1] - ends[a])]).astype(np.int64))  # two parts a word
         ids, counts = np.concatenate(ids), np.concatenate(counts)
-        pa.default_memory_pool().release_unused()
         return self._with_odd(texts, odd, ids, counts) if odd.any() else (ids, counts)
 
     def _with_odd(self, texts: pa.Array, odd: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

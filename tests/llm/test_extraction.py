@@ -222,6 +222,7 @@ def test_pii_query(spark):
         assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == j for _, k, _ in base) for j in range(4)]
         spans = r["spans"].split(",") if r["spans"] else []
+        assert r["n_spans"] == len(spans)
         assert set(listed.split(",")) - {""} <= set(spans)
         for s in set(spans) - set(listed.split(",")):
             kind, a, b = s.split(":")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions import signal as sig
-from eventloom.operators import alignment, decode, frames, kmers, training
+from eventloom.operators import alignment, decode, frames, kmers, segment, training
 from eventloom.operators.model import Model, reparameterised
 from eventloom.plans import correction, evaluation, tuning
 from eventloom.sources import sinks, text
@@ -700,15 +700,21 @@ def _expected_sql(tag: str, means: str) -> str:
 
 
 _N = len(MODEL.means)
-_ROUND = f"""WITH RECURSIVE {SUPPLIER_SIGNAL}, {Z}, kept AS (SELECT read_id, idx, x, count(*) OVER (PARTITION BY read_id) AS n FROM z WHERE x IS NOT NULL),
+_PASSES = f"""WITH RECURSIVE {SUPPLIER_SIGNAL}, {Z}, kept AS (SELECT read_id, idx, x, count(*) OVER (PARTITION BY read_id) AS n FROM z WHERE x IS NOT NULL),
     parts AS (SELECT read_id, idx, x, CASE WHEN idx < n % 4 * (n // 4 + 1) THEN idx // (n // 4 + 1) ELSE n % 4 + (idx - n % 4 * (n // 4 + 1)) // (n // 4) END AS part FROM kept),
     obs AS MATERIALIZED (SELECT read_id * 4 + part AS c, row_number() OVER (PARTITION BY read_id, part ORDER BY idx) - 1 AS t, x, count(*) OVER (PARTITION BY read_id, part) AS n FROM parts),
     given AS (SELECT [{", ".join(f"{m}::DOUBLE" for m in MODEL.means)}] AS m), {_expected_sql("1", "given")},
     sums AS MATERIALIZED (SELECT s, sum(g[s]) AS mass, sum(g[s] * x) AS first FROM gam1, range(1, {_N + 1}) a(s) GROUP BY s),
     moved AS MATERIALIZED (SELECT list(first / mass ORDER BY s) AS m FROM sums), {_expected_sql("2", "moved")},
     var AS (SELECT s, greatest(sum(g[s] * pow(x - m[s], 2)) / any_value(mass), {training.LEAST_VARIANCE}) AS var FROM gam2, moved, sums GROUP BY s),
-    pairs AS (SELECT p, q, sum(f[p] * ahead[q]) / {_N - 1} AS k FROM gam1, range(1, {_N + 1}) a(p), range(1, {_N + 1}) b(q) WHERE ahead IS NOT NULL AND p <> q GROUP BY p, q),
-    probs AS (SELECT p, q, k / sum(k) OVER (PARTITION BY p) AS prob FROM pairs UNION ALL SELECT s, s, 0 FROM sums)
+    pairs AS (SELECT p, q, sum(f[p] * ahead[q]) / {_N - 1} AS k FROM gam1, range(1, {_N + 1}) a(p), range(1, {_N + 1}) b(q) WHERE ahead IS NOT NULL AND p <> q GROUP BY p, q)"""
+
+
+def _round_sql(below: float) -> str:
+    """A round's model; transitions under `below` are cut and the rest raised to 1."""
+    return f"""{_PASSES},
+    shares AS (SELECT p, q, k / sum(k) OVER (PARTITION BY p) AS share FROM pairs), cut AS (SELECT p, q, CASE WHEN share < {below} THEN 0 ELSE share END AS share FROM shares),
+    probs AS (SELECT p, q, share / sum(share) OVER (PARTITION BY p) AS prob FROM cut UNION ALL SELECT s, s, 0 FROM sums)
     SELECT (p - 1)::INT AS p, (q - 1)::INT AS s, round(first / mass, 6) AS mean, round(var, 6) AS var, round(prob, 6) AS prob, round((SELECT sum(ln(scale)) FROM gam1), 2) AS log_likelihood
     FROM probs JOIN sums ON sums.s = p JOIN var ON var.s = p"""
 
@@ -718,20 +724,30 @@ def _model_rows(spark: SparkSession, model: Model, log: list[float]) -> DataFram
     return spark.createDataFrame(rows, "p int, s int, mean double, var double, prob double, log_likelihood double")
 
 
-@query(_ROUND)
-def training_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One round of training on chunks of the suppliers' z-scored signals."""
+def supplier_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' z-scored signals in four chunks each: xs."""
     signal = kmers.chunked(frames.z_scores(supplier_signal(spark, sf_dir)).filter("x is not null"), 4)
     at = F.sort_array(F.collect_list(F.struct("idx", "x")))
-    chunks = signal.groupBy("read_id", "chunk").agg(F.transform(at, lambda s: s["x"]).alias("xs"))
-    return _model_rows(spark, *training.trained(chunks, *map(training.np.array, (MODEL.means, MODEL.variances)), most=1))
+    return signal.groupBy("read_id", "chunk").agg(F.transform(at, lambda s: s["x"]).alias("xs"))
+
+
+@query(_round_sql(0))
+def training_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of training on chunks of the suppliers' signals."""
+    return _model_rows(spark, *training.trained(supplier_chunks(spark, sf_dir), *map(training.np.array, (MODEL.means, MODEL.variances)), most=1))
+
+
+@query(_round_sql(0.22))
+def pruning_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a round in which small transitions are cut, here those under 0.22."""
+    return _model_rows(spark, *training.trained(supplier_chunks(spark, sf_dir), *map(training.np.array, (MODEL.means, MODEL.variances)), most=1, prune_after=0, prune_below=0.22))
 
 
 @query()
 def trained_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model trained on the users' z-scored signals until it stops by itself: over 1,000 rounds, with small transitions cut from the hundredth on."""
+    """A model trained on the users' z-scored signals until it changes little, after more than 150 rounds (1,001 unless told otherwise), with small transitions cut from the hundredth on."""
     chunks = user_reads(spark, sf_dir).select(F.col("events").alias("xs"))
-    return _model_rows(spark, *training.trained(chunks, *map(training.np.array, (MODEL.means, MODEL.variances))))
+    return _model_rows(spark, *training.trained(chunks, *map(training.np.array, (MODEL.means, MODEL.variances)), least=150))
 
 
 @query(
@@ -807,3 +823,40 @@ def summary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's lines parsed again, and their numbers added up over the references."""
     lines = sinks.report_lines(alignment.rates(alignment.confusion(alignment.labelled(*alignments(spark, sf_dir)), ["rf_name"])), "rf_name")
     return text.parsed_summary(lines.select("value")).groupBy("name").agg(F.round(F.sum("number"), 4).alias("number"))
+
+
+@query(f"{DECODED}, {RUNS}, {DENOISED} SELECT read_id::VARCHAR AS read_id, idx, printf('%.6g', x)::DOUBLE AS event FROM denoised")
+def corrected_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected reads as lines with six significant digits, parsed again."""
+    out = correction.correct_events(user_reads(spark, sf_dir), MODEL, P_STAY, P_SKIP, WIDTH).filter("events is not null")
+    return text.parsed_events(sinks.corrected_lines(out)).select("read_id", F.posexplode("events").alias("idx", "event"))
+
+
+@query(
+    f"""WITH {SUPPLIER_SIGNAL}, marked AS (SELECT *, sum((idx % 7 = 3)::INT) OVER (PARTITION BY read_id ORDER BY idx) AS segment FROM sig),
+    means AS (SELECT read_id, (segment - 1)::INT AS idx, avg(x) AS x FROM marked WHERE segment > 0 GROUP BY read_id, segment)
+    SELECT read_id::VARCHAR AS read_id, idx, printf('%.4f', (x - avg(x) OVER r) / nullif(stddev_pop(x) OVER r, 0))::DOUBLE + 0.0 AS event FROM means WINDOW r AS (PARTITION BY read_id) QUALIFY event IS NOT NULL"""
+)
+def border_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events between borders as lines with four decimals, parsed again."""
+    rows = supplier_signal(spark, sf_dir)
+    out = frames.border_segments(rows, rows.filter("idx % 7 = 3").select("read_id", F.col("idx").alias("event_start")))
+    reads = out.groupBy("read_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "x"))), lambda s: s["x"]).alias("events"))
+    return text.parsed_events(sinks.event_lines(reads, 4)).select("read_id", F.posexplode("events").alias("idx", "event")).withColumn("event", F.col("event") + F.lit(0.0))
+
+
+@query(f"WITH events_ AS ({_segments_sql(*WAYS['v2-r10'])}), all_reads AS (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem), segmented AS (SELECT count(DISTINCT read_id) AS k FROM events_) SELECT n AS n_reads, k AS n_written, n - k AS n_skipped FROM all_reads, segmented")
+def segmentation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a segmentation run counts as it writes: reads, those with events, those without."""
+    out, seen = sinks.counted(segment.segment_reads(supplier_reads(spark, sf_dir), "v2-r10"))
+    out.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("n_reads", "n_written", "n_skipped"))], "n_reads long, n_written long, n_skipped long")
+
+
+@query(f"SELECT read_id, count(*) AS n_events, round(sum(event), 4) + 0.0 AS total FROM ({_segments_sql(*WAYS['v2'], digits=15)}) GROUP BY read_id")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The array functions by their SQL names."""
+    correction.register(spark, MODEL, P_STAY, P_SKIP)
+    reads = spark.sql("SELECT read_id, segment_v2(signal) AS events FROM {reads}", reads=supplier_reads(spark, sf_dir)).filter("events is not null")
+    paths = spark.sql("SELECT read_id, events, viterbi_path(events) AS states FROM {reads}", reads=reads).filter("size(states) = size(events)")
+    return paths.select("read_id", F.size("events").cast("long").alias("n_events"), rounded(F.aggregate("events", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))

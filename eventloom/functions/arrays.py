@@ -34,12 +34,24 @@ def lists(rows: list[np.ndarray | None], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, values, mask=gone) if rows else pa.array([], pa.list_(kind))
 
 
+#: Rows up to this size share a group however they differ.
+SHORT = 64
+
+
 def alike(sizes: list[int], cells: int) -> list[np.ndarray]:
-    """Places of rows of like size in groups, the longest first, so that a group padded to its longest row holds at most `cells` values (or one row)."""
+    """Places of rows of like size in groups, the longest first.
+
+    A group padded to its longest row holds at most `cells` values (or one row), and no row
+    under half of that one's size, so padding at most doubles what there is.
+    """
     order = np.argsort([-n for n in sizes], kind="stable")
+    down = -np.asarray(sizes, np.int64)[order] if len(order) else np.zeros(0, np.int64)
     out, k = [], 0
     while k < len(order):
-        step = max(1, cells // max(sizes[order[k]], 1))
-        out.append(order[k : k + step])
-        k += step
+        longest = -int(down[k])
+        end = k + max(1, cells // max(longest, 1))
+        if longest > SHORT:
+            end = min(end, int(np.searchsorted(down, -(longest // 2), side="right")))
+        out.append(order[k:end])
+        k = end
     return out

@@ -13,7 +13,7 @@ from eventloom.functions.arrays import alike, arrays, known, lists
 from eventloom.operators.frames import LEAST_VARIANCE
 
 #: Samples of padded reads that are searched for peaks at once.
-CELLS = 1_000_000
+CELLS = 3_000_000
 
 
 @dataclass(frozen=True)

@@ -158,3 +158,4 @@ def test_lists(spark):
     back = lists([None if g is None else known(g) for g in arrays(column)], pa.float64())
     assert back.to_pylist() == [[1.0, 2.0], None, [], [3.0]] and lists([], pa.int32()).to_pylist() == [] and lists([None], pa.int32()).to_pylist() == [None]
     assert [g.tolist() for g in alike([1, 9, 3, 0], 6)] == [[1], [2, 0], [3]]
+    assert [g.tolist() for g in alike([100, 300, 150, 149, 70, 10], 10**6)] == [[1, 2], [3, 0], [4], [5]] and alike([], 5) == []

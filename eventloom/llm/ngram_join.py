@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from eventloom.llm.common import dropped, input_bytes, lean, small_batches, small_side, whole_text, written
 from eventloom.llm.components import components
@@ -442,6 +443,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        order at once. Then every pair that shares prefix tokens is linked, compared or
        connected.
     """
+    return _row_components(docs, id_col, text_col, percent, size).drop("sig")
+
+
+def _row_components(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
+    """jaccard_components() with the signature of each row's set."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
@@ -519,11 +525,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_sig = small_side(written(of_node.join(least, "component").select("sig", "component_id"), "join-components"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return sets.join(of_sig, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return sets.join(of_sig, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "sig")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of docs with the smallest id of their component, and those without an id, with all their columns."""
-    out = jaccard_components(docs, id_col, text_col, percent, size)
-    lost = written(out.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "join-lost")
-    return docs.join(small_side(lost), F.col(id_col).cast("long") == F.col("_lost"), "left_anti")
+    """The rows of docs whose id is the smallest of their component, and those without an id, with all their columns.
+
+    Where an id has several texts, each of its rows is judged by its own.
+    """
+    out = written(_row_components(docs, id_col, text_col, percent, size), "join-rows")
+    lost = out.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost"), F.col("sig").alias("_sig")).distinct()
+    ids = written(lost.select("_lost").distinct(), "join-lost")
+    some_stay = written(out.filter("doc_id = component_id").join(ids, F.col("doc_id") == F.col("_lost"), "left_semi").select("doc_id").distinct(), "join-both")
+    own = F.col(id_col).cast("long")
+    kept = docs.join(small_side(ids), own == F.col("_lost"), "left_anti")
+    if some_stay.isEmpty():
+        return kept
+    rows = docs.join(small_side(some_stay.select(F.col("doc_id").alias("_both"))), own == F.col("_both"), "left_semi")
+    return kept.unionByName(_signed_rows(rows, text_col, size).join(lost, (own == F.col("_lost")) & (F.col("_signature") == F.col("_sig")), "left_anti").select(*docs.columns))
+
+
+def _signed_rows(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """docs with the signature of each row's set as _signature."""
+    rows = docs.withColumn("_whole", whole_text(text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            sigs = pa.array([_signature(s) for s in shingle_sets(part.column("_whole"), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], sigs], names=[*part.schema.names[:-1], "_signature"])
+
+    return rows.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("_signature", BinaryType())]))

@@ -81,6 +81,8 @@ def test_odd_rows(spark):
     assert {k: v if len(v) > 1 else next(iter(v)) for k, v in found.items()} == {(1, 0): 1, (2, 0): 2, (3, 0): 3, (4, 1): 4, (5, 1): 4, (6, 2): 6, (7, 1): {7, 4}, (None, 1): None, (8, 1): 8, (9, 1): 9}
     kept = ngram_join.one_of_each_group(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id = 5").isEmpty()
+    assert [r["text"] for r in kept.filter("doc_id = 7").collect()] == ["a b"]  # the other text with this id belongs to 4
+    assert kept.count() == len(rows) - 2 and kept.filter("doc_id is null").count() == 2
     assert ngram_join.jaccard_components(docs.limit(0)).isEmpty()
 
 

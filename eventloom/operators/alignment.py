@@ -94,8 +94,8 @@ def medians(rows: DataFrame, columns: list[str], by: list[str] | None = None) ->
 def with_medians(rows: DataFrame, stats: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """stats (a row for each value of by) with the medians of columns of rows."""
     own = medians(rows, columns, by)
-    if not by:
-        return stats.join(own, how="cross")  # a row each
+    if not by:  # a row each
+        return stats.withColumn("_one", F.lit(1)).join(own.withColumn("_one", F.lit(1)), "_one").drop("_one")
     for c in by:
         own = own.withColumnRenamed(c, f"_{c}")
     same = F.lit(True)

@@ -262,6 +262,37 @@ def test_climbing():
     assert tuning.climbed(lambda a, b: -a - b, (0.0, 0.0))[0] == (0.0, 0.0)
 
 
+def plain_climb(f, start, steps):
+    """The rule move by move, without a memory of scores."""
+    here, top = start, f(*start)
+    for step in steps:
+        back = None
+        while True:
+            moves = []
+            for axis in (0, 1):
+                to = lambda d: tuple(round(v + (d * step if k == axis else 0), 6) for k, v in enumerate(here))
+                up, down = to(1), to(-1)
+                up_helps = back != (axis, 1) and f(*up) > top
+                if up_helps:
+                    moves.append((f(*up), up, (axis, -1)))
+                elif back != (axis, -1) and down[axis] >= 0 and f(*down) > top:
+                    moves.append((f(*down), down, (axis, 1)))
+            if not moves:
+                break
+            top, here, back = max(moves, key=lambda m: m[0])
+    return here, top
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_climbing_follows_the_rule(seed):
+    rng = np.random.default_rng(seed)
+    w = rng.normal(size=6)
+    f = lambda a, b: float(w[0] * np.sin(40 * a + w[1]) + w[2] * np.cos(30 * b + w[3]) + w[4] * np.sin(25 * (a + b)) - 10 * abs(w[5]) * (a * a + b * b))
+    start = (round(float(rng.choice(tuning.GRID)), 6), round(float(rng.choice(tuning.GRID)), 6))
+    best, score, tried = tuning.climbed(f, start)
+    assert (best, score) == plain_climb(f, start, tuning.STEPS) and tried > 0
+
+
 def test_streams(spark, tmp_path):
     from eventloom.streaming import reads as streams
 

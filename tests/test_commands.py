@@ -17,6 +17,8 @@ def test_commands(spark, tmp_path, capsys):
     assert text.read_events(spark, str(tmp_path / "events")).count() == 1
     main(["correct", str(tmp_path / "model"), str(tmp_path / "events"), "0.1", "0.05", str(tmp_path / "out"), "--window-size", "3"])
     assert text.read_events(spark, str(tmp_path / "out")).first()["read_id"] == "r1"
+    main(["tune", str(tmp_path / "model"), str(tmp_path / "events")])
+    assert "p_stay" in capsys.readouterr().out
     row = "r1\t1000\t0\t1000\t+\tc1\t5000\t100\t200\t1\t1\t60\tmt:f:2\n"
     (tmp_path / "q.paf").write_text(row + row.replace("r1", "r2"))
     (tmp_path / "t.paf").write_text(row)

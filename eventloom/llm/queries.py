@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, exact_dedup, html_text, licenses, mixing, ngram_join, pieces, pii, quality, token_files
+from eventloom.llm import chat, exact_dedup, html_text, licenses, merkle, mixing, ngram_join, pieces, pii, quality, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
     "op10_pii": op10_pii,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -236,4 +241,44 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_lines - n_distinct AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND p >= 0.5 AS kept
         FROM voted JOIN post_{quality.ROUNDS} USING (votes)""",
+    "op13_merkle_manifest": """
+        WITH RECURSIVE table_of AS (
+            SELECT i AS byte, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) t(i)),
+        crcs AS (SELECT list(v ORDER BY byte) AS t FROM table_of),
+        rows AS (
+            SELECT doc_id, lang, n_chars, '=' || lang AS grp,
+                   coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+                                   lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 7 = 0 AS chosen
+            FROM documents, crcs),
+        leaves AS (
+            SELECT doc_id, coalesce(grp, '') AS grp, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                   CASE WHEN chosen THEN sha256(head || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS other FROM rows),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+        nodes AS (
+            SELECT grp, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY grp) AS n FROM placed
+            UNION ALL
+            SELECT grp, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY grp, level, place // 2, n),
+        subroots AS (SELECT grp, digest AS subroot, level AS height, row_number() OVER (ORDER BY grp) - 1 AS rank FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 0 AS level, rank AS place, subroot AS digest, count(*) OVER () AS n FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, place // 2, n),
+        met AS (
+            SELECT p.grp, p.place, d.level, (p.place >> d.level) % 2 = 1 AS on_left, d.digest AS sibling
+            FROM placed p JOIN nodes d ON d.grp = p.grp AND d.n > 1 AND d.place = xor(p.place >> d.level, 1)
+            UNION ALL
+            SELECT p.grp, p.place, s.height + d.level, (s.rank >> d.level) % 2 = 1, d.digest
+            FROM placed p JOIN subroots s USING (grp) JOIN tops d ON d.n > 1 AND d.place = xor(s.rank >> d.level, 1)),
+        proofs AS (SELECT grp, place, sha256(string_agg(sibling, '' ORDER BY level)) AS proof, count(*) AS n_siblings FROM met GROUP BY grp, place),
+        paths AS (SELECT grp, height + (SELECT max(level) FROM tops) AS levels FROM subroots),
+        folded AS (
+            SELECT grp, place, 0 AS level, coalesce(other, leaf) AS digest FROM placed
+            UNION ALL
+            SELECT f.grp, f.place, f.level + 1, sha256(CASE WHEN m.on_left THEN m.sibling || f.digest ELSE f.digest || coalesce(m.sibling, '') END)
+            FROM folded f JOIN paths h ON h.grp = f.grp AND f.level < h.levels LEFT JOIN met m ON m.grp = f.grp AND m.place = f.place AND m.level = f.level)
+        SELECT doc_id, leaf, subroot, t.digest AS root, coalesce(proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = t.digest AS verified, coalesce(n_siblings, 0)::BIGINT AS n_siblings
+        FROM placed p JOIN subroots USING (grp) JOIN paths h USING (grp) JOIN folded f ON f.grp = p.grp AND f.place = p.place AND f.level = h.levels
+             LEFT JOIN proofs x ON x.grp = p.grp AND x.place = p.place, (SELECT digest FROM tops WHERE n = 1) t""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, exact_dedup, html_text, licenses, merkle, mixing, ngram_join, pieces, pii, quality, token_files
+from eventloom.llm import chat, exact_dedup, html_text, licenses, merkle, mixing, ngram_join, packing, pieces, pii, quality, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_ = packing.packed(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=1)
+    return pieces_.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "round", "deficit")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
     "op10_pii": op10_pii,
+    "op12_mixture_packing": op12_mixture_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

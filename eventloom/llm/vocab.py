@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import string
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ Runs = list[tuple[np.ndarray, np.ndarray]]  # ids one after the other, and how m
 
 def runs(lists: list) -> Runs:
     """Lists of token ids as one run."""
-    return [(np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in lists]]).astype(np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))]
+    return [(np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))]
 
 
 def id_lists(found: Runs, order: np.ndarray | None = None) -> pa.ListArray:
@@ -172,3 +173,108 @@ class WordEncoder:
             parts[k] = np.asarray(self.each([texts[k].as_py()])[0], np.uint32)
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
+
+
+class ByteEncoder:
+    """A tokenizers-library byte-level model: texts are cut before ASCII white space that follows another character.
+
+    No piece of the model's pattern goes over such a place, nor over one between a letter
+    or digit and a mark, so the parts' ids follow each other. Distinct parts are encoded
+    once; a process keeps the first CACHED ones. Texts with a character that the cuts
+    need, or a special token's string, are encoded as they are. shared: see WordEncoder.
+    """
+
+    CUT, CACHED = "\x00", 400_000
+    #: A place where white space follows white space, in RE2's words; a part that begins with a space and is one piece.
+    SPACES_MEET = r"[\s\v\x1c-\x1f\x{85}\pZ][ \t\n\f\r]"
+    BEFORE_SPACE = r"([^\s\v\x1c-\x1f\x{85}\pZ])([ \t\n\f\r])"
+    ONE_PIECE = r"^ (\pL+|\pN+)$"
+
+    def __init__(self, shared: dict):
+        if "bytes" not in shared:
+            few_threads()
+            from tokenizers import Tokenizer
+
+            model = Tokenizer.from_str(shared["text"])
+            special = [t.content for t in model.get_added_tokens_decoder().values()]
+            cuttable = model.normalizer is None and "ByteLevel(add_prefix_space=False" in str(model.pre_tokenizer)
+            begins = np.zeros(model.get_vocab_size(), bool)
+            for word, i in model.get_vocab().items():
+                begins[i] = word.startswith("\u0120")  # the form of a space
+            shared["bytes"] = model, special, cuttable, begins, {"at": {}, "ids": np.zeros(0, np.uint32), "sizes": np.zeros(0, np.int64)}
+        self.tokenizer, self.special, self.cuttable, self.begins, self.known = shared["bytes"]
+
+    def vocab_size(self) -> int:
+        return self.tokenizer.get_vocab_size()
+
+    def each(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, by the library alone."""
+        out = []
+        for k in range(0, len(texts), 5000):
+            out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
+        return out
+
+    def _found(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct parts' ids: a run of ids, the sizes of its lists, and for each part the place of its list."""
+        names, at, n = parts.to_pylist(), self.known["at"], len(self.known["at"])
+        place = np.fromiter((at.get(w, -1) for w in names), np.int64, len(names))
+        new = place < 0
+        plain = pc.match_substring_regex(parts, self.ONE_PIECE).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(new & plain), np.flatnonzero(new & ~plain)])
+        place[order] = n + np.arange(len(order))
+        fresh = [names[k] for k in order]
+        m = int((new & plain).sum())
+        encode = lambda many: [x.ids for x in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+        got = joined_runs(fresh[:m], "", encode, lambda ids: np.flatnonzero(self.begins[ids]), self.each) + runs(self.each(fresh[m:]))
+        ids, sizes = np.concatenate([self.known["ids"], *[x for x, _ in got]]), np.concatenate([self.known["sizes"], *[k for _, k in got]])
+        room = max(0, min(self.CACHED - n, len(fresh)))
+        if room:
+            at.update(zip(fresh[:room], range(n, n + room)))
+            self.known["sizes"] = sizes[: n + room].copy()
+            self.known["ids"] = ids[: int(self.known["sizes"].sum())].copy()
+        return ids, sizes, place
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts, one after the other, and how many each text has; equal to encoding each text by itself."""
+        texts = whole_array(texts)
+        odd = np.full(len(texts), not self.cuttable)
+        for mark in (self.CUT, *self.special):
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        cut = plain
+        for space in " \t\n\f\r":
+            cut = pc.replace_substring(cut, space, self.CUT + space)
+        meet = pc.match_substring_regex(plain, self.SPACES_MEET)
+        if pc.any(meet).as_py():
+            cut = pc.replace_with_mask(cut, meet, pc.replace_substring_regex(plain.filter(meet), self.BEFORE_SPACE, rf"\1{self.CUT}\2"))
+        lists = pc.split_pattern(cut, self.CUT)
+        coded = lists.flatten().dictionary_encode()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        part, codes = coded.dictionary, coded.indices.to_numpy()
+        del cut, lists, coded
+        stem = pc.ascii_rtrim(part, characters=TAIL_MARKS)
+        parted = pc.match_substring_regex(stem, r"[\pL\pN]$").to_numpy(zero_copy_only=False)
+        stem = pc.if_else(pa.array(parted), stem, part)
+        tail = pc.binary_slice(part.cast(pa.binary()), 0, 0).cast(pa.string())
+        for n in np.unique(pc.binary_length(part).to_numpy() - pc.binary_length(stem).to_numpy()):
+            if n:
+                own = pc.equal(pc.subtract(pc.binary_length(part), pc.binary_length(stem)), int(n))
+                tail = pc.replace_with_mask(tail, own, pc.utf8_slice_codeunits(part.filter(own), start=-int(n)))
+        both = pa.concat_arrays([stem, tail]).dictionary_encode()
+        table, sizes, place = self._found(both.dictionary)
+        starts = np.cumsum(sizes) - sizes
+        pair = place[both.indices.to_numpy()].reshape(2, -1).T
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        cuts = np.flatnonzero(np.diff(ends[1:] // LOOKED_UP)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(ends) - 1]):  # a few texts at a time
+            of = pair[codes[ends[a] : ends[b]]].ravel()
+            upto = np.concatenate([[0], np.cumsum(sizes[of])])
+            ids.append(table[np.repeat(starts[of] - upto[:-1], sizes[of]) + np.arange(upto[-1])])
+            counts.append(np.diff(upto[2 * (ends[a : b + 1] - ends[a])]))  # two parts each
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        if odd.any():
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k in np.flatnonzero(odd):
+                parts[k] = np.asarray(self.each([texts[k].as_py()])[0], np.uint32)
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, counts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, exact_dedup, html_text, licenses, merkle, mixing, ngram_join, packing, pieces, pii, quality, token_files
+from eventloom.llm import chat, collocations, exact_dedup, html_text, licenses, merkle, mixing, ngram_join, packing, pieces, pii, quality, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces_ = packing.packed(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=1)
     return pieces_.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "round", "deficit")
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
     "op12_mixture_packing": op12_mixture_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -247,6 +252,23 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_lines - n_distinct AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND p >= 0.5 AS kept
         FROM voted JOIN post_{quality.ROUNDS} USING (votes)""",
+    "op11_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+        grams AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) t(k)),
+        f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        split AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        inside AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM split, range(2, 4) t(m) WHERE m < k)),
+        covered AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY lang, phrase),
+        cuts AS (SELECT lang, phrase, a, unnest(range(1, k)) AS cut, w FROM split LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, cut, x.a AS l, y.a AS r, (2000000 * c.a::HUGEINT // (x.a + y.a)::HUGEINT)::BIGINT AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score, cut FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     "op13_merkle_manifest": """
         WITH RECURSIVE table_of AS (
             SELECT i AS byte, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) t(i)),

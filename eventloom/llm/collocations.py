@@ -66,8 +66,9 @@ def coded_words(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, np.ndarra
     key = np.repeat(lang.indices.to_numpy().astype(np.int64), sizes) * max(len(words), 1) + code
     unit, code = np.unique(key, return_inverse=True) if len(names) > 64 else _by_place(key, len(names) * max(len(words), 1))
     own = words[unit % max(len(words), 1)] if len(words) else words
-    code = np.where(own[code] == END, -1, code) if len(code) else code
-    return code[own[code] != ""] if len(code) else code, own, names[unit // max(len(words), 1)] if len(names) else names
+    if len(code):
+        code = np.where(own == END, -1, np.arange(len(own)))[code[(own != "")[code]]]
+    return code, own, names[unit // max(len(words), 1)] if len(names) else names
 
 
 def _by_place(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +78,8 @@ def _by_place(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(there), (np.cumsum(there) - 1)[key]
 
 
-def _blocks(docs: DataFrame, shards: int, text_col: str, lang_col: str) -> DataFrame:
-    """The words of all texts in blocks, dealt over shards: up to BLOCK_WORDS words that phrases begin with, and those that they may end with."""
+def _blocks(docs: DataFrame, shards: int, block_words: int, text_col: str, lang_col: str) -> DataFrame:
+    """The words of all texts in blocks, dealt over shards: up to block_words words that phrases begin with, and those that they may end with."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +88,8 @@ def _blocks(docs: DataFrame, shards: int, text_col: str, lang_col: str) -> DataF
         turn = TaskContext.get().partitionId()
         for part in text_parts(batches):
             codes, words, langs = coded_words(part.column("text"), part.column("lang"))
-            for a in range(0, len(codes), BLOCK_WORDS):
-                block = codes[a : a + BLOCK_WORDS + LONGEST - 1]
+            for a in range(0, len(codes), block_words):
+                block = codes[a : a + block_words + LONGEST - 1]
                 unit, code = _by_place(block + 1, len(words) + 1)  # 0 stands for the end of a piece
                 has_end = int(len(unit) > 0 and unit[0] == 0)
                 unit, code = unit[has_end:] - 1, code - has_end
@@ -105,7 +106,7 @@ def _blocks(docs: DataFrame, shards: int, text_col: str, lang_col: str) -> DataF
                             "unit_langs": lang.astype("<i4").tobytes(),
                             "hashes": unit_hashes(words[unit], langs[unit]).astype("<u4").tobytes(),
                             "codes": code.astype("<i4").tobytes(),
-                            "own": min(BLOCK_WORDS, len(block)),
+                            "own": min(block_words, len(block)),
                         }
                     ],
                     schema=schema,
@@ -204,7 +205,7 @@ def _slots_of(phrases: DataFrame) -> pa.Table:
     return phrases.select("lang", "phrase", "k").mapInArrow(run, "k int, slot long").distinct().toArrow()
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, shards: int = SHARDS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, shards: int = SHARDS, block_words: int = BLOCK_WORDS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to LONGEST words that occur `least` times or more: lang, phrase, k, n; and all words' number by lang: lang, n.
 
     Texts are lower-cased (A-Z), cut into pieces at . , ; : ! ? and line ends, and pieces
@@ -222,7 +223,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, shards: int = SHARDS, text_c
         raise ValueError("too many shards")
     spark = docs.sparkSession
     path = unused_path(spark, "phrase-blocks")
-    _blocks(docs, shards, text_col, lang_col).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    _blocks(docs, shards, block_words, text_col, lang_col).write.partitionBy("shard").option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(BLOCK).parquet(path)
     known = {k: np.full(1 << SLOT_BITS, NEVER, np.uint8) for k in range(1, LONGEST)}
     totals, open_, done, step, until = None, None, [], 0, shards
@@ -250,7 +251,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, shards: int = SHARDS, text_c
     return reduce(DataFrame.unionByName, done), totals
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, scale: int = 2_000_000, share: tuple[int, int] = (80, 100), shards: int = SHARDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, scale: int = 2_000_000, share: tuple[int, int] = (80, 100), shards: int = SHARDS, block_words: int = BLOCK_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each language's first phrases by score: lang, rank, phrase, a, l, r, n, score, cut.
 
     a is how often a phrase occurs, l and r how often the two parts of its weakest cut do,
@@ -261,7 +262,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, scale: int =
     score, then a, both falling, then phrase. For words see phrase_counts(); without
     frequent phrases, or rows, the result is empty. Repeated rows count as often as they occur.
     """
-    found, totals = phrase_counts(docs, least, shards, text_col, lang_col)
+    found, totals = phrase_counts(docs, least, shards, block_words, text_col, lang_col)
     found = written(found, "phrases")
     candidates = found.filter("k > 1").select("lang", "phrase", "k", F.col("n").alias("a")).withColumn("_w", F.split("phrase", " "))
     part = lambda first, n: F.array_join(F.slice("_w", first, n), " ")

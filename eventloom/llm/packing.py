@@ -60,6 +60,10 @@ def sent(end: int, weight: int, of: int, window: int) -> tuple[int, float]:
     return r, ((r + 1) * window * weight - end * of) / of
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def _dealt(queues: DataFrame, weights: dict[str | None, int] | None, window: int, packet: int) -> DataFrame:
     """The packets with their rounds; packets of one document that follow each other in a round are one row."""
     own = Window.partitionBy("queue")
@@ -91,7 +95,7 @@ def _dealt(queues: DataFrame, weights: dict[str | None, int] | None, window: int
                             a = last[2]
                         last = r, deficit, b
                     out.append((last[0], queue, first + a, doc_id, a, n - a, n, last[1], ids[a * width :]))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in out], schema=schema)
+                yield _batch(out, schema)
 
     names = ["round", "queue", "place", "doc_id", "start", "length", "doc_tokens", "deficit", "ids"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
@@ -178,7 +182,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int, weights: dict[str
                         own = np.frombuffer(ids, f"<u{width}", size, done * width).astype("<u4").tobytes()
                         out.append((doc_id, queue[1:] if queue else None, start + done, size, n, seq, here - first, r, deficit, own))
                         done += size
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in out], schema=schema)
+                yield _batch(out, schema)
 
     names = ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "round", "deficit", "ids"]
     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.float64(), pa.binary()]

@@ -22,9 +22,9 @@ LOOKED_UP = 300_000
 TAIL_MARKS = string.punctuation
 
 
-def few_threads() -> None:
-    """Two threads for the library in each task's process, unless the environment says otherwise: tasks share the machine's cores."""
-    os.environ.setdefault("RAYON_NUM_THREADS", "2")
+def few_threads(n: int = 2) -> None:
+    """So many threads for the library in each task's process, unless the environment says otherwise: tasks share the machine's cores."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(n))
 
 
 def text_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ class ByteEncoder:
     need, or a special token's string, are encoded as they are. shared: see WordEncoder.
     """
 
-    CUT, CACHED = "\x00", 400_000
+    CUT, CACHED = "\x00", 1_000_000
     #: A place where white space follows white space, in RE2's words; a part that begins with a space and is one piece.
     SPACES_MEET = r"[\s\v\x1c-\x1f\x{85}\pZ][ \t\n\f\r]"
     BEFORE_SPACE = r"([^\s\v\x1c-\x1f\x{85}\pZ])([ \t\n\f\r])"
@@ -192,7 +192,7 @@ class ByteEncoder:
 
     def __init__(self, shared: dict):
         if "bytes" not in shared:
-            few_threads()
+            few_threads(1)
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_str(shared["text"])

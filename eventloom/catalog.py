@@ -15,7 +15,7 @@ from eventloom.functions import signal as sig
 from eventloom.operators import alignment, decode, frames, kmers, segment, training
 from eventloom.operators.model import Model, reparameterised
 from eventloom.plans import correction, evaluation, tuning
-from eventloom.sources import sinks, text
+from eventloom.sources import binary, shared, sinks, text
 
 #: Our own small model: five states, no self transitions, rows with different numbers of zeros.
 MODEL = Model(
@@ -782,10 +782,11 @@ def kmer_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.last_wins(parsed)
 
 
-@query(
-    """WITH raw AS (SELECT user_id, event_id, floor(value)::INT AS v FROM events), pa AS (SELECT user_id, (v + 10.0::DOUBLE) * (2.0::DOUBLE / 4.0::DOUBLE) AS x FROM raw)
+RAW_SQL = """WITH raw AS (SELECT user_id, event_id, floor(value)::INT AS v FROM events), pa AS (SELECT user_id, (v + 10.0::DOUBLE) * (2.0::DOUBLE / 4.0::DOUBLE) AS x FROM raw)
     SELECT user_id::VARCHAR AS read_id, count(*) FILTER (x > 30 AND x < 200) AS n, round(coalesce(sum(x) FILTER (x > 30 AND x < 200), 0), 4) AS total FROM pa GROUP BY user_id"""
-)
+
+
+@query(RAW_SQL)
 def slow5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' values as SLOW5 lines, read again: calibrated by range and inside the band."""
     reads = correction.gathered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
@@ -796,6 +797,38 @@ def slow5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("read_id", F.size("signal_pA").cast("long").alias("n"), F.round(total, 4).alias("total"))
 
 
+def _binary_round_trip(spark: SparkSession, sf_dir: str, kind: str, compression: str) -> DataFrame:
+    """Users' values as raw samples in files of a kind, read again in small partitions."""
+    reads = correction.gathered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    raw = F.transform("signal", lambda x: F.floor(x).cast("short"))
+    name = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("read_id").cast("string"), 12, "0"))
+    path = shared.unused_path(spark, kind)
+    binary.register(spark)
+    rows = reads.select(name.alias("read_id"), raw.alias("raw"), F.lit(4.0).alias("digitisation"), F.lit(10.0).alias("offset"), F.lit(2.0).alias("range"))
+    rows.write.format(kind).mode("append").option("compression", compression).save(path)
+    back = spark.read.format(kind).option("partitionBytes", 100_000).load(path)
+    total = F.aggregate("signal_pA", F.lit(0.0), lambda a, x: a + x)
+    return back.select(F.substring("read_id", -12, 12).cast("long").cast("string").alias("read_id"), F.size("signal_pA").cast("long").alias("n"), F.round(total, 4).alias("total"))
+
+
+@query(RAW_SQL)
+def blow5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _binary_round_trip(spark, sf_dir, "blow5", "zlib")
+
+
+@query(RAW_SQL)
+def pod5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _binary_round_trip(spark, sf_dir, "pod5", "zstd")
+
+
+@query("SELECT 'bad line' AS reason, 2 * count(*) AS n FROM part")
+def kmer_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the bad lines among parts as lines of a k-mer table, and how many there are."""
+    line = F.concat_ws("\t", sig.decoded_kmer(F.pmod("p_partkey", F.lit(4**K)), K), F.col("p_retailprice").cast("string"))
+    lines = table(spark, sf_dir, "part").select(F.explode(F.array(line, F.lit("# x"), F.lit("ACGT"), F.lit(""), F.lit("ACGT x"))).alias("value"))
+    return text.kmer_rows(lines).filter("error is not null").groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query(
     f"""WITH {LABELLED}, rates AS ({RATES.format(na=0, counts=_COUNTS)}),
     m AS (SELECT 'chr' || l_suppkey % 3 AS rf_name, (900 + l_suppkey % 100)::DOUBLE AS bp, round(1 + l_quantity / 10, 1) AS ms FROM lineitem WHERE l_returnflag <> 'R'),

@@ -46,14 +46,27 @@ def read_model(spark: SparkSession, path: str) -> Model:
     return parsed_model(row["value"] if row else "")
 
 
-def parsed_kmers(lines: DataFrame) -> DataFrame:
-    """Lines (value) of a k-mer table as line_no, kmer, level. Comments, blank and odd lines are left out.
+def kmer_rows(lines: DataFrame) -> DataFrame:
+    """Lines (value) of a k-mer table as line_no, kmer, level, error: bad lines have an error and no k-mer. Comments and blank lines are left out.
 
     line_no rises in the order of a file's lines.
     """
     m = lambda k: F.regexp_extract("value", r"^\s*(\S{1,63})\s+([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", k)
     rows = lines.withColumn("line_no", F.monotonically_increasing_id()).filter(~F.col("value").rlike(r"^\s*(#|$)"))
-    return rows.select("line_no", m(1).alias("kmer"), m(2).try_cast("double").alias("level")).filter("level is not null")
+    rows = rows.select("line_no", m(1).alias("kmer"), m(2).try_cast("double").alias("level"))
+    bad = F.col("level").isNull()
+    return rows.select("line_no", F.when(~bad, F.col("kmer")).alias("kmer"), "level", F.when(bad, "bad line").alias("error"))
+
+
+def parsed_kmers(lines: DataFrame) -> DataFrame:
+    """The k-mers of a table's lines (see kmer_rows()) as line_no, kmer, level; bad lines are left out."""
+    return kmer_rows(lines).filter("error is null").drop("error")
+
+
+def first_k(parsed: DataFrame) -> int | None:
+    """The length of a k-mer table's first k-mer, which is the table's k; none without k-mers."""
+    row = parsed.agg(F.min_by(F.length("kmer"), "line_no").alias("k")).first()
+    return row["k"]
 
 
 def read_kmers(spark: SparkSession, path: str) -> DataFrame:
@@ -115,17 +128,27 @@ def parsed_summary(lines: DataFrame) -> DataFrame:
     return lines.select(m(1).alias("name"), m(2).try_cast("double").alias("number")).filter("number is not null")
 
 
-def parsed_slow5(lines: DataFrame) -> DataFrame:
-    """Lines (value) of a SLOW5 text file as read_id, signal_pA: calibrated samples inside the band.
+def slow5_rows(lines: DataFrame) -> DataFrame:
+    """Lines (value, and what goes with them) of SLOW5 text: read_id, signal_pA, error, and the other columns.
 
     The columns are read_id, read_group, digitisation, offset, range, sampling_rate,
-    len_raw_signal, raw_signal; lines that start with # or @ are headers.
+    len_raw_signal, raw_signal; lines that start with # or @ are headers. A line with
+    fewer columns, or where one of the numbers is none, has an error instead of a read.
     """
     c = F.split("value", "\t")
-    rows = lines.filter(~F.col("value").rlike("^[#@]") & (F.length("value") > 0)).select(c.alias("c")).filter(F.size("c") >= 8)
-    raw = F.transform(F.split(F.col("c")[7], ","), lambda x: x.try_cast("int"))
-    number = lambda k: F.col("c")[k].try_cast("double")
-    return rows.select(F.col("c")[0].alias("read_id"), in_band(calibrated_by_range(raw, number(2), number(3), number(4))).alias("signal_pA"))
+    rest = [x for x in lines.columns if x != "value"]
+    rows = lines.filter(~F.col("value").rlike("^[#@]") & (F.length("value") > 0)).select(*rest, c.alias("_c"))
+    raw = F.transform(F.split(F.get("_c", F.lit(7)), ","), lambda x: x.try_cast("int"))
+    number = lambda k: F.get("_c", F.lit(k)).try_cast("double")
+    error = F.when(F.size("_c") < 8, "too few columns").when(number(2).isNull() | number(3).isNull() | number(4).isNull(), "calibration is no number")
+    rows = rows.withColumns({"error": error, "signal_pA": in_band(calibrated_by_range(raw, number(2), number(3), number(4)))})
+    whole = lambda x: F.when(F.col("error").isNull(), x)
+    return rows.select(whole(F.get("_c", F.lit(0))).alias("read_id"), whole(F.col("signal_pA")).alias("signal_pA"), *rest, "error")
+
+
+def parsed_slow5(lines: DataFrame) -> DataFrame:
+    """The reads of SLOW5 lines (see slow5_rows()) as read_id, signal_pA: calibrated samples inside the band. Bad lines are left out."""
+    return slow5_rows(lines.select("value")).filter("error is null").select("read_id", "signal_pA")
 
 
 def read_borders(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions import signal as sig
-from eventloom.operators import alignment, decode, frames, kmers, segment, training
+from eventloom.operators import alignment, blocks, decode, frames, kmers, segment, training
 from eventloom.operators.model import Model, reparameterised
 from eventloom.plans import correction, evaluation, tuning
 from eventloom.sources import binary, shared, sinks, text
@@ -261,6 +261,21 @@ def t_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("read_id", "idx", F.round("t_short", 4).alias("t_short"), F.round("t_long", 4).alias("t_long"))
 
 
+@query(ORACLES["t_statistics"])
+def blocked_t_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each read dealt out in blocks of 256 samples."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").withColumn("pa", F.pmod(F.col("l_extendedprice"), F.lit(170.0)) + 30.0)
+    out = blocks.t_statistics(blocks.indexed(rows, "l_suppkey", order, "pa"), {"t_short": 3, "t_long": 6}, 256)
+    return out.select("read_id", "idx", F.round("t_short", 4).alias("t_short"), F.round("t_long", 4).alias("t_long"))
+
+
+@query(ORACLES["prefix_sums"])
+def blocked_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = blocks.prefix_sums(blocks.indexed(band_rows(spark, sf_dir), "user_id", ["ts", "event_id"], "value"), 16)
+    return out.select("read_id", "idx", F.round("sum_x", 4).alias("sum_x"), F.round("sum_xx", 4).alias("sum_xx"))
+
+
 def _segmented(spark: SparkSession, sf_dir: str, preset: str) -> DataFrame:
     out = correction.segment_events(supplier_reads(spark, sf_dir), preset)
     return out.select("read_id", F.posexplode("events").alias("idx", "event")).withColumn("event", rounded(F.col("event")))

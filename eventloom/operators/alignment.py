@@ -72,13 +72,54 @@ def throughput(query: DataFrame, by: list[str] | None = None) -> DataFrame:
     return with_medians(rows, rows.groupBy(*(by or [])).agg(F.count("*").alias("n_timed"), *means), list(TIMED), by)
 
 
+#: Accuracy of the sketches that bracket a value, and most distinct values that one task puts in order.
+ACCURACY, SORTED = 10_000, 200_000
+
+
+def selected(rows: DataFrame, columns: list[str], accuracy: int = ACCURACY, most: int = SORTED) -> DataFrame:
+    """Exact medians of columns of doubles over all rows, by narrowing: one row with median_<column>, null if there are no values.
+
+    A round sketches quantiles of the values that may still be a median, which gives two
+    values with the median between them, since a sketch's error in rank is bounded; then
+    it counts what lies below and inside. Rounds end when few distinct values are left or
+    none are dropped any more. Each round is two partial aggregates and cuts the values by
+    about accuracy / 6; one row a round reaches the driver.
+    """
+    found = {}
+    for c in columns:
+        v = F.col(c).cast("double").alias("v")
+        counts = rows.select(v).filter("v is not null")
+        lo = hi = None
+        below, n = 0, None
+        while True:
+            inside = counts if lo is None else counts.filter((F.col("v") >= lo) & (F.col("v") <= hi))
+            if n is None:
+                n = inside.count()
+                if not n:
+                    found[c] = None
+                    break
+            low, high = (n + 1) // 2, n // 2 + 1  # places of the two middle values, from 1
+            size, distinct = inside.agg(F.count("*"), F.approx_count_distinct("v")).first()
+            if distinct <= most:
+                ordered = inside.groupBy("v").count().withColumn("upto", below + F.sum("count").over(Window.orderBy("v")))  # at most about `most` rows
+                holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("count") < k)  # noqa: B023, E731
+                a, b = ordered.filter(holds(low) | holds(high)).agg(F.min("v"), F.max("v")).first()
+                found[c] = (a + b) / 2
+                break
+            around = [max(0.0, (low - below) / size - 2 / accuracy), min(1.0, (high - below) / size + 2 / accuracy)]
+            lo, hi = inside.agg(F.percentile_approx("v", around, accuracy)).first()[0]
+            below += inside.filter(F.col("v") < lo).count()
+    return rows.sparkSession.createDataFrame([tuple(found[c] for c in columns)], ", ".join(f"`median_{c}` double" for c in columns))
+
+
 def medians(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Exact medians of columns of doubles, null if there are no values: by, median_<column>.
 
-    Values are counted first, in parallel, so that only distinct ones are put in order, by a
-    sort that can spill; no buffer holds a group.
+    Of groups, values are counted first, in parallel, so that only distinct ones are put in
+    order, by a sort that can spill; no buffer holds a group. All rows together: see selected().
     """
-    by = by or []
+    if not by:
+        return selected(rows, columns)
     named = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")
     counts = rows.select(*by, named).filter("s.v is not null").groupBy(*by, F.col("s.name").alias("name"), F.col("s.v").alias("v")).count()
     group = Window.partitionBy(*by, "name")

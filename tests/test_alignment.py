@@ -1,3 +1,5 @@
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,13 @@ def test_f1_of_pairs(spark):
     mapped = spark.createDataFrame([(0.1, 0.0, *row(1, "a")), (0.1, 0.0, *row(2, "b", st=4000, en=4100)), (0.1, 0.0, *row(3, "c", False)), (0.2, 0.0, *row(1, "a")), (0.2, 0.0, *row(2, "b"))], f"p_stay double, p_skip double, {COLS}")
     got = {r["p_stay"]: (r["n"], r["precision"], r["recall"], r["f1"]) for r in tuning.f1_scores(mapped, truth).collect()}
     assert got == {0.1: (3, 0.5, 0.5, 0.5), 0.2: (2, 1.0, 1.0, 1.0)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 999, 1000])
+def test_medians_of_all_rows_by_narrowing(spark, n):
+    """Few values may be sorted and the sketch is coarse, so several rounds are needed; ties, infinities and nulls are among the values."""
+    x = F.when(F.col("id") % 50 == 7, None).when(F.col("id") % 101 == 3, float("inf")).when(F.col("id") % 5 == 0, 12.5).otherwise(F.pow(F.pmod(F.xxhash64("id"), F.lit(997)), F.lit(3.0)) - 4e8)
+    rows = spark.range(1, n + 1).select(x.alias("x"), F.lit(None).cast("double").alias("y"), F.col("id").alias("z")).repartition(3)
+    got = alignment.selected(rows, ["x", "y", "z"], accuracy=50, most=8).first()
+    values = [r["x"] for r in rows.collect() if r["x"] is not None]
+    assert got["median_x"] == statistics.median(values) and got["median_y"] is None and got["median_z"] == (n + 1) / 2

@@ -15,6 +15,37 @@ def _intervals(df: DataFrame, factor: float) -> DataFrame:
     return df.withColumns({"low": low, "high": high})
 
 
+def united(intervals: DataFrame, by: list[str], low: str, high: str) -> DataFrame:
+    """Closed intervals of each group joined where they meet: by, low, high, apart from each other and ascending.
+
+    A sweep: in the order of low, an interval begins a new one where all before it end
+    below it; what it begins takes the largest end of those that follow.
+    """
+    group = Window.partitionBy(*by).orderBy(low, high)
+    ends = F.max(high).over(group.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(ends.isNull() | (ends < F.col(low)), 1).otherwise(0)
+    numbered = intervals.filter(F.col(low) <= F.col(high)).withColumn("_new", begins).withColumn("_no", F.sum("_new").over(group.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "_no").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_no")
+
+
+def overlapping(query: DataFrame, truth: DataFrame, by: list[str], low: str = "low", high: str = "high") -> DataFrame:
+    """The query rows whose closed interval meets one of the truth's with the same key, each once; rows with a null key or an empty interval meet none.
+
+    Truth intervals are united first, so that of those which begin before a query interval
+    ends only the last can meet it. Both sides lie in one sequence by place (a truth's
+    low, a query's high; truth first where equal), and a running maximum carries the last
+    truth's end: one sort of both sides, however many rows a key has.
+    """
+    for c in by:
+        query, truth = query.filter(F.col(c).isNotNull()), truth.filter(F.col(c).isNotNull())
+    t = united(truth.select(*by, low, high), by, low, high)
+    row = F.struct(*query.columns)
+    both = query.filter(F.col(low) <= F.col(high)).select(*by, F.col(high).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(dict(t.dtypes)[high]).alias("_end"), row.alias("_row"))
+    both = both.unionByName(t.select(*by, F.col(low).alias("_at"), F.lit(0).alias("_side"), F.col(high).alias("_end")), allowMissingColumns=True)
+    last = F.max("_end").over(Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_end", last).filter((F.col("_side") == 1) & (F.col("_end") >= F.col(f"_row.{low}"))).select("_row.*")
+
+
 def labelled(query: DataFrame, truth: DataFrame, factor: float = 1.5) -> DataFrame:
     """query rows with a label: how a mapping compares with the truth rows of the same read.
 
@@ -23,14 +54,13 @@ def labelled(query: DataFrame, truth: DataFrame, factor: float = 1.5) -> DataFra
     fp. Unmapped: fn if the first truth row is mapped, else tn. Both sides have row_id,
     which orders truth rows and tells query rows of one name apart.
 
-    The truth's first rows are one partial aggregate; overlaps are an equi join on read
-    and reference with the overlap as a residual, reduced to one row per query row.
+    The truth's first rows are one partial aggregate; whether any overlaps is found by a
+    sweep over both sides (see overlapping()), not by pairs.
     """
     first = truth.groupBy("qr_name").agg(F.min_by("is_mapped", "row_id").alias("truth_mapped"))
-    t = _intervals(truth.filter("is_mapped"), factor).select("qr_name", "rf_name", F.col("low").alias("t_low"), F.col("high").alias("t_high"))
+    t = _intervals(truth.filter("is_mapped"), factor).select("qr_name", "rf_name", "low", "high")
     q = _intervals(query.filter("is_mapped"), factor).select("row_id", "qr_name", "rf_name", "low", "high")
-    met = F.greatest("low", "t_low") <= F.least("high", "t_high")
-    hits = q.join(t, ["qr_name", "rf_name"]).filter(met).select("row_id").distinct().withColumn("hit", F.lit(True))
+    hits = overlapping(q, t, ["qr_name", "rf_name"]).select("row_id").distinct().withColumn("hit", F.lit(True))
     known, hit = F.coalesce("truth_mapped", F.lit(False)), F.coalesce("hit", F.lit(False))
     label = F.when(~F.col("is_mapped"), F.when(known, "fn").otherwise("tn")).when(~known, "na").when(hit, "tp").otherwise("fp")
     return query.join(first, "qr_name", "left").join(hits, "row_id", "left").withColumn("label", label).drop("truth_mapped", "hit").select(*query.columns, "label")

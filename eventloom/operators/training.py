@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.arrays import alike, arrays, known, lists
 from eventloom.operators.model import Model
+from eventloom.sources.shared import unused_path
 
 LEAST_VARIANCE = 1e-6
 #: Fixed value: the step of the seeding draws.
 GOLDEN = 0.6180339887498949
 #: Values (places x chunks x states) that forward-backward holds at once.
 CELLS = 2_000_000
+#: Where at most one in so many transitions is left, a step goes through those alone.
+SPARSE = 16
 #: Numbers of all tasks together that the driver adds up itself.
 GATHERED = 1_000_000
 
@@ -87,15 +90,64 @@ def _mixture_sums(rows: DataFrame, means: np.ndarray, variances: np.ndarray, wei
 Statistics = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]
 
 
-def expected(xs: list[np.ndarray], means: np.ndarray, variances: np.ndarray, trans: np.ndarray) -> Statistics:
+class Moves:
+    """Sums over transitions. Where few are left, only those are gone through; else the whole matrix is."""
+
+    def __init__(self, trans: np.ndarray):
+        self.trans, n = trans, len(trans)
+        self.p, self.s = np.nonzero(trans)
+        self.sparse = SPARSE * len(self.p) <= n * n
+        if self.sparse:
+            self.v = trans[self.p, self.s]
+            self.into = np.argsort(self.s, kind="stable")  # edges by target; they come by source
+            self.sources, self.source_at = np.unique(self.p, return_index=True)
+            self.targets, self.target_at = np.unique(self.s[self.into], return_index=True)
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        """x @ trans."""
+        if not self.sparse:
+            return x @ self.trans
+        out = np.zeros_like(x)
+        if len(self.p):
+            out[:, self.targets] = np.add.reduceat(x[:, self.p[self.into]] * self.v[self.into], self.target_at, axis=1)
+        return out
+
+    def backward(self, x: np.ndarray) -> np.ndarray:
+        """x @ trans.T."""
+        if not self.sparse:
+            return x @ self.trans.T
+        out = np.zeros_like(x)
+        if len(self.p):
+            out[:, self.sources] = np.add.reduceat(x[:, self.s] * self.v, self.source_at, axis=1)
+        return out
+
+    def met(self, f: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """How much of f goes to a by each transition that there is."""
+        return np.einsum("ke,ke->e", f[:, self.p], a[:, self.s]) if self.sparse else f.T @ a
+
+    def counts(self, total: np.ndarray | float) -> np.ndarray:
+        """Sums of met() as a matrix of expected transitions."""
+        if not self.sparse:
+            return total * self.trans
+        out = np.zeros_like(self.trans)
+        out[self.p, self.s] = total * self.v
+        return out
+
+
+def expected(xs: list[np.ndarray], means: np.ndarray, variances: np.ndarray, trans: np.ndarray, cells: int | None = None) -> Statistics:
     """Scaled forward-backward over chunks, each with a uniform start; chunks of like length go step by step together.
 
     Returns the sums over chunks of expected transition counts, state masses, state sums of
     x, state sums of squared distances from the means, and the log likelihood.
+
+    Of a group with more than `cells` values (places x chunks x states), only the forward
+    values in front of each stretch of places are kept, a square root of them; going back,
+    each stretch is made anew. So a chunk of any length takes its own size and two
+    stretches. Steps cost what transitions there are (see Moves).
     """
-    n = len(means)
-    pairs, mass, first, second, log = np.zeros((n, n)), np.zeros(n), np.zeros(n), np.zeros(n), 0.0
-    for group in alike([len(x) for x in xs], CELLS // n):
+    n, moves, cells = len(means), Moves(trans), cells or CELLS
+    pairs, mass, first, second, log = 0.0, np.zeros(n), np.zeros(n), np.zeros(n), 0.0
+    for group in alike([len(x) for x in xs], max(cells // n, 1)):
         lengths = np.array([len(xs[k]) for k in group])
         most, rows = int(lengths.max(initial=0)), len(group)
         if not most:
@@ -103,31 +155,53 @@ def expected(xs: list[np.ndarray], means: np.ndarray, variances: np.ndarray, tra
         x = np.zeros((most, rows))
         for k, g in enumerate(group):
             x[: lengths[k], k] = xs[g]
-        live = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(most)]  # chunks that have a place t: the longest come first
-        emit = -0.5 * ((x[:, :, None] - means) ** 2 / variances + np.log(2 * np.pi * variances))
-        top = emit.max(axis=2)  # taken out, so that values far from all means don't vanish
-        emit = np.exp(emit - top[:, :, None])
-        forward, scale = np.zeros((most, rows, n)), np.ones((most, rows))
-        now = np.full((rows, n), 1 / n)
-        for t in range(most):
-            m = live[t]
-            now = (now[:m] if t == 0 else now[:m] @ trans) * emit[t, :m]
-            scale[t, :m] = np.maximum(now.sum(axis=1), 1e-300)
-            now = now / scale[t, :m, None]
-            forward[t, :m] = now
-        gamma = forward.copy()  # right for each chunk's last place
-        behind = np.ones((rows, n))
-        for t in range(most - 2, -1, -1):
-            m = live[t + 1]
-            ahead = emit[t + 1, :m] * behind[:m] / scale[t + 1, :m, None]
-            pairs += (forward[t, :m].T @ ahead) * trans
-            behind[:m] = ahead @ trans.T
-            gamma[t, :m] = forward[t, :m] * behind[:m]
-        mass += gamma.sum(axis=(0, 1))
-        first += np.einsum("tks,tk->s", gamma, x)
-        second += (gamma * (x[:, :, None] - means) ** 2).sum(axis=(0, 1))
-        log += float(np.log(scale).sum() + sum(top[t, :m].sum() for t, m in enumerate(live)))
-    return pairs, mass, first, second, log
+        live = np.searchsorted(-lengths, -np.arange(most), side="left")  # chunks that have a place t: the longest come first
+        stretch = most if most * rows * n <= cells else int(np.ceil(np.sqrt(most)))
+
+        def emitted(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            """Emissions of a stretch over the largest of each place, and that one's logarithm: values far from all means don't vanish."""
+            emit = -0.5 * ((x[a:b, :, None] - means) ** 2 / variances + np.log(2 * np.pi * variances))  # noqa: B023
+            top = emit.max(axis=2)
+            return np.exp(emit - top[:, :, None]), top
+
+        def walked(a: int, b: int, now: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Forward values of a stretch, from those of the place before it, and their scales."""
+            out, scale = np.zeros((b - a, rows, n)), np.ones((b - a, rows))  # noqa: B023
+            for t in range(a, b):
+                m = live[t]  # noqa: B023
+                now = (now[:m] if t == 0 else moves.forward(now[:m])) * emit[t - a, :m]
+                scale[t - a, :m] = np.maximum(now.sum(axis=1), 1e-300)
+                now = now / scale[t - a, :m, None]
+                out[t - a, :m] = now
+            return out, scale
+
+        starts = range(0, most, stretch)
+        before = {0: np.full((rows, n), 1 / n)}  # the values in front of each stretch
+        for a in starts:
+            b = min(a + stretch, most)
+            emit, top = emitted(a, b)
+            forward, scale = walked(a, b, before[a], emit)
+            log += float(np.log(scale).sum() + sum(top[t - a, : live[t]].sum() for t in range(a, b)))
+            before[b] = forward[-1].copy()
+        behind, ahead_emit, ahead_scale = np.ones((rows, n)), None, None
+        for a in reversed(starts):
+            b = min(a + stretch, most)
+            if len(starts) > 1:  # with one stretch its values are still there
+                emit, _ = emitted(a, b)
+                forward, scale = walked(a, b, before[a], emit)
+            gamma = forward.copy()  # right for each chunk's last place
+            for t in range(min(b, most - 1) - 1, a - 1, -1):
+                m = live[t + 1]
+                e, c = (emit[t + 1 - a, :m], scale[t + 1 - a, :m]) if t + 1 < b else (ahead_emit[:m], ahead_scale[:m])
+                ahead = e * behind[:m] / c[:, None]
+                pairs = pairs + moves.met(forward[t - a, :m], ahead)
+                behind[:m] = moves.backward(ahead)
+                gamma[t - a, :m] = forward[t - a, :m] * behind[:m]
+            mass += gamma.sum(axis=(0, 1))
+            first += np.einsum("tks,tk->s", gamma, x[a:b])
+            second += (gamma * (x[a:b, :, None] - means) ** 2).sum(axis=(0, 1))
+            ahead_emit, ahead_scale = emit[0].copy(), scale[0].copy()
+    return moves.counts(pairs), mass, first, second, log
 
 
 def _statistics(chunks: DataFrame, n_tasks: int, means: np.ndarray, variances: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -177,7 +251,9 @@ def trained(chunks: DataFrame, means: np.ndarray, variances: np.ndarray, trans:
         if n < 2:
             raise ValueError("two states are needed where none may follow itself")
         trans = (1 - np.eye(n)) / (n - 1)
-    chunks = chunks.select("xs").persist()
+    path = unused_path(chunks.sparkSession, "chunks")
+    chunks.select("xs").write.parquet(path)  # a lost executor's chunks are read again, not made again
+    chunks = chunks.sparkSession.read.schema("xs array<double>").parquet(path).persist()
     log, k = [], n * n
     try:
         n_tasks = chunks.rdd.getNumPartitions()

@@ -79,3 +79,27 @@ def test_medians_of_all_rows_by_narrowing(spark, n):
     got = alignment.selected(rows, ["x", "y", "z"], accuracy=50, most=8).first()
     values = [r["x"] for r in rows.collect() if r["x"] is not None]
     assert got["median_x"] == statistics.median(values) and got["median_y"] is None and got["median_z"] == (n + 1) / 2
+
+
+def test_overlaps_by_sweep(spark):
+    """Against pairs: many intervals of one key, ends that touch, empty ones, null keys and repeated rows."""
+    import random
+
+    rng = random.Random(4)
+    some = lambda n, step: [(k, rng.choice(["a", "a", "a", "b", None]), lo := rng.randrange(0, 4000), lo + rng.randrange(-3, step)) for k in range(n)]
+    q, t = some(300, 9), some(200, 25)
+    q += q[:5]
+    columns = "row_id long, k string, low long, high long"
+    got = alignment.overlapping(spark.createDataFrame(q, columns), spark.createDataFrame(t, columns), ["k"])
+    want = [a for a in q if any(a[1] is not None and a[1] == b[1] and max(a[2], b[2]) <= min(a[3], b[3]) and a[2] <= a[3] and b[2] <= b[3] for b in t)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < 300
+    apart = [tuple(r) for r in alignment.united(spark.createDataFrame(t, columns).filter("k = 'a'"), ["k"], "low", "high").orderBy("low").collect()]
+    assert all(a[2] < b[1] for a, b in zip(apart, apart[1:]))
+    assert alignment.overlapping(spark.createDataFrame([], columns), spark.createDataFrame(t, columns), ["k"]).isEmpty()
+
+
+def test_a_read_with_very_many_rows(spark):
+    """A hundred thousand rows on both sides of one read and reference: no pairs are made."""
+    at = spark.range(100_000).select(F.col("id").alias("row_id"), F.lit("r").alias("k"), (F.col("id") * 10).alias("low"), (F.col("id") * 10 + 9_000).alias("high"))
+    far = at.select("row_id", "k", (F.col("low") + 900_000).alias("low"), (F.col("low") + 900_001).alias("high"))
+    assert alignment.overlapping(far, at, ["k"]).count() == sum(k * 10 + 900_000 <= 99_999 * 10 + 9_000 for k in range(100_000))

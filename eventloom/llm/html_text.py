@@ -32,24 +32,40 @@ ARRAY_TOKENS = 20_000
 BANDS, BAND_ROWS = 8, 8
 
 #: What tags and class or id words say about an element.
-HIDDEN = frozenset("script style noscript template head iframe object svg canvas".split())
+HIDDEN = frozenset("script style noscript template head title iframe object svg canvas datalist".split())
+HEAD_PARTS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 ASIDE = frozenset("nav footer aside form button select textarea dialog menu".split())
 MAIN = frozenset("article main".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SIDE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo recommended related remark reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-ALWAYS_SIDE = frozenset("ad ads advert advertisement adverts comment comments disqus related remark reply replies respond share sharing".split())
+#: Elements whose end tag may be left out: those that one's start ends, and the elements that it doesn't reach out of.
+ENDED_BY = {
+    **dict.fromkeys(["li"], (("li",), ("ul", "ol", "menu"))),
+    **dict.fromkeys(["dt", "dd"], (("dt", "dd"), ("dl",))),
+    **dict.fromkeys(["td", "th"], (("td", "th"), ("table",))),
+    **dict.fromkeys(["tr"], (("td", "th", "tr"), ("table",))),
+    **dict.fromkeys(["thead", "tbody", "tfoot"], (("td", "th", "tr", "thead", "tbody", "tfoot"), ("table",))),
+    **dict.fromkeys(["option", "optgroup"], (("option",), ("select", "datalist"))),
+}
+P_SCOPE = ("button", "caption", "object", "select", "table", "td", "th")
+#: Class and id words of what isn't text, whatever stands beside them; of what isn't unless a wrapper's word does; of readers' words inside an article.
+ALWAYS_SIDE = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus newsletter popup promo related remark reply replies respond share sharing signup social sponsor sponsored subscribe teaser teasers".split())
+SIDE_WORDS = ALWAYS_SIDE | frozenset("footer login masthead menu modal nav navbar navigation notice notices pagination recommended sidebar toolbar widget".split())
+READER_WORDS, READERS = frozenset("feedback review reviews testimonial testimonials".split()), frozenset("customer customers reader readers user users visitor visitors".split())
 FLAG_WORDS = frozenset("has no with without".split())
 WRAPPER_WORDS = frozenset("article body container content has layout main no page post story text with without wrap wrapper".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 PLACES = np.frombuffer(b"".join(hashlib.blake2b(b"%d" % k, digest_size=16).digest() for k in range(MIN_RUN)), np.uint64).reshape(MIN_RUN, 2) | np.uint64(1)
+UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 OUT, IN, OPEN = 0, 1, 2  # what structure says of a block: not text, text, undecided
 
 
 class _Blocks(HTMLParser):
     """Collects a page's blocks as (text, verdict); white space within a block is one space.
 
-    A tag costs a fixed number of steps, however many elements are open.
+    A piece of text is judged where it stands, so a button or an advert inside a paragraph
+    leaves the rest of it alone; such pieces make a block of their own. End tags that HTML
+    lets out are implied. A tag costs a fixed number of steps, however many elements are open.
     """
 
     def __init__(self):
@@ -57,17 +73,24 @@ class _Blocks(HTMLParser):
         self.blocks: list[tuple[str, int]] = []
         self.open: list[tuple[str, int | None]] = []  # tag, and the verdict on text inside
         self.depth: Counter[str] = Counter()  # open elements by tag
-        self.text: list[str] = []
+        self.scopes: dict[str, list[int]] = {}  # for open elements that may be ended by others: how many scopes were open when they began
+        self.text: list[tuple[str, int | None]] = []
         self.seen_main = False
 
     def verdict(self) -> int | None:
         """Hidden (None), OUT, IN or OPEN for text at this place."""
         return self.open[-1][1] if self.open else OPEN
 
+    def scope(self, tag: str) -> int:
+        """How many elements are open that an element of this kind doesn't reach out of."""
+        return sum(self.depth[t] for t in (P_SCOPE if tag == "p" else ENDED_BY[tag][1]))
+
     def push(self, tag: str, says: int | None) -> None:
         """Open an element; what is hidden or out stays so inside, and what is in unless it says otherwise."""
         around = self.verdict()
         inside = None if None in (around, says) else OUT if OUT in (around, says) else IN if IN in (around, says) else OPEN
+        if tag == "p" or tag in ENDED_BY:
+            self.scopes.setdefault(tag, []).append(self.scope(tag))
         self.open.append((tag, inside))
         self.depth[tag] += 1
         self.seen_main |= inside == IN
@@ -75,26 +98,33 @@ class _Blocks(HTMLParser):
     def pop(self) -> str:
         tag, _ = self.open.pop()
         self.depth[tag] -= 1
+        if tag in self.scopes:
+            self.scopes[tag].pop()
         return tag
 
     def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
+        """End a block: what is text or undecided, and what is not, which stays apart."""
+        for out in (False, True):
+            some = [(t, v) for t, v in self.text if (v == OUT) == out]
+            text = " ".join("".join(t for t, _ in some).split())
+            if text:
+                self.blocks.append((text, OUT if out else IN if any(v == IN and t.strip() for t, v in some) else OPEN))
         self.text = []
-        if text:
-            self.blocks.append((text, self.verdict()))
 
     def says(self, tag: str, attrs: list[tuple[str, str | None]]) -> int | None:
-        if tag in HIDDEN:
+        named = dict(attrs)
+        if tag in HIDDEN or UNSEEN.search(named.get("style") or ""):
             return None
         if tag in ASIDE:
             return OUT
-        named = dict(attrs)
         role = (named.get("role") or "").lower()
         names = [re.split(r"[^a-z0-9]+", name) for name in f"{named.get('class') or ''} {named.get('id') or ''}".lower().split()]
         words = {w for name in names for w in name}
         # what follows a flag, as in has-comments, is said of the element's surroundings or parts
         own = {w for name in names for k, w in enumerate(name) if not FLAG_WORDS & set(name[:k])}
         side = bool(own & ALWAYS_SIDE) or bool(words & SIDE_WORDS) and not words & WRAPPER_WORDS
+        # an article may be a review; inside another one, or by a reader, it is a comment
+        side |= bool(own & READER_WORDS) and bool(self.depth["article"] or own & READERS)
         if tag not in ("html", "body") and (side or role in ROLES or "hidden" in named):
             return OUT
         if tag in MAIN or role in ("main", "article"):
@@ -102,30 +132,39 @@ class _Blocks(HTMLParser):
         return OUT if tag == "header" and self.verdict() != IN else OPEN
 
     def handle_starttag(self, tag, attrs):
-        if tag == "br":
-            self.text.append(" ")
+        if self.open and self.open[-1][0] == "head" and tag not in HEAD_PARTS:
+            self.close_to("head")
+        if tag in ("br", "option", "optgroup"):
+            self.text.append((" ", self.verdict()))
         if tag in BLOCKS:
             self.flush()
-            if self.open and self.open[-1][0] == tag and tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
-                self.pop()
-            elif tag not in ("html", "body"):
-                self.close_to("p")
+            if tag not in ("html", "body"):
+                self.end("p")
+        for other in ENDED_BY[tag][0] if tag in ENDED_BY else ():
+            self.end(other)
         if tag not in VOID:
             self.push(tag, self.says(tag, attrs))
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS:
+        if tag in BLOCKS and (self.depth[tag] or tag == "p"):  # one that ends nothing is left out
             self.flush()
         self.close_to(tag)
 
+    def end(self, tag: str) -> None:
+        """Close an open element of a kind unless it lies outside of the scope."""
+        if self.depth[tag] and self.scopes[tag][-1] == self.scope(tag):
+            self.close_to(tag)
+
     def close_to(self, tag: str) -> None:
         if self.depth[tag]:
             while self.pop() != tag:
                 pass
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.close_to("head")
         if self.verdict() is not None:
-            self.text.append(data)
+            self.text.append((data, self.verdict()))
 
 
 def page_blocks(html: str) -> list[tuple[str, int]]:

@@ -29,6 +29,78 @@ def test_side_words():
     assert all(kept(x) == ["Text", "Other"] for x in ("has-sidebar", "with-nav", "navbar container", "content has-comments", "post-with-ads", "page no-share", "lead"))
 
 
+def main_text(html):
+    return [t for t, says in html_text.page_blocks(html) if says == html_text.IN]
+
+
+@pytest.mark.parametrize(
+    "html, kept",
+    [
+        ("<!doctype html><html><head><title>T</title><body><article><p>Hello main text</p></article>", ["Hello main text"]),
+        ("<title>T</title><meta charset=x><article>a</article>", ["a"]),
+        ("<head><style>x</style>text<main>a", ["a"]),
+        ("<article><p>x <select><option>one<option>two</select> y</p></article>", ["x y"]),
+        ("<main><p>x <button>Share</button> y <a class='ad'>Buy now</a> z</p></main>", ["x y z"]),
+        ("<main><p>x <button><p>Share</p></button>y", ["x", "y"]),
+        ("<article>a<p>b<p>c<ul><li>d<li>e <b>f<li>g</ul><dl><dt>h<dd>i <i>j<dt>k</dl></article>", ["a", "b", "c", "d", "e f", "g", "h", "i j", "k"]),
+        ("<article><table><thead><tr><th>a<th>b<tbody><tr><td>c<td>d <table><tr><td>e</table> f<tr><td>g</table>h", ["a", "b", "c", "d", "e", "f", "g", "h"]),
+        ("<main>a<div class='cookie-banner-content'>b</div><div class='newsletter-box-content'>c</div><div class='page-notice'>d</div></main>", ["a", "d"]),
+        ("<main><p>a<p style='color:red; display: none'>b<p style='display:block'>c<p hidden>d</main>", ["a", "c"]),
+        ("<article class='review'><p>a</p><article class='review'>b</article></article><article class='user-feedback'>c</article>", ["a"]),
+        ("<article>a</article><article class='teaser'>b</article><article>c</article>", ["a", "c"]),
+        ("<article><p>a</b></i></div> b</article>c", ["a b"]),
+        ("<article><p>a<div><p>b</div>c<textarea>d</textarea></article>", ["a", "b", "c"]),
+    ],
+)
+def test_valid_pages_with_tags_left_out(html, kept):
+    assert main_text(html) == kept
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_generated_pages(rng):
+    """Trees of elements, written with end tags left out where HTML lets them: what is kept follows from the tree alone."""
+    count = iter(range(10_000))
+
+    def inline(kept):
+        """Pieces of a line: (html, kept words)."""
+        html, words = "", []
+        for _ in range(rng.randrange(1, 5)):
+            word, kind = f"w{next(count)}", rng.randrange(7)
+            html += {0: f" <b>{word}</b> ", 1: f" <button>{word}</button> ", 2: f" <select><option>{word}<option>{word}</select> ", 3: f' <a class="ad">{word}</a> ', 4: f' <span style="display:none">{word}</span> '}.get(kind, f" {word} ")
+            words += [word] if kept and kind not in (1, 2, 3, 4) else []
+        return html, [" ".join(words)] if words else []
+
+    def block(kept, depth):
+        kind = rng.choice(["p", "li", "div", "aside", "ad", "table", "form", "dl"] if depth < 3 else ["p"])
+        if kind == "p":
+            html, words = inline(kept)
+            return f"<p>{html}{rng.choice(['</p>', ''])}", words
+        if kind in ("div", "aside", "ad", "form"):
+            html, words = blocks(kept and kind == "div", depth + 1)
+            name = {"ad": "div"}.get(kind, kind)
+            return f"<{name}{' class=top-ad' if kind == 'ad' else ''}>{html}</{name}>", words
+        outer, inner = {"li": (("<ul>", "</ul>"), ["li"]), "table": (("<table>", "</table>"), ["tr", "td"]), "dl": (("<dl>", "</dl>"), ["dt", "dd"])}[kind]
+        html, words = "", []
+        for k in range(rng.randrange(1, 4)):
+            a, w = blocks(kept, depth + 1) if rng.random() < 0.5 else inline(kept)
+            words += w
+            tags = inner if kind == "table" else [inner[k % len(inner)]]
+            html += "".join(f"<{t}>" for t in tags) + a + (rng.choice(["", "".join(f"</{t}>" for t in reversed(tags))]))
+        return outer[0] + html + outer[1], words
+
+    def blocks(kept, depth):
+        some = [block(kept, depth) for _ in range(rng.randrange(1, 4))]
+        return "".join(h for h, _ in some), [w for _, ws in some for w in ws]
+
+    body, words = blocks(True, 0)
+    side, _ = blocks(False, 1)
+    head = rng.choice(["", "<title>t</title>", "<head><title>t</title>", "<html><head><meta charset=x><title>t</title></head>"]) + rng.choice(["", "<body>"])
+    tag = rng.choice(["article", "main"])
+    html = f"<!doctype html>{head}<nav>{side}</nav><{tag}>{body}</{tag}><footer>x{rng.choice(['</footer>', ''])}"
+    assert main_text(html) == words
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=30), max_size=5))
 def test_repeats(pages):

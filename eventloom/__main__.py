@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,13 @@ from eventloom.sources import signals, sinks, text
 
 def correct(spark: SparkSession, a: argparse.Namespace) -> None:
     model = text.read_model(spark, a.model)
-    out = correction.correct_events(text.read_events(spark, a.events), model, a.p_stay, a.p_skip, a.window_size, not a.no_stay_removal, not a.no_noise_removal)
-    sinks.write_lines(sinks.corrected_lines(out.filter("events is not null")), a.output)
+    out = correction.correct_events(text.read_events(spark, a.events), model, a.p_stay, a.p_skip, a.window_size, not a.no_stay_removal, not a.no_noise_removal, timed=True)
+    out, seen = sinks.counted(out)
+    start = time.time()
+    sinks.write_lines(sinks.corrected_lines(out), a.output)
+    got = seen.get
+    print(f"reads {got['n_reads']}, written {got['n_written']}, not decoded {got['n_skipped']}")
+    print(f"wall time {time.time() - start:.3f} s, {got['ms'] / max(got['n_reads'], 1):.3f} ms a read")
 
 
 def segment(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -58,8 +64,8 @@ def tune(spark: SparkSession, a: argparse.Namespace) -> None:
         return z.groupBy("p_stay", "p_skip").agg(F.avg(near).alias("score"))
 
     found = tuning.best(tuning.grid_scores(reads, model, nearness), "score").first()
-    score = lambda p_stay, p_skip: (nearness(correct_grid(reads, model, [(p_stay, p_skip)])).first() or {"score": float("-inf")})["score"]
-    best, top, tried = tuning.climbed(score, (found["p_stay"], found["p_skip"]) if found else (0.0, 0.0))
+    scores = lambda pairs: tuning.scores_of(nearness(correct_grid(reads, model, pairs)), "score", pairs)
+    best, top, tried = tuning.climbed(lambda *pair: scores([pair])[pair], (found["p_stay"], found["p_skip"]) if found else (0.0, 0.0), ahead=scores)
     print(f"p_stay {best[0]} p_skip {best[1]} score {top:.6f} after {tried} pairs")
 
 

@@ -569,15 +569,14 @@ def best_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def climbed_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hill climbing from the grid's best pair; each pair that it tries is one job over all reads."""
+    """Hill climbing from the grid's best pair; a round's neighbours are decoded together in one job over all reads."""
     reads = user_reads(spark, sf_dir).persist()
 
-    def score(p_stay: float, p_skip: float) -> float:
-        row = _agreement(decode.correct_grid(reads, MODEL, [(p_stay, p_skip)])).first()
-        return row["score"] if row else float("-inf")
+    def scores(pairs: list[tuple[float, float]]) -> dict[tuple[float, float], float]:
+        return tuning.scores_of(_agreement(decode.correct_grid(reads, MODEL, pairs)), "score", pairs)
 
     start = tuning.best(tuning.grid_scores(reads, MODEL, _agreement), "score").first()
-    (p_stay, p_skip), top, tried = tuning.climbed(score, (start["p_stay"], start["p_skip"]) if start else (0.0, 0.0))
+    (p_stay, p_skip), top, tried = tuning.climbed(lambda *pair: scores([pair])[pair], (start["p_stay"], start["p_skip"]) if start else (0.0, 0.0), ahead=scores)
     reads.unpersist()
     return spark.createDataFrame([(p_stay, p_skip, top, tried)], "p_stay double, p_skip double, score double, n_tried int")
 
@@ -901,6 +900,15 @@ def segmentation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(seen.get[c] for c in ("n_reads", "n_written", "n_skipped"))], "n_reads long, n_written long, n_skipped long")
 
 
+@query(f"{DECODED} SELECT count(DISTINCT z.read_id) AS n_reads, count(DISTINCT path.read_id) AS n_written, count(DISTINCT z.read_id) - count(DISTINCT path.read_id) AS n_skipped, true AS is_timed FROM z LEFT JOIN path USING (read_id) WHERE z.x IS NOT NULL")
+def correction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a correction run counts as it writes: reads, those that could be decoded, those that couldn't, and whether the tasks' time is known."""
+    out, seen = sinks.counted(correction.correct_events(user_reads(spark, sf_dir), MODEL, P_STAY, P_SKIP, WIDTH, timed=True), "correction")
+    out.write.format("noop").mode("overwrite").save()
+    got = seen.get
+    return spark.createDataFrame([(*(got[c] for c in ("n_reads", "n_written", "n_skipped")), got["ms"] > 0)], "n_reads long, n_written long, n_skipped long, is_timed boolean")
+
+
 @query(f"SELECT read_id, count(*) AS n_events, round(sum(event), 4) + 0.0 AS total FROM ({_segments_sql(*WAYS['v2'], digits=15)}) GROUP BY read_id")
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The array functions by their SQL names."""

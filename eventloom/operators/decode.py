@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,18 +177,23 @@ def correct_grid(reads: DataFrame, model: Model, pairs: list[tuple[float, float]
     return rows.mapInArrow(run, f"p_stay double, p_skip double, read_id {rows.dtypes[0][1]}, events array<double>, states array<int>")
 
 
-def correct_reads(reads: DataFrame, model: Model, p_stay: float, p_skip: float, width: int = 20, remove_stays: bool = True, remove_noise: bool = True) -> DataFrame:
-    """Decode and correct reads (read_id, events) in one function: read_id, events, states; null where a read can't be decoded."""
+def correct_reads(reads: DataFrame, model: Model, p_stay: float, p_skip: float, width: int = 20, remove_stays: bool = True, remove_noise: bool = True, timed: bool = False) -> DataFrame:
+    """Decode and correct reads (read_id, events) in one function: read_id, events, states; null where a read can't be decoded. timed adds ms, a read's share of the time that its batch took."""
     one = corrector(model, p_stay, width, remove_stays, remove_noise)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            start = time.perf_counter()
             rows = arrays(batch.column("events"))
             paths = best_paths(model, p_stay, p_skip, [np.zeros(0) if r is None else r for r in rows])
             done = [None if r is None or p is None else one(r, p[0]) for r, p in zip(rows, paths)]
             events = lists([None if d is None else d[0] for d in done], pa.float64())
             states = lists([None if d is None else d[1] for d in done], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("read_id"), events, states], names=["read_id", "events", "states"])
+            columns, names = [batch.column("read_id"), events, states], ["read_id", "events", "states"]
+            if timed:
+                sizes = np.array([0 if r is None else len(r) for r in rows], float)
+                columns, names = [*columns, pa.array((time.perf_counter() - start) * 1000 * sizes / max(sizes.sum(), 1))], [*names, "ms"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = reads.select("read_id", F.col("events").cast("array<double>").alias("events"))
-    return rows.mapInArrow(run, f"read_id {rows.dtypes[0][1]}, events array<double>, states array<int>")
+    return rows.mapInArrow(run, f"read_id {rows.dtypes[0][1]}, events array<double>, states array<int>" + (", ms double" if timed else ""))

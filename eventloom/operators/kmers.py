@@ -16,22 +16,20 @@ LETTERS = 4_000_000
 
 
 def de_bruijn(k: int) -> str:
-    """A shortest text that has every k-mer once: the Eulerian walk that takes the lowest base first."""
-    if k == 1:
-        return BASES
-    size = 4 ** (k - 1)
-    used = bytearray(size)
-    stack, walk = [0], []
-    while stack:
-        node = stack[-1]
-        if used[node] < 4:
-            stack.append((node * 4 + used[node]) % size)
-            used[node] += 1
-        else:
-            walk.append(stack.pop())
-    walk.reverse()
-    first = "".join(BASES[walk[0] >> 2 * i & 3] for i in range(k - 2, -1, -1))
-    return first + "".join(BASES[node & 3] for node in walk[1:])
+    """A shortest text that has every k-mer once, the least one in the order of BASES.
+
+    Going around, it is made of the Lyndon words whose length divides k, in order: of each
+    k-mer that is the least of its rotations, the letters up to where it repeats.
+    """
+    code = np.arange(4**k)
+    least, period = np.ones(len(code), bool), np.full(len(code), k)
+    for j in range(k - 1, 0, -1):
+        turned = (code << 2 * j | code >> 2 * (k - j)) & (4**k - 1)
+        least &= code <= turned
+        period[turned == code] = j
+    letters = code[least, None] >> 2 * np.arange(k - 1, -1, -1) & 3
+    around = np.array(list(BASES))[letters[np.arange(k) < period[least, None]]]
+    return "".join([*around, *around[: k - 1]])
 
 
 def sliding(texts: DataFrame, text: str, k: int) -> DataFrame:

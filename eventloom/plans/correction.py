@@ -18,15 +18,15 @@ def gathered(rows: DataFrame, read: str, order: list[str], value: str) -> DataFr
     return rows.groupBy(F.col(read).alias("read_id")).agg(F.transform(at, lambda s: s["_x"]).alias("signal"))
 
 
-def correct_events(reads: DataFrame, model: Model, p_stay: float, p_skip: float, width: int = 20, remove_stays: bool = True, remove_noise: bool = True, engine: str = "arrow") -> DataFrame:
-    """Decode reads (read_id, events) and correct them: read_id, events, states.
+def correct_events(reads: DataFrame, model: Model, p_stay: float, p_skip: float, width: int = 20, remove_stays: bool = True, remove_noise: bool = True, engine: str = "arrow", timed: bool = False) -> DataFrame:
+    """Decode reads (read_id, events) and correct them: read_id, events, states; timed adds ms a read (with Arrow only).
 
     engine="arrow" decodes and corrects in one function without a shuffle. engine="sql"
     decodes alike and corrects with windows, one sample a row. Reads that can't be decoded
     have null events.
     """
     if engine == "arrow":
-        return correct_reads(reads, model, p_stay, p_skip, width, remove_stays, remove_noise)
+        return correct_reads(reads, model, p_stay, p_skip, width, remove_stays, remove_noise, timed)
     path = decode_reads(reads, model, p_stay, p_skip).filter("states is not null")
     path = path.select("read_id", F.posexplode(F.arrays_zip("events", "states")).alias("idx", "z")).select("read_id", "idx", F.col("z.events").alias("x"), F.col("z.states").alias("state"))
     collapse = model.collapses(p_stay)

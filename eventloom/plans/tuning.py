@@ -16,6 +16,7 @@ GRID = (0.0, 0.025, 0.05, 0.1, 0.2, 0.3)
 STEPS = (0.02, 0.01, 0.005)
 
 Objective = Callable[[float, float], float]
+Pair = tuple[float, float]
 
 
 def grid_scores(reads: DataFrame, model: Model, score, grid: tuple[float, ...] = GRID, **options) -> DataFrame:
@@ -42,17 +43,26 @@ def best(scores: DataFrame, by: str) -> DataFrame:
     return scores.orderBy(F.col(by).desc_nulls_last(), "p_stay", "p_skip").limit(1)
 
 
-def climbed(objective: Objective, start: tuple[float, float], steps: tuple[float, ...] = STEPS) -> tuple[tuple[float, float], float, int]:
-    """Hill climbing from start: the best pair, its score, and how many pairs were scored.
+def scores_of(scores: DataFrame, by: str, pairs: list[Pair]) -> dict[Pair, float]:
+    """The score of each pair of a few from a table with p_stay, p_skip; minus infinity for one that has none."""
+    found = {(r["p_stay"], r["p_skip"]): r[by] for r in scores.select("p_stay", "p_skip", by).collect()}
+    return {p: float("-inf") if found.get(p) is None else found[p] for p in pairs}
+
+
+def climbed(objective: Objective, start: Pair, steps: tuple[float, ...] = STEPS, ahead: Callable[[list[Pair]], dict[Pair, float]] | None = None) -> tuple[Pair, float, int]:
+    """Hill climbing from start: the best pair, its score, and how many pairs were asked for.
 
     Each round tries a step up and down in either parameter and takes the best strictly
     better pair; it never goes straight back, a parameter that gets better upwards isn't
     tried downwards, and negative values are left out. When no step helps, the next
-    smaller one is tried. Pairs are scored once.
+    smaller one is tried. Pairs are scored once. ahead scores several pairs in one job (as
+    correct_grid() does): then a round's neighbours, four at most, are scored together.
     """
-    known: dict[tuple[float, float], float] = {}
+    known: dict[Pair, float] = {}
+    asked: set[Pair] = set()
 
-    def value(pair: tuple[float, float]) -> float:
+    def value(pair: Pair) -> float:
+        asked.add(pair)
         if pair not in known:
             known[pair] = objective(*pair)
         return known[pair]
@@ -63,9 +73,13 @@ def climbed(objective: Objective, start: tuple[float, float], steps: tuple[float
         came = None  # (parameter, direction) of the last move
         while True:
             found = None
+            moved = {(axis, sign): tuple(round(x + sign * step * (k == axis), 6) for k, x in enumerate(here)) for axis in (0, 1) for sign in (1, -1)}
+            new = [p for (axis, _), p in moved.items() if p not in known and p[axis] >= 0]
+            if ahead and new:
+                known.update(ahead(new))
             for axis in (0, 1):
                 for sign in (1, -1):
-                    pair = tuple(round(x + sign * step * (k == axis), 6) for k, x in enumerate(here))
+                    pair = moved[axis, sign]
                     if came == (axis, -sign) or pair[axis] < 0:
                         continue
                     score = value(pair)
@@ -76,4 +90,4 @@ def climbed(objective: Objective, start: tuple[float, float], steps: tuple[float
             if not found:
                 break
             top, here, came = found
-    return here, top, len(known)
+    return here, top, len(asked)

@@ -31,7 +31,8 @@ def short_number(column: Column) -> Column:
 
 def corrected_lines(reads: DataFrame) -> DataFrame:
     """read_id, events as lines (value) with six significant digits."""
-    return reads.select(F.concat_ws("\t", "read_id", short_number(F.col("events"))).alias("value"))
+    some = reads.filter("events is not null")
+    return some.select(F.concat_ws("\t", "read_id", short_number(F.col("events"))).alias("value"))
 
 
 def annotated_lines(labelled: DataFrame) -> DataFrame:
@@ -55,12 +56,17 @@ def write_model(spark: SparkSession, model: Model, path: str) -> None:
 
 
 def counted(reads: DataFrame, name: str = "reads") -> tuple[DataFrame, object]:
-    """reads, and an Observation that has n_reads, n_written and n_skipped once they have been written."""
+    """reads, and an Observation that has n_reads, n_written and n_skipped once they have been written, and ms (the tasks' time together) where reads have it.
+
+    Tasks count what they hand on, so the writing job is the only one. Counts of a task
+    that runs again because its output got lost may be in the sums twice.
+    """
     from pyspark.sql import Observation
 
     seen = Observation(name)
     some = F.size("events") > 0
-    return reads.observe(seen, F.count("*").alias("n_reads"), F.count_if(some).alias("n_written"), F.count_if(~F.coalesce(some, F.lit(False))).alias("n_skipped")), seen
+    counts = [F.count("*").alias("n_reads"), F.count_if(some).alias("n_written"), F.count_if(~F.coalesce(some, F.lit(False))).alias("n_skipped")]
+    return reads.observe(seen, *counts, *([F.coalesce(F.sum("ms"), F.lit(0.0)).alias("ms")] if "ms" in reads.columns else [])), seen
 
 
 def report(rates: DataFrame) -> Iterator[str]:

@@ -262,6 +262,20 @@ def test_climbing():
     assert tuning.climbed(lambda a, b: -a - b, (0.0, 0.0))[0] == (0.0, 0.0)
 
 
+def test_neighbours_are_scored_together():
+    f = lambda a, b: -((a - 0.1) ** 2) - (b - 0.05) ** 2
+    jobs = []
+
+    def ahead(pairs):
+        jobs.append(pairs)
+        return {p: f(*p) for p in pairs}
+
+    alone = []
+    best = tuning.climbed(f, (0.0, 0.0), ahead=ahead)
+    assert best == tuning.climbed(lambda a, b: alone.append(1) or f(a, b), (0.0, 0.0))
+    assert len(jobs) < len(alone) and all(1 <= len(p) <= 4 and min(map(min, p)) >= 0 for p in jobs)
+
+
 def plain_climb(f, start, steps):
     """The rule move by move, without a memory of scores."""
     here, top = start, f(*start)

@@ -37,7 +37,7 @@ def segment(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
     table = kmers.last_wins(text.read_kmers(spark, a.kmers))
-    means, variances, _ = training.mixture(table, "level", a.states, seed=a.seed)
+    means, variances, _ = training.mixture(table, "level", a.states, seed=a.seed, seeding="oversampled")
     at = F.sort_array(F.collect_list(F.struct("t", "level")))
     chunks = kmers.observations(spark, table, a.k, a.chunks).groupBy("chunk").agg(F.transform(at, lambda s: s["level"]).alias("xs"))
     model, log = training.trained(chunks, means, variances, least=a.least, most=a.most, tol=1e-4 * 4 ** max(a.k - 9, 0))

@@ -692,6 +692,18 @@ def mixture_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, round(float(m), 3), round(float(v), 2), round(float(w), 5)) for i, (m, v, w) in enumerate(zip(means, variances, weights))], "s int, mean double, var double, weight double")
 
 
+@query(
+    f"""WITH vals AS (SELECT o_totalprice AS x, count(*) AS m FROM orders GROUP BY 1),
+    first AS (SELECT x AS x0 FROM vals ORDER BY (abs(x) * {training.GOLDEN * 2!r}::DOUBLE) % 1.0::DOUBLE + 1e-9::DOUBLE DESC, x LIMIT 1)
+    SELECT x FROM vals, first WHERE x <> x0 ORDER BY ln((abs(x) * {training.GOLDEN * 3!r}::DOUBLE) % 1.0::DOUBLE + 1e-9::DOUBLE) / (pow(x - x0, 2) * m) DESC, x LIMIT 256"""
+)
+def seeding_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first round of seeding 128 states with the orders' prices: 256 candidates in one job."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_totalprice").cast("double").alias("x")).agg(F.count("*").alias("m"))
+    first = training.spread_means(rows, 1, seed=1, rounds=0)
+    return spark.createDataFrame([(x,) for x in training.oversampled(rows, first, 256, 1, 2)], "x double")
+
+
 def _expected_sql(tag: str, means: str) -> str:
     """Forward-backward over chunks (obs: c, t, x, n) with the means of a one-row table: gam<tag> has c, t, x, g (state probabilities), f, ahead, scale."""
     n = len(MODEL.means)

@@ -24,14 +24,15 @@ SPARSE = 16
 GATHERED = 1_000_000
 
 
-def mixture(values: DataFrame, column: str, n: int, seed: int = 0, rounds: int = 500, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mixture(values: DataFrame, column: str, n: int, seed: int = 0, rounds: int = 500, tol: float = 1e-6, seeding: str = "drawn") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A mixture of n normals by EM: means, variances and weights, in ascending order of means.
 
     The first means are drawn one by one, far values likelier: a value x has the draw
     u = frac(|x| * GOLDEN * (seed + k)) of the k-th mean, and the one with the largest
     ln(u) / distance ** 2 is taken. The draws and each round are aggregates over the
     values, of which the driver sees n sums; these sums don't depend on the order of
-    values but for rounding. Stops when the log likelihood grows by less than tol
+    values but for rounding. With many components seeding="oversampled" saves a job for each
+    (see spread_means()). Stops when the log likelihood grows by less than tol
     relatively. Nulls are left out; equal values may be repeated.
     """
     x = F.col(column).cast("double")
@@ -41,12 +42,15 @@ def mixture(values: DataFrame, column: str, n: int, seed: int = 0, rounds: int =
         if not total:
             raise ValueError("there are no values to fit")
         spread = rows.agg(F.sum(F.pow(F.col("x") - centre, 2) * F.col("m"))).first()[0] / total
-        draw = lambda k: F.pmod(F.abs("x") * F.lit(GOLDEN * (seed + k)), F.lit(1.0)) + F.lit(1e-9)
-        means = [rows.orderBy(draw(1).desc(), "x").first()["x"]]
-        for k in range(1, n):
-            near = F.least(*[F.pow(F.col("x") - m, 2) for m in means]) if len(means) > 1 else F.pow(F.col("x") - means[0], 2)
-            drawn = rows.filter(near > 0).orderBy((F.ln(draw(k + 1)) / near).desc(), "x").first()
-            means.append(drawn["x"] if drawn else centre + k * 1e-3)
+        if seeding == "oversampled":
+            means = spread_means(rows, n, seed)
+            means += [centre + k * 1e-3 for k in range(len(means), n)]
+        else:
+            means = [rows.orderBy(_draw(seed, 1).desc(), "x").first()["x"]]
+            for k in range(1, n):
+                near = F.least(*[F.pow(F.col("x") - m, 2) for m in means]) if len(means) > 1 else F.pow(F.col("x") - means[0], 2)
+                drawn = rows.filter(near > 0).orderBy((F.ln(_draw(seed, k + 1)) / near).desc(), "x").first()
+                means.append(drawn["x"] if drawn else centre + k * 1e-3)
         means = np.array(sorted(means))
         variances, weights = np.full(n, max(spread / n, 1e-4)), np.full(n, 1 / n)
         before = None
@@ -66,6 +70,61 @@ def mixture(values: DataFrame, column: str, n: int, seed: int = 0, rounds: int =
     return means[order], variances[order], weights[order]
 
 
+def _draw(seed: int, k: int):
+    """A value's draw of turn k, above 0 and up to 1."""
+    return F.pmod(F.abs("x") * F.lit(GOLDEN * (seed + k)), F.lit(1.0)) + F.lit(1e-9)
+
+
+def nearest(rows: DataFrame, means: list[float]) -> DataFrame:
+    """rows (x, m) with the place of the nearest of ascending means (the lower one of two as near) and its squared distance: x, m, place, near."""
+    edges = (np.array(means[1:]) + np.array(means[:-1])) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").to_numpy()
+            place = np.searchsorted(edges, x, side="left")
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("m"), pa.array(place.astype(np.int32)), pa.array((x - np.array(means)[place]) ** 2)], names=["x", "m", "place", "near"])
+
+    return rows.select("x", "m").mapInArrow(run, "x double, m long, place int, near double")
+
+
+def oversampled(rows: DataFrame, means: list[float], size: int, seed: int, turn: int) -> list[float]:
+    """A round of seeding: up to `size` further values, far and frequent ones likelier, as one top-k job over rows (x, m)."""
+    far = nearest(rows, sorted(means)).filter("near > 0")
+    key = F.ln(_draw(seed, turn)) / (F.col("near") * F.col("m"))
+    return [r["x"] for r in far.orderBy(key.desc(), "x").select("x").limit(size).collect()]
+
+
+def spread_means(rows: DataFrame, n: int, seed: int = 0, rounds: int = 4, factor: int = 2) -> list[float]:
+    """Up to n starting means among values (x, m times each), in rounds + 2 jobs however large n is.
+
+    One value is drawn; each round draws factor * n more at once by their distance from
+    those before. The candidates, at most 1 + rounds * factor * n, weigh as much as the
+    values nearest to them, and n of these are drawn one by one in the same way on the driver.
+    """
+    found = [rows.orderBy(_draw(seed, 1).desc(), "x").first()["x"]]
+    for k in range(rounds):
+        more = oversampled(rows, found, factor * n, seed, k + 2)
+        if not more:
+            break
+        found += more
+    x = np.array(sorted(found))
+    weight = np.zeros(len(x))
+    for r in nearest(rows, x.tolist()).groupBy("place").agg(F.sum("m").alias("m")).collect():
+        weight[r["place"]] = r["m"]
+    means = [float(x[np.argmax(weight)])]
+    near = (x - means[0]) ** 2
+    for k in range(1, n):
+        if not (near > 0).any():
+            break
+        u = np.mod(np.abs(x) * GOLDEN * (seed + k + 1), 1.0) + 1e-9
+        with np.errstate(divide="ignore"):
+            key = np.where((near > 0) & (weight > 0), np.log(u) / (near * weight), -np.inf)
+        means.append(float(x[np.argmax(key)]))
+        near = np.minimum(near, (x - means[-1]) ** 2)
+    return means
+
+
 def _mixture_sums(rows: DataFrame, means: np.ndarray, variances: np.ndarray, weights: np.ndarray):
     """The log likelihood and each component's mass, sum of x and sum of squared distances from its mean, as one aggregate.
 

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.operators import training
 
@@ -48,3 +49,25 @@ def test_a_long_chunk_takes_two_stretches():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40e6  # three arrays of places x states would be 61 MB
+
+
+def test_many_means_in_few_jobs(spark):
+    """128 groups of values, each with a mean of its own, and jobs that don't grow with their number."""
+    rows = spark.range(128 * 40).select((F.pmod("id", F.lit(128)) * 100.0 + F.pmod(F.floor(F.col("id") / 128), F.lit(7)) * 0.1).alias("x"), F.lit(1).cast("long").alias("m")).groupBy("x").agg(F.sum("m").alias("m"))
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    means = training.spread_means(rows, 128, seed=1)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    jobs, before = (int(str(x)) for x in (jobs, before))
+    assert len(means) == len(set(means)) == 128 and {r["x"] for r in rows.collect()} >= set(means)
+    assert len({round(m / 100) for m in means}) > 110
+    assert jobs - before <= 20  # adaptive execution makes a job of each stage
+    assert training.spread_means(rows, 128, seed=1) == means
+
+
+def test_few_values_and_their_nearest(spark):
+    rows = spark.createDataFrame([(1.0, 3), (5.0, 1), (9.0, 2)], "x double, m long")
+    assert sorted(training.spread_means(rows, 5)) == [1.0, 5.0, 9.0]
+    got = {r["x"]: (r["place"], r["near"]) for r in training.nearest(rows, [1.0, 9.0]).collect()}
+    assert got == {1.0: (0, 0.0), 5.0: (0, 16.0), 9.0: (1, 0.0)}
+    means, _, _ = training.mixture(rows, "x", 2, rounds=3, seeding="oversampled")
+    assert len(means) == 2

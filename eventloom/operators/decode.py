@@ -15,6 +15,8 @@ from eventloom.operators.model import Model
 
 #: Scores (reads x events x states) that are held at once.
 CELLS = 4_000_000
+#: Where no state has links from more than one in so many states, a step goes through the links alone.
+DENSE = 2
 
 
 def best_paths(model: Model, p_stay: float, p_skip: float, reads: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray] | None]:
@@ -22,7 +24,7 @@ def best_paths(model: Model, p_stay: float, p_skip: float, reads: list[np.ndarra
 
     A state's predecessor is, in this order and only if strictly better: one that the
     table links to it (lowest first), the state itself, the best state of the event
-    before. Other skips are not tried. There is no initial distribution. A read with a
+    before. Other skips are not tried, so a step costs what links there are. There is no initial distribution. A read with a
     value that is not a number, or with no possible path, gives None; an empty one an
     empty path.
     """
@@ -31,7 +33,15 @@ def best_paths(model: Model, p_stay: float, p_skip: float, reads: list[np.ndarra
     with np.errstate(divide="ignore", invalid="ignore"):
         t = model.reparameterised(p_stay, p_skip)
         log_t = np.where(t > 0, np.log(np.where(t > 0, t, 1)), -np.inf)
-    linked = np.where(model.adjacent(), log_t, -np.inf)
+    adjacent = model.adjacent()
+    linked = np.where(adjacent, log_t, -np.inf)
+    most_in = max(int(adjacent.sum(axis=0).max(initial=0)), 1)
+    if few := DENSE * most_in <= len(means):  # each state's links in order, filled up with ones that can't be
+        into = np.zeros((len(means), most_in), int)
+        way = np.full(into.shape, -np.inf)
+        for s in range(len(means)):
+            p = np.flatnonzero(adjacent[:, s])
+            into[s, : len(p)], way[s, : len(p)] = p, log_t[p, s]
     stay, own = np.diag(log_t), np.arange(len(means))
     out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(reads)
     for group in alike([len(r) for r in reads], CELLS // len(means)):
@@ -55,9 +65,15 @@ def best_paths(model: Model, p_stay: float, p_skip: float, reads: list[np.ndarra
         for i in range(1, most):
             n = int(np.searchsorted(-lengths, -i, side="left"))  # reads that go on: they are sorted by length
             now, at = score[:n], rows[:n]
-            ways = now[:, :, None] + linked
-            where = ways.argmax(axis=1)
-            value = np.take_along_axis(ways, where[:, None, :], axis=1)[:, 0]
+            if few:
+                ways = now[:, into] + way
+                where = ways.argmax(axis=2)
+                value = np.take_along_axis(ways, where[:, :, None], axis=2)[:, :, 0]
+                where = into[own, where]
+            else:
+                ways = now[:, :, None] + linked
+                where = ways.argmax(axis=1)
+                value = np.take_along_axis(ways, where[:, None, :], axis=1)[:, 0]
             self_ = now + stay
             where, value = np.where(self_ > value, own, where), np.maximum(self_, value)
             top = best[i - 1, :n].astype(int)

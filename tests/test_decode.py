@@ -106,3 +106,25 @@ def test_empty_and_null_reads(spark):
 def test_sql_names(spark):
     correction.register(spark, MODEL, 0.1, 0.06)
     assert spark.sql("SELECT viterbi_path(array(0.0D, 1.0D)) AS p").first()["p"] == brute_path(MODEL, 0.1, 0.06, [0.0, 1.0])
+
+
+@pytest.mark.parametrize("n", [6, 64])
+def test_links_alone_give_the_same_paths(monkeypatch, n):
+    """Models with few links a state: gone through by link, as a whole matrix, and by the rule."""
+    rng = np.random.default_rng(n)
+    trans = np.zeros((n, n))
+    for p in range(n):
+        to = {(2 * p) % n, (2 * p + 1) % n} - {p}
+        for s in to:
+            trans[p, s] = 1 / len(to)
+    model = Model(tuple(np.linspace(-2, 2, n)), tuple([0.2] * n), tuple(map(tuple, trans)))
+    reads = [rng.normal(size=k) for k in (0, 1, 30, 7, 31)] + [np.array([0.5] * 9)]
+    for pair in ((0.1, 0.06), (0.0, 0.0), (0.3, 0.0)):
+        got = decode.best_paths(model, *pair, reads)
+        monkeypatch.setattr(decode, "DENSE", 10**9)
+        want = decode.best_paths(model, *pair, reads)
+        monkeypatch.undo()
+        for a, b, x in zip(got, want, reads):
+            assert (a is None) == (b is None)
+            if a is not None:
+                assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()

@@ -14,14 +14,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import dropped, lean, small_side, unused_path, whole_text, written
+from eventloom.llm.common import lean, placed, small_side, unused_path, whole_text, written
 from eventloom.llm.vocab import text_parts
 
 #: Parameters: shards of a cycle, most words of a phrase, words of a block.
-SHARDS, LONGEST = 4, 4
+SHARDS, LONGEST = 2, 4
 BLOCK_WORDS = 1 << 19
 #: Bits of a slot's number: frequent phrases are known to tasks by slots, a byte each, so what is sent to them doesn't grow.
 #: Phrases that share a slot are at worst counted in vain: counts are kept by the phrases themselves.
@@ -32,7 +32,9 @@ NEVER = 255
 ENDS, END = r"[.,;:!?\n-\r]", "."
 
 BLOCK = "shard int, langs array<string>, words string, unit_langs binary, hashes binary, codes binary, own int"
-COUNT = "lang string, phrase string, k int, since int, n long"
+#: mark holds the step since which a phrase is counted, its words (3 bits) and its slot.
+COUNT = "lang string, phrase string, mark long, n long"
+SLOT, PHRASE = (1 << SLOT_BITS) - 1, (1 << (SLOT_BITS + 3)) - 1
 
 
 def _hashed(words: np.ndarray) -> np.ndarray:
@@ -176,33 +178,31 @@ def _counted(blocks: DataFrame, step: int, known, shards: int) -> DataFrame:
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 words = pc.split_pattern(pa.array([row["words"].as_py()]), "\n").flatten()
                 of = lambda c, kind: np.frombuffer(row[c].as_buffer(), kind)
-                langs, lang = row["langs"].values, of("unit_langs", "<i4")
-                for found, since, n in phrases_in(of("codes", "<i4"), row["own"].as_py(), of("hashes", "<u4"), step, known.value, shards):
+                langs, lang, hashes = row["langs"].values, of("unit_langs", "<i4"), of("hashes", "<u4")
+                for found, since, n in phrases_in(of("codes", "<i4"), row["own"].as_py(), hashes, step, known.value, shards):
                     for a in range(0, len(n), 100_000):
                         some = slice(a, a + 100_000)
                         parts = [words.take(pa.array(w[some])) for w in found]
                         phrase = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
-                        m = len(phrase)
-                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[found[0][some]])), phrase, pa.array(np.full(m, len(parts), np.int32)), pa.array(since[some].astype(np.int32)), pa.array(n[some])], names=["lang", "phrase", "k", "since", "n"])
+                        mark = (since[some] << 3 | len(parts)) << SLOT_BITS | slots(_phrase_hash([w[some] for w in found], hashes))
+                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[found[0][some]])), phrase, pa.array(mark), pa.array(n[some])], names=["lang", "phrase", "mark", "n"])
 
     return blocks.mapInArrow(lean(run), COUNT)
 
 
-def _slots_of(phrases: DataFrame) -> pa.Table:
-    """The slots of phrases by length: at most one row for each slot and length reaches the driver."""
+def _frequent(tables: list[DataFrame], least: int, shards: int) -> DataFrame:
+    """The phrases of tables of counts that reach `least`: lang, phrase, mark, n.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column("lang").to_numpy(zero_copy_only=False)
-            ks = batch.column("k").to_numpy()
-            for k in np.unique(ks):
-                own = ks == k
-                parts = pc.split_pattern(batch.column("phrase").filter(pa.array(own)), " ").flatten().to_numpy(zero_copy_only=False)
-                hashes = unit_hashes(parts, np.repeat(langs[own], k)).reshape(-1, k)
-                slot = np.unique(slots(reduce(longer, [hashes[:, j].astype(np.uint64) for j in range(k)])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), k, np.int32)), pa.array(slot)], names=["k", "slot"])
-
-    return phrases.select("lang", "phrase", "k").mapInArrow(run, "k int, slot long").distinct().toArrow()
+    Where `shards` counts add up to `least`, one of them is a shards-th of it at least. So
+    rows are dropped before the shuffle whose slot has no such count: most, as most phrases
+    are rare. The slots are sent to all tasks as bits of at most 2 ** (SLOT_BITS - 6) numbers.
+    """
+    counts = reduce(DataFrame.unionByName, tables)
+    slot = F.col("mark").bitwiseAND(SLOT)
+    word, bit = F.shiftright(slot, 6).alias("_word"), slot.bitwiseAND(63).cast("int")
+    high = counts.filter(F.col("n") >= -(-least // shards)).groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    some = counts.withColumn("_word", word).join(F.broadcast(high), "_word").filter(F.getbit("_bits", bit) == 1)
+    return some.groupBy("lang", "phrase", "mark").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, shards: int = SHARDS, block_words: int = BLOCK_WORDS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -212,12 +212,12 @@ def phrase_counts(docs: DataFrame, least: int = 30, shards: int = SHARDS, block_
     into words at spaces and tabs. A null language is `und`, a null text has no words.
 
     One pass writes the words of all texts as numbers, in blocks that know their own
-    words. Step t then reads shard t mod shards and adds what its blocks count to the
-    table of open phrases, those that still have shards to see. Where a count reaches
-    `least` in that step, longer phrases may start at the next. A phrase that has seen all
-    shards leaves the table, and is kept if it is frequent. There are at most
-    LONGEST * shards steps; they end when no phrase can be open. No phrase is lost:
-    one that is frequent has frequent parts, and its parts are known to be so in the end.
+    words. Step t then reads shard t mod shards and writes what its blocks count: phrases
+    of any length that are open, which a phrase is for `shards` steps. The counts of the
+    last `shards` steps are all there are of open phrases; where they reach `least`, longer
+    phrases may start at the next step. There are at most LONGEST * shards steps; they end
+    when no phrase can be open. No phrase is lost: one that is frequent has frequent parts,
+    and its parts are known to be so in the end.
     """
     if not 0 < shards * LONGEST < NEVER:
         raise ValueError("too many shards")
@@ -226,29 +226,22 @@ def phrase_counts(docs: DataFrame, least: int = 30, shards: int = SHARDS, block_
     _blocks(docs, shards, block_words, text_col, lang_col).write.partitionBy("shard").option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(BLOCK).parquet(path)
     known = {k: np.full(1 << SLOT_BITS, NEVER, np.uint8) for k in range(1, LONGEST)}
-    totals, open_, done, step, until = None, None, [], 0, shards
+    tables, step, until = [], 0, shards
     while step < until:
         sent = spark.sparkContext.broadcast(known)
-        new = _counted(blocks.filter(F.col("shard") == step % shards), step, sent, shards).withColumn("reached", F.lit(None).cast("int"))
-        both = new if open_ is None else new.unionByName(open_)
-        counts = both.groupBy("lang", "phrase", "k", "since").agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
-        counts = written(counts.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, step + 1).cast("int"))), "phrase-counts", compression="zstd")
-        complete = F.col("since") + shards - 1 <= step
-        done.append(written(counts.filter(complete & F.col("reached").isNotNull()).drop("reached", "since").coalesce(8), "phrase-done"))
-        if step == shards - 1:  # all words have been seen
-            totals = written(counts.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-        fresh = _slots_of(counts.filter((F.col("reached") == step + 1) & (F.col("k") < LONGEST)))
+        counts = _counted(blocks.filter(F.col("shard") == step % shards), step, sent, shards).groupBy("lang", "phrase", "mark").agg(F.sum("n").alias("n"))
+        tables.append(written(counts, "phrase-counts", compression="zstd"))
+        slot = _frequent(tables[-shards:], least, shards).select(F.col("mark").bitwiseAND(PHRASE).alias("slot")).distinct().toArrow()["slot"].to_numpy()
         for k in known:
-            slot = fresh["slot"].filter(pc.equal(fresh["k"], k)).to_numpy()
-            known[k][slot] = np.minimum(known[k][slot], step + 1)
-        if len(fresh):
-            until = step + 1 + shards
-        if open_ is not None:
-            dropped(was)
-        was, open_ = counts, counts.filter(~complete)
+            own = slot[slot >> SLOT_BITS == k] & SLOT
+            if (known[k][own] == NEVER).any():
+                until = step + 1 + shards
+            known[k][own] = np.minimum(known[k][own], step + 1)
         sent.unpersist()
         step += 1
-    return reduce(DataFrame.unionByName, done), totals
+    length = F.shiftright("mark", SLOT_BITS).bitwiseAND(7)
+    totals = reduce(DataFrame.unionByName, tables[:shards]).filter(length == 1).groupBy("lang").agg(F.sum("n").alias("n"))
+    return _frequent(tables, least, shards).select("lang", "phrase", length.cast("int").alias("k"), "n"), written(totals, "phrase-totals")
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, scale: int = 2_000_000, share: tuple[int, int] = (80, 100), shards: int = SHARDS, block_words: int = BLOCK_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -275,10 +268,6 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, scale: int =
     scored = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
     scored = scored.withColumn("score", F.expr(f"(cast({scale} as decimal(19,0)) * cast(a as decimal(19,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.*")
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    rank: Column = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    some = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))  # no language's phrases are sorted by one task
-    parts = max(8, docs.sparkSession.sparkContext.defaultParallelism)
-    first = written(best.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts))).withColumn("_rank", some).filter(F.col("_rank") <= top).drop("_part", "_rank"), "phrase-first")
-    out = first.withColumn("rank", rank).filter(F.col("rank") <= top).join(small_side(totals), "lang")
+    first = placed(best, "lang", [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], "phrase-ranks").filter(F.col("place") < top)
+    out = first.withColumn("rank", F.col("place") + 1).join(small_side(totals), "lang")
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", F.col("cut").cast("long").alias("cut"))

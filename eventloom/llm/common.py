@@ -168,3 +168,19 @@ def numbered(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFra
     starts = F.broadcast(sizes.select("_part", before.alias("_start")))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return parts.withColumn("_place", place).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_start", "_place")
+
+
+def placed(df: DataFrame, group: str, order: list[Column], tag: str) -> DataFrame:
+    """Number the rows of each group from 0 in the given order (place); group_rows is the group's number of rows.
+
+    Ranges of (group, order) are sorted apart, so no group has to fit in a task. A row's
+    number in its range is part of its id there, whose upper bits are the range's; a window
+    over the ranges' sizes puts each range behind the ones before.
+    """
+    dealt = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    ranges = written(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33).cast("int")), tag)
+    sizes = ranges.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    own = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(sizes.select(group, "_part", "_first", before.alias("_before"), F.sum("_n").over(own).alias("group_rows")), f"{tag}-starts")
+    return ranges.join(small_side(starts), [group, "_part"]).withColumn("place", F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")

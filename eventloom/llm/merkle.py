@@ -11,10 +11,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import lean, small_side, written
+from eventloom.llm.common import lean, placed, small_side, written
 
 #: Levels from one kept level to the next: a subtree has at most 2 ** STEP nodes at its foot.
 STEP = 6
@@ -101,21 +101,10 @@ def _height(n: Column) -> Column:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Number the rows of each group from 0 by doc_id (nulls first), then digest; up is the height of its tree.
-
-    Ranges of (group, doc_id, digest) are sorted apart, so no group has to fit in a task;
-    equal rows have equal digests, and a number of their own deals them out. A window
-    over the ranges' sizes puts each range behind the ones before.
-    """
-    order = [F.col("grp"), F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("_tie")]
-    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    at = F.monotonically_increasing_id()  # counts up in a range; a range's own bits are the upper ones
-    ranges = written(dealt.withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33).cast("int")).drop("_tie"), "merkle-ranges")
-    sizes = ranges.groupBy("grp", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    own = Window.partitionBy("grp")
-    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(sizes.select("grp", "_part", "_first", before.alias("_before"), _height(F.sum("_n").over(own)).alias("up")), "merkle-starts")
-    return ranges.join(small_side(starts), ["grp", "_part"]).withColumn("place", F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")
+    """Number the rows of each group from 0 by doc_id (nulls first), then digest; up is the height of its tree. Equal rows have equal digests, and are dealt out by a number of their own."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("_tie")]
+    out = placed(rows.withColumn("_tie", F.monotonically_increasing_id()), "grp", order, "merkle-ranges")
+    return out.withColumn("up", _height(F.col("group_rows"))).drop("_tie", "group_rows")
 
 
 @dataclass

@@ -27,6 +27,8 @@ BLOCK_WORDS = 1 << 19
 #: Phrases that share a slot are at worst counted in vain: counts are kept by the phrases themselves.
 SLOT_BITS = 22
 NEVER = 255
+#: Bits of a slot's number where rare phrases are dropped before shards are added up; a bit each is sent to tasks.
+FILTER_BITS = 25
 
 #: The characters that end a piece, as a pattern, and the one that stands for them.
 ENDS, END = r"[.,;:!?\n-\r]", "."
@@ -195,12 +197,11 @@ def _frequent(tables: list[DataFrame], least: int, shards: int) -> DataFrame:
 
     Where `shards` counts add up to `least`, one of them is a shards-th of it at least. So
     rows are dropped before the shuffle whose slot has no such count: most, as most phrases
-    are rare. The slots are sent to all tasks as bits of at most 2 ** (SLOT_BITS - 6) numbers.
+    are rare. The slots are sent to all tasks as bits of at most 2 ** (FILTER_BITS - 6) numbers.
     """
-    counts = reduce(DataFrame.unionByName, tables)
-    slot = F.col("mark").bitwiseAND(SLOT)
-    word, bit = F.shiftright(slot, 6).alias("_word"), slot.bitwiseAND(63).cast("int")
-    high = counts.filter(F.col("n") >= -(-least // shards)).groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    counts = reduce(DataFrame.unionByName, tables).withColumn("_slot", F.xxhash64("lang", "phrase").bitwiseAND((1 << FILTER_BITS) - 1))
+    word, bit = F.shiftright("_slot", 6), F.col("_slot").bitwiseAND(63).cast("int")
+    high = counts.filter(F.col("n") >= -(-least // shards)).groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
     some = counts.withColumn("_word", word).join(F.broadcast(high), "_word").filter(F.getbit("_bits", bit) == 1)
     return some.groupBy("lang", "phrase", "mark").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from eventloom.operators.frames import LEAST_VARIANCE
+from eventloom.sources.shared import unused_path
 
 #: Samples of a block.
 SIZE = 1 << 16
@@ -52,13 +53,17 @@ def indexed(df: DataFrame, read: str, order: list[str], value: str) -> DataFrame
     """frames.indexed() for reads of any length: ranges of (read, order) are sorted apart and numbered behind each other.
 
     The number of a row in its range is part of its id there (the upper bits are the
-    range's); the rows of a read in the ranges before are counted by range. Rows are
-    dealt out anew for each evaluation, so write the result before using it twice.
+    range's); the rows of a read in the ranges before are counted by range. The ranges
+    come from a sample that differs from one evaluation to the next, so the dealt rows are
+    written with their ids once, and whatever reads the result gets the same ones.
     """
     columns = {f"_o{k}": F.col(c) for k, c in enumerate(order)}
     rows = df.select(F.col(read).alias("read_id"), F.col(value).cast("double").alias("x"), *[c.alias(name) for name, c in columns.items()])
     dealt = rows.repartitionByRange("read_id", *columns).sortWithinPartitions("read_id", *columns)
-    placed = dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_block", F.shiftright("_at", 33))
+    dealt = dealt.select("read_id", "x", F.monotonically_increasing_id().alias("_at"))
+    path = unused_path(df.sparkSession, "placed")
+    dealt.write.parquet(path)
+    placed = df.sparkSession.read.schema(dealt.schema).parquet(path).withColumn("_block", F.shiftright("_at", 33))
     firsts = placed.groupBy("read_id", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("read_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = _joined(placed, firsts.select("read_id", "_block", (before - F.col("first")).alias("shift")))

@@ -22,6 +22,19 @@ def test_places(signal):
     assert listed(blocks.indexed(signal, "read_id", ["t"], "v")) == listed(frames.indexed(signal, "read_id", ["t"], "v"))
 
 
+def test_places_hold_where_they_are_read_twice(spark):
+    """So many rows that ranges come from a sample, which is another one each time; small ranges are not put together."""
+    rows = spark.range(40_000).select((F.col("id") % 7).alias("r"), F.xxhash64("id").alias("t"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).alias("v")).coalesce(1)
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")
+    try:
+        s, want = blocks.indexed(rows, "r", ["t"], "v"), frames.indexed(rows, "r", ["t"], "v")
+        assert listed(s) == listed(want)
+        assert listed(blocks.t_statistics(s, {"t": 3}, 256)) == listed(frames.t_statistic(want, 3))
+    finally:
+        spark.conf.unset(merged)
+
+
 @pytest.mark.parametrize("size", [9, 64, 1 << 16])
 def test_equal_to_windows_over_reads(signal, size):
     s = frames.indexed(signal, "read_id", ["t"], "v")

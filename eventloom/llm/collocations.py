@@ -99,15 +99,15 @@ def _blocks(docs: DataFrame, shards: int, block_words: int, text_col: str, lang_
                 unit, code = unit[has_end:] - 1, code - has_end
                 if not len(unit):
                     continue
-                names, lang = np.unique(langs[unit].astype(str), return_inverse=True)
+                lang = pa.array(langs[unit], pa.string()).dictionary_encode()
                 turn += 1
                 yield pa.RecordBatch.from_pylist(
                     [
                         {
                             "shard": turn % shards,
-                            "langs": names.tolist(),
+                            "langs": lang.dictionary.to_pylist(),
                             "words": "\n".join(words[unit]),
-                            "unit_langs": lang.astype("<i4").tobytes(),
+                            "unit_langs": lang.indices.to_numpy().astype("<i4").tobytes(),
                             "hashes": unit_hashes(words[unit], langs[unit]).astype("<u4").tobytes(),
                             "codes": code.astype("<i4").tobytes(),
                             "own": min(block_words, len(block)),
@@ -124,8 +124,9 @@ def phrases_in(codes: np.ndarray, own: int, hashes: np.ndarray, step: int, known
     """What a block adds at a step: for each length, the words of the phrases that are counted, since which step, and how often.
 
     known[k] has for each slot the step from which a phrase of k words there is known to
-    be frequent. A phrase of k + 1 words is counted from the step at which both of its
-    phrases of k words are, and in `shards` steps.
+    be frequent. A phrase is counted from the step at which all phrases inside it are
+    known, and in `shards` steps. All, not only the two of one word less: a slot that one
+    of those shares may be known long before its own parts are.
     """
     if step < shards:
         counts = np.bincount(codes[:own][codes[:own] >= 0], minlength=len(hashes))
@@ -136,41 +137,41 @@ def phrases_in(codes: np.ndarray, own: int, hashes: np.ndarray, step: int, known
     h, ages = unit, np.where(codes >= 0, known[1][slots(hashes)][codes], NEVER)
     for k in range(2, LONGEST + 1):
         age = np.maximum(ages[:-1], ages[1:])
+        for since in range(max(0, step - shards + 1), step + 1):
+            at = np.flatnonzero(age[:own] == since)
+            if len(at):
+                words, n = _distinct(codes, at, k, size)
+                yield words, np.full(len(n), since, np.int64), n
         both = age <= step
-        at = np.flatnonzero(both[:own] & (step < age[:own].astype(np.int64) + shards))
-        if len(at):
-            key = codes[at].astype(np.int64) * size + codes[at + 1]
-            if k > 2:
-                key = key * size + codes[at + 2]  # blocks are so small that this fits
-            if k > 3:
-                front, key = np.unique(key, return_inverse=True)
-                key = key * size + codes[at + 3]
-            key, n = np.unique(key, return_counts=True)
-            words = []
-            if k > 3:
-                key, last = np.divmod(key, size)
-                key, words = front[key], [last]
-            for _ in range(min(k, 3) - 1):
-                key, last = np.divmod(key, size)
-                words.insert(0, last)
-            words.insert(0, key)
-            yield words, _since(words, hashes, known), n
         if k == LONGEST or not both.any():
             return
         h = longer(h[:-1], unit[k - 1 :])
-        ages = np.where(both, known[k][slots(h)], NEVER)
+        ages = np.where(both, np.maximum(known[k][slots(h)], age), NEVER)
+
+
+def _distinct(codes: np.ndarray, at: np.ndarray, k: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct phrases of k words that begin at some places, as the numbers of their words, and how often each does."""
+    key = codes[at].astype(np.int64) * size + codes[at + 1]
+    if k > 2:
+        key = key * size + codes[at + 2]  # blocks are so small that this fits
+    if k > 3:
+        front, key = np.unique(key, return_inverse=True)
+        key = key * size + codes[at + 3]
+    key, n = np.unique(key, return_counts=True)
+    words = []
+    if k > 3:
+        key, last = np.divmod(key, size)
+        key, words = front[key], [last]
+    for _ in range(min(k, 3) - 1):
+        key, last = np.divmod(key, size)
+        words.insert(0, last)
+    return [key, *words], n
 
 
 def _phrase_hash(words: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
     return reduce(longer, [hashes[w].astype(np.uint64) for w in words])
 
 
-def _since(words: list[np.ndarray], hashes: np.ndarray, known: dict[int, np.ndarray]) -> np.ndarray:
-    """The step from which phrases are counted."""
-    k = len(words) - 1
-    return np.maximum(*[known[k][slots(_phrase_hash(w, hashes))] for w in (words[:-1], words[1:])]).astype(np.int64)
-
-
 def _counted(blocks: DataFrame, step: int, known, shards: int) -> DataFrame:
     """The counts that a shard's blocks add at a step, by block."""
 

@@ -84,6 +84,33 @@ def test_blocks_overlap_and_phrases_start_late():
     assert not list(collocations.phrases_in(codes, 300, hashes, 4, known, 4))  # all have seen their four shards
 
 
+def test_a_shared_slot_that_is_known_early_loses_nothing(spark):
+    """p q r shares a slot with x y z, which is known a step before p q is: p q r s is counted in both shards all the same."""
+    tried = 5000
+
+    def slot(words, *rest):
+        hashes = [collocations.unit_hashes(np.array(w, object), np.array(["en"] * len(w), object)) for w in (words, *[[w] * tried for w in rest])]
+        h = hashes[0].astype(np.uint64)
+        for unit in hashes[1:]:
+            h = collocations.longer(h, unit)
+        return collocations.slots(h)
+
+    p, x = ([f"{c}{k}" for k in range(tried)] for c in "px")
+    _, i, j = np.intersect1d(slot(p, "q", "r"), slot(x, "y", "z"), return_indices=True)
+    early = [f"{x[j[0]]} y z", "q r s"] * 3
+    shards = [early + [f"{p[i[0]]} q r s"] * n for n in (4, 1)]  # the first partition's block is dealt to shard 1, the other's to shard 0
+    rows = [(k, text, "en") for k, some in enumerate(shards) for text in some]
+    docs = spark.createDataFrame(rows, "k int, text string, lang string").repartitionByRange(2, "k")
+    got = listed(collocations.collocations(docs, least=3, shards=2))
+    assert got == mined([r[1:] for r in rows], 3, 2000) and f"{p[i[0]]} q r s" in [r[2] for r in got]
+
+
+def test_languages_that_differ_at_the_end_only(spark):
+    rows = [("a b c", lang) for lang in ("e", "e\x00", "e ", "") for _ in range(3)] + [("a b", "e\x00")]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert listed(collocations.collocations(docs, least=2)) == mined(rows, 2, 2000)
+
+
 def test_words_are_cut_at_spaces_and_marks_only():
     codes, words, langs = collocations.coded_words(pa.array(["A b c\x1cd. \x0be\x85 É", "", " a"]), pa.array(["x", "x", "y"]))
     shown = ["|" if c < 0 else f"{langs[c]}:{words[c]}" for c in codes]

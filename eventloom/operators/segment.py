@@ -123,17 +123,43 @@ def middle_mean(segment: np.ndarray) -> float:
         return 0.0
     s = np.sort(segment)
     q1, q3 = s[len(s) // 4], s[3 * len(s) // 4]
-    kept = s[(s >= q1 - (q3 - q1)) & (s <= q3 + (q3 - q1))]
+    kept = s[(s >= 2 * q1 - q3) & (s <= 2 * q3 - q1)]
     return float(kept.mean()) if len(kept) else 0.0
 
 
-def normalised(x: np.ndarray, sigmas: float = 3.0) -> np.ndarray:
-    """Population z-scores strictly inside +-sigmas; none without spread."""
-    spread = x.std() if len(x) else 0.0
-    if not spread > 0:
-        return x[:0]
-    z = (x - x.mean()) / spread
-    return z[np.abs(z) < sigmas]
+def spreads(reads: list[np.ndarray]) -> list[tuple[float, float]]:
+    """Each read's mean and population standard deviation, many reads in step.
+
+    They come sample by sample, the mean from a running sum and the deviation by Welford's
+    update, as avg and stddev_pop come over a table in order. Sums in another order differ
+    in the last digits, and with them the side that a sample on a limit falls to.
+    """
+    out = [(0.0, 0.0)] * len(reads)
+    for group in alike([len(x) for x in reads], CELLS):
+        lengths = np.array([len(reads[k]) for k in group])
+        samples = np.zeros((int(lengths[0]), len(group)))
+        for column, k in zip(samples.T, group):
+            column[: len(reads[k])] = reads[k]
+        total, mean, squares = np.zeros((3, len(group)))
+        with np.errstate(invalid="ignore"):
+            for i, v in enumerate(samples):
+                m = int(np.searchsorted(-lengths, -i, side="left"))  # reads that go on
+                v, off = v[:m], v[:m] - mean[:m]
+                total[:m] += v
+                mean[:m] += off / (i + 1)
+                squares[:m] += (v - mean[:m]) * off
+        for k, n, a, b in zip(group, lengths.tolist(), total.tolist(), squares.tolist()):
+            out[k] = (a / n, (b / n) ** 0.5) if n else (0.0, 0.0)
+    return out
+
+
+def normalised(reads: list[np.ndarray], sigmas: float = 3.0) -> list[np.ndarray]:
+    """Each read's population z-scores strictly inside +-sigmas; none without spread."""
+    out = []
+    for x, (mean, spread) in zip(reads, spreads(reads)):
+        z = (x - mean) / spread if spread > 0 else x[:0]
+        out.append(z[np.abs(z) < sigmas])
+    return out
 
 
 def segmented(signals: list[np.ndarray], how: Segmenter) -> list[np.ndarray | None]:
@@ -144,7 +170,9 @@ def segmented(signals: list[np.ndarray], how: Segmenter) -> list[np.ndarray | No
     None). Variant 2: trimmed means of the z-scored signal up to each peak; what follows
     the last peak, and segments that are too short or long, are dropped.
     """
-    xs = [np.asarray(x, float) if how.variant == 1 else normalised(np.asarray(x, float)) for x in signals]
+    xs = [np.asarray(x, float) for x in signals]
+    if how.variant != 1:
+        xs = normalised(xs)
     found = peaks([t_statistic(x, how.short, how.precision) for x in xs], [t_statistic(x, how.long, how.precision) for x in xs], how)
     out: list[np.ndarray | None] = []
     for x, p in zip(xs, found):

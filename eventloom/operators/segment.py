@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -43,18 +44,36 @@ PRESETS = {
 }
 
 
+def window_sums(x: np.ndarray, width: int) -> np.ndarray:
+    """The sum of every `width` samples in a row, each added up by itself and in order."""
+    out = x[: len(x) - width + 1].copy()
+    for k in range(1, width):
+        out += x[k : k + len(out)]
+    return out
+
+
 def t_statistic(x: np.ndarray, width: int, precision: str = "float64") -> np.ndarray:
-    """frames.t_statistic() for one read, from running sums."""
+    """frames.t_statistic() for one read, to the last digit.
+
+    Each window is added up by itself: differences of running sums are not quite 0 where
+    samples repeat, and a variance of nothing makes peaks of that. With another precision
+    running sums are kept in it, as some segmenters do.
+    """
     n, out = len(x), np.zeros(len(x))
     if n < 2 * width or width < 2:
         return out
     kind = np.dtype(precision).type
     x = x.astype(kind)
-    s, ss = (np.concatenate([np.zeros(1, kind), np.cumsum(v, dtype=kind)]) for v in (x, x * x))
-    at = np.arange(width, n - width + 1)
-    at = at[at < n]
-    m1, m2 = (s[at] - s[at - width]) / width, (s[at + width] - s[at]) / width
-    q = (ss[at + width] - ss[at - width]) / width - m1 * m1 - m2 * m2
+    at = slice(width, n - width + 1)
+    if kind is np.float64:
+        means, squares = window_sums(x, width) / width, window_sums(x * x, width) / width
+        m1, m2 = means[:-width], means[width:]
+        q = squares[:-width] - m1 * m1 + squares[width:] - m2 * m2
+    else:
+        s, ss = (np.concatenate([np.zeros(1, kind), np.cumsum(v, dtype=kind)]) for v in (x, x * x))
+        means = (s[width:] - s[:-width]) / width
+        m1, m2 = means[:-width], means[width:]
+        q = (ss[2 * width :] - ss[: -2 * width]) / width - m1 * m1 - m2 * m2
     out[at] = np.abs(m2 - m1) / np.sqrt(np.maximum(q, kind(LEAST_VARIANCE)) / width)
     return out
 
@@ -149,7 +168,7 @@ def spreads(reads: list[np.ndarray]) -> list[tuple[float, float]]:
                 mean[:m] += off / (i + 1)
                 squares[:m] += (v - mean[:m]) * off
         for k, n, a, b in zip(group, lengths.tolist(), total.tolist(), squares.tolist()):
-            out[k] = (a / n, (b / n) ** 0.5) if n else (0.0, 0.0)
+            out[k] = (a / n, math.sqrt(b / n)) if n else (0.0, 0.0)
     return out
 
 

@@ -1,5 +1,7 @@
 """Samples on a limit, and repeated ones, fall to the side they fall to in SQL."""
 
+import math
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -7,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from eventloom import catalog
-from eventloom.operators import segment
+from eventloom.operators import frames, segment
 
 from conftest import same_rows
 
@@ -46,4 +48,24 @@ def test_spreads():
             off = v - center
             total, center = total + v, center + off / n
             squares += (v - center) * off
-        assert (mean, spread) == ((total / len(x), (squares / len(x)) ** 0.5) if len(x) else (0.0, 0.0))
+        assert (mean, spread) == ((total / len(x), math.sqrt(squares / len(x))) if len(x) else (0.0, 0.0))
+
+
+def repeats(seed, reads=12, size=150):
+    """Samples that come four to eight times in a row, so that windows hold one value only."""
+    rng = np.random.default_rng(seed)
+    return [np.repeat(rng.integers(3000, 20000, size // 6) / 100, rng.integers(4, 9, size // 6))[:size] for _ in range(reads)]
+
+
+@pytest.mark.parametrize("made", [whole_numbers, repeats])
+def test_segment_v2_r10_with_repeated_samples(spark, tmp_path, made):
+    sf, db = lineitem(tmp_path, made(1))
+    same_rows(catalog.QUERIES["segment_v2_r10"](spark, sf).toPandas(), db.sql(catalog.ORACLES["segment_v2_r10"]).df())
+
+
+@pytest.mark.parametrize("width", [3, 6, 9])
+def test_t_statistic_equals_frames(spark, width):
+    reads = [*repeats(2, 3), *whole_numbers(2, 3)]
+    rows = spark.createDataFrame([(k, i, float(v)) for k, x in enumerate(reads) for i, v in enumerate(x)], "read_id long, idx int, x double")
+    want = [r["t"] for r in frames.t_statistic(rows, width).orderBy("read_id", "idx").collect()]
+    assert np.concatenate([segment.t_statistic(np.asarray(x, float), width) for x in reads]).tolist() == want

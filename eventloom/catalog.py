@@ -927,4 +927,6 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     correction.register(spark, MODEL, P_STAY, P_SKIP)
     reads = spark.sql("SELECT read_id, segment_v2(signal) AS events FROM {reads}", reads=supplier_reads(spark, sf_dir)).filter("events is not null")
     paths = spark.sql("SELECT read_id, events, viterbi_path(events) AS states FROM {reads}", reads=reads).filter("size(states) = size(events)")
-    return paths.select("read_id", F.size("events").cast("long").alias("n_events"), rounded(F.aggregate("events", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    exact = "decimal(38, 6)"  # events have six digits here; their sum in doubles would depend on their order where it is rounded
+    total = F.aggregate("events", F.lit(0).cast(exact), lambda a, x: (a + rounded(x).cast(exact)).cast(exact))
+    return paths.select("read_id", F.size("events").cast("long").alias("n_events"), F.round(total, 4).cast("double").alias("total"))

@@ -1,6 +1,7 @@
 """Samples on a limit, and repeated ones, fall to the side they fall to in SQL."""
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import duckdb
 import numpy as np
@@ -69,3 +70,20 @@ def test_t_statistic_equals_frames(spark, width):
     rows = spark.createDataFrame([(k, i, float(v)) for k, x in enumerate(reads) for i, v in enumerate(x)], "read_id long, idx int, x double")
     want = [r["t"] for r in frames.t_statistic(rows, width).orderBy("read_id", "idx").collect()]
     assert np.concatenate([segment.t_statistic(np.asarray(x, float), width) for x in reads]).tolist() == want
+
+
+@pytest.mark.parametrize("made, seed", [(whole_numbers, 1), (whole_numbers, 4), (repeats, 0)])
+def test_sql_functions_add_rounded_events(spark, tmp_path, made, seed):
+    sf, db = lineitem(tmp_path, made(seed))
+    same_rows(catalog.QUERIES["sql_functions"](spark, sf).toPandas(), db.sql(catalog.ORACLES["sql_functions"]).df())
+
+
+def test_sql_functions_round_the_exact_total(spark, tmp_path):
+    """One of these totals ends in half a digit, where a sum of doubles is rounded by its order; half goes away from 0."""
+    sf, db = lineitem(tmp_path, repeats(11))
+    sums = {}
+    for read, _, event in db.sql(catalog.ORACLES["segment_v2"]).fetchall():
+        sums[read] = sums.get(read, 0) + Decimal(repr(event))
+    assert sum(abs(s) * 10**6 % 100 == 50 for s in sums.values()) == 1
+    got = {r["read_id"]: r["total"] for r in catalog.QUERIES["sql_functions"](spark, sf).collect()}
+    assert got == {read: float(s.quantize(Decimal("0.0001"), ROUND_HALF_UP)) for read, s in sums.items()}
